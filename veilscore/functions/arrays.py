@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intcols import DEC64, DEC128, TWO_64, wrap_to_int64
+from .intcols import DEC64, DEC128, TWO_64, dec_lit, wrap_to_int64
 
 
 def _col(c: Column | str) -> Column:
@@ -53,7 +53,7 @@ def dot(x: Column | str, weights: Sequence[int], bias: int = 0, strict: bool = F
 
 def dot_wrapping(x: Column | str, weights: Sequence[int], bias: int = 0) -> Column:
     """P1w: the same score in two's-complement int64 arithmetic (wraps mod 2^64)."""
-    acc = _dot_mod(x, weights, F.pmod(F.lit(int(bias)).cast(DEC64), F.lit(TWO_64).cast(DEC64)))
+    acc = _dot_mod(x, weights, F.pmod(F.lit(int(bias)).cast(DEC64), dec_lit(TWO_64)))
     return wrap_to_int64(acc)
 
 
@@ -66,7 +66,7 @@ def dot_unsigned(x: Column | str, weights: Sequence[int]) -> Column:
 def _dot_mod(x: Column | str, weights: Sequence[int], start: Column) -> Column:
     x = _col(x)
     terms = _nonzero_terms(weights)
-    m128 = F.lit(TWO_64).cast(DEC128)
+    m128 = dec_lit(TWO_64, DEC128)
 
     def step(acc, t):
         xi = F.coalesce(F.element_at(x, t["i"]), F.lit(0).cast("long"))

@@ -5,6 +5,8 @@ All helpers return ``Column`` expressions evaluated inside whole-stage codegen.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,11 @@ DEC64 = T.DecimalType(20, 0)
 DEC128 = T.DecimalType(38, 0)
 
 
+def dec_lit(value: int, dtype: T.DecimalType = DEC64) -> Column:
+    """Exact decimal literal (``lit`` of a Python int beyond int64 fails)."""
+    return F.lit(Decimal(int(value))).cast(dtype)
+
+
 def int_or_zero(df: DataFrame, column: str) -> Column:
     """A cell counts only if the column is 64-bit integer; nulls and every
     other type (int32, double, string…) become 0."""
@@ -32,7 +39,7 @@ def uint64_reinterpret(df: DataFrame, column: str) -> Column:
     dtype = df.schema[column].dataType
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.pmod(F.coalesce(F.col(column), F.lit(0)).cast(DEC64),
-                      F.lit(TWO_64).cast(DEC64)).cast(DEC64)
+                      dec_lit(TWO_64)).cast(DEC64)
     return F.lit(0).cast(DEC64)
 
 
@@ -73,11 +80,11 @@ def narrow(df: DataFrame) -> DataFrame:
 
 def wrap_to_int64(dec: Column) -> Column:
     """Recentre a residue in [0, 2^64) (decimal) to a signed int64."""
-    return F.when(dec >= F.lit(TWO_63).cast(DEC64), dec - F.lit(TWO_64).cast(DEC64)) \
+    return F.when(dec >= dec_lit(TWO_63), dec - dec_lit(TWO_64)) \
         .otherwise(dec).cast("long")
 
 
 def mul_mod_2_64(a: Column, b: Column) -> Column:
     """(a · b) mod 2^64 for int64 a, b, exact (decimal(38,0) product)."""
     prod = a.cast(DEC64).cast(DEC128) * b.cast(DEC64).cast(DEC128)
-    return F.pmod(prod.cast(DEC128), F.lit(TWO_64).cast(DEC128)).cast(DEC64)
+    return F.pmod(prod.cast(DEC128), dec_lit(TWO_64, DEC128)).cast(DEC64)

@@ -9,16 +9,455 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.intcols import int_or_zero, narrow, quantize_array, uint64_reinterpret
+from ..operators import metrics as M
 from ..operators import score as S
+from ..operators import seal as E
+from ..operators import split as T
+from ..operators.encode import fit_ordinal_encoder
+from ..operators.impute import fit_median_imputer, impute_constant
+from ..operators.join import left_join
+from ..operators.project import (batch_slices, column_roles_frame, drop_columns, first_n,
+                                 label_int, table_shape)
+from ..operators.scale import ScalePassthrough, fit_standard_scaler
+from ..session import scratch_path
+from ..sources.tables import read_table
 from . import inputs as I
+from .prepare import prepare
 
+R6 = 6
 
-def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _r(c, digits=R6):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# ---------------------------------------------------------------- scans, sinks
+def scan_parquet(spark, sf):
+    """Full scan of a table (all columns)."""
+    return read_table(spark, sf, "customer")
+
+
+def parquet_roundtrip(spark, sf):
+    """Write a projection of `orders` as Parquet (overwrite), scan it back."""
+    path = scratch_path(spark, "orders_roundtrip")
+    read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice",
+               "o_orderpriority").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def csv_roundtrip(spark, sf):
+    """Write documents ⟕ labels as CSV (nulls → empty cells), read it back with
+    NA-token handling and numeric type inference."""
+    from ..sources.csv import read_csv_na
+    path = scratch_path(spark, "docs_csv")
+    I.documents_labels(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return read_csv_na(spark, path)
+
+
+def table_shape_q(spark, sf):
+    """Rows and columns of `lineitem`."""
+    return table_shape(read_table(spark, sf, "lineitem"))
+
+
+def column_roles_q(spark, sf):
+    """Roles by dtype (id and label excluded) with non-null counts."""
+    return column_roles_frame(I.documents_labels(spark, sf), exclude=["doc_id", "toxic"])
+
+
+# ------------------------------------------------------- projections and casts
+def drop_cols(spark, sf):
+    """Drop the label and the time column from orders ⟕ customer."""
+    return drop_columns(I.orders_customer(spark, sf), ["o_orderstatus", "o_orderdate"])
+
+
+def label_cast(spark, sf):
+    """R2: label as int, missing labels raise."""
+    lab = read_table(spark, sf, "labels", "doc_id", "toxic")
+    return lab.select("doc_id", label_int("toxic", lab).alias("label"))
+
+
+def narrow_types(spark, sf):
+    """float64 → float32, integers → int32 (ANSI raises on overflow)."""
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                    "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    return narrow(li)
+
+
+def int_or_zero_q(spark, sf):
+    """Only int64 cells pass; int32, double and string cells read as 0."""
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
+                    "l_returnflag")
+    return li.select(*[int_or_zero(li, c).alias(f"g_{c[2:]}") for c in li.columns])
+
+
+def uint64_reinterpret_q(spark, sf):
+    """Signed → unsigned 64-bit reinterpretation (negatives wrap)."""
+    c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    c = c.select("c_custkey", (F.col("c_custkey") - F.lit(750)).alias("k"),
+                 (F.col("c_nationkey") - F.lit(12)).alias("nk"))
+    return c.select("c_custkey", uint64_reinterpret(c, "k").cast("string").alias("u_key"),
+                    uint64_reinterpret(c, "nk").cast("string").alias("u_nation"))
+
+
+def quantize_features(spark, sf):
+    """Q1: embeddings × 1000, round half up, int64; tall output."""
+    return S.to_tall(I.embedding_features(spark, sf), "vec_id")
+
+
+def quantize_model_q(spark, sf):
+    """Q2: float coefficients → integer weights (round(coef·1000)); coefficients
+    are the class-mean difference direction of the embeddings (label 0 vs rest)."""
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    tall = e.select("label", F.posexplode("embedding").alias("feature_idx", "v"))
+    coef = tall.groupBy("feature_idx").agg(
+        (F.avg(F.when(F.col("label") == 0, F.col("v").cast("double")))
+         - F.avg(F.when(F.col("label") != 0, F.col("v").cast("double")))).alias("coef"))
+    from ..operators.quantize import quantize_coefficients
+    return quantize_coefficients(coef, 1000).select("feature_idx", "w")
+
+
+def prefix_features(spark, sf):
+    """SANITY-style score over the first 5 features and weights."""
+    m = I.embedding_model().truncated(5)
+    x = I.embedding_features(spark, sf).select("vec_id", F.slice("x", 1, 5).alias("x"))
+    return S.score_array(x, m, keep=["vec_id"])
+
+
+def zip_truncate(spark, sf):
+    """Rows cut to 40 features meet the 64-weight model; shorter side wins."""
+    x = I.embedding_features(spark, sf).select("vec_id", F.slice("x", 1, 40).alias("x"))
+    return S.score_array(x, I.embedding_model(), keep=["vec_id"])
+
+
+def first_n_rows(spark, sf):
+    """First 5 rows by id (min(n, available))."""
+    scored = S.score_array(I.embedding_features(spark, sf), I.embedding_model(), keep=["vec_id"])
+    return first_n(scored, 5, ["vec_id"])
+
+
+def batch_slices_q(spark, sf):
+    """Batches of 64 orders in key order; rows per batch."""
+    o = read_table(spark, sf, "orders", "o_orderkey")
+    return batch_slices(o, 64, ["o_orderkey"]).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+# ------------------------------------------------------------------------ join
+def left_join_identity(spark, sf):
+    """Documents ⟕ labels (sparse identity side)."""
+    d = read_table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
+    lab = read_table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    return left_join(d, lab, "doc_id")
+
+
+def left_join_nullsafe(spark, sf):
+    """J1 with missing keys matching each other: documents (quality may be
+    missing) ⟕ per-quality document counts, on quality <=> quality."""
+    dl = I.documents_labels(spark, sf).select("doc_id", "quality")
+    stats = dl.groupBy("quality").agg(F.count(F.lit(1)).alias("n_in_quality"))
+    return left_join(dl, stats, "quality", null_safe=True)
+
+
+# ------------------------------------------------------- fitting / transforming
+def impute_median(spark, sf):
+    """exact median imputation of the numeric columns of documents ⟕ labels."""
+    dl = I.documents_labels(spark, sf)
+    imp = fit_median_imputer(dl, ["n_chars", "quality"])
+    return dl.select("doc_id", *imp.columns(dl))
+
+
+def impute_constant_q(spark, sf):
+    """categorical cells as strings, missing → 'MISSING'."""
+    dl = I.documents_labels(spark, sf).withColumn("quality_tag", F.col("quality").cast("string"))
+    return dl.select("doc_id", *impute_constant(["lang", "source", "quality_tag"]))
+
+
+def ordinal_encode(spark, sf):
+    """codes in code-point order, 0..n−1, as double."""
+    d = read_table(spark, sf, "documents", "doc_id", "lang", "source")
+    return fit_ordinal_encoder(d, ["lang", "source"]).transform(d)
+
+
+def ordinal_encode_unknown(spark, sf):
+    """fit on toxic-labelled documents only, apply to all; unseen → −1."""
+    d = read_table(spark, sf, "documents", "doc_id", "lang", "source")
+    lab = read_table(spark, sf, "labels", "doc_id", "toxic").where(F.col("toxic") == 1)
+    fit_rows = d.join(lab, "doc_id", "left_semi")
+    return fit_ordinal_encoder(fit_rows, ["lang", "source"]).transform(d)
+
+
+def standard_scale(spark, sf):
+    """population z-scores of two numeric columns."""
+    oc = I.orders_customer(spark, sf).select("o_orderkey", "o_totalprice", "c_acctbal")
+    fit = fit_standard_scaler(oc, ["o_totalprice", "c_acctbal"])
+    return M.round_all(fit.transform(oc))
+
+
+def scale_passthrough(spark, sf):
+    """scale one column (fitted as an ML stage), pass the others through."""
+    oc = I.orders_customer(spark, sf).select("o_orderkey", "o_totalprice", "c_acctbal")
+    model = ScalePassthrough(inputCol="o_totalprice").fit(oc)
+    return M.round_all(model.transform(oc).select("o_totalprice", "o_orderkey", "c_acctbal"))
+
+
+def _prepared_orders(spark, sf):
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice",
+                   "o_orderpriority", "o_orderstatus")
+    o = o.withColumn("is_f", (F.col("o_orderstatus") == "F").cast("int")).drop("o_orderstatus")
+    c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment") \
+        .withColumnRenamed("c_custkey", "o_custkey")
+    return prepare(o, c, "o_custkey", "is_f", id_col="o_orderkey")
+
+
+def prepare_e2e(spark, sf):
+    """join → impute → scale → encode → (id, features…, label)."""
+    out, _ = _prepared_orders(spark, sf)
+    return M.round_all(out)
+
+
+def dataset_metadata(spark, sf):
+    """Preprocessing metadata as a one-row frame."""
+    out, fit = _prepared_orders(spark, sf)
+    return fit.metadata(spark, out)
+
+
+# --------------------------------------------------------------------- scoring
+def linear_score(spark, sf):
     """Quantized embeddings × 64-weight model + bias."""
+    return S.score_array(I.embedding_features(spark, sf), I.embedding_model(), keep=["vec_id"])
+
+
+def linear_score_wrapping(spark, sf):
+    """P1w: features quantized by 2^52 so that scores overflow; wraps mod 2^64."""
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    x = e.select("vec_id", quantize_array("embedding", float(2 ** 52)).alias("x"))
+    return S.score_array_wrapping(x, I.embedding_model(), keep=["vec_id"])
+
+
+def dot_product_unsigned(spark, sf):
+    """Unsigned 64-bit dot product (no bias) of the quantized embeddings."""
+    d = S.dot_product_unsigned(I.embedding_features(spark, sf), I.embedding_model().weights,
+                               keep=["vec_id"])
+    return d.select("vec_id", F.col("dot").cast("string").alias("dot"))
+
+
+def score_table(spark, sf):
+    """Batch scoring of the whole `lineitem` table (4 features)."""
+    return S.score_array(I.lineitem_features(spark, sf), I.lineitem_model(),
+                         keep=["l_orderkey", "l_linenumber"])
+
+
+def score_probability(spark, sf):
+    """sigmoid(score / (s_w·s_x))."""
     m = I.embedding_model()
-    return S.score_array(I.embedding_features(spark, sf_dir), m, keep=["vec_id"])
+    s = S.with_probability(S.score_array(I.embedding_features(spark, sf), m, keep=["vec_id"]), m)
+    return s.select("vec_id", _r("prob").alias("prob"))
+
+
+def flag_fraud(spark, sf):
+    """P5: decision prob ≥ 0.5."""
+    m = I.embedding_model()
+    s = S.with_probability(S.score_array(I.embedding_features(spark, sf), m, keep=["vec_id"]), m)
+    return S.flag_at_threshold(s, 0.5).select("vec_id", "flag")
+
+
+# ---------------------------------------------------------------------- sealed
+def _sealed_embeddings(spark, sf):
+    m = I.embedding_model()
+    ring = E.new_keyring(spark)
+    x = I.embedding_features(spark, sf)
+    return m, ring, x, E.seal(x, ring, "vec_id", width=m.feature_count)
+
+
+def sealed_differs_from_plain(spark, sf):
+    """Per row, how many sealed cells equal the plain value (≈ 0)."""
+    _, _, x, sealed = _sealed_embeddings(spark, sf)
+    j = sealed.join(x, "vec_id")
+    same = F.aggregate(F.zip_with("c", "x", lambda a, b: (a == b).cast("int")), F.lit(0),
+                       lambda acc, v: acc + v)
+    return j.select("vec_id", same.alias("n_equal"))
+
+
+def sealed_score(spark, sf):
+    """Scores computed on sealed rows (values are residues mod 2^48)."""
+    m, _, _, sealed = _sealed_embeddings(spark, sf)
+    return E.score_sealed(sealed, m, "vec_id").drop("key_id")
+
+
+def sealed_score_opened(spark, sf):
+    """E1→E2→E3: seal, score without the key, open; equals the plain score."""
+    m, ring, _, sealed = _sealed_embeddings(spark, sf)
+    return E.open_scores(E.score_sealed(sealed, m, "vec_id"), ring, m, "vec_id")
+
+
+def seal_roundtrip(spark, sf):
+    """E5: open(seal(x)) element-wise = x (whole table)."""
+    m, ring, _, sealed = _sealed_embeddings(spark, sf)
+    return S.to_tall(E.unseal_features(sealed, ring, "vec_id", m.feature_count), "vec_id")
+
+
+def encrypted_batches(spark, sf):
+    """E6 + S9: seal orders in batches of 256, one directory per batch; rows per
+    batch read back from storage."""
+    ring = E.new_keyring(spark)
+    sealed = E.sealed_batches(I.orders_features(spark, sf), ring, "o_orderkey", 256, 3)
+    path = scratch_path(spark, "sealed_batches")
+    E.write_sealed_batches(sealed, path)
+    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows")) \
+        .select(F.col("batch_id").cast("long").alias("batch_id"), "n_rows")
+
+
+def verify_scores(spark, sf):
+    """V2/V3: opened sealed scores vs the plain formula; PASS iff all match."""
+    from ..operators.validate import verify
+    m, ring, x, sealed = _sealed_embeddings(spark, sf)
+    opened = E.open_scores(E.score_sealed(sealed, m, "vec_id"), ring, m, "vec_id", out="got")
+    plain = S.score_array(x, m, keep=["vec_id"], out="expected")
+    return verify(opened.join(plain, "vec_id", "full"), "got", "expected")
+
+
+def validation_pyramid(spark, sf):
+    """SANITY 5×5, CRYPTO all×1, SATURATION all×16 on the embeddings
+    (time columns left out of the comparison)."""
+    from .validation import run_pyramid
+    report = run_pyramid(spark, I.embedding_features(spark, sf), I.embedding_model(), "vec_id")
+    return report.drop("seconds", "rows_per_sec", "cost_usd")
+
+
+# --------------------------------------------------------------------- metrics
+def _lineitem_points(spark, sf):
+    m = I.lineitem_model()
+    s = S.with_probability(S.score_array(I.lineitem_features(spark, sf), m,
+                                         keep=["label"]), m)
+    return M.curve_points(s, "label", "score", threshold_col="prob")
+
+
+def pr_curve(spark, sf):
+    """M1: one point per distinct score + final (1, 0) point."""
+    return M.pr_curve(_lineitem_points(spark, sf))
+
+
+def average_precision(spark, sf):
+    """M3: step-wise average precision."""
+    return M.round_all(M.areas(_lineitem_points(spark, sf)).select("average_precision"))
+
+
+def pr_auc_trapezoid(spark, sf):
+    """M4: trapezoid area under the PR curve incl. the (recall 0, precision 1) point."""
+    return M.round_all(M.areas(_lineitem_points(spark, sf)).select("pr_auc_trapezoid"))
+
+
+def roc_auc(spark, sf):
+    """M5: tie-aware ROC-AUC."""
+    return M.round_all(M.areas(_lineitem_points(spark, sf)).select("roc_auc"))
+
+
+def threshold_at_precision(spark, sf):
+    """M2: threshold with the highest recall at precision ≥ 0.95."""
+    return M.round_all(M.threshold_at_precision(_lineitem_points(spark, sf)))
+
+
+def threshold_smoke(spark, sf):
+    """Lowest threshold with precision ≥ 0.95, final point included."""
+    return M.round_all(M.threshold_smoke(_lineitem_points(spark, sf)))
+
+
+def metric_summary(spark, sf):
+    """M6: every metric in one row."""
+    return M.round_all(M.metric_summary(_lineitem_points(spark, sf)))
+
+
+# ---------------------------------------------------------------------- splits
+def _labels(spark, sf):
+    return read_table(spark, sf, "labels", "doc_id", "toxic")
+
+
+def stratified_split(spark, sf):
+    """20 % stratified hold-out, exact per-class sizes, seeded."""
+    return T.stratified_split(_labels(spark, sf), "toxic", "doc_id", 0.2)
+
+
+def stratified_split_counts(spark, sf):
+    """Class × split counts."""
+    s = T.stratified_split(_labels(spark, sf), "toxic", "doc_id", 0.2)
+    return s.groupBy("toxic", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stratified_folds(spark, sf):
+    """5 shuffled stratified folds."""
+    return T.stratified_folds(_labels(spark, sf), "toxic", "doc_id", 5, shuffle=True)
+
+
+def stratified_folds_counts(spark, sf):
+    """Class × fold counts."""
+    f = T.stratified_folds(_labels(spark, sf), "toxic", "doc_id", 5, shuffle=True)
+    return f.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def folds_by_order(spark, sf):
+    """2 unshuffled stratified folds (rows in id order)."""
+    return T.stratified_folds(_labels(spark, sf), "toxic", "doc_id", 2, shuffle=False)
+
+
+def class_weights(spark, sf):
+    """T4: balanced class weights n / (k·n_c)."""
+    lab = _labels(spark, sf)
+    return lab.select("doc_id", "toxic",
+                      _r(T.class_weight_column(lab, "toxic", "balanced")).alias("weight"))
 
 
 QUERIES = {
+    "scan_parquet": scan_parquet,
+    "parquet_roundtrip": parquet_roundtrip,
+    "csv_roundtrip": csv_roundtrip,
+    "table_shape": table_shape_q,
+    "column_roles": column_roles_q,
+    "drop_cols": drop_cols,
+    "label_cast": label_cast,
+    "narrow_types": narrow_types,
+    "int_or_zero": int_or_zero_q,
+    "uint64_reinterpret": uint64_reinterpret_q,
+    "quantize_features": quantize_features,
+    "quantize_model": quantize_model_q,
+    "prefix_features": prefix_features,
+    "zip_truncate": zip_truncate,
+    "first_n_rows": first_n_rows,
+    "batch_slices": batch_slices_q,
+    "left_join_identity": left_join_identity,
+    "left_join_nullsafe": left_join_nullsafe,
+    "impute_median": impute_median,
+    "impute_constant": impute_constant_q,
+    "ordinal_encode": ordinal_encode,
+    "ordinal_encode_unknown": ordinal_encode_unknown,
+    "standard_scale": standard_scale,
+    "scale_passthrough": scale_passthrough,
+    "prepare_e2e": prepare_e2e,
+    "dataset_metadata": dataset_metadata,
     "linear_score": linear_score,
+    "linear_score_wrapping": linear_score_wrapping,
+    "dot_product_unsigned": dot_product_unsigned,
+    "score_table": score_table,
+    "score_probability": score_probability,
+    "flag_fraud": flag_fraud,
+    "sealed_differs_from_plain": sealed_differs_from_plain,
+    "sealed_score": sealed_score,
+    "sealed_score_opened": sealed_score_opened,
+    "seal_roundtrip": seal_roundtrip,
+    "encrypted_batches": encrypted_batches,
+    "verify_scores": verify_scores,
+    "validation_pyramid": validation_pyramid,
+    "pr_curve": pr_curve,
+    "average_precision": average_precision,
+    "pr_auc_trapezoid": pr_auc_trapezoid,
+    "roc_auc": roc_auc,
+    "threshold_at_precision": threshold_at_precision,
+    "threshold_smoke": threshold_smoke,
+    "metric_summary": metric_summary,
+    "stratified_split": stratified_split,
+    "stratified_split_counts": stratified_split_counts,
+    "stratified_folds": stratified_folds,
+    "stratified_folds_counts": stratified_folds_counts,
+    "folds_by_order": folds_by_order,
+    "class_weights": class_weights,
 }
