@@ -407,6 +407,63 @@ def class_weights(spark, sf):
                       _r(T.class_weight_column(lab, "toxic", "balanced")).alias("weight"))
 
 
+# ---------------------------------------------------------------------- models
+def _embedding_table(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i:02d}")
+                                for i in range(64)],
+                    (F.col("label") == 0).cast("int").alias("is_zero"))
+
+
+def _fit_predict(spark, sf, model, params):
+    from ..operators import models as ML
+    data = _embedding_table(spark, sf)
+    split = T.stratified_split(data, "is_zero", "vec_id", 0.2)
+    feats = [c for c in data.columns if c.startswith("e")]
+    train = ML.with_weight_columns(split.where(~F.col("is_test")), "is_zero", [params])
+    test = split.where(F.col("is_test"))
+    ws = ML._weight_sum(train, params) if model == "lr" else None
+    fitted = ML.make_pipeline(model, params, feats, "is_zero", None, ws).fit(train)
+    return ML.positive_probability(fitted.transform(test)).select("vec_id", _r("prob").alias("prob"))
+
+
+def lr_fit_predict(spark, sf):
+    """T5: L2 logistic regression (C=0.1, balanced) on the embeddings, hold-out probabilities."""
+    return _fit_predict(spark, sf, "lr", {"C": 0.1, "class_weight": "balanced", "max_iter": 1000})
+
+
+def rf_fit_predict(spark, sf):
+    """Random forest (20 trees, depth 4, sqrt features, weights {0:1, 1:10})."""
+    return _fit_predict(spark, sf, "rf", {"n_estimators": 20, "max_depth": 4, "max_features": "sqrt",
+                                          "min_samples_leaf": 1, "class_weight": {0: 1, 1: 10}})
+
+
+def gbt_fit_predict(spark, sf):
+    """Gradient-boosted trees (20 rounds, depth 3, learning rate 0.1)."""
+    return _fit_predict(spark, sf, "xgb", {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1,
+                                           "subsample": 1.0, "colsample_bytree": 1.0})
+
+
+def search_results(spark, sf):
+    """The smoke grid (6 forest candidates × 2 unshuffled folds), scored
+    by average precision; results table with rank."""
+    from ..operators import models as ML
+    data = _embedding_table(spark, sf)
+    folded = T.stratified_folds(data, "is_zero", "vec_id", 2, shuffle=False)
+    cands = [dict(c, **ML.SMOKE_FIXED) for c in ML.expand_grid(ML.SMOKE_GRID)]
+    feats = [c for c in data.columns if c.startswith("e")]
+    return M.round_all(ML.cross_validate(folded, "rf", cands, feats, "is_zero"))
+
+
+def train_run(spark, sf):
+    """Logistic regression 'final' run on the prepared orders table
+    (scale o_totalprice inside the folds, 5 folds, hold-out metrics)."""
+    from .train import train
+    prepared, _ = _prepared_orders(spark, sf)
+    res = train(prepared, "lr", "final", "o_orderkey", "is_f", scale_col="o_totalprice")
+    return M.round_all(res.summary.drop("run_id"))
+
+
 QUERIES = {
     "scan_parquet": scan_parquet,
     "parquet_roundtrip": parquet_roundtrip,
@@ -460,4 +517,9 @@ QUERIES = {
     "stratified_folds_counts": stratified_folds_counts,
     "folds_by_order": folds_by_order,
     "class_weights": class_weights,
+    "lr_fit_predict": lr_fit_predict,
+    "rf_fit_predict": rf_fit_predict,
+    "gbt_fit_predict": gbt_fit_predict,
+    "search_results": search_results,
+    "train_run": train_run,
 }
