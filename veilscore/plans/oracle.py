@@ -307,6 +307,7 @@ SQL = {
           AS flag FROM emb_score""",
     # sealed
     "sealed_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
+    "paillier_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
     "seal_roundtrip": f"WITH {EMB_Q} SELECT vec_id, CAST(i - 1 AS INTEGER) AS feature_idx, x FROM emb_q",
     "encrypted_batches": """SELECT batch_id, count(*) AS n_rows FROM (
         SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 256) AS BIGINT) + 1 AS batch_id

@@ -297,6 +297,16 @@ def seal_roundtrip(spark, sf):
     return S.to_tall(E.unseal_features(sealed, ring, "vec_id", m.feature_count), "vec_id")
 
 
+def paillier_score_opened(spark, sf):
+    """E1–E3 with the Paillier scheme (test-size 512-bit key): seal with the
+    public key, score without any secret, open with the private key."""
+    from ..operators import paillier as P
+    m = I.embedding_model()
+    sk = P.keygen(512)
+    sealed = P.seal(I.embedding_features(spark, sf), sk.public, "vec_id")
+    return P.open_scores(P.score(sealed, m, sk.public, "vec_id"), sk, "vec_id")
+
+
 def encrypted_batches(spark, sf):
     """E6 + S9: seal orders in batches of 256, one directory per batch; rows per
     batch read back from storage."""
@@ -501,6 +511,7 @@ QUERIES = {
     "sealed_score": sealed_score,
     "sealed_score_opened": sealed_score_opened,
     "seal_roundtrip": seal_roundtrip,
+    "paillier_score_opened": paillier_score_opened,
     "encrypted_batches": encrypted_batches,
     "verify_scores": verify_scores,
     "validation_pyramid": validation_pyramid,
