@@ -50,11 +50,11 @@ def curve_points(scored: DataFrame, label_col: str = "label", score_col: str = "
 
 
 def _prec(tp: Column, fp: Column) -> Column:
-    return F.when(tp + fp > 0, tp / (tp + fp))
+    return F.when(tp + fp > 0, F.try_divide(tp, tp + fp))
 
 
 def _rec(tp: Column, n_pos: Column) -> Column:
-    return F.when(n_pos > 0, tp / n_pos).otherwise(F.lit(1.0))
+    return F.when(n_pos > 0, F.try_divide(tp, n_pos)).otherwise(F.lit(1.0))
 
 
 def pr_curve(points: DataFrame, digits: int = 6) -> DataFrame:
@@ -79,15 +79,15 @@ def areas(points: DataFrame) -> DataFrame:
     prec = _prec(tp, fp)
     prev = F.coalesce(_prec(tp - pos, fp - neg), F.lit(1.0))
     agg = points.agg(
-        F.sum(pos / n_pos * prec).alias("_ap"),
-        F.sum(pos / n_pos * (prec + prev) / 2.0).alias("_trap"),
+        F.sum(F.try_divide(pos, n_pos) * prec).alias("_ap"),
+        F.sum(F.try_divide(pos, n_pos) * (prec + prev) / 2.0).alias("_trap"),
         F.sum(neg * (2.0 * tp - pos)).alias("_roc"),
         F.max(n_pos).alias("n_pos"), F.max(n_neg).alias("n_neg"))
     n_pos, n_neg = F.coalesce(F.col("n_pos"), F.lit(0)), F.coalesce(F.col("n_neg"), F.lit(0))
     return agg.select(
         F.when(n_pos > 0, F.col("_ap")).alias("average_precision"),
         F.when(n_pos > 0, F.col("_trap")).alias("pr_auc_trapezoid"),
-        F.when((n_pos > 0) & (n_neg > 0), F.col("_roc") / (2.0 * n_pos * n_neg)).alias("roc_auc"),
+        F.when((n_pos > 0) & (n_neg > 0), F.try_divide(F.col("_roc"), 2.0 * n_pos * n_neg)).alias("roc_auc"),
         n_pos.cast("long").alias("n_pos"), n_neg.cast("long").alias("n_neg"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intcols import quantize, quantize_array
-from ..sources.model import LinearModel, TEST_FEATURE_SCALE, test_model
+from ..sources.model import LinearModel, TEST_FEATURE_SCALE, sample_model
 from ..sources.tables import read_table
 
 # The 4-feature model used for the `lineitem` / `orders` scoring
@@ -29,7 +29,7 @@ ORDERS_FEATURE_SCALE = 100
 
 
 def embedding_model() -> LinearModel:
-    return test_model()
+    return sample_model()
 
 
 def lineitem_model() -> LinearModel:

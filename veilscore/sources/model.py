@@ -77,7 +77,7 @@ class LinearModel:
         return json.dumps(body)
 
 
-def test_model() -> LinearModel:
+def sample_model() -> LinearModel:
     return LinearModel(TEST_MODEL_WEIGHTS_64, TEST_MODEL_BIAS, TEST_MODEL_SCALE,
                        feature_scale=TEST_FEATURE_SCALE)
 
