@@ -65,3 +65,11 @@ def test_narrow(spark):
     df = spark.createDataFrame([(1, 1.5, "a")], "a bigint, b double, c string")
     out = narrow(df)
     assert [f.dataType.simpleString() for f in out.schema.fields] == ["int", "float", "string"]
+
+
+def test_synthetic_array_equals_wide(spark):
+    from veilscore.sources.synthetic import as_array, synthetic_array, synthetic_features
+    a = synthetic_array(spark, 20, 7).orderBy("id").collect()
+    b = as_array(synthetic_features(spark, 20, 7, with_id=True)).orderBy("id").collect()
+    assert [r["x"] for r in a] == [r["x"] for r in b]
+    assert all(-100 <= v < 100 for r in a for v in r["x"])

@@ -20,13 +20,9 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _nonzero_terms(weights: Sequence[int]) -> Column:
-    """array<struct<i:int, w:bigint>> of the non-zero weights (1-based i)."""
-    terms = [F.struct(F.lit(i + 1).alias("i"), F.lit(int(w)).cast("long").alias("w"))
-             for i, w in enumerate(weights) if int(w) != 0]
-    if not terms:
-        return F.array().cast("array<struct<i:int,w:bigint>>")
-    return F.array(*terms)
+def _weights_array(weights: Sequence[int]) -> Column:
+    return F.array(*[F.lit(int(w)).cast("long") for w in weights]) if weights else \
+        F.array().cast("array<bigint>")
 
 
 def width_guard(x: Column | str, width: int, strict: bool) -> Column:
@@ -40,15 +36,18 @@ def width_guard(x: Column | str, width: int, strict: bool) -> Column:
                                F.lit(f" features, model has {width}"))))
 
 
+# Array arguments of zip_with/aggregate are evaluated once per row; a column
+# referenced *inside* a lambda body would be re-evaluated for every element once
+# Catalyst inlines its producing expression (e.g. a quantization or a sealing
+# transform).  All dot products below therefore pass the row array as an
+# argument and never reference it from a lambda.
 def dot(x: Column | str, weights: Sequence[int], bias: int = 0, strict: bool = False) -> Column:
-    """Σ x[i]·w[i] + bias in int64; null cells count as 0; ANSI raises on overflow."""
+    """Σ x[i]·w[i] + bias in int64; null cells count as 0; positional zip
+    where the shorter side wins (R13); ANSI raises on overflow."""
     x = width_guard(x, len(weights), strict)
-    terms = _nonzero_terms(weights)
-    return F.aggregate(
-        terms, F.lit(int(bias)).cast("long"),
-        lambda acc, t: acc + F.when(t["i"] <= F.size(x),
-                                    F.coalesce(F.element_at(x, t["i"]), F.lit(0).cast("long")) * t["w"])
-        .otherwise(F.lit(0).cast("long")))
+    terms = F.zip_with(x, _weights_array(weights),
+                       lambda a, b: F.coalesce(a * b, F.lit(0).cast("long")))
+    return F.aggregate(terms, F.lit(int(bias)).cast("long"), lambda acc, t: acc + t)
 
 
 def dot_wrapping(x: Column | str, weights: Sequence[int], bias: int = 0) -> Column:
@@ -64,17 +63,12 @@ def dot_unsigned(x: Column | str, weights: Sequence[int]) -> Column:
 
 
 def _dot_mod(x: Column | str, weights: Sequence[int], start: Column) -> Column:
-    x = _col(x)
-    terms = _nonzero_terms(weights)
     m128 = dec_lit(TWO_64, DEC128)
-
-    def step(acc, t):
-        xi = F.coalesce(F.element_at(x, t["i"]), F.lit(0).cast("long"))
-        xi = F.when(t["i"] <= F.size(x), xi).otherwise(F.lit(0).cast("long"))
-        prod = F.pmod(xi.cast(DEC64).cast(DEC128) * t["w"].cast(DEC64).cast(DEC128), m128)
-        return F.pmod((acc.cast(DEC128) + prod).cast(DEC128), m128).cast(DEC64)
-
-    return F.aggregate(terms, start.cast(DEC64), step)
+    zero = F.lit(0).cast(DEC128)
+    terms = F.zip_with(_col(x), _weights_array(weights), lambda a, b: F.coalesce(
+        F.pmod(a.cast(DEC64).cast(DEC128) * b.cast(DEC64).cast(DEC128), m128), zero))
+    return F.aggregate(terms, start.cast(DEC64),
+                       lambda acc, t: F.pmod((acc.cast(DEC128) + t).cast(DEC128), m128).cast(DEC64))
 
 
 def prefix(x: Column | str, k: int) -> Column:

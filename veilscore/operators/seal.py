@@ -60,20 +60,20 @@ def _hmac_hex(k_ipad: Column, k_opad: Column, message: Column) -> Column:
     return F.sha2(F.concat(k_opad, F.unhex(inner)), 256)
 
 
-def _digests(id_col: Column, width: int) -> Column:
-    """array<string>: HMAC digests (hex) of ``nonce|id|block`` for every block."""
+def _masks(id_col: Column, width: int) -> Column:
+    """array<bigint> of ``ceil(width/5)·5`` 48-bit masks for one row.
+
+    The digests are computed once per row (argument of the outer ``transform``)
+    and split into five 12-hex-digit numbers each."""
     n_blocks = max(1, -(-width // MASKS_PER_DIGEST))
-    return F.transform(
+    digests = F.transform(
         F.sequence(F.lit(0), F.lit(n_blocks - 1)),
         lambda b: _hmac_hex(F.col("k_ipad"), F.col("k_opad"),
                             F.concat_ws("|", F.col("nonce"), id_col.cast("string"), b.cast("string"))))
-
-
-def _mask_at(digests: Column, i: Column) -> Column:
-    """48-bit mask number ``i`` (0-based) as bigint."""
-    block = F.element_at(digests, (i / MASKS_PER_DIGEST).cast("int") + 1)
-    start = (i % MASKS_PER_DIGEST) * _HEX_PER_MASK + 1
-    return F.conv(F.substr(block, start, F.lit(_HEX_PER_MASK)), 16, 10).cast("long")
+    slots = F.sequence(F.lit(0), F.lit(MASKS_PER_DIGEST - 1))
+    return F.flatten(F.transform(digests, lambda h: F.transform(
+        slots, lambda j: F.conv(F.substr(h, j * _HEX_PER_MASK + 1, F.lit(_HEX_PER_MASK)), 16, 10)
+        .cast("long"))))
 
 
 def _with_keys(df: DataFrame, keyring: DataFrame, key_col: Column | str | None) -> DataFrame:
@@ -84,15 +84,15 @@ def _with_keys(df: DataFrame, keyring: DataFrame, key_col: Column | str | None)
 
 def seal(df: DataFrame, keyring: DataFrame, id_col: str, x_col: str = "x", width: int | None = None,
          key_col: Column | str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """``(id, key_id, c array<bigint>)`` with ``c_i = (x_i + r_i) mod 2^48``.
-    ``width`` = feature count (number of masks per row); default: model width
-    passed by the caller or 64."""
+    """``(id, key_id, c array<bigint>)`` with ``c_i = (x_i + r_i) mod 2^48``
+    for the first ``width`` features of each row (default 64)."""
     w = int(width or 64)
     j = _with_keys(df, keyring, key_col)
-    digests = _digests(F.col(id_col), w)
-    sealed = F.transform(F.col(x_col), lambda v, i: F.pmod(
-        F.coalesce(v, F.lit(0).cast("long")) + _mask_at(F.col("_dg"), i), F.lit(MODULUS)))
-    return j.withColumn("_dg", digests).select(id_col, "key_id", *keep, sealed.alias("c"))
+    x = F.slice(F.col(x_col), 1, w)
+    sealed = F.zip_with(x, _masks(F.col(id_col), w), lambda v, r: F.pmod(
+        F.coalesce(v, F.lit(0).cast("long")) + r, F.lit(MODULUS)))
+    # zip_with pads x (shorter than the mask array) with nulls: cut back to size(x).
+    return j.select(id_col, "key_id", *keep, F.slice(sealed, 1, F.size(x)).alias("c"))
 
 
 def check_model(model: LinearModel) -> None:
@@ -105,19 +105,12 @@ def check_model(model: LinearModel) -> None:
 def score_sealed(sealed: DataFrame, model: LinearModel, id_col: str, c_col: str = "c",
                  keep: Sequence[str] = ()) -> DataFrame:
     """(Σ w_i·c_i + bias) mod M on sealed rows — no key material involved.
-    Only non-zero weights are visited; a row shorter than the model uses its
-    first size(c) features."""
+    A row shorter than the model uses its first size(c) features."""
     check_model(model)
-    terms = [F.struct(F.lit(i + 1).alias("i"), F.lit(int(w)).cast("long").alias("w"))
-             for i, w in enumerate(model.weights) if w != 0]
-    c = F.col(c_col)
+    w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
+    terms = F.zip_with(F.col(c_col), w, lambda c, b: F.coalesce(c * b, F.lit(0).cast("long")))
     start = F.pmod(F.lit(int(model.bias)).cast("long"), F.lit(MODULUS))
-    if not terms:
-        s = start
-    else:
-        s = F.aggregate(F.array(*terms), start, lambda acc, t: F.pmod(
-            acc + F.when(t["i"] <= F.size(c), F.element_at(c, t["i"]) * t["w"])
-            .otherwise(F.lit(0).cast("long")), F.lit(MODULUS)))
+    s = F.aggregate(terms, start, lambda acc, t: F.pmod(acc + t, F.lit(MODULUS)))
     return sealed.select(id_col, "key_id", *keep, s.alias("sealed_score"))
 
 
@@ -129,27 +122,23 @@ def open_scores(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_co
                 keep: Sequence[str] = (), out: str = "score") -> DataFrame:
     """Subtract Σ w_i·r_i (recomputed from the key), reduce mod M, recentre."""
     j = scored.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), 100_000), "key_id")
-    width = model.feature_count
-    terms = [F.struct(F.lit(i).alias("i"), F.lit(int(w)).cast("long").alias("w"))
-             for i, w in enumerate(model.weights) if w != 0]
-    dg = F.col("_dg")
-    if terms:
-        mask_sum = F.aggregate(F.array(*terms), F.lit(0).cast("long"),
-                               lambda acc, t: F.pmod(acc + _mask_at(dg, t["i"]) * t["w"], F.lit(MODULUS)))
-    else:
-        mask_sum = F.lit(0).cast("long")
+    w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
+    masked = F.zip_with(_masks(F.col(id_col), model.feature_count), w,
+                        lambda r, b: F.coalesce(F.pmod(r * b, F.lit(MODULUS)), F.lit(0).cast("long")))
+    mask_sum = F.aggregate(masked, F.lit(0).cast("long"),
+                           lambda acc, t: F.pmod(acc + t, F.lit(MODULUS)))
     opened = _centre(F.pmod(F.col("sealed_score") - mask_sum, F.lit(MODULUS)))
-    return j.withColumn("_dg", _digests(F.col(id_col), width)) \
-        .select(id_col, *keep, opened.alias(out))
+    return j.select(id_col, *keep, opened.alias(out))
 
 
 def unseal_features(sealed: DataFrame, keyring: DataFrame, id_col: str, width: int,
                     c_col: str = "c", out: str = "x") -> DataFrame:
     """E5 helper: element-wise opening ``x_i = centre((c_i − r_i) mod M)``."""
     j = sealed.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), 100_000), "key_id")
-    x = F.transform(F.col(c_col), lambda c, i: _centre(F.pmod(c - _mask_at(F.col("_dg"), i),
-                                                               F.lit(MODULUS))))
-    return j.withColumn("_dg", _digests(F.col(id_col), width)).select(id_col, x.alias(out))
+    c = F.col(c_col)
+    x = F.zip_with(c, _masks(F.col(id_col), width),
+                   lambda ci, r: _centre(F.pmod(ci - r, F.lit(MODULUS))))
+    return j.select(id_col, F.slice(x, 1, F.size(c)).alias(out))
 
 
 def sealed_batches(df: DataFrame, keyring: DataFrame, id_col: str, batch_size: int,

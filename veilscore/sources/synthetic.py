@@ -36,3 +36,16 @@ def as_array(df: DataFrame, prefix: str = "feature_", out: str = "x",
     cols = sorted((c for c in df.columns if c.startswith(prefix)),
                   key=lambda c: int(c[len(prefix):]))
     return df.select(*[k for k in keep if k in df.columns], F.array(*cols).alias(out))
+
+
+def synthetic_array(spark: SparkSession, n_rows: int, n_features: int, lo: int = -100,
+                    hi: int = 100, seed: int = 42, num_partitions: int | None = None) -> DataFrame:
+    """S10 in array form ``(id, x array<bigint>)`` — same cell values as
+    :func:`synthetic_features`, one higher-order expression per row (hundreds of
+    wide columns would exceed the code-generation size limit)."""
+    span = hi - lo
+    base = spark.range(0, int(n_rows), 1, num_partitions)
+    x = F.transform(F.sequence(F.lit(0), F.lit(int(n_features) - 1)),
+                    lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(span))
+                               + F.lit(lo)).cast("long"))
+    return base.select("id", x.alias("x"))
