@@ -43,10 +43,10 @@ def curve_points(scored: DataFrame, label_col: str = "label", score_col: str = "
     d = scored.groupBy(F.col(score_col).alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"), F.max(thr).alias("thr"))
     rt = running_totals(d, [F.col("score").desc()], [], {"tp": "pos", "fp": "neg"}, count_col=None)
-    totals = rt.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    # One-row frame of class totals: a broadcast hash join on a constant key.
-    return rt.withColumn("_one", F.lit(1)).join(
-        F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # Class totals: a one-row aggregate over the checkpointed points (two numbers).
+    t = rt.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return rt.withColumn("n_pos", F.lit(int(t["p"] or 0)).cast("long")) \
+        .withColumn("n_neg", F.lit(int(t["n"] or 0)).cast("long"))
 
 
 def _prec(tp: Column, fp: Column) -> Column:
@@ -71,42 +71,51 @@ def pr_curve(points: DataFrame, digits: int = 6) -> DataFrame:
     return body.unionByName(final)
 
 
-def areas(points: DataFrame) -> DataFrame:
-    """M3/M4/M5 in one aggregation: ``average_precision, pr_auc_trapezoid, roc_auc,
-    n_pos, n_neg`` (areas null when a class is missing)."""
+def _summary(points: DataFrame, target: float) -> DataFrame:
+    """One aggregation over the curve points: the three areas and the
+    lowest-threshold point with precision ≥ target (struct ``b``)."""
     tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
     n_pos, n_neg = F.col("n_pos"), F.col("n_neg")
     prec = _prec(tp, fp)
     prev = F.coalesce(_prec(tp - pos, fp - neg), F.lit(1.0))
+    best = F.struct(F.col("thr").alias("thr"), prec.alias("p"), _rec(tp, n_pos).alias("r"))
     agg = points.agg(
         F.sum(F.try_divide(pos, n_pos) * prec).alias("_ap"),
         F.sum(F.try_divide(pos, n_pos) * (prec + prev) / 2.0).alias("_trap"),
         F.sum(neg * (2.0 * tp - pos)).alias("_roc"),
-        F.max(n_pos).alias("n_pos"), F.max(n_neg).alias("n_neg"))
+        F.max(n_pos).alias("n_pos"), F.max(n_neg).alias("n_neg"),
+        F.min_by(best, F.when(prec >= F.lit(float(target)), F.col("score"))).alias("b"))
     n_pos, n_neg = F.coalesce(F.col("n_pos"), F.lit(0)), F.coalesce(F.col("n_neg"), F.lit(0))
     return agg.select(
         F.when(n_pos > 0, F.col("_ap")).alias("average_precision"),
         F.when(n_pos > 0, F.col("_trap")).alias("pr_auc_trapezoid"),
         F.when((n_pos > 0) & (n_neg > 0), F.try_divide(F.col("_roc"), 2.0 * n_pos * n_neg)).alias("roc_auc"),
-        n_pos.cast("long").alias("n_pos"), n_neg.cast("long").alias("n_neg"))
+        n_pos.cast("long").alias("n_pos"), n_neg.cast("long").alias("n_neg"), "b")
+
+
+def _threshold_cols(default: tuple[float, float, float]) -> list[Column]:
+    d_thr, d_p, d_r = default
+    return [F.coalesce(F.col("b.thr"), F.lit(float(d_thr))).alias("thr"),
+            F.coalesce(F.col("b.p"), F.lit(float(d_p))).alias("prec_at_thr"),
+            F.coalesce(F.col("b.r"), F.lit(float(d_r))).alias("rec_at_thr")]
+
+
+AREA_COLS = ["average_precision", "pr_auc_trapezoid", "roc_auc", "n_pos", "n_neg"]
+
+
+def areas(points: DataFrame) -> DataFrame:
+    """M3/M4/M5 in one aggregation: ``average_precision, pr_auc_trapezoid, roc_auc,
+    n_pos, n_neg`` (areas null when a class is missing)."""
+    return _summary(points, TARGET_PRECISION).select(*AREA_COLS)
 
 
 def threshold_at_precision(points: DataFrame, target: float = TARGET_PRECISION,
                            default: tuple[float, float, float] = (0.5, 0.0, 0.0)) -> DataFrame:
     """M2: among curve points with precision ≥ target (final point excluded) the
-    one with the highest recall, ties → lowest threshold; none → ``default``.
+    one with the highest recall — recall only grows as the threshold falls, so
+    that is the lowest qualifying threshold; none → ``default``.
     Columns ``thr, prec_at_thr, rec_at_thr``."""
-    tp, fp = F.col("tp"), F.col("fp")
-    ok = points.where(_prec(tp, fp) >= F.lit(target))
-    best = ok.agg(F.min_by(F.struct(F.col("thr").alias("thr"),
-                                    _prec(tp, fp).alias("p"),
-                                    _rec(tp, F.col("n_pos")).alias("r")),
-                           F.col("score")).alias("b"))
-    d_thr, d_p, d_r = default
-    return best.select(
-        F.coalesce(F.col("b.thr"), F.lit(float(d_thr))).alias("thr"),
-        F.coalesce(F.col("b.p"), F.lit(float(d_p))).alias("prec_at_thr"),
-        F.coalesce(F.col("b.r"), F.lit(float(d_r))).alias("rec_at_thr"))
+    return _summary(points, target).select(*_threshold_cols(default))
 
 
 def threshold_smoke(points: DataFrame, target: float = TARGET_PRECISION) -> DataFrame:
@@ -116,11 +125,8 @@ def threshold_smoke(points: DataFrame, target: float = TARGET_PRECISION) -> Data
 
 
 def metric_summary(points: DataFrame, target: float = TARGET_PRECISION) -> DataFrame:
-    """M6: one row with every metric (areas, threshold triple, class totals).
-    Both inputs are one-row frames; the join is on a constant key."""
-    a = areas(points).withColumn("_one", F.lit(1))
-    t = threshold_at_precision(points, target).withColumn("_one", F.lit(1))
-    return a.join(F.broadcast(t), "_one").drop("_one")
+    """M6: every metric in one row, from one aggregation."""
+    return _summary(points, target).select(*AREA_COLS, *_threshold_cols((0.5, 0.0, 0.0)))
 
 
 def round_all(df: DataFrame, digits: int = 6) -> DataFrame:

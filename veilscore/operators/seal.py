@@ -38,6 +38,7 @@ MODULUS = 2 ** MASK_BITS
 MASKS_PER_DIGEST = 5
 _HEX_PER_MASK = MASK_BITS // 4
 KEY_COLUMNS = ("key_id", "k_ipad", "k_opad", "nonce")
+KEYRING_LIMIT = 100_000
 
 
 def new_keyring(spark: SparkSession, key_ids: Sequence[str] = ("k0",),
@@ -45,14 +46,15 @@ def new_keyring(spark: SparkSession, key_ids: Sequence[str] = ("k0",),
     """Fresh key material per run.  ``secret`` (tests only) fixes the key;
     by default 32 random bytes per key id.  Nonces are random per key."""
     rows = []
-    for kid in key_ids:
+    for slot, kid in enumerate(key_ids):
         key = secret if secret is not None else secrets.token_bytes(32)
         if len(key) > 64:
             key = hashlib.sha256(key).digest()
         key = key.ljust(64, b"\0")
-        rows.append((kid, bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key),
+        rows.append((slot, kid, bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key),
                      secrets.token_hex(8) if secret is None else "0" * 16))
-    return spark.createDataFrame(rows, "key_id string, k_ipad binary, k_opad binary, nonce string")
+    return spark.createDataFrame(
+        rows, "key_slot int, key_id string, k_ipad binary, k_opad binary, nonce string")
 
 
 def _hmac_hex(k_ipad: Column, k_opad: Column, message: Column) -> Column:
@@ -76,10 +78,21 @@ def _masks(id_col: Column, width: int) -> Column:
         .cast("long"))))
 
 
-def _with_keys(df: DataFrame, keyring: DataFrame, key_col: Column | str | None) -> DataFrame:
-    kc = F.lit("k0") if key_col is None else (F.col(key_col) if isinstance(key_col, str) else key_col)
-    return df.withColumn("key_id", kc).join(broadcast_if_small(keyring.select(*KEY_COLUMNS), 100_000),
-                                           "key_id")
+def _with_keys(df: DataFrame, keyring: DataFrame, id_col: str,
+               key_col: Column | str | None) -> DataFrame:
+    """Attach key material by an equi-join with the (size-checked, broadcast)
+    keyring: on ``key_col`` if given, else on the key slot
+    ``pmod(xxhash64(id), #keys)`` — keys spread over rows, one key per row."""
+    ring = keyring.select("key_slot", *KEY_COLUMNS)
+    if key_col is not None:
+        kc = F.col(key_col) if isinstance(key_col, str) else key_col
+        return df.withColumn("key_id", kc).join(broadcast_if_small(ring, KEYRING_LIMIT), "key_id") \
+            .drop("key_slot")
+    n_keys = ring.count()
+    if not 0 < n_keys <= KEYRING_LIMIT:
+        raise ValueError(f"keyring must hold 1..{KEYRING_LIMIT} keys, has {n_keys}")
+    slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_keys)).cast("int")
+    return df.withColumn("key_slot", slot).join(F.broadcast(ring), "key_slot").drop("key_slot")
 
 
 def seal(df: DataFrame, keyring: DataFrame, id_col: str, x_col: str = "x", width: int | None = None,
@@ -87,7 +100,7 @@ def seal(df: DataFrame, keyring: DataFrame, id_col: str, x_col: str = "x", width
     """``(id, key_id, c array<bigint>)`` with ``c_i = (x_i + r_i) mod 2^48``
     for the first ``width`` features of each row (default 64)."""
     w = int(width or 64)
-    j = _with_keys(df, keyring, key_col)
+    j = _with_keys(df, keyring, id_col, key_col)
     x = F.slice(F.col(x_col), 1, w)
     sealed = F.zip_with(x, _masks(F.col(id_col), w), lambda v, r: F.pmod(
         F.coalesce(v, F.lit(0).cast("long")) + r, F.lit(MODULUS)))
@@ -121,7 +134,7 @@ def _centre(v: Column) -> Column:
 def open_scores(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str,
                 keep: Sequence[str] = (), out: str = "score") -> DataFrame:
     """Subtract Σ w_i·r_i (recomputed from the key), reduce mod M, recentre."""
-    j = scored.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), 100_000), "key_id")
+    j = scored.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), KEYRING_LIMIT), "key_id")
     w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
     masked = F.zip_with(_masks(F.col(id_col), model.feature_count), w,
                         lambda r, b: F.coalesce(F.pmod(r * b, F.lit(MODULUS)), F.lit(0).cast("long")))
@@ -134,7 +147,7 @@ def open_scores(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_co
 def unseal_features(sealed: DataFrame, keyring: DataFrame, id_col: str, width: int,
                     c_col: str = "c", out: str = "x") -> DataFrame:
     """E5 helper: element-wise opening ``x_i = centre((c_i − r_i) mod M)``."""
-    j = sealed.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), 100_000), "key_id")
+    j = sealed.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), KEYRING_LIMIT), "key_id")
     c = F.col(c_col)
     x = F.zip_with(c, _masks(F.col(id_col), width),
                    lambda ci, r: _centre(F.pmod(ci - r, F.lit(MODULUS))))
