@@ -83,3 +83,40 @@ def test_sealed_stream(spark, tmp_out):
     from veilscore.plans.registry import linear_score
     j = opened.join(linear_score(spark, SF_SMALL), "vec_id")
     assert j.where("got = score").count() == j.count() > 0
+
+
+def test_quantized_chain_decisions(spark):
+    from pyspark.sql import functions as F
+    from veilscore.plans.deploy import fit_quantized_lr, sealed_decisions
+    rows = [(i, float(i % 13) / 13, float((i * 7) % 5) / 5, int(i % 13 > 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = fit_quantized_lr(df, ["a", "b"], "y")
+    assert model.scale_factor == 1000 and len(model.weights) == 2
+    run = sealed_decisions(df, model, "id", "y")
+    assert run.verified.first()["status"] == "PASS"
+    d = run.decisions()
+    assert d.count() == 300 and set(r[0] for r in d.select("flag").distinct().collect()) <= {0, 1}
+    assert run.threshold.first()["prec_at_thr"] >= 0.95 or run.threshold.first()["thr"] == 0.5
+
+
+def test_sinks_and_run_id(spark, tmp_out):
+    import re
+    from veilscore.sources import sinks
+    rid = sinks.run_id(spark)
+    assert re.fullmatch(r"\d{8}-\d{6}", rid)
+    sinks.append_run_log(spark, f"{tmp_out}/log", "lr", "final", rid, 0.123456)
+    sinks.append_run_log(spark, f"{tmp_out}/log", "lr", "final", rid, 0.5)
+    log = spark.read.parquet(f"{tmp_out}/log")
+    assert log.count() == 2 and sorted(r["PRAUC"] for r in log.collect()) == [0.1235, 0.5]
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    paths = sinks.save_artifacts({"codes": df}, f"{tmp_out}/art")
+    assert spark.read.parquet(paths["codes"]).count() == 1
+    sinks.write_csv(df, f"{tmp_out}/csv")
+    assert spark.read.option("header", True).csv(f"{tmp_out}/csv").columns == ["x", "y"]
+
+
+def test_synthetic_unsigned_range(spark):
+    from veilscore.sources.synthetic import synthetic_unsigned
+    df = synthetic_unsigned(spark, 50, 5)
+    vals = [v for r in df.collect() for v in r]
+    assert df.columns == [f"feat_{i}" for i in range(5)] and min(vals) >= 0 and max(vals) < 10

@@ -307,6 +307,30 @@ def paillier_score_opened(spark, sf):
     return P.open_scores(P.score(sealed, m, sk.public, "vec_id"), sk, "vec_id")
 
 
+def quantized_lr_verify(spark, sf):
+    """Q2 chain: fit L2 logistic regression on the prepared orders, quantize it
+    (s_w = 1000, s_x = 1000), score every order sealed, open and verify."""
+    from .deploy import fit_quantized_lr, sealed_decisions
+    prepared, _ = _prepared_orders(spark, sf)
+    feats = [c for c in prepared.columns if c not in ("o_orderkey", "is_f")]
+    model = fit_quantized_lr(prepared, feats, "is_f")
+    return sealed_decisions(prepared, model, "o_orderkey", "is_f").verified
+
+
+def model_contract_q(spark, sf):
+    """V1: contract checks of a model file produced from the tables (Q2 over the
+    class-mean direction of the embeddings), written and read back as text."""
+    from ..operators.validate import model_contract
+    coef = quantize_model_q(spark, sf)
+    model = coef.agg(F.sort_array(F.collect_list(F.struct("feature_idx", "w"))).alias("p")).select(
+        F.lit("LogisticRegression").alias("model_type"), F.lit(1000).alias("scale_factor"),
+        F.lit(0).cast("long").alias("bias"), F.transform("p", lambda t: t["w"]).alias("weights"),
+        F.size("p").alias("feature_count"))
+    path = scratch_path(spark, "model_json")
+    model.coalesce(1).write.mode("overwrite").json(path)
+    return model_contract(spark, path).select("check", "ok")
+
+
 def encrypted_batches(spark, sf):
     """E6 + S9: seal orders in batches of 256, one directory per batch; rows per
     batch read back from storage."""
@@ -512,6 +536,8 @@ QUERIES = {
     "sealed_score_opened": sealed_score_opened,
     "seal_roundtrip": seal_roundtrip,
     "paillier_score_opened": paillier_score_opened,
+    "quantized_lr_verify": quantized_lr_verify,
+    "model_contract": model_contract_q,
     "encrypted_batches": encrypted_batches,
     "verify_scores": verify_scores,
     "validation_pyramid": validation_pyramid,
