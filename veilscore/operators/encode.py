@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import broadcast_if_small, checkpointed, row_index
+from .ranking import BROADCAST_ROW_LIMIT, checkpointed, row_index
 
 
 @dataclass
@@ -23,12 +23,17 @@ class OrdinalEncoder:
     features: list[str]
 
     def transform(self, df: DataFrame, unknown_value: float = -1.0) -> DataFrame:
+        # One small job sizes every code table; each table is broadcast only
+        # when its row count is within the limit, else joined by shuffle.
+        sizes = {r["feature"]: r["n"] for r in
+                 self.codes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
         out = df
         for i, f in enumerate(self.features):
             key, code = f"__cat_{i}", f"__code_{i}"
-            table = broadcast_if_small(
-                self.codes.where(F.col("feature") == f).select(
-                    F.col("category").alias(key), F.col("code").alias(code)))
+            table = self.codes.where(F.col("feature") == f).select(
+                F.col("category").alias(key), F.col("code").alias(code))
+            if sizes.get(f, 0) <= BROADCAST_ROW_LIMIT:
+                table = F.broadcast(table)
             out = out.join(table, out[f] == table[key], "left") \
                 .withColumn(f, F.coalesce(F.col(code), F.lit(float(unknown_value)))) \
                 .drop(key, code)

@@ -111,8 +111,13 @@ def seal(df: DataFrame, pk: PublicKey, id_col: str, x_col: str = "x") -> DataFra
     rows = df.select(id_col, x_col)
     # Each cell costs a modular exponentiation: a table that arrives in fewer
     # partitions than the cluster has cores is spread round-robin first.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
+    from ..session import default_parallelism
+    cores = default_parallelism(df.sparkSession)
+    try:
+        few = rows.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): spread anyway
+        few = True
+    if few:
         rows = rows.repartition(cores)
     return rows.mapInPandas(run, f"{id_col} {id_type}, c array<binary>")
 

@@ -44,7 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+        conf_dir = _conf(spark, "spark.checkpoint.dir")
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set for this session")
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -75,6 +81,13 @@ def _conf(spark: SparkSession, key: str) -> str | None:
     return value or None
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return shuffle_partitions(spark)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     value = _conf(spark, "spark.sql.shuffle.partitions")
     return int(value) if value else 200
