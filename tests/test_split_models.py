@@ -95,3 +95,22 @@ def test_cross_validate_results_table(spark):
     assert len(r) == 2 and set(res.columns) >= {"split0_score", "split1_score", "mean_score", "std_score", "rank"}
     assert json.loads(r[1]["params"])["class_weight"] == "balanced"
     assert ML.best_candidate(res) in (0, 1)
+
+
+def test_train_run_writes_artifacts(spark, tmp_out):
+    from pyspark.ml import PipelineModel
+    from veilscore.plans.train import train
+    rows = [(i, float(i % 7) * 10.0, float((i * 3) % 11), int(i % 6 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, amt double, b double, y int")
+    cands = [{"C": 1.0, "class_weight": "balanced", "max_iter": 50}]
+    res = train(df, "lr", "final", "id", "y", scale_col="amt", candidates=cands, n_folds=2,
+                out_dir=tmp_out)
+    s = res.summary.first()
+    assert s["model"] == "LR" and s["mode"] == "final" and 0.0 <= s["pr_auc"] <= 1.0
+    assert res.scored.count() == 48          # ceil(0.2 * 240) hold-out rows
+    import glob
+    model_dir = glob.glob(f"{tmp_out}/LR/final/*/best_model")[0]
+    reloaded = PipelineModel.load(model_dir)
+    assert reloaded.transform(df.withColumn("_w_balanced", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1.0))).count() == 240
+    assert spark.read.parquet(f"{tmp_out}/LR/run_log").count() == 1
+    assert spark.read.option("header", True).csv(glob.glob(f"{tmp_out}/LR/final/*/cv_results")[0]).count() == 1
