@@ -120,3 +120,22 @@ def test_synthetic_unsigned_range(spark):
     df = synthetic_unsigned(spark, 50, 5)
     vals = [v for r in df.collect() for v in r]
     assert df.columns == [f"feat_{i}" for i in range(5)] and min(vals) >= 0 and max(vals) < 10
+
+
+def test_seal_stream_then_open(spark, tmp_out):
+    from veilscore.functions.intcols import quantize_array
+    from veilscore.streaming.scoring import seal_stream
+    from veilscore.plans.registry import linear_score
+    src = f"{tmp_out}/src"
+    raw = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    raw.write.parquet(src)
+    m = I.embedding_model()
+    ring = E.new_keyring(spark)
+    q = seal_stream(spark, src, raw.schema, ring,
+                    lambda df: df.select("vec_id", quantize_array("embedding", 1000).alias("x")),
+                    "vec_id", 64, f"{tmp_out}/sealed", f"{tmp_out}/ck")
+    q.awaitTermination(120)
+    sealed = spark.read.parquet(f"{tmp_out}/sealed")
+    opened = E.open_scores(E.score_sealed(sealed, m, "vec_id"), ring, m, "vec_id", out="got")
+    j = opened.join(linear_score(spark, SF_SMALL), "vec_id")
+    assert j.count() == raw.count() and j.where("got = score").count() == j.count()

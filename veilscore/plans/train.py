@@ -32,13 +32,17 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
           drop: Sequence[str] = (), scale_col: str | None = None,
           candidates: Sequence[dict] | None = None, n_folds: int | None = None,
           shuffle_folds: bool = True, target_precision: float = M.TARGET_PRECISION,
-          out_dir: str | None = None, seed: int = ML.SEED) -> TrainResult:
+          out_dir: str | None = None, seed: int = ML.SEED,
+          id_as_feature: bool = False) -> TrainResult:
+    """``id_as_feature=True`` reproduces the reference's training input, which
+    keeps the transaction id among the features (R1 compat); by default the id
+    is only a key."""
     spark = df.sparkSession
     n_iter, folds_default, grid = ML.SEARCH_SPACES[model][mode] if model in ML.SEARCH_SPACES else (1, 2, {})
     cands = list(candidates) if candidates is not None else ML.sample_candidates(grid, n_iter, seed)
     k = int(n_folds or folds_default)
     base = narrow(df.drop(*drop)).withColumn(label_col, F.col(label_col).cast("int"))
-    features = [c for c in base.columns if c not in (id_col, label_col)]
+    features = [c for c in base.columns if c != label_col and (id_as_feature or c != id_col)]
     # Both results read the checkpoint written by the distributed ranking, so the
     # split and the folds are fixed (and lineage is cut) without another write.
     split = stratified_split(base, label_col, id_col, 0.2, seed)

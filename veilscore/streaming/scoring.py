@@ -47,3 +47,13 @@ def sealed_score_stream(spark: SparkSession, source_path: str, schema: StructTyp
     """Sealed rows ``(id, key_id, c)`` → sealed scores; no key material is read."""
     sealed = spark.readStream.schema(schema).parquet(source_path)
     return _sink(E.score_sealed(sealed, model, id_col), sink_path, checkpoint, available_now)
+
+
+def seal_stream(spark: SparkSession, source_path: str, schema: StructType, keyring: DataFrame,
+                to_features: Callable[[DataFrame], DataFrame], id_col: str, width: int,
+                sink_path: str, checkpoint: str | None = None,
+                available_now: bool = True) -> StreamingQuery:
+    """E1/E6 on a stream: rows arriving as Parquet files are sealed (stream–static
+    join with the broadcast keyring) and written as sealed Parquet files."""
+    rows = to_features(spark.readStream.schema(schema).parquet(source_path))
+    return _sink(E.seal(rows, keyring, id_col, width=width), sink_path, checkpoint, available_now)
