@@ -42,3 +42,20 @@ def test_exact_median_heavy_duplicates_matches_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"feature": "f", "value": vals}))
     got = exact_medians(df).first()["median"]
     assert got == float(np.median(vals))
+
+
+def test_hot_order_key_is_split_and_exact(spark):
+    # a third of the rows share one order key in one group
+    n = 3000
+    rows = [("g", 7 if i % 3 == 0 else i, 1, i) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, v long, id long")
+    got = running_totals(df, ["k"], ["g"], {"cv": "v"}, count_col="rn", num_partitions=6)
+    r = got.select("rn", "cv").collect()
+    assert sorted(x["rn"] for x in r) == list(range(1, n + 1))
+    assert all(x["rn"] == x["cv"] for x in r)
+    # the hot key's rows are spread over several range partitions
+    from pyspark.sql import functions as F
+    parts = (df.withColumn("_tb", F.xxhash64("g", "k", "v", "id"))
+             .repartitionByRange(6, "g", "k", "_tb").where("k = 7")
+             .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts >= 2

@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
@@ -61,7 +62,11 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     output name → expression) within ``partition_by`` in ``order_by`` order.
 
     Ties in ``order_by`` are broken arbitrarily (like ``row_number``); callers
-    that need "all rows ≥ t" semantics aggregate to distinct keys first.
+    that need "all rows ≥ t" semantics aggregate to distinct keys first.  A
+    hash of the whole row is appended to the sort key, so even one order-key
+    value that covers a third of the table is split over many range partitions
+    (only fully identical rows stay together).  The hash is deterministic, so a
+    re-run map task after an executor loss sends every row to the same range.
     """
     spark = df.sparkSession
     sums = dict(sums or {})
@@ -70,7 +75,11 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     n_parts = int(num_partitions or shuffle_partitions(spark))
 
     val_cols = {f"_v_{name}": _as_col(expr) for name, expr in sums.items()}
-    base = df.select("*", *[e.alias(n) for n, e in val_cols.items()])
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields
+                if not isinstance(f.dataType, T.MapType)]
+    tiebreak = F.xxhash64(*hashable) if hashable else F.lit(0).cast("long")
+    base = df.select("*", *[e.alias(n) for n, e in val_cols.items()], tiebreak.alias("_tb"))
+    orders = orders + [F.col("_tb")]
     ranged = base.repartitionByRange(n_parts, *[F.col(p) for p in parts], *orders) \
         .withColumn("_pid", F.spark_partition_id())
 
