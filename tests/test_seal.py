@@ -66,6 +66,11 @@ def test_batches(spark, tmp_out):
     E.write_sealed_batches(sb, f"{tmp_out}/b")
     got = {r["batch_id"]: r["count"] for r in spark.read.parquet(f"{tmp_out}/b").groupBy("batch_id").count().collect()}
     assert got == {1: 10, 2: 10, 3: 3}
+    import glob
+    assert all(len(glob.glob(f"{tmp_out}/b/batch_id={i}/*.parquet")) == 1 for i in (1, 2, 3))
+    E.write_sealed_batches(sb, f"{tmp_out}/c", max_directories=2)     # clustered layout
+    got2 = {r["batch_id"]: r["count"] for r in spark.read.parquet(f"{tmp_out}/c").groupBy("batch_id").count().collect()}
+    assert got2 == got
 
 
 def test_paillier_roundtrip_small_key(spark):

@@ -162,6 +162,25 @@ def sealed_batches(df: DataFrame, keyring: DataFrame, id_col: str, batch_size: i
     return seal(b, keyring, id_col, x_col, width, keep=["batch_id"])
 
 
-def write_sealed_batches(sealed: DataFrame, path: str) -> None:
-    """One directory per batch (``batch_id=i``), Parquet, overwrite."""
-    sealed.write.mode("overwrite").partitionBy("batch_id").parquet(path)
+MAX_BATCH_DIRECTORIES = 10_000
+
+
+def write_sealed_batches(sealed: DataFrame, path: str,
+                         max_directories: int = MAX_BATCH_DIRECTORIES) -> int:
+    """Sealed batches as Parquet (overwrite); returns the number of batches.
+
+    Up to ``max_directories`` batches: one directory holding one file per batch
+    (``batch_id=i``) — rows are first hash-partitioned by batch id, so each
+    batch (bounded by the batch size) is written by exactly one task.  Beyond
+    that, one directory per batch would flood the file system, so batches are
+    range-clustered instead: contiguous batch ranges per file, sorted, and a
+    reader's ``batch_id = i`` filter is answered from Parquet row-group
+    statistics."""
+    n_batches = int(sealed.agg(F.max("batch_id")).first()[0] or 0)
+    if n_batches <= max_directories:
+        sealed.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    else:
+        files = max(1, n_batches // 1000)
+        sealed.repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id") \
+            .write.mode("overwrite").parquet(path)
+    return n_batches
