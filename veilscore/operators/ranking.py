@@ -29,6 +29,9 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 # Largest helper table this library broadcasts (rows).  Above it the join is a
 # regular shuffle join chosen by Catalyst/AQE.
 BROADCAST_ROW_LIMIT = 2_000_000
+# Offsets tables up to this many rows are computed once and held as a local
+# relation, so later actions on a ranked frame do not re-aggregate them.
+LOCAL_OFFSETS_LIMIT = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -98,7 +101,11 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
         F.col("_pid").alias("_o_pid"), *[F.col(p).alias(f"_o_{p}") for p in parts],
         F.coalesce(F.sum("_tc").over(w_off), F.lit(0)).alias("_oc"),
         *[F.coalesce(F.sum(f"_t{n}").over(w_off), F.lit(0)).alias(f"_o{n}") for n in val_cols])
-    offsets = broadcast_if_small(offsets)
+    n_off = offsets.count()
+    if n_off <= LOCAL_OFFSETS_LIMIT:
+        offsets = F.broadcast(spark.createDataFrame(offsets.collect(), offsets.schema))
+    elif n_off <= BROADCAST_ROW_LIMIT:
+        offsets = F.broadcast(offsets)
 
     cond = local["_pid"] == offsets["_o_pid"]
     for p in parts:
