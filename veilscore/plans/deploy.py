@@ -11,7 +11,7 @@ a target precision (M2) on the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +26,23 @@ from ..operators.validate import verify
 from ..sources.model import LinearModel
 
 
-@dataclass
 class QuantizedRun:
-    model: LinearModel
-    verified: DataFrame      # (n_rows, n_match, status)
-    probabilities: DataFrame  # (id, label, score, prob)
-    threshold: DataFrame     # (thr, prec_at_thr, rec_at_thr) — one row
-    label_col: str
+    """Result of :func:`sealed_decisions`; the threshold (M2) and the decisions
+    are computed only when first asked for."""
+
+    def __init__(self, model: LinearModel, verified: DataFrame, probabilities: DataFrame,
+                 label_col: str, target_precision: float):
+        self.model = model
+        self.verified = verified            # (n_rows, n_match, status)
+        self.probabilities = probabilities  # (id, label, score, prob)
+        self.label_col = label_col
+        self.target_precision = target_precision
+
+    @cached_property
+    def threshold(self) -> DataFrame:
+        """(thr, prec_at_thr, rec_at_thr) — one row."""
+        pts = M.curve_points(self.probabilities, self.label_col, "score", "prob")
+        return M.threshold_at_precision(pts, self.target_precision)
 
     def decisions(self) -> DataFrame:
         """(id, label, score, prob, flag); reads the one-row threshold first."""
@@ -66,22 +76,4 @@ def sealed_decisions(df: DataFrame, model: LinearModel, id_col: str, label_col:
     plain = S.score_array(x, model, keep=[id_col], out="expected")
     verified = verify(opened.join(plain, id_col, "full"), "score", "expected")
     probs = S.with_probability(opened, model, "score", "prob")
-    return QuantizedRun(model, verified, probs, _LazyThreshold(probs, label_col, target_precision),
-                        label_col)
-
-
-class _LazyThreshold:
-    """M2 on the opened scores, computed only when first asked for."""
-
-    def __init__(self, probs: DataFrame, label_col: str, target: float):
-        self._args = (probs, label_col, target)
-        self._df: DataFrame | None = None
-
-    def _get(self) -> DataFrame:
-        if self._df is None:
-            probs, label_col, target = self._args
-            self._df = M.threshold_at_precision(M.curve_points(probs, label_col, "score", "prob"), target)
-        return self._df
-
-    def __getattr__(self, name):
-        return getattr(self._get(), name)
+    return QuantizedRun(model, verified, probs, label_col, target_precision)

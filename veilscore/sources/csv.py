@@ -24,8 +24,7 @@ def _na_to_null(col: str):
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False) \
-        .option("nullValue", None).option("emptyValue", "").csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return raw.select(*[_na_to_null(c).alias(c) for c in raw.columns])
 
 
