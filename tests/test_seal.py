@@ -81,3 +81,20 @@ def test_paillier_roundtrip_small_key(spark):
     plain = S.score_array(x, m, keep=["id"], out="exp")
     j = opened.join(plain, "id")
     assert j.where("score = exp").count() == 16
+
+
+def test_commitment_detects_tampering_and_loss(spark):
+    from veilscore.operators.validate import verify_counts
+    m = LinearModel((2, -1, 3), bias=5)
+    x = _features(spark, 30, 3)
+    ring = E.new_keyring(spark)
+    sealed = E.seal(x, ring, "id", width=3, commit_to=m)
+    scored = E.score_sealed(sealed, m, "id", keep=["commit"])
+    ok = verify_counts(x, E.open_and_verify(scored, ring, m, "id")).first()
+    assert (ok["n_rows"], ok["n_match"], ok["status"]) == (30, 30, "PASS")
+    tampered = scored.withColumn("sealed_score", F.when(F.col("id") == 3, F.col("sealed_score") + 1)
+                                 .otherwise(F.col("sealed_score")))
+    bad = verify_counts(x, E.open_and_verify(tampered, ring, m, "id")).first()
+    assert (bad["n_match"], bad["status"]) == (29, "FAIL")
+    lost = verify_counts(x, E.open_and_verify(scored.where("id <> 7"), ring, m, "id")).first()
+    assert (lost["n_rows"], lost["n_match"], lost["status"]) == (30, 29, "FAIL")

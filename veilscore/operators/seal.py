@@ -95,17 +95,35 @@ def _with_keys(df: DataFrame, keyring: DataFrame, id_col: str,
     return df.withColumn("key_slot", slot).join(F.broadcast(ring), "key_slot").drop("key_slot")
 
 
+def _commitment(id_col: Column, score: Column) -> Column:
+    """Keyed commitment to a score: HMAC(key, "commit|nonce|id|score")."""
+    msg = F.concat_ws("|", F.lit("commit"), F.col("nonce"), id_col.cast("string"), score.cast("string"))
+    return _hmac_hex(F.col("k_ipad"), F.col("k_opad"), msg)
+
+
 def seal(df: DataFrame, keyring: DataFrame, id_col: str, x_col: str = "x", width: int | None = None,
-         key_col: Column | str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+         key_col: Column | str | None = None, keep: Sequence[str] = (),
+         commit_to: LinearModel | None = None) -> DataFrame:
     """``(id, key_id, c array<bigint>)`` with ``c_i = (x_i + r_i) mod 2^48``
-    for the first ``width`` features of each row (default 64)."""
+    for the first ``width`` features of each row (default 64).
+
+    ``commit_to=model`` adds ``commit``: a keyed commitment to the plain score
+    the model should produce for this row.  The scorer carries it along without
+    learning anything from it; the opener checks the opened score against it
+    (:func:`open_and_verify`) — verification without joining back to the
+    plain table."""
+    from ..functions.arrays import dot
     w = int(width or 64)
     j = _with_keys(df, keyring, id_col, key_col)
     x = F.slice(F.col(x_col), 1, w)
     sealed = F.zip_with(x, _masks(F.col(id_col), w), lambda v, r: F.pmod(
         F.coalesce(v, F.lit(0).cast("long")) + r, F.lit(MODULUS)))
+    extra = []
+    if commit_to is not None:
+        expected = dot(F.col(x_col), commit_to.weights, commit_to.bias)
+        extra.append(_commitment(F.col(id_col), expected).alias("commit"))
     # zip_with pads x (shorter than the mask array) with nulls: cut back to size(x).
-    return j.select(id_col, "key_id", *keep, F.slice(sealed, 1, F.size(x)).alias("c"))
+    return j.select(id_col, "key_id", *keep, F.slice(sealed, 1, F.size(x)).alias("c"), *extra)
 
 
 def check_model(model: LinearModel) -> None:
@@ -135,6 +153,18 @@ def _centre(v: Column) -> Column:
 def open_scores(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str,
                 keep: Sequence[str] = (), out: str = "score") -> DataFrame:
     """Subtract Σ w_i·r_i (recomputed from the key), reduce mod M, recentre."""
+    return _open(scored, keyring, model, id_col, keep, out, verify=False)
+
+
+def open_and_verify(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str,
+                    keep: Sequence[str] = (), out: str = "score") -> DataFrame:
+    """E3 + V2 per row: opened score and ``match`` = the opened score equals the
+    score committed to at sealing time (rows sealed with ``commit_to``)."""
+    return _open(scored, keyring, model, id_col, keep, out, verify=True)
+
+
+def _open(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str,
+          keep: Sequence[str], out: str, verify: bool) -> DataFrame:
     j = scored.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), KEYRING_LIMIT), "key_id")
     w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
     masked = F.zip_with(_masks(F.col(id_col), model.feature_count), w,
@@ -142,7 +172,11 @@ def open_scores(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_co
     mask_sum = F.aggregate(masked, F.lit(0).cast("long"),
                            lambda acc, t: F.pmod(acc + t, F.lit(MODULUS)))
     opened = _centre(F.pmod(F.col("sealed_score") - mask_sum, F.lit(MODULUS)))
-    return j.select(id_col, *keep, opened.alias(out))
+    if not verify:
+        return j.select(id_col, *keep, opened.alias(out))
+    o = j.select(id_col, *keep, "commit", "k_ipad", "k_opad", "nonce", opened.alias(out))
+    match = F.coalesce(_commitment(F.col(id_col), F.col(out)) == F.col("commit"), F.lit(False))
+    return o.select(id_col, *keep, out, match.alias("match"))
 
 
 def unseal_features(sealed: DataFrame, keyring: DataFrame, id_col: str, width: int,

@@ -21,6 +21,19 @@ def verify(df: DataFrame, got: str = "got", expected: str = "expected") -> DataF
                           .otherwise("FAIL"))
 
 
+def verify_counts(inputs: DataFrame, checked: DataFrame, match_col: str = "match") -> DataFrame:
+    """V2/V3 without a join: ``n_rows`` = rows of ``inputs``, ``n_match`` = rows
+    of ``checked`` whose ``match_col`` is true; PASS iff equal (a row lost on the
+    way is a failure).  One aggregation over the union of both."""
+    a = inputs.select(F.lit(1).alias("_in"), F.lit(0).alias("_ok"))
+    b = checked.select(F.lit(0).alias("_in"),
+                       F.coalesce(F.col(match_col), F.lit(False)).cast("int").alias("_ok"))
+    agg = a.unionByName(b).agg(F.coalesce(F.sum("_in"), F.lit(0)).cast("long").alias("n_rows"),
+                               F.coalesce(F.sum("_ok"), F.lit(0)).cast("long").alias("n_match"))
+    return agg.withColumn("status", F.when(F.col("n_match") == F.col("n_rows"), "PASS")
+                          .otherwise("FAIL"))
+
+
 def cost_columns(df: DataFrame, seconds: str = "seconds", rows: str = "rows") -> DataFrame:
     """V4/V6: rows per second and machine cost of each timed stage (2 and 6 dp)."""
     s = F.col(seconds)

@@ -22,7 +22,7 @@ from ..operators import models as ML
 from ..operators import score as S
 from ..operators import seal as E
 from ..operators.quantize import quantize_model
-from ..operators.validate import verify
+from ..operators.validate import verify_counts
 from ..sources.model import LinearModel
 
 
@@ -70,10 +70,12 @@ def sealed_decisions(df: DataFrame, model: LinearModel, id_col: str, label_col:
     x = df.select(id_col, label_col,
                   F.array(*[quantize(c, model.feature_scale) for c in names]).alias("x"))
     ring = keyring if keyring is not None else E.new_keyring(spark)
-    sealed = E.seal(x, ring, id_col, width=model.feature_count, keep=[label_col])
-    opened = E.open_scores(E.score_sealed(sealed, model, id_col, keep=[label_col]), ring, model,
-                           id_col, keep=[label_col], out="score")
-    plain = S.score_array(x, model, keep=[id_col], out="expected")
-    verified = verify(opened.join(plain, id_col, "full"), "score", "expected")
+    sealed = E.seal(x, ring, id_col, width=model.feature_count, keep=[label_col], commit_to=model)
+    scored = E.score_sealed(sealed, model, id_col, keep=[label_col, "commit"])
+    checked = E.open_and_verify(scored, ring, model, id_col, keep=[label_col], out="score")
+    # V2 without a join: input row count vs rows whose opened score matches the
+    # commitment made from the plain features at sealing time.
+    verified = verify_counts(x, checked)
+    opened = checked.drop("match")
     probs = S.with_probability(opened, model, "score", "prob")
     return QuantizedRun(model, verified, probs, label_col, target_precision)

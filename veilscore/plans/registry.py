@@ -343,12 +343,11 @@ def encrypted_batches(spark, sf):
 
 
 def verify_scores(spark, sf):
-    """V2/V3: opened sealed scores vs the plain formula; PASS iff all match."""
-    from ..operators.validate import verify
-    m, ring, x, sealed = _sealed_embeddings(spark, sf)
-    opened = E.open_scores(E.score_sealed(sealed, m, "vec_id"), ring, m, "vec_id", out="got")
-    plain = S.score_array(x, m, keep=["vec_id"], out="expected")
-    return verify(opened.join(plain, "vec_id", "full"), "got", "expected")
+    """V2/V3: every opened sealed score vs the plain formula (via the keyed
+    commitment made at sealing time); PASS iff all rows match."""
+    from .validation import sealed_check
+    return sealed_check(I.embedding_features(spark, sf), I.embedding_model(), "vec_id",
+                        E.new_keyring(spark))
 
 
 def validation_pyramid(spark, sf):

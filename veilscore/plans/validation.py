@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import seal as E
-from ..operators import score as S
 from ..operators.project import first_n
-from ..operators.validate import cost_columns, verify
+from ..operators.validate import cost_columns, verify_counts
 from ..sources.model import LinearModel
 
 # The stage categories and descriptions of the reference's
@@ -27,11 +26,14 @@ STAGES = (
 
 
 def sealed_check(x: DataFrame, model: LinearModel, id_col: str, keyring: DataFrame) -> DataFrame:
-    """seal → score → open → verify for one frame of ``(id, x)``."""
-    sealed = E.seal(x, keyring, id_col, width=model.feature_count)
-    opened = E.open_scores(E.score_sealed(sealed, model, id_col), keyring, model, id_col, out="got")
-    plain = S.score_array(x, model, keep=[id_col], out="expected")
-    return verify(opened.join(plain, id_col, "full"), "got", "expected")
+    """seal (with a commitment to the plain score) → score (no key) → open and
+    compare with the commitment → ``(n_rows, n_match, status)``.
+
+    No join back to the plain table: every row carries its own check, and
+    ``n_rows`` counts the input rows, so a row lost on the way is a mismatch."""
+    sealed = E.seal(x, keyring, id_col, width=model.feature_count, commit_to=model)
+    scored = E.score_sealed(sealed, model, id_col, keep=["commit"])
+    return verify_counts(x, E.open_and_verify(scored, keyring, model, id_col))
 
 
 def run_pyramid(spark: SparkSession, features: DataFrame, model: LinearModel, id_col: str,
