@@ -8,9 +8,10 @@ homomorphic scheme suffices.  The ``mask`` scheme is additive stream masking
     score:  s'  = (Σ w_i·c_i + bias) mod M            (no key, no plain values)
     open:   s   = centre((s' − Σ w_i·r_i) mod M)       ∈ (−M/2, M/2)
 
-PRF = HMAC-SHA256 written with Spark's ``sha2`` (nested, RFC 2104); one digest
-gives five 48-bit masks, so a row of k features needs ceil(k/5) HMACs.  All of
-it is native column expressions — no Python in the data path.
+PRF: a per-row key k_row = HMAC-SHA256(key, nonce|id) (RFC 2104, nested
+``sha2``), expanded in counter mode, block_b = SHA-256(k_row ‖ b); one digest
+gives five 48-bit masks, so a row of k features costs 2 + ceil(k/5) hashes.
+All of it is native column expressions — no Python in the data path.
 
 Key material lives in a *keyring* table ``(key_id, k_ipad, k_opad, nonce)``,
 joined to the rows by ``key_id`` (broadcast after a row-count check).  The
@@ -65,13 +66,15 @@ def _hmac_hex(k_ipad: Column, k_opad: Column, message: Column) -> Column:
 def _masks(id_col: Column, width: int) -> Column:
     """array<bigint> of ``ceil(width/5)·5`` 48-bit masks for one row.
 
-    The digests are computed once per row (argument of the outer ``transform``)
-    and split into five 12-hex-digit numbers each."""
+    The row key and the digests are higher-order-function *arguments*, so each
+    is computed once per row; every digest is split into five 12-hex-digit
+    numbers."""
     n_blocks = max(1, -(-width // MASKS_PER_DIGEST))
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1)),
-        lambda b: _hmac_hex(F.col("k_ipad"), F.col("k_opad"),
-                            F.concat_ws("|", F.col("nonce"), id_col.cast("string"), b.cast("string"))))
+    row_key = F.unhex(_hmac_hex(F.col("k_ipad"), F.col("k_opad"),
+                                F.concat_ws("|", F.lit("row"), F.col("nonce"), id_col.cast("string"))))
+    digests = F.zip_with(
+        F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.array_repeat(row_key, n_blocks),
+        lambda b, k: F.sha2(F.concat(k, F.encode(b.cast("string"), "UTF-8")), 256))
     slots = F.sequence(F.lit(0), F.lit(MASKS_PER_DIGEST - 1))
     return F.flatten(F.transform(digests, lambda h: F.transform(
         slots, lambda j: F.conv(F.substr(h, j * _HEX_PER_MASK + 1, F.lit(_HEX_PER_MASK)), 16, 10)
