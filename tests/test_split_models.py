@@ -114,3 +114,25 @@ def test_train_run_writes_artifacts(spark, tmp_out):
     assert reloaded.transform(df.withColumn("_w_balanced", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1.0))).count() == 240
     assert spark.read.parquet(f"{tmp_out}/LR/run_log").count() == 1
     assert spark.read.option("header", True).csv(glob.glob(f"{tmp_out}/LR/final/*/cv_results")[0]).count() == 1
+
+
+def test_parallel_search_equals_sequential(spark):
+    rows = [(i, float(i % 7), float((i * 3) % 11), int(i % 5 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    folded = T.stratified_folds(df, "y", "id", 2, shuffle=False)
+    cands = [dict(c, class_weight={0: 1, 1: 10}) for c in ML.expand_grid(
+        {"n_estimators": [5], "max_depth": [2], "max_features": [0.5, 1.0], "min_samples_leaf": [1]})]
+    seq = ML.cross_validate(folded, "rf", cands, ["a", "b"], "y").orderBy("candidate").collect()
+    par = ML.cross_validate(folded, "rf", cands, ["a", "b"], "y", parallelism=3).orderBy("candidate").collect()
+    assert [r["mean_score"] for r in seq] == pytest.approx([r["mean_score"] for r in par])
+
+
+def test_train_keeps_64bit_ids(spark):
+    from veilscore.plans.train import train
+    big = 2 ** 40
+    rows = [(big + i, float(i % 7), int(i % 6 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, y int")
+    res = train(df, "lr", "final", "id", "y", candidates=[{"C": 1.0, "class_weight": None, "max_iter": 30}],
+                n_folds=2)
+    ids = [r["id"] for r in res.scored.collect()]
+    assert len(ids) == 24 and min(ids) >= big

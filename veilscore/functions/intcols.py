@@ -62,14 +62,17 @@ def quantize_array(col: Column | str, scale: float | int) -> Column:
     return F.transform(c, lambda v: quantize(v, scale))
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """Floating columns → float32, integral columns → int32.
+def narrow(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Floating columns → float32, integral columns → int32 (``exclude``
+    keeps e.g. 64-bit ids and the label as they are).
 
     Spark's ANSI cast raises where the reference would silently wrap an int32
     overflow (deliberately stricter)."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name in exclude:
+            out.append(F.col(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(F.col(f.name).cast("float").alias(f.name))
         elif isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
             out.append(F.col(f.name).cast("int").alias(f.name))

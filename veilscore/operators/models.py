@@ -216,21 +216,36 @@ def _weight_sum(df: DataFrame, params: Mapping) -> float:
 
 def cross_validate(df: DataFrame, model: str, candidates: Sequence[Mapping],
                    feature_cols: Sequence[str], label_col: str, fold_col: str = "fold",
-                   scale_col: str | None = None) -> DataFrame:
+                   scale_col: str | None = None, parallelism: int = 1) -> DataFrame:
     """Every candidate on every fold; the results table has
-    ``candidate, params, split<i>_score…, mean_score, std_score (population), rank``."""
+    ``candidate, params, split<i>_score…, mean_score, std_score (population), rank``.
+
+    Each fit is a distributed job; ``parallelism`` > 1 submits that many
+    (fold, candidate) fits at once from driver threads (as
+    ``CrossValidator.parallelism`` does), which keeps a large cluster busy when
+    single models are small."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = df.sparkSession
     data = with_weight_columns(df, label_col, candidates)
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     evaluator = AveragePrecisionEvaluator(label_col)
-    scores = {i: [] for i in range(len(candidates))}
-    for f in folds:
+
+    def run(task):
+        f, i = task
+        params = candidates[i]
         train = data.where(F.col(fold_col) != f)
         valid = data.where(F.col(fold_col) == f)
-        for i, params in enumerate(candidates):
-            ws = _weight_sum(train, params) if model == "lr" else None
-            fitted = make_pipeline(model, params, feature_cols, label_col, scale_col, ws).fit(train)
-            scores[i].append(evaluator.evaluate(fitted.transform(valid)))
+        ws = _weight_sum(train, params) if model == "lr" else None
+        fitted = make_pipeline(model, params, feature_cols, label_col, scale_col, ws).fit(train)
+        return evaluator.evaluate(fitted.transform(valid))
+
+    tasks = [(f, i) for f in folds for i in range(len(candidates))]
+    with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
+        results = list(pool.map(run, tasks))
+    scores = {i: [0.0] * len(folds) for i in range(len(candidates))}
+    for (f, i), v in zip(tasks, results):
+        scores[i][folds.index(f)] = v
     return results_table(spark, candidates, scores, len(folds))
 
 

@@ -485,7 +485,7 @@ def search_results(spark, sf):
     folded = T.stratified_folds(data, "is_zero", "vec_id", 2, shuffle=False)
     cands = [dict(c, **ML.SMOKE_FIXED) for c in ML.expand_grid(ML.SMOKE_GRID)]
     feats = [c for c in data.columns if c.startswith("e")]
-    return M.round_all(ML.cross_validate(folded, "rf", cands, feats, "is_zero"))
+    return M.round_all(ML.cross_validate(folded, "rf", cands, feats, "is_zero", parallelism=4))
 
 
 def train_run(spark, sf):

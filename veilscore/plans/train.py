@@ -34,7 +34,7 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
           candidates: Sequence[dict] | None = None, n_folds: int | None = None,
           shuffle_folds: bool = True, target_precision: float = M.TARGET_PRECISION,
           out_dir: str | None = None, seed: int = ML.SEED,
-          id_as_feature: bool = False) -> TrainResult:
+          id_as_feature: bool = False, parallelism: int = 1) -> TrainResult:
     """``id_as_feature=True`` reproduces the reference's training input, which
     keeps the transaction id among the features (R1 compat); by default the id
     is only a key."""
@@ -42,7 +42,8 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
     n_iter, folds_default, grid = ML.SEARCH_SPACES[model][mode] if model in ML.SEARCH_SPACES else (1, 2, {})
     cands = list(candidates) if candidates is not None else ML.sample_candidates(grid, n_iter, seed)
     k = int(n_folds or folds_default)
-    base = narrow(df.drop(*drop)).withColumn(label_col, F.col(label_col).cast("int"))
+    keep_wide = () if id_as_feature else (id_col,)
+    base = narrow(df.drop(*drop), exclude=keep_wide).withColumn(label_col, F.col(label_col).cast("int"))
     features = [c for c in base.columns if c != label_col and (id_as_feature or c != id_col)]
     # The search runs dozens of actions (fits, weight sums, evaluations) on the
     # split and the folds: materialize both once (reliable checkpoints), so each
@@ -51,7 +52,8 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
     train_part = split.where(~F.col("is_test")).drop("is_test")
     test_part = split.where(F.col("is_test")).drop("is_test")
     folded = checkpointed(stratified_folds(train_part, label_col, id_col, k, shuffle_folds, seed))
-    results = ML.cross_validate(folded, model, cands, features, label_col, "fold", scale_col)
+    results = ML.cross_validate(folded, model, cands, features, label_col, "fold", scale_col,
+                                parallelism)
     best_i = ML.best_candidate(results)
     best = cands[best_i]
     tr = ML.with_weight_columns(train_part, label_col, [best])
