@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import BROADCAST_ROW_LIMIT, checkpointed, row_index
+from .ranking import BROADCAST_ROW_LIMIT, row_index
 
 
 @dataclass
 class OrdinalEncoder:
-    codes: DataFrame          # (feature, category, code double) — checkpointed
+    codes: DataFrame          # (feature, category, code double)
     features: list[str]
 
     def transform(self, df: DataFrame, unknown_value: float = -1.0) -> DataFrame:
@@ -49,5 +49,7 @@ def fit_ordinal_encoder(df: DataFrame, cols: Sequence[str]) -> OrdinalEncoder:
     pairs = df.selectExpr(f"stack({len(cols)}, {stack}) AS (feature, category)") \
         .where(F.col("category").isNotNull()).distinct()
     ranked = row_index(pairs, ["category"], ["feature"], out="_rn")
+    # `ranked` already reads the ranking checkpoint (joined to a small offsets
+    # relation), so the code table is fixed and cheap to scan again.
     codes = ranked.select("feature", "category", (F.col("_rn") - 1).cast("double").alias("code"))
-    return OrdinalEncoder(checkpointed(codes), cols)
+    return OrdinalEncoder(codes, cols)
