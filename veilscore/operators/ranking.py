@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import ensure_checkpoint_dir
 
 # Largest helper table this library broadcasts (rows).  Above it the join is a
 # regular shuffle join chosen by Catalyst/AQE.
@@ -75,7 +75,6 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     sums = dict(sums or {})
     parts = list(partition_by)
     orders = [_as_col(c) for c in order_by]
-    n_parts = int(num_partitions or shuffle_partitions(spark))
 
     val_cols = {f"_v_{name}": _as_col(expr) for name, expr in sums.items()}
     hashable = [F.col(f"`{f.name}`") for f in df.schema.fields
@@ -83,8 +82,12 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     tiebreak = F.xxhash64(*hashable) if hashable else F.lit(0).cast("long")
     base = df.select("*", *[e.alias(n) for n, e in val_cols.items()], tiebreak.alias("_tb"))
     orders = orders + [F.col("_tb")]
-    ranged = base.repartitionByRange(n_parts, *[F.col(p) for p in parts], *orders) \
-        .withColumn("_pid", F.spark_partition_id())
+    keys = [F.col(p) for p in parts] + orders
+    # Without an explicit count AQE may coalesce adjacent range partitions to the
+    # advisory size; coalescing keeps range order, so the partition id stays a
+    # valid order key for the offsets below.
+    ranged = (base.repartitionByRange(int(num_partitions), *keys) if num_partitions
+              else base.repartitionByRange(*keys)).withColumn("_pid", F.spark_partition_id())
 
     w_local = Window.partitionBy("_pid", *parts).orderBy(*orders) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
