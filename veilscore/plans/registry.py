@@ -271,12 +271,14 @@ def _sealed_embeddings(spark, sf):
 
 
 def sealed_differs_from_plain(spark, sf):
-    """Per row, how many sealed cells equal the plain value (≈ 0)."""
-    _, _, x, sealed = _sealed_embeddings(spark, sf)
-    j = sealed.join(x, "vec_id")
+    """Per row, how many sealed cells equal the plain value (≈ 0); the plain
+    array is carried along in this diagnostic, so no join is needed."""
+    m = I.embedding_model()
+    sealed = E.seal(I.embedding_features(spark, sf), E.new_keyring(spark), "vec_id",
+                    width=m.feature_count, keep=["x"])
     same = F.aggregate(F.zip_with("c", "x", lambda a, b: (a == b).cast("int")), F.lit(0),
                        lambda acc, v: acc + v)
-    return j.select("vec_id", same.alias("n_equal"))
+    return sealed.select("vec_id", same.alias("n_equal"))
 
 
 def sealed_score(spark, sf):
