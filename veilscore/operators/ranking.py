@@ -104,11 +104,12 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
         F.col("_pid").alias("_o_pid"), *[F.col(p).alias(f"_o_{p}") for p in parts],
         F.coalesce(F.sum("_tc").over(w_off), F.lit(0)).alias("_oc"),
         *[F.coalesce(F.sum(f"_t{n}").over(w_off), F.lit(0)).alias(f"_o{n}") for n in val_cols])
-    n_off = offsets.count()
-    if n_off <= LOCAL_OFFSETS_LIMIT:
-        offsets = F.broadcast(spark.createDataFrame(offsets.collect(), offsets.schema))
-    elif n_off <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
+    # One bounded fetch both sizes and reads the offsets table.
+    head = offsets.limit(LOCAL_OFFSETS_LIMIT + 1).collect()
+    if len(head) <= LOCAL_OFFSETS_LIMIT:
+        offsets = F.broadcast(spark.createDataFrame(head, offsets.schema))
+    else:
+        offsets = broadcast_if_small(offsets)
 
     cond = local["_pid"] == offsets["_o_pid"]
     for p in parts:
