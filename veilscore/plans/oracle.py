@@ -242,6 +242,11 @@ SQL = {
                    - avg(CASE WHEN label <> 0 THEN CAST(e AS DOUBLE) END)) * 1000.0) AS BIGINT) AS w
         FROM (SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)
         GROUP BY i""",
+    "model_roundtrip": f"""SELECT CAST(i - 1 AS INTEGER) AS feature_idx,
+        CAST(round((avg(CASE WHEN label = 0 THEN CAST(e AS DOUBLE) END)
+                   - avg(CASE WHEN label <> 0 THEN CAST(e AS DOUBLE) END)) * 1000.0) AS BIGINT) AS w
+        FROM (SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)
+        GROUP BY i""",
     "prefix_features": f"WITH {EMB_Q}, {EMB_W}, {_emb_score('s5', 5)} SELECT vec_id, score FROM s5",
     "zip_truncate": f"WITH {EMB_Q}, {EMB_W}, {_emb_score('s40', 40)} SELECT vec_id, score FROM s40",
     "first_n_rows": f"{EMB} SELECT vec_id, score FROM emb_score ORDER BY vec_id LIMIT 5",

@@ -319,10 +319,8 @@ def quantized_lr_verify(spark, sf):
     return sealed_decisions(prepared, model, "o_orderkey", "is_f").verified
 
 
-def model_contract_q(spark, sf):
-    """V1: contract checks of a model file produced from the tables (Q2 over the
-    class-mean direction of the embeddings), written and read back as text."""
-    from ..operators.validate import model_contract
+def _write_derived_model(spark, sf) -> str:
+    """The Q2 model derived from the embeddings, written as a JSON model file."""
     coef = quantize_model_q(spark, sf)
     model = coef.agg(F.sort_array(F.collect_list(F.struct("feature_idx", "w"))).alias("p")).select(
         F.lit("LogisticRegression").alias("model_type"), F.lit(1000).alias("scale_factor"),
@@ -330,7 +328,21 @@ def model_contract_q(spark, sf):
         F.size("p").alias("feature_count"))
     path = scratch_path(spark, "model_json")
     model.coalesce(1).write.mode("overwrite").json(path)
-    return model_contract(spark, path).select("check", "ok")
+    return path
+
+
+def model_roundtrip(spark, sf):
+    """S3: load the model file written from the tables; weights as (feature_idx, w)."""
+    from ..sources.model import load_model
+    m = load_model(spark, _write_derived_model(spark, sf))
+    return spark.createDataFrame(list(enumerate(m.weights)), "feature_idx int, w bigint")
+
+
+def model_contract_q(spark, sf):
+    """V1: contract checks of a model file produced from the tables (Q2 over the
+    class-mean direction of the embeddings), written and read back as text."""
+    from ..operators.validate import model_contract
+    return model_contract(spark, _write_derived_model(spark, sf)).select("check", "ok")
 
 
 def encrypted_batches(spark, sf):
@@ -352,6 +364,12 @@ def verify_scores(spark, sf):
                         E.new_keyring(spark))
 
 
+def validation_report(spark, sf):
+    """V4/V6: the staged run with time, rows/s and machine-cost columns."""
+    from .validation import run_pyramid
+    return run_pyramid(spark, I.embedding_features(spark, sf), I.embedding_model(), "vec_id")
+
+
 def validation_pyramid(spark, sf):
     """SANITY 5×5, CRYPTO all×1, SATURATION all×16 on the embeddings
     (time columns left out of the comparison)."""
@@ -490,6 +508,18 @@ def search_results(spark, sf):
     return M.round_all(ML.cross_validate(folded, "rf", cands, feats, "is_zero", parallelism=4))
 
 
+def randomized_search(spark, sf):
+    """The logistic-regression 'coarse' space (10 of 16 candidates, seeded
+    draw without replacement) × 3 shuffled stratified folds, average precision."""
+    from ..operators import models as ML
+    data = _embedding_table(spark, sf)
+    n_iter, k, grid = ML.SEARCH_SPACES["lr"]["coarse"]
+    folded = T.stratified_folds(data, "is_zero", "vec_id", k, shuffle=True)
+    feats = [c for c in data.columns if c.startswith("e")]
+    cands = ML.sample_candidates(grid, n_iter)
+    return M.round_all(ML.cross_validate(folded, "lr", cands, feats, "is_zero", parallelism=4))
+
+
 def train_run(spark, sf):
     """Logistic regression 'final' run on the prepared orders table
     (scale o_totalprice inside the folds, 5 folds, hold-out metrics)."""
@@ -539,9 +569,11 @@ QUERIES = {
     "paillier_score_opened": paillier_score_opened,
     "quantized_lr_verify": quantized_lr_verify,
     "model_contract": model_contract_q,
+    "model_roundtrip": model_roundtrip,
     "encrypted_batches": encrypted_batches,
     "verify_scores": verify_scores,
     "validation_pyramid": validation_pyramid,
+    "validation_report": validation_report,
     "pr_curve": pr_curve,
     "average_precision": average_precision,
     "pr_auc_trapezoid": pr_auc_trapezoid,
@@ -559,5 +591,6 @@ QUERIES = {
     "rf_fit_predict": rf_fit_predict,
     "gbt_fit_predict": gbt_fit_predict,
     "search_results": search_results,
+    "randomized_search": randomized_search,
     "train_run": train_run,
 }
