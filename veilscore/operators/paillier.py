@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import secrets
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,15 @@ from pyspark.sql import DataFrame
 
 from ..sources.model import LinearModel
 
+# The per-partition functions below run in Python workers.  Ship this module's
+# code with the tasks (pickle by value), so executors do not need the package
+# installed.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: workers import the package
+    pass
+
 _SMALL_PRIMES = [p for p in range(3, 2000, 2) if all(p % d for d in range(3, int(p ** 0.5) + 1, 2))]
 
 
