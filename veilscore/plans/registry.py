@@ -525,7 +525,8 @@ def train_run(spark, sf):
     (scale o_totalprice inside the folds, 5 folds, hold-out metrics)."""
     from .train import train
     prepared, _ = _prepared_orders(spark, sf)
-    res = train(prepared, "lr", "final", "o_orderkey", "is_f", scale_col="o_totalprice")
+    res = train(prepared, "lr", "final", "o_orderkey", "is_f", scale_col="o_totalprice",
+                parallelism=5)
     return M.round_all(res.summary.drop("run_id"))
 
 
