@@ -79,6 +79,29 @@ pts2 AS (
   FROM pts
 )"""
 
+DIR_POINTS = """
+dt AS (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings),
+dw AS (SELECT i, CAST(round((avg(CASE WHEN label = 0 THEN CAST(e AS DOUBLE) END)
+                             - avg(CASE WHEN label <> 0 THEN CAST(e AS DOUBLE) END)) * 1000.0) AS BIGINT) AS w
+       FROM dt GROUP BY i),
+ds AS (SELECT dt.vec_id, CAST(any_value(dt.label) = 0 AS INTEGER) AS label,
+              CAST(sum(CAST(round(CAST(dt.e AS DOUBLE) * 1000.0) AS BIGINT) * dw.w) AS BIGINT) AS score
+       FROM dt JOIN dw ON dt.i = dw.i GROUP BY dt.vec_id),
+pts AS (
+  SELECT score, pos, neg, thr,
+         sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+         sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+         sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
+  FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg, CAST(max(score) AS DOUBLE) AS thr
+        FROM ds GROUP BY score)
+),
+pts2 AS (
+  SELECT *, tp / (tp + fp) AS prec, CASE WHEN n_pos > 0 THEN tp / n_pos ELSE 1.0 END AS rec,
+         coalesce(CASE WHEN tp - pos + fp - neg > 0 THEN (tp - pos) / (tp - pos + fp - neg) END, 1.0)
+           AS prev_prec
+  FROM pts
+)"""
+
 AREAS = """
 areas AS (
   SELECT CASE WHEN max(n_pos) > 0 THEN sum(pos / n_pos * prec) END AS average_precision,
@@ -346,6 +369,13 @@ SQL = {
                round(pr_auc_trapezoid, 6) AS pr_auc_trapezoid, round(roc_auc, 6) AS roc_auc,
                n_pos, n_neg, round(thr, 6) AS thr, round(prec_at_thr, 6) AS prec_at_thr,
                round(rec_at_thr, 6) AS rec_at_thr FROM areas, thr""",
+    "threshold_qualifying": f"""WITH {DIR_POINTS}, {_thr((0.5, 0.0, 0.0))}
+        SELECT round(thr, 6) AS thr, round(prec_at_thr, 6) AS prec_at_thr,
+               round(rec_at_thr, 6) AS rec_at_thr FROM thr""",
+    "average_precision_direction": f"""WITH {DIR_POINTS}, {AREAS}
+        SELECT round(average_precision, 6) AS average_precision,
+               round(pr_auc_trapezoid, 6) AS pr_auc_trapezoid, round(roc_auc, 6) AS roc_auc,
+               n_pos, n_neg FROM areas""",
     # splits
     "stratified_split": f"WITH {_holdout_sql()} SELECT doc_id, toxic, is_test FROM split",
     "stratified_split_counts": f"""WITH {_holdout_sql()}

@@ -421,6 +421,27 @@ def metric_summary(spark, sf):
     return M.round_all(M.metric_summary(_lineitem_points(spark, sf)))
 
 
+def _direction_points(spark, sf):
+    """Curve points of the class-mean-direction model (Q2 weights, fitted on the
+    embeddings) scored on the same rows; label = (label = 0)."""
+    from ..sources.model import LinearModel
+    w = sorted((r["feature_idx"], r["w"]) for r in quantize_model_q(spark, sf).collect())
+    model = LinearModel(tuple(int(v) for _, v in w), 0)
+    x = I.embedding_features(spark, sf).withColumn("y", (F.col("label") == 0).cast("int"))
+    scored = S.score_array(x, model, keep=["y"])
+    return M.curve_points(scored, "y", "score", threshold_col=F.col("score").cast("double"))
+
+
+def threshold_qualifying(spark, sf):
+    """M2 where some point reaches precision 0.95: the in-sample class-mean model."""
+    return M.round_all(M.threshold_at_precision(_direction_points(spark, sf)))
+
+
+def average_precision_direction(spark, sf):
+    """M3/M5 of the class-mean model (an informative score)."""
+    return M.round_all(M.areas(_direction_points(spark, sf)))
+
+
 # ---------------------------------------------------------------------- splits
 def _labels(spark, sf):
     return read_table(spark, sf, "labels", "doc_id", "toxic")
@@ -582,6 +603,8 @@ QUERIES = {
     "threshold_at_precision": threshold_at_precision,
     "threshold_smoke": threshold_smoke,
     "metric_summary": metric_summary,
+    "threshold_qualifying": threshold_qualifying,
+    "average_precision_direction": average_precision_direction,
     "stratified_split": stratified_split,
     "stratified_split_counts": stratified_split_counts,
     "stratified_folds": stratified_folds,
