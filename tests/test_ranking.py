@@ -59,3 +59,36 @@ def test_hot_order_key_is_split_and_exact(spark):
              .repartitionByRange(6, "g", "k", "_tb").where("k = 7")
              .select(F.spark_partition_id().alias("p")).distinct().count())
     assert parts >= 2
+
+
+def test_bracketed_median_any_accuracy(spark):
+    """Coarse sketches may miss the middle ranks; the fallback keeps it exact."""
+    rng = np.random.default_rng(11)
+    parts = []
+    for g, (n, kind) in enumerate([(1001, "normal"), (1000, "ties"), (7, "small"), (2, "two"), (600, "skew")]):
+        if kind == "normal":
+            v = rng.normal(size=n)
+        elif kind == "ties":
+            v = rng.integers(0, 3, n).astype(float)
+        elif kind == "skew":
+            v = np.concatenate([np.zeros(n // 3 * 2), rng.exponential(size=n - n // 3 * 2)])
+        else:
+            v = rng.normal(size=n)
+        parts.append(pd.DataFrame({"feature": f"g{g}", "value": v}))
+    pdf = pd.concat(parts)
+    df = spark.createDataFrame(pdf)
+    expected = {k: float(np.median(v)) for k, v in pdf.groupby("feature")["value"]}
+    for acc in (4, 8, 16, 100, 10_000):
+        got = {r["feature"]: r["median"] for r in exact_medians(df, accuracy=acc).collect()}
+        assert got.keys() == expected.keys()
+        assert all(got[k] == expected[k] for k in expected), (acc, got, expected)
+
+
+def test_bracket_miss_falls_back_to_exact(spark, monkeypatch):
+    import veilscore.operators.ranking as R
+    # A deliberately wrong sketch: bracket [min, min] misses the middle ranks.
+    monkeypatch.setattr(R.F, "percentile_approx",
+                        lambda col, pcts, acc: F.array(F.min(col), F.min(col)))
+    pdf = pd.DataFrame({"feature": "f", "value": np.arange(101, dtype=float)[::-1]})
+    got = R.exact_medians(spark.createDataFrame(pdf)).first()["median"]
+    assert got == 50.0

@@ -131,27 +131,55 @@ def row_index(df: DataFrame, order_by: Sequence[Column | str],
 
 
 def exact_medians(long_df: DataFrame, group_col: str = "feature",
-                  value_col: str = "value") -> DataFrame:
+                  value_col: str = "value", accuracy: int = 10_000) -> DataFrame:
     """Exact median per group (mean of the two middle values), NaN and null skipped.
 
-    Distinct ``(group, value)`` pairs are counted first (map-side combine, so a
-    value repeated a billion times is one row), then the two middle ranks are
-    located with :func:`running_totals`.  Returns ``(group, median, n)``; groups
-    with no valid value are absent.
+    1. one aggregation: ``n`` and a ``percentile_approx`` bracket [lo, hi] at
+       0.5 ± 2/accuracy (its rank error is at most 1/accuracy, and the sketch
+       is bounded per group and task);
+    2. one aggregation: the exact number of values below ``lo`` and inside the
+       bracket; a group whose bracket misses a middle rank falls back to the
+       whole value range, so the result is exact in every case;
+    3. only values inside the bracket (≈ 4/accuracy of the rows) are counted
+       per distinct value and ranked with :func:`running_totals`.
+
+    Returns ``(group, median, n)``; groups with no valid value are absent.
     """
     v = F.col(value_col).cast("double")
     clean = long_df.select(F.col(group_col), v.alias("_x")) \
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    d = clean.groupBy(group_col, "_x").agg(F.count(F.lit(1)).alias("_cnt"))
+    delta = min(0.5, 2.0 / accuracy)
+    stats = clean.groupBy(group_col).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("_x", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], accuracy)
+        .alias("_br"))
+    stats = stats.select(group_col, "n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"),
+                         F.floor((F.col("n") + 1) / 2).alias("_klo"),
+                         (F.floor(F.col("n") / 2) + 1).alias("_khi"))
+    stats = broadcast_if_small(stats)
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    counts = clean.join(stats, group_col).groupBy(group_col).agg(
+        F.sum(F.when(x < lo, 1).otherwise(0)).alias("_below"),
+        F.sum(F.when((x >= lo) & (x <= hi), 1).otherwise(0)).alias("_inside"))
+    checked = stats.join(counts, group_col)
+    ok = (F.col("_below") < F.col("_klo")) & (F.col("_below") + F.col("_inside") >= F.col("_khi"))
+    # Bracket per group; a miss widens to the whole range (offset 0).
+    brackets = checked.select(
+        group_col, "n", "_klo", "_khi",
+        F.when(ok, F.col("_lo")).alias("_lo"), F.when(ok, F.col("_hi")).alias("_hi"),
+        F.when(ok, F.col("_below")).otherwise(F.lit(0)).alias("_below"))
+    brackets = broadcast_if_small(brackets)
+    inside = clean.join(brackets, group_col).where(
+        (F.col("_lo").isNull() | (x >= lo)) & (F.col("_hi").isNull() | (x <= hi)))
+    d = inside.groupBy(group_col, "_x").agg(F.count(F.lit(1)).alias("_cnt"))
     rt = running_totals(d, ["_x"], [group_col], {"_cum": "_cnt"}, count_col=None)
-    n = rt.groupBy(group_col).agg(F.sum("_cnt").alias("n"))
-    n = n.withColumn("_klo", F.floor((F.col("n") + 1) / 2)) \
-         .withColumn("_khi", F.floor(F.col("n") / 2) + 1)
-    joined = rt.join(broadcast_if_small(n), group_col)
-    lo = (F.col("_cum") - F.col("_cnt") < F.col("_klo")) & (F.col("_cum") >= F.col("_klo"))
-    hi = (F.col("_cum") - F.col("_cnt") < F.col("_khi")) & (F.col("_cum") >= F.col("_khi"))
-    picked = joined.where(lo | hi).groupBy(group_col).agg(
-        F.max(F.when(lo, F.col("_x"))).alias("_vlo"),
-        F.max(F.when(hi, F.col("_x"))).alias("_vhi"),
+    joined = rt.join(brackets.select(group_col, "n", "_klo", "_khi", "_below"), group_col)
+    cum = F.col("_cum") + F.col("_below")
+    prev = cum - F.col("_cnt")
+    lo_hit = (prev < F.col("_klo")) & (cum >= F.col("_klo"))
+    hi_hit = (prev < F.col("_khi")) & (cum >= F.col("_khi"))
+    picked = joined.where(lo_hit | hi_hit).groupBy(group_col).agg(
+        F.max(F.when(lo_hit, F.col("_x"))).alias("_vlo"),
+        F.max(F.when(hi_hit, F.col("_x"))).alias("_vhi"),
         F.first("n").alias("n"))
     return picked.select(group_col, ((F.col("_vlo") + F.col("_vhi")) / 2.0).alias("median"), "n")
