@@ -92,3 +92,38 @@ def test_bracket_miss_falls_back_to_exact(spark, monkeypatch):
     pdf = pd.DataFrame({"feature": "f", "value": np.arange(101, dtype=float)[::-1]})
     got = R.exact_medians(spark.createDataFrame(pdf)).first()["median"]
     assert got == 50.0
+
+
+def _keys_reference(pdf, ranks):
+    out = {}
+    for g, sub in pdf.sort_values(["g", "h", "id"]).groupby("g"):
+        ids = sub["id"].tolist()
+        out[g] = [ids[r - 1] for r in ranks[g]]
+    return out
+
+
+def test_keys_at_ranks_exact(spark):
+    from veilscore.operators.ranking import keys_at_ranks
+    rng = np.random.default_rng(2)
+    n = 20000
+    pdf = pd.DataFrame({"id": np.arange(n), "g": rng.choice(["a", "b", "c"], n, p=[0.7, 0.25, 0.05]),
+                        "h": rng.integers(0, 500, n).astype(float)})     # heavy ties in h
+    sizes = pdf.groupby("g").size().to_dict()
+    ranks = {g: [1, max(1, s // 3), s // 2, s] for g, s in sizes.items()}
+    df = spark.createDataFrame(pdf)
+    got = keys_at_ranks(df, "g", F.col("h"), [F.col("h"), F.col("id")], ranks, sizes).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], {})[r["j"]] = r["key"]["id"]
+    exp = _keys_reference(pdf, ranks)
+    assert {g: [by[g][j] for j in range(len(ranks[g]))] for g in by} == exp
+
+
+def test_keys_at_ranks_bracket_miss(spark, monkeypatch):
+    import veilscore.operators.ranking as R
+    monkeypatch.setattr(R.F, "percentile_approx",
+                        lambda col, pcts, acc: F.array_repeat(F.max(col), len(pcts)))
+    pdf = pd.DataFrame({"id": np.arange(100), "g": "x", "h": np.arange(100, dtype=float)[::-1]})
+    got = R.keys_at_ranks(spark.createDataFrame(pdf), "g", F.col("h"), [F.col("h"), F.col("id")],
+                          {"x": [10, 50]}, {"x": 100}).orderBy("j").collect()
+    assert [r["key"]["id"] for r in got] == [90, 50]

@@ -183,3 +183,85 @@ def exact_medians(long_df: DataFrame, group_col: str = "feature",
         F.max(F.when(hi_hit, F.col("_x"))).alias("_vhi"),
         F.first("n").alias("n"))
     return picked.select(group_col, ((F.col("_vlo") + F.col("_vhi")) / 2.0).alias("median"), "n")
+
+
+def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence[Column],
+                  targets: Mapping[object, Sequence[int]], sizes: Mapping[object, int],
+                  accuracy: int = 10_000) -> DataFrame:
+    """Exact order statistics: for each group and each requested 1-based rank,
+    the row key ``struct(order…)`` at that rank (rows ordered by ``order``).
+
+    ``coarse`` is a numeric column whose order agrees with ``order`` (equal
+    ``coarse`` values may be ordered further by ``order``).  The work is three
+    passes, none of which ranks the whole table:
+
+    1. one aggregation: ``percentile_approx(coarse)`` at rank/n ± 2/accuracy for
+       every target (the percentage list is the union over groups);
+    2. one aggregation: exact counts of rows below / inside each bracket; a
+       bracket that misses its rank falls back to the group's whole range;
+    3. rows inside a bracket (≈ 4/accuracy of the group per target) are ranked
+       with :func:`running_totals` and the row at the target rank is kept.
+
+    ``targets``/``sizes`` map group → ranks / row count (one entry per group:
+    both are bounded by the number of groups and ranks).  Returns
+    ``(group, j, rank, key)`` with ``j`` the 0-based target index.
+    """
+    spark = df.sparkSession
+    delta = min(0.5, 2.0 / accuracy)
+    plan = {g: [int(r) for r in rs if 0 < int(r) <= int(sizes.get(g, 0))] for g, rs in targets.items()}
+    plan = {g: rs for g, rs in plan.items() if rs}
+    gtype = df.schema[group_col].dataType.simpleString()
+    key_schema = df.select(F.struct(*order).alias("k")).schema["k"].dataType.simpleString()
+    if not plan:
+        return spark.createDataFrame([], f"{group_col} {gtype}, j int, rank long, key {key_schema}")
+    pcts = sorted({min(1.0, max(0.0, r / sizes[g] + s * delta)) for g, rs in plan.items()
+                   for r in rs for s in (-1.0, 1.0)})
+    base = df.select(F.col(group_col), coarse.cast("double").alias("_h"),
+                     F.struct(*order).alias("_key"))
+    approx = {r[group_col]: r["_p"] for r in base.groupBy(group_col).agg(
+        F.percentile_approx("_h", pcts, accuracy).alias("_p")).collect()}
+    m = max(len(rs) for rs in plan.values())
+    rows = []
+    for g, rs in plan.items():
+        vals = dict(zip(pcts, approx.get(g) or [None] * len(pcts)))
+        lo = [vals.get(min(1.0, max(0.0, r / sizes[g] - delta))) for r in rs]
+        hi = [vals.get(min(1.0, max(0.0, r / sizes[g] + delta))) for r in rs]
+        pad = m - len(rs)
+        rows.append((g, rs + [0] * pad, lo + [None] * pad, hi + [None] * pad))
+    br = spark.createDataFrame(rows, f"{group_col} {gtype}, _r array<bigint>, "
+                                     f"_lo array<double>, _hi array<double>")
+    h = F.col("_h")
+    with_br = base.join(F.broadcast(br), group_col)            # one row per group: bounded
+    aggs = []
+    for j in range(m):
+        lo_j, hi_j = F.element_at("_lo", j + 1), F.element_at("_hi", j + 1)
+        aggs += [F.sum(F.when(h < lo_j, 1).otherwise(0)).alias(f"b{j}"),
+                 F.sum(F.when((h >= lo_j) & (h <= hi_j), 1).otherwise(0)).alias(f"i{j}")]
+    counts = {r[group_col]: r for r in with_br.groupBy(group_col).agg(*aggs).collect()}
+    rows = []
+    for g, rs in plan.items():
+        c = counts[g]
+        los, his, belows = [], [], []
+        vals = dict(zip(pcts, approx.get(g) or [None] * len(pcts)))
+        for j, r in enumerate(rs):
+            lo = vals.get(min(1.0, max(0.0, r / sizes[g] - delta)))
+            hi = vals.get(min(1.0, max(0.0, r / sizes[g] + delta)))
+            b, i = int(c[f"b{j}"] or 0), int(c[f"i{j}"] or 0)
+            if lo is not None and hi is not None and b < r <= b + i:
+                los.append(lo), his.append(hi), belows.append(b)
+            else:                                   # bracket missed: whole group
+                los.append(None), his.append(None), belows.append(0)
+        pad = m - len(rs)
+        rows.append((g, rs + [0] * pad, los + [None] * pad, his + [None] * pad, belows + [0] * pad))
+    fixed = spark.createDataFrame(rows, f"{group_col} {gtype}, _r array<bigint>, _lo array<double>, "
+                                        f"_hi array<double>, _below array<bigint>")
+    inside = base.join(F.broadcast(fixed), group_col).select(
+        group_col, "_key", "_r", "_below",
+        F.explode(F.filter(F.sequence(F.lit(1), F.lit(m)), lambda j: (F.element_at("_r", j) > 0) & (
+            (F.element_at("_lo", j).isNull() | (h >= F.element_at("_lo", j)))
+            & (F.element_at("_hi", j).isNull() | (h <= F.element_at("_hi", j)))))).alias("_j"))
+    ranked = running_totals(inside, [F.col("_key")], [group_col, "_j"], None, count_col="_rin")
+    hit = F.col("_rin") + F.element_at("_below", F.col("_j")) == F.element_at("_r", F.col("_j"))
+    return ranked.where(hit).select(group_col, (F.col("_j") - 1).cast("int").alias("j"),
+                                    F.element_at("_r", F.col("_j")).alias("rank"),
+                                    F.col("_key").alias("key"))

@@ -10,9 +10,11 @@ per-class quotas follow the allocation rules of the reference's splitter:
 * k-fold: the class-sorted row positions are dealt round-robin to folds, which
   fixes how many rows of each class every fold gets.
 
-Which rows fill the quotas is decided by an exact distributed rank within the
-class, ordered by a seeded ``md5(seed:id)`` shuffle key (or by id for the
-unshuffled variant).  No window ever spans a whole class.
+Which rows fill the quotas is decided by the seeded order ``(md5(seed:id), id)``
+(or by id for the unshuffled variant): the keys at the quota ranks are exact
+order statistics found with sketch brackets (:func:`keys_at_ranks`), and every
+row is then assigned by comparing its key with them — one pass, no ranking of
+whole classes and no copy of the table.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import broadcast_if_small, row_index
+from .ranking import keys_at_ranks
 
 SEED = 42
 
@@ -66,41 +68,71 @@ def fold_allocation(counts: list[tuple], k: int) -> dict:
     return out
 
 
-def _quota_frame(df: DataFrame, label_col: str, rows: list[tuple], schema: str) -> DataFrame:
-    spark = df.sparkSession
-    ltype = df.schema[label_col].dataType.simpleString()
-    return spark.createDataFrame(rows, f"_lab {ltype}, {schema}")
+def _coarse_key(id_col: str, seed: int | None) -> Column:
+    """Numeric key whose order agrees with the shuffle order (the first 13 hex
+    digits of the md5 key = 52 bits, exact in a double), or the id itself."""
+    if seed is None:
+        return F.col(id_col).cast("double")
+    return F.conv(F.substr(shuffle_key(id_col, seed), F.lit(1), F.lit(13)), 16, 10).cast("double")
+
+
+def _order(id_col: str, seed: int | None) -> list[Column]:
+    if seed is None:
+        return [F.col(id_col)]
+    return [shuffle_key(id_col, seed).alias("k"), F.col(id_col).alias("id")]
+
+
+def _boundaries(df: DataFrame, label_col: str, id_col: str, seed: int | None,
+                ranks: dict, sizes: dict) -> DataFrame:
+    """Per class: array of the row keys at the requested ranks (exact, bracketed
+    order statistics; no ranking of the whole class)."""
+    th = keys_at_ranks(df, label_col, _coarse_key(id_col, seed), _order(id_col, seed), ranks, sizes)
+    return th.groupBy(label_col).agg(F.collect_list("key").alias("_bounds"))   # ≤ k keys per class
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float = 0.2,
                      seed: int = SEED, out: str = "is_test") -> DataFrame:
-    """Adds ``is_test`` (boolean); exact per-class sizes, seeded."""
-    quotas = holdout_quotas(class_counts(df, label_col), test_size)
-    q = _quota_frame(df, label_col, list(quotas.items()), "_n_test long")
-    ranked = row_index(df.withColumn("_key", shuffle_key(id_col, seed)),
-                       [F.col("_key"), F.col(id_col)], [label_col], out="_r")
-    j = ranked.join(broadcast_if_small(q), ranked[label_col].eqNullSafe(q["_lab"]))
-    return j.withColumn(out, F.col("_r") <= F.col("_n_test")).drop("_key", "_r", "_lab", "_n_test")
+    """Adds ``is_test`` (boolean); exact per-class sizes, seeded.
+
+    A row is in the test part iff its key ``(md5(seed:id), id)`` is at most the
+    key at rank ``n_test`` of its class — one exact order statistic per class."""
+    counts = class_counts(df, label_col)
+    sizes = dict(counts)
+    quotas = holdout_quotas(counts, test_size)
+    b = _boundaries(df, label_col, id_col, seed, {g: [q] for g, q in quotas.items()}, sizes)
+    key = F.struct(*_order(id_col, seed))
+    j = df.join(F.broadcast(b), df[label_col].eqNullSafe(b[label_col]), "left").drop(b[label_col])
+    is_test = F.coalesce(F.exists(F.col("_bounds"), lambda t: key <= t), F.lit(False))
+    return j.withColumn(out, is_test).drop("_bounds")
 
 
 def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int, shuffle: bool = True,
                      seed: int = SEED, out: str = "fold") -> DataFrame:
-    """T2 (shuffled) / T3 (``shuffle=False``: rows in id order): fold 0..k−1."""
-    alloc = fold_allocation(class_counts(df, label_col), k)
-    bounds = []
+    """T2 (shuffled) / T3 (``shuffle=False``: rows in id order): fold 0..k−1.
+
+    The class-wise fold sizes fix k−1 boundary ranks per class; a row's fold is
+    the number of boundary keys below its key."""
+    counts = class_counts(df, label_col)
+    sizes = dict(counts)
+    alloc = fold_allocation(counts, k)
+    ranks, zero = {}, {}
     for lab, per_fold in alloc.items():
-        acc, cum = 0, []
-        for a in per_fold:
+        cum, acc = [], 0
+        for a in per_fold[:-1]:
             acc += a
             cum.append(acc)
-        bounds.append((lab, cum))
-    b = _quota_frame(df, label_col, bounds, "_bounds array<bigint>")
-    order = [F.col("_key"), F.col(id_col)] if shuffle else [F.col(id_col)]
-    base = df.withColumn("_key", shuffle_key(id_col, seed)) if shuffle else df
-    ranked = row_index(base, order, [label_col], out="_r")
-    j = ranked.join(broadcast_if_small(b), ranked[label_col].eqNullSafe(b["_lab"]))
-    fold = F.size(F.filter(F.col("_bounds"), lambda x: x < F.col("_r"))).cast("int")
-    return j.withColumn(out, fold).drop("_key", "_r", "_lab", "_bounds")
+        ranks[lab] = [r for r in cum if r > 0]
+        zero[lab] = sum(1 for r in cum if r == 0)        # empty leading folds
+    use_seed = seed if shuffle else None
+    b = _boundaries(df, label_col, id_col, use_seed, ranks, sizes)
+    key = F.struct(*_order(id_col, use_seed))
+    j = df.join(F.broadcast(b), df[label_col].eqNullSafe(b[label_col]), "left").drop(b[label_col])
+    offset = F.lit(0)
+    for lab, z in zero.items():
+        if z:
+            offset = F.when(F.col(label_col) == F.lit(lab), F.lit(z)).otherwise(offset)
+    below = F.coalesce(F.size(F.filter(F.col("_bounds"), lambda t: t < key)), F.lit(0))
+    return j.withColumn(out, (below + offset).cast("int")).drop("_bounds")
 
 
 def class_weight_column(df: DataFrame, label_col: str,
