@@ -32,6 +32,9 @@ BROADCAST_ROW_LIMIT = 2_000_000
 # Offsets tables up to this many rows are computed once and held as a local
 # relation, so later actions on a ranked frame do not re-aggregate them.
 LOCAL_OFFSETS_LIMIT = 100_000
+# Bracketed rows (exactly counted first) up to this many are ordered on the
+# driver instead of by a distributed ranking job.
+LOCAL_BRACKET_LIMIT = 200_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -239,6 +242,8 @@ def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence
                  F.sum(F.when((h >= lo_j) & (h <= hi_j), 1).otherwise(0)).alias(f"i{j}")]
     counts = {r[group_col]: r for r in with_br.groupBy(group_col).agg(*aggs).collect()}
     rows = []
+    n_inside = 0
+    belows_of = {}
     for g, rs in plan.items():
         c = counts[g]
         los, his, belows = [], [], []
@@ -249,9 +254,12 @@ def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence
             b, i = int(c[f"b{j}"] or 0), int(c[f"i{j}"] or 0)
             if lo is not None and hi is not None and b < r <= b + i:
                 los.append(lo), his.append(hi), belows.append(b)
+                n_inside += i
             else:                                   # bracket missed: whole group
                 los.append(None), his.append(None), belows.append(0)
+                n_inside += int(sizes[g])
         pad = m - len(rs)
+        belows_of[g] = belows
         rows.append((g, rs + [0] * pad, los + [None] * pad, his + [None] * pad, belows + [0] * pad))
     fixed = spark.createDataFrame(rows, f"{group_col} {gtype}, _r array<bigint>, _lo array<double>, "
                                         f"_hi array<double>, _below array<bigint>")
@@ -260,6 +268,19 @@ def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence
         F.explode(F.filter(F.sequence(F.lit(1), F.lit(m)), lambda j: (F.element_at("_r", j) > 0) & (
             (F.element_at("_lo", j).isNull() | (h >= F.element_at("_lo", j)))
             & (F.element_at("_hi", j).isNull() | (h <= F.element_at("_hi", j)))))).alias("_j"))
+    if n_inside <= LOCAL_BRACKET_LIMIT:
+        # The bracketed rows were counted exactly above: a bounded fetch, then
+        # the target rank is picked from the sorted keys of each bracket.
+        picked = {}
+        for r in inside.select(group_col, "_j", "_key").collect():
+            picked.setdefault((r[group_col], r["_j"]), []).append(r["_key"])
+        out = []
+        for (g, jj), keys in picked.items():
+            keys.sort(key=tuple)
+            rank = plan[g][jj - 1]
+            below = belows_of[g][jj - 1]
+            out.append((g, jj - 1, rank, keys[rank - below - 1]))
+        return spark.createDataFrame(out, f"{group_col} {gtype}, j int, rank long, key {key_schema}")
     ranked = running_totals(inside, [F.col("_key")], [group_col, "_j"], None, count_col="_rin")
     hit = F.col("_rin") + F.element_at("_below", F.col("_j")) == F.element_at("_r", F.col("_j"))
     return ranked.where(hit).select(group_col, (F.col("_j") - 1).cast("int").alias("j"),
