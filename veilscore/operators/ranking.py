@@ -28,7 +28,7 @@ from ..session import ensure_checkpoint_dir
 
 # Largest helper table this library broadcasts (rows).  Above it the join is a
 # regular shuffle join chosen by Catalyst/AQE.
-BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_ROW_LIMIT = 500_000
 # Offsets tables up to this many rows are computed once and held as a local
 # relation, so later actions on a ranked frame do not re-aggregate them.
 LOCAL_OFFSETS_LIMIT = 100_000
