@@ -127,3 +127,13 @@ def test_keys_at_ranks_bracket_miss(spark, monkeypatch):
     got = R.keys_at_ranks(spark.createDataFrame(pdf), "g", F.col("h"), [F.col("h"), F.col("id")],
                           {"x": [10, 50]}, {"x": 100}).orderBy("j").collect()
     assert [r["key"]["id"] for r in got] == [90, 50]
+
+
+def test_keys_at_ranks_with_null_keys(spark):
+    from veilscore.operators.ranking import keys_at_ranks
+    rows = [("a", None if i < 5 else float(i), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, h double, id long")
+    got = keys_at_ranks(df, "g", F.col("h"), [F.col("h"), F.col("id")], {"a": [3, 6, 40]}, {"a": 40})
+    by = {r["j"]: (r["key"]["h"], r["key"]["id"]) for r in got.collect()}
+    # Spark order: the five null-h rows first (by id), then h = 5..39
+    assert by == {0: (None, 2), 1: (5.0, 5), 2: (39.0, 39)}

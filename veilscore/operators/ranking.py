@@ -238,7 +238,8 @@ def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence
     aggs = []
     for j in range(m):
         lo_j, hi_j = F.element_at("_lo", j + 1), F.element_at("_hi", j + 1)
-        aggs += [F.sum(F.when(h < lo_j, 1).otherwise(0)).alias(f"b{j}"),
+        # Null keys sort first (ascending), so they count as "below" every bracket.
+        aggs += [F.sum(F.when(h.isNull() | (h < lo_j), 1).otherwise(0)).alias(f"b{j}"),
                  F.sum(F.when((h >= lo_j) & (h <= hi_j), 1).otherwise(0)).alias(f"i{j}")]
     counts = {r[group_col]: r for r in with_br.groupBy(group_col).agg(*aggs).collect()}
     rows = []
@@ -275,8 +276,11 @@ def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence
         for r in inside.select(group_col, "_j", "_key").collect():
             picked.setdefault((r[group_col], r["_j"]), []).append(r["_key"])
         out = []
+        def spark_order(k):           # ascending, nulls first, field by field
+            return tuple((v is not None, v) for v in k)
+
         for (g, jj), keys in picked.items():
-            keys.sort(key=tuple)
+            keys.sort(key=spark_order)
             rank = plan[g][jj - 1]
             below = belows_of[g][jj - 1]
             out.append((g, jj - 1, rank, keys[rank - below - 1]))
