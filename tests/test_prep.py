@@ -98,3 +98,12 @@ def test_median_imputer_exact(spark):
     imp = fit_median_imputer(df, ["v"])
     assert imp.medians == {"v": 6.0}
     assert [r[0] for r in imp.transform(df).collect()][-1] == 6.0
+
+
+def test_ordinal_codes_distributed_path_matches_local(spark, monkeypatch):
+    import veilscore.operators.encode as ENC
+    df = spark.createDataFrame([(f"c{i % 37}", f"d{i % 5}") for i in range(300)], "a string, b string")
+    local = {(r["feature"], r["category"]): r["code"] for r in ENC.fit_ordinal_encoder(df, ["a", "b"]).codes.collect()}
+    monkeypatch.setattr(ENC, "LOCAL_CODES_LIMIT", 1)
+    dist = {(r["feature"], r["category"]): r["code"] for r in ENC.fit_ordinal_encoder(df, ["a", "b"]).codes.collect()}
+    assert local == dist and len(local) == 42

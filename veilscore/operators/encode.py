@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .ranking import BROADCAST_ROW_LIMIT, row_index
 
+LOCAL_CODES_LIMIT = 200_000
+
 
 @dataclass
 class OrdinalEncoder:
@@ -48,6 +50,18 @@ def fit_ordinal_encoder(df: DataFrame, cols: Sequence[str]) -> OrdinalEncoder:
     stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     pairs = df.selectExpr(f"stack({len(cols)}, {stack}) AS (feature, category)") \
         .where(F.col("category").isNotNull()).distinct()
+    # Category sets are usually small: a bounded fetch (at most LOCAL_CODES_LIMIT
+    # pairs, checked by the fetch itself) is sorted on the driver — Python's
+    # code-point order equals Spark's binary string order.  Larger sets are
+    # ranked with the distributed primitive.
+    head = pairs.limit(LOCAL_CODES_LIMIT + 1).collect()
+    if len(head) <= LOCAL_CODES_LIMIT:
+        by_feature: dict[str, list[str]] = {}
+        for r in head:
+            by_feature.setdefault(r["feature"], []).append(r["category"])
+        rows = [(f, c, float(i)) for f, cats in by_feature.items() for i, c in enumerate(sorted(cats))]
+        codes = spark.createDataFrame(rows, "feature string, category string, code double")
+        return OrdinalEncoder(codes, cols)
     ranked = row_index(pairs, ["category"], ["feature"], out="_rn")
     # `ranked` already reads the ranking checkpoint (joined to a small offsets
     # relation), so the code table is fixed and cheap to scan again.
