@@ -137,3 +137,15 @@ def test_keys_at_ranks_with_null_keys(spark):
     by = {r["j"]: (r["key"]["h"], r["key"]["id"]) for r in got.collect()}
     # Spark order: the five null-h rows first (by id), then h = 5..39
     assert by == {0: (None, 2), 1: (5.0, 5), 2: (39.0, 39)}
+
+
+def test_median_distributed_path_matches(spark, monkeypatch):
+    import veilscore.operators.ranking as R
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"feature": rng.choice(["a", "b"], 3001), "value": rng.normal(size=3001)})
+    df = spark.createDataFrame(pdf)
+    local = {r["feature"]: r["median"] for r in R.exact_medians(df).collect()}
+    monkeypatch.setattr(R, "LOCAL_BRACKET_LIMIT", 1)
+    dist = {r["feature"]: r["median"] for r in R.exact_medians(df, accuracy=4).collect()}
+    exp = {k: float(np.median(v)) for k, v in pdf.groupby("feature")["value"]}
+    assert local == exp and dist == exp

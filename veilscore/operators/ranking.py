@@ -148,6 +148,7 @@ def exact_medians(long_df: DataFrame, group_col: str = "feature",
 
     Returns ``(group, median, n)``; groups with no valid value are absent.
     """
+    spark = long_df.sparkSession
     v = F.col(value_col).cast("double")
     clean = long_df.select(F.col(group_col), v.alias("_x")) \
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
@@ -171,10 +172,33 @@ def exact_medians(long_df: DataFrame, group_col: str = "feature",
         group_col, "n", "_klo", "_khi",
         F.when(ok, F.col("_lo")).alias("_lo"), F.when(ok, F.col("_hi")).alias("_hi"),
         F.when(ok, F.col("_below")).otherwise(F.lit(0)).alias("_below"))
-    brackets = broadcast_if_small(brackets)
-    inside = clean.join(brackets, group_col).where(
+    bracket_rows = brackets.collect()                      # one row per group
+    brackets = spark.createDataFrame(bracket_rows, brackets.schema)
+    inside = clean.join(F.broadcast(brackets), group_col).where(
         (F.col("_lo").isNull() | (x >= lo)) & (F.col("_hi").isNull() | (x <= hi)))
     d = inside.groupBy(group_col, "_x").agg(F.count(F.lit(1)).alias("_cnt"))
+    head = d.limit(LOCAL_BRACKET_LIMIT + 1).collect()
+    if len(head) <= LOCAL_BRACKET_LIMIT:
+        # Bounded fetch of the distinct bracketed values: walk the cumulative
+        # counts on the driver to the two middle ranks.
+        meta = {r[group_col]: r for r in bracket_rows}
+        values: dict = {}
+        for r in head:
+            values.setdefault(r[group_col], []).append((r["_x"], int(r["_cnt"])))
+        out = []
+        for g, vs in values.items():
+            m = meta[g]
+            cum, vlo, vhi = int(m["_below"]), None, None
+            for val, cnt in sorted(vs):
+                if vlo is None and cum + cnt >= m["_klo"]:
+                    vlo = val
+                if vhi is None and cum + cnt >= m["_khi"]:
+                    vhi = val
+                    break
+                cum += cnt
+            out.append((g, (vlo + vhi) / 2.0, int(m["n"])))
+        gtype = long_df.schema[group_col].dataType.simpleString()
+        return spark.createDataFrame(out, f"{group_col} {gtype}, median double, n bigint")
     rt = running_totals(d, ["_x"], [group_col], {"_cum": "_cnt"}, count_col=None)
     joined = rt.join(brackets.select(group_col, "n", "_klo", "_khi", "_below"), group_col)
     cum = F.col("_cum") + F.col("_below")
