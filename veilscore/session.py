@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "veilscore") -> SparkSession:
+                  app_name: str = "veilscore", extra_conf: dict | None = None) -> SparkSession:
     """Session for tests and local benchmarks (UI off, AQE on)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
