@@ -98,3 +98,19 @@ def test_commitment_detects_tampering_and_loss(spark):
     assert (bad["n_match"], bad["status"]) == (29, "FAIL")
     lost = verify_counts(x, E.open_and_verify(scored.where("id <> 7"), ring, m, "id")).first()
     assert (lost["n_rows"], lost["n_match"], lost["status"]) == (30, 29, "FAIL")
+
+
+def test_paillier_owner_sealing_is_same_scheme(spark):
+    sk = P.keygen(256)
+    m = LinearModel((1, -4, 7), bias=2)
+    x = _features(spark, 12, 3)
+    fast = P.seal(x, sk.public, "id", owner=sk)
+    opened = P.open_scores(P.score(fast, m, sk.public, "id"), sk, "id")
+    plain = S.score_array(x, m, keep=["id"], out="exp")
+    assert opened.join(plain, "id").where("score = exp").count() == 12
+    # a single value: both encryptions decrypt to the same plaintext
+    pk, crt = sk.public, sk.crt_parts()
+    for v in (0, 5, -9):
+        for c in (P._encrypt(v, pk), P._encrypt(v, pk, crt)):
+            dec = ((pow(c, sk.lam, pk.n2) - 1) // pk.n) * sk.mu % pk.n
+            assert (dec - pk.n if dec > pk.n // 2 else dec) == v

@@ -305,7 +305,7 @@ def paillier_score_opened(spark, sf):
     from ..operators import paillier as P
     m = I.embedding_model()
     sk = P.keygen(512)
-    sealed = P.seal(I.embedding_features(spark, sf), sk.public, "vec_id")
+    sealed = P.seal(I.embedding_features(spark, sf), sk.public, "vec_id", owner=sk)
     return P.open_scores(P.score(sealed, m, sk.public, "vec_id"), sk, "vec_id")
 
 
