@@ -7,7 +7,6 @@ results with distributed plans.
 
 from __future__ import annotations
 
-from ..operators.seal import MODULUS  # noqa: F401  (documented constant)
 from ..sources.model import TEST_FEATURE_SCALE, TEST_MODEL_BIAS, TEST_MODEL_WEIGHTS_64
 from . import inputs as I
 

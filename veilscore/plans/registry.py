@@ -6,7 +6,6 @@ Computed doubles are rounded to 6 places so the DuckDB oracle can compare them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intcols import int_or_zero, narrow, quantize_array, uint64_reinterpret
