@@ -107,3 +107,17 @@ def test_ordinal_codes_distributed_path_matches_local(spark, monkeypatch):
     monkeypatch.setattr(ENC, "LOCAL_CODES_LIMIT", 1)
     dist = {(r["feature"], r["category"]): r["code"] for r in ENC.fit_ordinal_encoder(df, ["a", "b"]).codes.collect()}
     assert local == dist and len(local) == 42
+
+
+def test_fitted_prep_save_load_roundtrip(spark, tmp_out):
+    from veilscore.plans.prepare import FittedPrep
+    tx = spark.createDataFrame([(1, 10.0, "a", 0), (2, None, "b", 1), (3, 30.0, None, 0), (4, 5.0, "a", 1)],
+                               "id long, v double, c string, y int")
+    out, fit = prepare(tx, None, "id", "y")
+    fit.save(spark, f"{tmp_out}/prep")
+    again = FittedPrep.load(spark, f"{tmp_out}/prep")
+    new = spark.createDataFrame([(9, None, "zzz", 1), (10, 7.0, "b", 0)], "id long, v double, c string, y int")
+    a = sorted(tuple(r) for r in fit.transform(new).collect())
+    b = sorted(tuple(r) for r in again.transform(new).collect())
+    assert a == b and a[0][2] == -1.0          # unseen category → −1
+    assert sorted(tuple(r) for r in again.transform(tx).collect()) == sorted(tuple(r) for r in out.collect())

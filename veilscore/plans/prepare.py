@@ -61,6 +61,32 @@ class FittedPrep:
         return {"imputer": self.imputer.frame(spark), "scaler": self.scaler.frame(spark),
                 "encoder": self.encoder.codes}
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Parameter tables + a one-row spec, as Parquet under ``path``."""
+        base = path.rstrip("/")
+        for name, df in self.parameter_frames(spark).items():
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        spec = spark.createDataFrame(
+            [(self.id_col, self.label_col, self.numeric, self.categorical, self.fill)],
+            "id_col string, label_col string, numeric array<string>, "
+            "categorical array<string>, fill string")
+        spec.write.mode("overwrite").parquet(f"{base}/spec")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FittedPrep":
+        """Read what :meth:`save` wrote; parameters are one row per feature or
+        category (the code table stays a DataFrame)."""
+        base = path.rstrip("/")
+        spec = spark.read.parquet(f"{base}/spec").first()
+        imp_rows = spark.read.parquet(f"{base}/imputer").collect()
+        imputer = MedianImputer({r["feature"]: r["value"] for r in imp_rows if r["kind"] == "median"},
+                                [r["feature"] for r in imp_rows if r["kind"] == "dropped"])
+        scaler = StandardScalerFit({r["feature"]: (r["mean"], r["std"])
+                                    for r in spark.read.parquet(f"{base}/scaler").collect()})
+        encoder = OrdinalEncoder(spark.read.parquet(f"{base}/encoder"), list(spec["categorical"]))
+        return cls(spec["id_col"], spec["label_col"], list(spec["numeric"]), list(spec["categorical"]),
+                   imputer, scaler, encoder, spec["fill"])
+
 
 def prepare(tx: DataFrame, identity: DataFrame | None, key: str | Sequence[str], label_col: str,
             id_col: str | None = None, fill: str = "MISSING", null_safe: bool = False,
