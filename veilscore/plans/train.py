@@ -6,6 +6,7 @@ threshold at precision, average precision, ROC-AUC → summary (+ optional sinks
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -55,6 +56,7 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
     train_part = split.where(~F.col("is_test")).drop("is_test")
     test_part = split.where(F.col("is_test")).drop("is_test")
     folded = checkpointed(stratified_folds(train_part, label_col, id_col, k, shuffle_folds, seed))
+    t_search = time.perf_counter()
     results = ML.cross_validate(folded, model, cands, features, label_col, "fold", scale_col,
                                 parallelism)
     best_i = ML.best_candidate(results)
@@ -62,6 +64,7 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
     tr = ML.with_weight_columns(train_part, label_col, [best])
     ws = ML._weight_sum(tr, best) if model == "lr" else None
     fitted = ML.make_pipeline(model, best, features, label_col, scale_col, ws).fit(tr)
+    training_seconds = time.perf_counter() - t_search
     te = ML.with_weight_columns(test_part, label_col, [best])
     scored = ML.positive_probability(fitted.transform(te)).select(id_col, label_col, "prob")
     pts = M.curve_points(scored, label_col, "prob")
@@ -71,7 +74,8 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
         F.lit(mode).alias("mode"), F.lit(rid).alias("run_id"),
         F.lit(ML.MODEL_LABELS.get(model, model)).alias("model"),
         F.col("average_precision").alias("pr_auc"), "roc_auc", "thr", "prec_at_thr", "rec_at_thr",
-        F.lit(str(best)).alias("best_params"))
+        F.lit(str(best)).alias("best_params"),
+        F.lit(round(training_seconds, 3)).alias("training_seconds"))
     if out_dir:
         label = ML.MODEL_LABELS.get(model, model)
         run_dir = f"{out_dir.rstrip('/')}/{label}/{mode}/{rid}"
