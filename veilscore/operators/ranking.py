@@ -92,12 +92,28 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     ranged = (base.repartitionByRange(int(num_partitions), *keys) if num_partitions
               else base.repartitionByRange(*keys)).withColumn("_pid", F.spark_partition_id())
 
-    w_local = Window.partitionBy("_pid", *parts).orderBy(*orders) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_lc", F.count(F.lit(1)).over(w_local))
-    for n in val_cols:
-        local = local.withColumn(f"_l{n}", F.sum(n).over(w_local))
+    if val_cols:
+        w_local = Window.partitionBy("_pid", *parts).orderBy(*orders) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = ranged.withColumn("_lc", F.count(F.lit(1)).over(w_local))
+        for n in val_cols:
+            local = local.withColumn(f"_l{n}", F.sum(n).over(w_local))
+    else:
+        # Counts only: after sorting inside each range partition the generated
+        # id is (partition << 33) + position, so the position is the local rank —
+        # no window, hence no second exchange of the rows.
+        local = ranged.sortWithinPartitions(*[F.col(p) for p in parts], *orders) \
+            .withColumn("_mid", F.monotonically_increasing_id())
     local = checkpointed(local)
+    if not val_cols:
+        first = local.groupBy("_pid", *parts).agg(F.min("_mid").alias("_m0"))
+        first = F.broadcast(first) if first.limit(LOCAL_OFFSETS_LIMIT + 1).count() <= LOCAL_OFFSETS_LIMIT \
+            else first
+        cond0 = local["_pid"] == first["_pid"]
+        for p in parts:
+            cond0 = cond0 & local[p].eqNullSafe(first[p])
+        local = local.join(first, cond0).select(
+            local["*"], (local["_mid"] - first["_m0"] + 1).alias("_lc")).drop("_mid")
 
     totals = local.groupBy("_pid", *parts).agg(
         F.count(F.lit(1)).alias("_tc"), *[F.sum(n).alias(f"_t{n}") for n in val_cols])
