@@ -97,7 +97,8 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = ranged.withColumn("_lc", F.count(F.lit(1)).over(w_local))
         for n in val_cols:
-            local = local.withColumn(f"_l{n}", F.sum(n).over(w_local))
+            local = local.withColumn(f"_l{n}", F.sum(n).over(w_local)) \
+                .withColumn(f"_ln{n}", F.count(n).over(w_local))        # non-null values
     else:
         # Counts only: after sorting inside each range partition the generated
         # id is (partition << 33) + position, so the position is the local rank —
@@ -116,13 +117,15 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
             local["*"], (local["_mid"] - first["_m0"] + 1).alias("_lc")).drop("_mid")
 
     totals = local.groupBy("_pid", *parts).agg(
-        F.count(F.lit(1)).alias("_tc"), *[F.sum(n).alias(f"_t{n}") for n in val_cols])
+        F.count(F.lit(1)).alias("_tc"), *[F.sum(n).alias(f"_t{n}") for n in val_cols],
+        *[F.count(n).alias(f"_tn{n}") for n in val_cols])
     w_off = Window.partitionBy(*parts).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         F.col("_pid").alias("_o_pid"), *[F.col(p).alias(f"_o_{p}") for p in parts],
         F.coalesce(F.sum("_tc").over(w_off), F.lit(0)).alias("_oc"),
-        *[F.coalesce(F.sum(f"_t{n}").over(w_off), F.lit(0)).alias(f"_o{n}") for n in val_cols])
+        *[F.coalesce(F.sum(f"_t{n}").over(w_off), F.lit(0)).alias(f"_o{n}") for n in val_cols],
+        *[F.coalesce(F.sum(f"_tn{n}").over(w_off), F.lit(0)).alias(f"_on{n}") for n in val_cols])
     # One bounded fetch both sizes and reads the offsets table.
     head = offsets.limit(LOCAL_OFFSETS_LIMIT + 1).collect()
     if len(head) <= LOCAL_OFFSETS_LIMIT:
@@ -139,7 +142,11 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     if count_col:
         out_cols.append((F.col("_lc") + F.col("_oc")).alias(count_col))
     for name in sums:
-        out_cols.append((F.col(f"_l_v_{name}") + F.col(f"_o_v_{name}")).alias(name))
+        # Like a window sum: null only while every value so far (in this and
+        # all earlier range partitions) is null.
+        seen = F.col(f"_ln_v_{name}") + F.col(f"_on_v_{name}") > 0
+        total = F.coalesce(F.col(f"_l_v_{name}"), F.lit(0)) + F.col(f"_o_v_{name}")
+        out_cols.append(F.when(seen, total).alias(name))
     return joined.select(*out_cols)
 
 
