@@ -30,3 +30,28 @@ def test_running_totals_property(spark, data, parts):
                 seen = True
             expected[uid] = (rn, acc if seen else None)     # Spark's sum skips nulls
     assert got == expected
+
+
+keyed = st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6)), min_size=1, max_size=80)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=keyed, acc=st.sampled_from([2, 4, 16, 10_000]), picks=st.lists(st.floats(0, 1), min_size=1, max_size=4))
+def test_keys_at_ranks_property(spark, data, acc, picks):
+    from pyspark.sql import functions as F
+    from veilscore.operators.ranking import keys_at_ranks
+    records = [(g, h, uid) for uid, (g, h) in enumerate(data)]
+    sizes = {}
+    for g, _, _ in records:
+        sizes[g] = sizes.get(g, 0) + 1
+    ranks = {g: sorted({max(1, min(n, int(round(p * n)) or 1)) for p in picks}) for g, n in sizes.items()}
+    df = spark.createDataFrame(records, "g string, h long, uid long")
+    got = {(r["g"], r["rank"]): r["key"]["uid"] for r in
+           keys_at_ranks(df, "g", F.col("h"), [F.col("h"), F.col("uid")], ranks, sizes,
+                         accuracy=acc).collect()}
+    expected = {}
+    for g, rs in ranks.items():
+        ordered = sorted((r for r in records if r[0] == g), key=lambda r: (r[1], r[2]))
+        for r in rs:
+            expected[(g, r)] = ordered[r - 1][2]
+    assert got == expected
