@@ -55,3 +55,23 @@ def test_keys_at_ranks_property(spark, data, acc, picks):
         for r in rs:
             expected[(g, r)] = ordered[r - 1][2]
     assert got == expected
+
+
+values = st.lists(st.tuples(st.sampled_from(["f", "g"]),
+                            st.one_of(st.none(), st.integers(-3, 3).map(float),
+                                      st.floats(-100, 100, allow_nan=False))),
+                  min_size=0, max_size=80)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=values, acc=st.sampled_from([2, 4, 16, 10_000]))
+def test_exact_median_property(spark, data, acc):
+    import statistics
+    from veilscore.operators.ranking import exact_medians
+    df = spark.createDataFrame(data, "feature string, value double")
+    got = {r["feature"]: r["median"] for r in exact_medians(df, accuracy=acc).collect()}
+    groups = {}
+    for f, v in data:
+        if v is not None:
+            groups.setdefault(f, []).append(v)
+    assert got == {f: statistics.median(vs) for f, vs in groups.items()}
