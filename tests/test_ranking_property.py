@@ -75,3 +75,32 @@ def test_exact_median_property(spark, data, acc):
         if v is not None:
             groups.setdefault(f, []).append(v)
     assert got == {f: statistics.median(vs) for f, vs in groups.items()}
+
+
+scored = st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20).map(lambda v: v / 20.0)),
+                  min_size=1, max_size=80)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=scored)
+def test_metrics_property(spark, data):
+    import numpy as np
+    import pytest
+    from tests.test_metrics import _np_reference
+    from veilscore.operators import metrics as M
+    y = np.array([d[0] for d in data])
+    s = np.array([d[1] for d in data])
+    df = spark.createDataFrame(data, "label int, score double")
+    pts = M.curve_points(df)
+    a = M.areas(pts).first()
+    if y.min() == y.max():                       # one class: areas undefined
+        assert a["roc_auc"] is None
+        return
+    ap, trap, roc, t95, smoke = _np_reference(y, s)
+    assert a["average_precision"] == pytest.approx(ap, rel=1e-9)
+    assert a["pr_auc_trapezoid"] == pytest.approx(trap, rel=1e-9)
+    assert a["roc_auc"] == pytest.approx(roc, rel=1e-9)
+    t = M.threshold_at_precision(pts).first()
+    assert (t["thr"], t["prec_at_thr"], t["rec_at_thr"]) == pytest.approx(t95)
+    t2 = M.threshold_smoke(pts).first()
+    assert (t2["thr"], t2["prec_at_thr"], t2["rec_at_thr"]) == pytest.approx(smoke)
