@@ -6,8 +6,22 @@ Every query runs its operator with production parameters over the whole table.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import read_table
-from . import simhash
+from . import language, simhash
+
+
+def _crc_of_id(column="doc_id"):
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op1_language_id(spark, sf):
+    """PPM language of every document; rows with crc32(doc_id) mod 4 = 2 are held out."""
+    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang")
+    model = language.train(docs, allowed=_crc_of_id() % 4 != 2)
+    return language.predict(docs, model).select(
+        "doc_id", (_crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_simhash_neardup(spark, sf):
@@ -16,6 +30,7 @@ def op9_simhash_neardup(spark, sf):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
