@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,6 +220,30 @@ def has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
+def scored(model: LanguageModel | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of every text of a column."""
+    names: list[str] = []
+    scores: list[float] = []
+    for chunk in text_chunks(texts):
+        if model is None:
+            names += [UNDETERMINED] * chunk.n
+            scores += [0.0] * chunk.n
+            continue
+        plain = _FOLD[chunk.data]
+        found = np.zeros(len(plain) + 1, np.int64)
+        np.cumsum((plain != _GAP) & (plain < 0x80), out=found[1:])
+        letters = found[chunk.offsets[1:]] > found[chunk.offsets[:-1]]
+        for i in np.flatnonzero(~letters):           # no ASCII letter: look at the others
+            letters[i] = has_letter(chunk.data[chunk.offsets[i]:chunk.offsets[i + 1]].tobytes())
+        bits = model.bits(chunk.data, chunk.offsets)
+        best = bits.argmin(axis=1)
+        gap = (bits - bits.min(axis=1, keepdims=True)) / _UNIT
+        share = 1.0 / np.exp2(-np.minimum(gap, 1000.0)).sum(axis=1)
+        names += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters)]
+        scores += np.where(letters, share, 0.0).tolist()
+    return names, scores
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score)``, one row per input row, whole texts.
@@ -231,27 +256,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            names: list[str] = []
-            scores: list[float] = []
-            for chunk in text_chunks(batch.column(1)):
-                ascii_letter = np.zeros(len(chunk.data) + 1, np.int64)
-                folded_ = _FOLD[chunk.data]
-                np.cumsum((folded_ != _GAP) & (folded_ < 0x80), out=ascii_letter[1:])
-                letters = ascii_letter[chunk.offsets[1:]] > ascii_letter[chunk.offsets[:-1]]
-                for i in np.flatnonzero(~letters):
-                    letters[i] = has_letter(chunk.data[chunk.offsets[i]:chunk.offsets[i + 1]].tobytes())
-                if model is None:
-                    names += [UNDETERMINED] * chunk.n
-                    scores += [0.0] * chunk.n
-                    continue
-                bits = model.bits(chunk.data, chunk.offsets)
-                best = bits.argmin(axis=1)
-                gap = (bits - bits.min(axis=1, keepdims=True)) / _UNIT
-                share = 1.0 / np.exp2(-np.minimum(gap, 1000.0)).sum(axis=1)
-                names += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters)]
-                scores += np.where(letters, share, 0.0).tolist()
+            names, scores = scored(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"])
@@ -259,3 +265,28 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     source = id_and_text(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.5,
+               lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a language, all columns in place.
+
+    Rejected are null texts, texts without a letter and texts whose best language
+    has a score below ``min_score``.  A null ``lang_col`` gets the language found.
+    An empty model (no labelled text) rejects nothing.
+    """
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = scored(shared.value, batch.column(text_at))
+            keep = pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores)],
+                            pa.bool_())
+            columns = batch.columns
+            columns[lang_at] = pc.coalesce(columns[lang_at], pa.array(names, columns[lang_at].type))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)

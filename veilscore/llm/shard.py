@@ -29,8 +29,6 @@ MIN_BUCKETS = 1 << 8
 SALTS = 256
 #: Cycle-walking steps; each one fails with a probability of about 1/sqrt(n).
 WALKS = 64
-_PRIVATE = ("__bucket", "__hash", "__hot", "__salt", "__offset")
-
 
 def _domain(n: int) -> tuple[int, int]:
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
@@ -39,9 +37,8 @@ def _domain(n: int) -> tuple[int, int]:
 
 def _rounds(x: Column, n: int, seed: int) -> Column:
     a, b = _domain(n)
-    left, right = F.floor(x / F.lit(b)).cast("long"), x % F.lit(b)
-    if b * a >= 1 << 50:                     # beyond exact doubles: integer division
-        left = F.expr("0") + (x - right) / F.lit(b)
+    right = x % F.lit(b)
+    left = ((x - right) / F.lit(b)).cast("long")          # exact below 2^53 rows
     for j in range(ROUNDS):
         key = F.lit(seed * 64 + j).cast("long")
         if j % 2:
@@ -76,32 +73,32 @@ def numbered(df: DataFrame, by: list[str], n: int, name: str = "row_number") ->
     """
     bits = max(MIN_BUCKETS, -(-n // BUCKET_ROWS))
     bits = (bits - 1).bit_length()
-    keyed = df.withColumn("__hash", F.xxhash64(*by)).withColumn(
-        "__bucket", F.shiftrightunsigned("__hash", 64 - bits))
-    counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("rows"))
+    keyed = df.withColumn("__feistel_hash", F.xxhash64(*by)).withColumn(
+        "__feistel_bucket", F.shiftrightunsigned("__feistel_hash", 64 - bits))
+    counts = keyed.groupBy("__feistel_bucket").agg(F.count(F.lit(1)).alias("rows"))
     limit = 8 * max(BUCKET_ROWS // 64, -(-n // (1 << bits)))
-    crowded = [r[0] for r in counts.filter(F.col("rows") > limit).select("__bucket").collect()]
+    crowded = [r[0] for r in counts.filter(F.col("rows") > limit).select("__feistel_bucket").collect()]
     hot: list[int] = []
     if crowded:                                # at most 2^bits / 8 of them
-        hot = [r[0] for r in keyed.filter(F.col("__bucket").isin(crowded)).groupBy("__hash").count()
-               .filter(F.col("count") > limit).select("__hash").collect()]
-    is_hot = F.col("__hash").isin(hot) if hot else F.lit(False)
-    keyed = (keyed.withColumn("__hot", F.when(is_hot, F.col("__hash")))
-             .withColumn("__salt", F.when(is_hot, F.monotonically_increasing_id() % SALTS)
+        hot = [r[0] for r in keyed.filter(F.col("__feistel_bucket").isin(crowded)).groupBy("__feistel_hash").count()
+               .filter(F.col("count") > limit).select("__feistel_hash").collect()]
+    is_hot = F.col("__feistel_hash").isin(hot) if hot else F.lit(False)
+    keyed = (keyed.withColumn("__feistel_hot", F.when(is_hot, F.col("__feistel_hash")))
+             .withColumn("__feistel_salt", F.when(is_hot, F.monotonically_increasing_id() % SALTS)
                          .otherwise(F.lit(0))))
-    piece = ["__bucket", "__hot", "__salt"]
+    piece = ["__feistel_bucket", "__feistel_hot", "__feistel_salt"]
     sizes = keyed.groupBy(*piece).agg(F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy(*[F.col(c).asc_nulls_first() for c in piece]).rowsBetween(
         Window.unboundedPreceding, -1)
     # One row per bucket and salted piece: bounded by 2^bits + SALTS * 2^bits / 8.
     offsets = sizes.select(*[F.col(c).alias(f"{c}_of") for c in piece],
-                           F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__offset"))
+                           F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__feistel_offset"))
     match = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in piece]
-    within = F.row_number().over(Window.partitionBy(*piece).orderBy("__hash", *by))
-    return (keyed.withColumn("__within", within)
+    within = F.row_number().over(Window.partitionBy(*piece).orderBy("__feistel_hash", *by))
+    return (keyed.withColumn("__feistel_within", within)
             .join(F.broadcast(offsets), match[0] & match[1] & match[2])
             .select(*[F.col(f"`{c}`") for c in df.columns if c != name],
-                    (F.col("__offset") + F.col("__within") - 1).cast("long").alias(name)))
+                    (F.col("__feistel_offset") + F.col("__feistel_within") - 1).cast("long").alias(name)))
 
 
 def sharded(df: DataFrame, shards: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
@@ -111,8 +108,8 @@ def sharded(df: DataFrame, shards: int, by: list[str] | None = None, seed: int =
     Nulls hash like any value; null and empty texts, ties and repeated rows each
     get a place of their own; an empty table stays empty.
     """
-    df = df.drop("shard", "slot", *_PRIVATE)
+    df = df.drop("shard", "slot")
     n = df.count()
-    rows = numbered(df, by or df.columns, n, "__number")
-    shard, slot = place(F.col("__number"), max(n, 1), shards, seed)
-    return (rows.withColumn("shard", shard).withColumn("slot", slot).drop("__number"))
+    rows = numbered(df, by or df.columns, n, "__feistel_number")
+    shard, slot = place(F.col("__feistel_number"), max(n, 1), shards, seed)
+    return (rows.withColumn("shard", shard).withColumn("slot", slot).drop("__feistel_number"))

@@ -213,6 +213,14 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
             .mapInArrow(_link, "a long, b long").distinct())
 
 
+def _groups(prints: DataFrame) -> DataFrame:
+    """``(fp, root)`` for every fingerprint: the components of the links."""
+    nodes = stored(prints.select("fp").distinct(), "simhash-nodes")
+    roots = connected_components(fingerprint_links(nodes))
+    return stored(nodes.join(roots, nodes.fp == roots.node, "left")
+                  .select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per input row.
@@ -224,12 +232,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are kept; an empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(fingerprint_links(nodes))
-    owned = stored(nodes.join(roots, nodes.fp == roots.node, "left")
-                   .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
+    owned = stored(least.join(_groups(prints), "fp"), "simhash-owned")
     smallest = stored(owned.groupBy("root").agg(F.min("least").alias("component_id")),
                       "simhash-groups")
     named = stored(owned.join(smallest, "root").select("fp", "component_id"), "simhash-names")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` with one row left of every near-duplicate group.
+
+    The row with the smallest id stays (a null id only where the group has no
+    other); of several rows with that id the one with the smallest hash of id and
+    text, of rows equal in both any one.
+    """
+    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"),
+                                 F.xxhash64(id_col, text_col).alias("digest")).alias("row"),
+                        F.col(text_col).alias("text"))
+    prints = stored(fingerprints(keyed, "row", "text", words)
+                    .select(F.col("doc_id.doc_id").alias("doc_id"), "doc_id.digest", "fp"), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    least = stored(prints.groupBy("fp").agg(first.alias("first")), "simhash-least")
+    heads = stored(least.join(_groups(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
+                   .select(F.col("first.doc_id").alias("__head_id"),
+                           F.col("first.digest").alias("__head_digest")), "simhash-heads")
+    rows = docs.withColumn("__digest", F.xxhash64(id_col, text_col))
+    here = F.col(id_col).eqNullSafe(F.col("__head_id")) & (F.col("__digest") == F.col("__head_digest"))
+    return rows.join(heads, here, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")

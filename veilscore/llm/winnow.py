@@ -196,6 +196,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
+                   text_col: str = "text", item_col: str = "item_id",
+                   item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit word, all columns in place.
+
+    The hit rows are written out first, so Spark knows their size and only
+    shuffles the documents when they are too many to broadcast.
+    """
+    found = contamination(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    hit = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit_id"),
+                                                  F.col("digest").alias("__hit_digest")).distinct(),
+                 "winnow-hit")
+    here = (F.col(id_col).eqNullSafe(F.col("__hit_id"))
+            & (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__hit_digest")))
+    return docs.join(hit, here, "left_anti")
+
+
 def _leading(equal: Column) -> Column:
     """How many true values an array starts with."""
     stop = F.array_position(equal, False)
