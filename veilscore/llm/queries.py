@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, mix, shard, simhash, winnow
+from . import language, mix, quality, rules, shard, simhash, winnow
+from .scratch import stored
 
 
 def _crc_of_id(column="doc_id"):
@@ -39,6 +40,16 @@ def op2_feistel_sharding(spark, sf):
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality_classifier(spark, sf):
+    """Quality of every document; rows with crc32(doc_id) mod 3 = 1 are held out."""
+    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    stats = stored(quality.statistics(docs), "quality-stats")
+    model = quality.train(stats, read_table(spark, sf, "labels", "doc_id", "quality"),
+                          allowed=_crc_of_id() % 3 != 1)
+    return quality.predict(stats, model).select(
+        "doc_id", (_crc_of_id() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
 #: Target weights of the mix, by level; a name not listed weighs 1.
 MIX_WEIGHTS = [{"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 4, "de": 2, "es": 2, "fr": 2}, {}]
 MIX_EPOCHS = 2
@@ -68,6 +79,13 @@ def op6_winnow_decontamination(spark, sf):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_mcd_quality_rules(spark, sf):
+    """Base counts of every document, base rules, then robust outliers per language and source."""
+    judged = rules.judged(read_table(spark, sf, "documents", "doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op9_simhash_neardup(spark, sf):
     """SimHash near-duplicates of `documents`: fingerprint and component per row."""
     return simhash.near_duplicates(read_table(spark, sf, "documents", "doc_id", "text"))
@@ -76,8 +94,10 @@ def op9_simhash_neardup(spark, sf):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_feistel_sharding": op2_feistel_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
     "op6_winnow_decontamination": op6_winnow_decontamination,
+    "op7_mcd_quality_rules": op7_mcd_quality_rules,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
