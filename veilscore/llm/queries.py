@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, mix, quality, rules, shard, simhash, winnow
+from . import language, mix, quality, rules, shard, simhash, urls, winnow
 from .scratch import stored
 
 
@@ -91,6 +91,17 @@ def op9_simhash_neardup(spark, sf):
     return simhash.near_duplicates(read_table(spark, sf, "documents", "doc_id", "text"))
 
 
+#: Host, path and whether the rule allows.
+URL_RULES = [("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False),
+             ("com", "/fr/", True), ("com", "/de/", False)]
+
+
+def op10_link_graph_url_filter(spark, sf):
+    """Verdict on every url of `pages`: rules, else trust and distrust of its host."""
+    return urls.judged(read_table(spark, sf, "pages", "page_id", "url", "html"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_feistel_sharding": op2_feistel_sharding,
@@ -98,6 +109,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_winnow_decontamination": op6_winnow_decontamination,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
+    "op10_link_graph_url_filter": op10_link_graph_url_filter,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
