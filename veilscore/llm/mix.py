@@ -26,7 +26,7 @@ from .scratch import stored
 
 NONE = "(none)"
 #: Hexadecimal digits of the order key that are counted before sorting.
-PREFIX_DIGITS = 4
+PREFIX_DIGITS = 3
 WORDS = r"[^ \t-\r]+"
 
 

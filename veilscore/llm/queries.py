@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, mix, quality, rules, shard, simhash, urls, winnow
+from . import language, mix, pii, quality, rules, shard, simhash, urls, winnow
 from .scratch import stored
 
 
@@ -69,6 +69,16 @@ def op4_mix_sources(spark, sf):
     return mix.mixed(docs, mix_levels(), MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
+def op5_bootstrapped_pii(spark, sf):
+    """Personal data of every document: strict forms and what their contexts discover."""
+    found = pii.personal_data(read_table(spark, sf, "documents", "doc_id", "text"))
+    kinds = F.col("base.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+                        pii.listed("spans").alias("spans"))
+
+
 def op6_winnow_decontamination(spark, sf):
     """Benchmark words found in every document by winnowing."""
     found = winnow.contamination(read_table(spark, sf, "documents", "doc_id", "text"),
@@ -107,6 +117,7 @@ QUERIES = {
     "op2_feistel_sharding": op2_feistel_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
+    "op5_bootstrapped_pii": op5_bootstrapped_pii,
     "op6_winnow_decontamination": op6_winnow_decontamination,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
     "op10_link_graph_url_filter": op10_link_graph_url_filter,
