@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, mix, pii, quality, rules, shard, simhash, urls, winnow
+from . import language, mix, pii, quality, quotes, rules, shard, simhash, urls, winnow
 from .scratch import stored
 
 
@@ -96,6 +96,11 @@ def op7_mcd_quality_rules(spark, sf):
                          "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op8_quotation_threads(spark, sf):
+    """`conversations` in reply order without quotes."""
+    return quotes.linked(read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op9_simhash_neardup(spark, sf):
     """SimHash near-duplicates of `documents`: fingerprint and component per row."""
     return simhash.near_duplicates(read_table(spark, sf, "documents", "doc_id", "text"))
@@ -121,6 +126,7 @@ QUERIES = {
     "op6_winnow_decontamination": op6_winnow_decontamination,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
     "op10_link_graph_url_filter": op10_link_graph_url_filter,
+    "op8_quotation_threads": op8_quotation_threads,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
@@ -182,7 +188,42 @@ partial AS (SELECT doc_id, domain, language, origin, epochs AS epoch, tokens,
 SELECT doc_id, domain, language, origin, epoch, tokens, CAST(taken AS BIGINT) AS taken FROM whole
 UNION ALL SELECT doc_id, domain, language, origin, epoch, tokens, CAST(taken AS BIGINT) FROM partial"""
 
+_QUOTES_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text,
+    string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls
+    FROM conversations),
+l AS (SELECT r, conv_id, turn, i,
+    length(regexp_replace(regexp_extract(ls[i], '^((?:[ \t]*>)+)', 1), '[ \t]', '', 'g')) AS level,
+    regexp_replace(ls[i], '^((?:[ \t]*>)+)[ \t]?', '') AS line
+    FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+f AS (SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS said,
+    CASE WHEN lag(level) OVER w = level THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM f),
+u AS (SELECT conv_id, turn, level, said FROM s WHERE said <> ''
+    UNION SELECT any_value(conv_id), any_value(turn), any_value(level), string_agg(said, ' ' ORDER BY i)
+    FROM s WHERE said <> '' GROUP BY r, run),
+src AS (SELECT conv_id, said, min(turn) AS source FROM u WHERE level = 0 GROUP BY ALL),
+hit AS (SELECT u.conv_id, u.turn, u.level, source, sum(len(string_split(said, ' '))) AS words
+    FROM u JOIN src USING (conv_id, said) WHERE u.level > 0 AND source < u.turn GROUP BY ALL),
+par AS (SELECT conv_id, turn, source AS parent FROM hit
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, words DESC, source DESC) = 1),
+up AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM par
+    UNION ALL SELECT up.conv_id, up.turn, par.parent, up.depth + 1
+    FROM up JOIN par ON par.conv_id = up.conv_id AND par.turn = up.root),
+thread AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+q AS (SELECT r, count(*) FILTER (level > 0) AS n_quoted,
+    string_agg(line, chr(10) ORDER BY i) FILTER (level = 0) AS own FROM l GROUP BY r),
+o AS (SELECT m.*, par.parent, coalesce(thread.root, m.turn) AS root, coalesce(thread.depth, 0) AS depth, n_quoted, own
+    FROM m JOIN q USING (r) LEFT JOIN par ON par.conv_id = m.conv_id AND par.turn = m.turn
+    LEFT JOIN thread ON thread.conv_id = m.conv_id AND thread.turn = m.turn)
+SELECT conv_id, turn, role, parent AS parent_turn, root AS root_turn, CAST(depth AS BIGINT) AS depth,
+    row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS FIRST, depth, turn NULLS FIRST) - 1 AS position,
+    CAST(n_quoted AS BIGINT) AS n_quoted,
+    CASE WHEN n_quoted = 0 THEN text ELSE regexp_replace(coalesce(own, ''), '^\s*\n|\s+$', '', 'g') END AS text
+FROM o"""
+
 SQL: dict[str, str] = {
+    "op8_quotation_threads": _QUOTES_SQL,
     "op4_mix_sources": _MIX_SQL,
     "op6_winnow_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
