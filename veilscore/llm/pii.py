@@ -9,7 +9,7 @@ are candidates and are reported only on the word of their contexts:
 * a pattern's score for a kind is its confident instances of that kind over
   those plus the seeds of other kinds it also surrounds (plus one half);
 * a candidate's confidence is 1 minus the product of (1 - score) over its
-  patterns with enough support;
+  patterns with a high score and enough support (weak ones do not add up);
 * both are computed in turns over the pattern-instance graph in Spark until no
   candidate's confidence moves.
 
@@ -202,8 +202,9 @@ def confident(edges: DataFrame) -> DataFrame:
         trust = loose.join(belief, ["kind", "instance"]).groupBy("pattern", "kind").agg(
             F.sum("conf").alias("conf"))
         good = F.col("own") + F.coalesce("conf", F.lit(0.0))
+        score = good / (good + F.col("other") + 0.5)
         scores = stored(against.join(trust, ["pattern", "kind"], "left").select(
-            "pattern", "kind", F.when(good >= MIN_SUPPORT, good / (good + F.col("other") + 0.5))
+            "pattern", "kind", F.when((good >= MIN_SUPPORT) & (score >= MIN_SCORE), score)
             .otherwise(0.0).alias("score")), "pii-scores")
         doubt = F.sum(F.log(F.lit(1.0) - F.col("score")))
         after = stored(loose.join(scores, ["pattern", "kind"]).groupBy("kind", "instance").agg(
