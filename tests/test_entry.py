@@ -7,9 +7,9 @@ from tools.oracle_check import canon
 from veilscore.sources.tables import TABLES
 
 # Queries whose result legitimately has no SQL oracle (random keys or models).
-ROWS_ONLY = {"sealed_differs_from_plain", "sealed_score", "lr_fit_predict", "rf_fit_predict",
+ROWS_ONLY = {"lr_fit_predict", "rf_fit_predict",
              "gbt_fit_predict", "search_results", "randomized_search", "train_run", "validation_report"}
-SLOW = {"quantized_lr_verify", "search_results", "randomized_search", "train_run", "paillier_score_opened", "lr_fit_predict",
+SLOW = {"quantized_lr_verify", "search_results", "randomized_search", "train_run", "lr_fit_predict",
         "rf_fit_predict", "gbt_fit_predict"}
 
 

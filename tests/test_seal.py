@@ -1,6 +1,6 @@
+import pytest
 from pyspark.sql import functions as F
 
-from veilscore.operators import paillier as P
 from veilscore.operators import score as S
 from veilscore.operators import seal as E
 from veilscore.sources.model import LinearModel
@@ -66,21 +66,12 @@ def test_batches(spark, tmp_out):
     E.write_sealed_batches(sb, f"{tmp_out}/b")
     got = {r["batch_id"]: r["count"] for r in spark.read.parquet(f"{tmp_out}/b").groupBy("batch_id").count().collect()}
     assert got == {1: 10, 2: 10, 3: 3}
+    many = x.crossJoin(spark.range(1000).withColumnRenamed("id", "k")).selectExpr("id * 1000 + k as id", "x")
+    E.write_sealed_batches(E.sealed_batches(many, ring, "id", 2, 4), f"{tmp_out}/c")
+    read = spark.read.parquet(f"{tmp_out}/c")
     import glob
-    assert all(len(glob.glob(f"{tmp_out}/b/batch_id={i}/*.parquet")) == 1 for i in (1, 2, 3))
-    E.write_sealed_batches(sb, f"{tmp_out}/c", max_directories=2)     # clustered layout
-    got2 = {r["batch_id"]: r["count"] for r in spark.read.parquet(f"{tmp_out}/c").groupBy("batch_id").count().collect()}
-    assert got2 == got
-
-
-def test_paillier_roundtrip_small_key(spark):
-    sk = P.keygen(256)
-    m = LinearModel((3, -2, 0, 5), bias=-7)
-    x = _features(spark, 16, 4)
-    opened = P.open_scores(P.score(P.seal(x, sk.public, "id"), m, sk.public, "id"), sk, "id")
-    plain = S.score_array(x, m, keep=["id"], out="exp")
-    j = opened.join(plain, "id")
-    assert j.where("score = exp").count() == 16
+    assert len(glob.glob(f"{tmp_out}/c/batch_group=*")) == 12 and read.count() == 23_000
+    assert read.selectExpr("max(batch_id)", "max(batch_group)").first()[:] == (11_500, 11)
 
 
 def test_commitment_detects_tampering_and_loss(spark):
@@ -100,17 +91,40 @@ def test_commitment_detects_tampering_and_loss(spark):
     assert (lost["n_rows"], lost["n_match"], lost["status"]) == (30, 29, "FAIL")
 
 
-def test_paillier_owner_sealing_is_same_scheme(spark):
-    sk = P.keygen(256)
-    m = LinearModel((1, -4, 7), bias=2)
-    x = _features(spark, 12, 3)
-    fast = P.seal(x, sk.public, "id", owner=sk)
-    opened = P.open_scores(P.score(fast, m, sk.public, "id"), sk, "id")
-    plain = S.score_array(x, m, keep=["id"], out="exp")
-    assert opened.join(plain, "id").where("score = exp").count() == 12
-    # a single value: both encryptions decrypt to the same plaintext
-    pk, crt = sk.public, sk.crt_parts()
-    for v in (0, 5, -9):
-        for c in (P._encrypt(v, pk), P._encrypt(v, pk, crt)):
-            dec = ((pow(c, sk.lam, pk.n2) - 1) // pk.n) * sk.mu % pk.n
-            assert (dec - pk.n if dec > pk.n // 2 else dec) == v
+def test_width_is_required_and_checked(spark):
+    x = _features(spark, 6, 100)
+    ring = E.new_keyring(spark)
+    with pytest.raises(ValueError):
+        E.seal(x, ring, "id")
+    assert {len(r["c"]) for r in E.seal(x, ring, "id", width=100).collect()} == {100}
+    with pytest.raises(Exception, match="cannot be sealed"):
+        E.seal(x, ring, "id", width=64).collect()
+    assert {len(r["c"]) for r in E.seal(x, ring, "id", width=64, truncate=True).collect()} == {64}
+    m = LinearModel(tuple(range(99)))
+    with pytest.raises(Exception):
+        E.score_sealed(E.seal(x, ring, "id", width=100), m, "id").collect()
+
+
+def test_scores_that_could_wrap_are_errors(spark):
+    ring = E.new_keyring(spark)
+    x = spark.createDataFrame([(1, [2 ** 46, 2 ** 46])], "id long, x array<bigint>")
+    with pytest.raises(Exception, match="cannot be sealed"):
+        E.seal(x, ring, "id", model=LinearModel((3, 3))).collect()
+    big = spark.createDataFrame([(1, [2 ** 47, 0])], "id long, x array<bigint>")
+    with pytest.raises(Exception, match="cannot be sealed"):
+        E.seal(big, ring, "id", width=2).collect()
+    m = LinearModel((1, 0), bias=-5)
+    edge = spark.createDataFrame([(1, [2 ** 46, None]), (2, [-(2 ** 46), 7])], "id long, x array<bigint>")
+    got = E.open_scores(E.score_sealed(E.seal(edge, ring, "id", model=m), m, "id"), ring, m, "id")
+    assert {r["id"]: r["score"] for r in got.collect()} == {1: 2 ** 46 - 5, 2: -(2 ** 46) - 5}
+
+
+def test_equal_ids_share_no_mask(spark):
+    ring = E.new_keyring(spark)
+    x = spark.createDataFrame([(1, [5]), (1, [9])], "id long, x array<bigint>")
+    sealed = E.seal(x, ring, "id", width=1)
+    a, b = (r["c"][0] for r in sealed.collect())
+    assert abs(a - b) != 4
+    m = LinearModel((2,), bias=1)
+    opened = E.open_scores(E.score_sealed(E.seal(x, ring, "id", width=1), m, "id"), ring, m, "id")
+    assert sorted(r["score"] for r in opened.collect()) == [11, 19]

@@ -28,7 +28,7 @@ def test_readme_workflow(spark, tmp_out):
 
     feats = [c for c in prepared.columns if c not in ("o_orderkey", "is_f")]
     path = f"{tmp_out}/model.json"
-    save_model(fit_quantized_lr(prepared, feats, "is_f"), path)
+    save_model(spark, fit_quantized_lr(prepared, feats, "is_f"), path)
     model = load_model(spark, path)
     from veilscore.functions.intcols import quantize
     features = prepared.select(F.col("o_orderkey").alias("id"),

@@ -34,7 +34,7 @@ def test_model_contract(spark, tmp_out):
 
 def test_model_save_load(spark, tmp_out):
     p = f"{tmp_out}/model.json"
-    save_model(sample_model(), p)
+    save_model(spark, sample_model(), p)
     m = load_model(spark, p)
     assert m.weights == sample_model().weights and m.bias == -2 and m.scale_factor == 1000
 

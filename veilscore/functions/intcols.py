@@ -85,9 +85,3 @@ def wrap_to_int64(dec: Column) -> Column:
     """Recentre a residue in [0, 2^64) (decimal) to a signed int64."""
     return F.when(dec >= dec_lit(TWO_63), dec - dec_lit(TWO_64)) \
         .otherwise(dec).cast("long")
-
-
-def mul_mod_2_64(a: Column, b: Column) -> Column:
-    """(a · b) mod 2^64 for int64 a, b, exact (decimal(38,0) product)."""
-    prod = a.cast(DEC64).cast(DEC128) * b.cast(DEC64).cast(DEC128)
-    return F.pmod(prod.cast(DEC128), dec_lit(TWO_64, DEC128)).cast(DEC64)

@@ -23,8 +23,9 @@ from ..sources.model import LinearModel
 
 
 def score_array(df: DataFrame, model: LinearModel, x_col: str = "x",
-                keep: Sequence[str] = (), out: str = "score", strict: bool = False) -> DataFrame:
-    """Score every row of ``df`` (array form)."""
+                keep: Sequence[str] = (), out: str = "score", strict: bool = True) -> DataFrame:
+    """Score every row of ``df`` (array form).  A row of another width than
+    the model is an error; ``strict=False`` zips and lets the shorter side win (R13)."""
     return df.select(*keep, dot(x_col, model.weights, model.bias, strict).alias(out))
 
 
@@ -41,12 +42,14 @@ def dot_product_unsigned(df: DataFrame, weights: Sequence[int], x_col: str = "x"
 
 
 def score_columns(df: DataFrame, model: LinearModel, feature_cols: Sequence[str] | None = None,
-                  keep: Sequence[str] = (), out: str = "score") -> DataFrame:
-    """P1 over wide integer columns with the reference's positional contract:
-    column i meets weight i; only int64 cells count (R5), the rest are 0;
-    shorter side wins (R13)."""
+                  keep: Sequence[str] = (), out: str = "score", strict: bool = True) -> DataFrame:
+    """P1 over wide integer columns by position: column i meets weight i; only
+    int64 cells count (R5), the rest are 0.  Another number of columns than weights
+    is an error; with ``strict=False`` the shorter side wins (R13)."""
     cols = list(feature_cols if feature_cols is not None else
                 [c for c in df.columns if c not in set(keep)])
+    if strict and len(cols) != model.feature_count:
+        raise ValueError(f"{len(cols)} feature columns for a model of {model.feature_count} weights")
     k = min(len(cols), model.feature_count)
     terms = [int_or_zero(df, c) * F.lit(int(w)).cast("long")
              for c, w in zip(cols[:k], model.weights[:k]) if int(w) != 0]

@@ -8,16 +8,20 @@ homomorphic scheme suffices.  The ``mask`` scheme is additive stream masking
     score:  s'  = (Σ w_i·c_i + bias) mod M            (no key, no plain values)
     open:   s   = centre((s' − Σ w_i·r_i) mod M)       ∈ (−M/2, M/2)
 
-PRF: a per-row key k_row = HMAC-SHA256(key, nonce|id) (RFC 2104, nested
+PRF: a per-row key k_row = HMAC-SHA256(key, nonce|id|salt) (RFC 2104, nested
 ``sha2``), expanded in counter mode, block_b = SHA-256(k_row ‖ b); one digest
 gives five 48-bit masks, so a row of k features costs 2 + ceil(k/5) hashes.
-All of it is native column expressions — no Python in the data path.
+The salt is a random value per sealed row, stored beside the ciphertext, so equal
+ids (or the same id sealed twice) never share a mask.  All of it is native column
+expressions — no Python in the data path.
 
 Key material lives in a *keyring* table ``(key_id, k_ipad, k_opad, nonce)``,
-joined to the rows by ``key_id`` (broadcast after a row-count check).  The
+joined to the rows by ``key_id``; Spark picks the join by the table's size.  The
 secret is never a literal in a query plan; the scoring job needs only the
-sealed table and the weights.  Constraints checked here: ``max|w|·M < 2^62``
-(no int64 overflow while accumulating) and ids unique per (key, nonce).
+sealed table and the weights.  Checked, with an error instead of a wrong score:
+``max|w|·M < 2^62`` (no int64 overflow while accumulating); the width of every
+row; ``|x_i| < 2^47``; and, when the model is given at sealing time,
+``Σ|w_i·x_i| + |bias| < 2^47``, so the opened score cannot wrap.
 This is *not* fully homomorphic and gives no integrity protection.
 """
 
@@ -30,16 +34,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import width_guard
 from ..sources.model import LinearModel
 from .project import batch_slices
-from .ranking import broadcast_if_small
 
 MASK_BITS = 48
 MODULUS = 2 ** MASK_BITS
 MASKS_PER_DIGEST = 5
 _HEX_PER_MASK = MASK_BITS // 4
 KEY_COLUMNS = ("key_id", "k_ipad", "k_opad", "nonce")
-KEYRING_LIMIT = 100_000
+HALF = MODULUS // 2
 
 
 def new_keyring(spark: SparkSession, key_ids: Sequence[str] = ("k0",),
@@ -71,7 +75,8 @@ def _masks(id_col: Column, width: int) -> Column:
     numbers."""
     n_blocks = max(1, -(-width // MASKS_PER_DIGEST))
     row_key = F.unhex(_hmac_hex(F.col("k_ipad"), F.col("k_opad"),
-                                F.concat_ws("|", F.lit("row"), F.col("nonce"), id_col.cast("string"))))
+                                F.concat_ws("|", F.lit("row"), F.col("nonce"), id_col.cast("string"),
+                                            F.col("salt"))))
     digests = F.zip_with(
         F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.array_repeat(row_key, n_blocks),
         lambda b, k: F.sha2(F.concat(k, F.encode(b.cast("string"), "UTF-8")), 256))
@@ -83,19 +88,34 @@ def _masks(id_col: Column, width: int) -> Column:
 
 def _with_keys(df: DataFrame, keyring: DataFrame, id_col: str,
                key_col: Column | str | None) -> DataFrame:
-    """Attach key material by an equi-join with the (size-checked, broadcast)
-    keyring: on ``key_col`` if given, else on the key slot
-    ``pmod(xxhash64(id), #keys)`` — keys spread over rows, one key per row."""
+    """Attach key material by an equi-join with the keyring: on ``key_col`` if
+    given, else on the key slot ``pmod(xxhash64(id), #keys)`` — keys spread over
+    rows, one key per row."""
     ring = keyring.select("key_slot", *KEY_COLUMNS)
     if key_col is not None:
         kc = F.col(key_col) if isinstance(key_col, str) else key_col
-        return df.withColumn("key_id", kc).join(broadcast_if_small(ring, KEYRING_LIMIT), "key_id") \
-            .drop("key_slot")
+        return df.withColumn("key_id", kc).join(ring, "key_id").drop("key_slot")
     n_keys = ring.count()
-    if not 0 < n_keys <= KEYRING_LIMIT:
-        raise ValueError(f"keyring must hold 1..{KEYRING_LIMIT} keys, has {n_keys}")
+    if n_keys == 0:
+        raise ValueError("the keyring is empty")
     slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_keys)).cast("int")
-    return df.withColumn("key_slot", slot).join(F.broadcast(ring), "key_slot").drop("key_slot")
+    return df.withColumn("key_slot", slot).join(ring, "key_slot").drop("key_slot")
+
+
+def _checked(x: Column, width: int, truncate: bool, model: LinearModel | None) -> Column:
+    """``x`` with nulls as 0, or an error for rows that cannot be sealed safely."""
+    zero = F.lit(0).cast("long")
+    cells = F.transform(F.slice(x, 1, width) if truncate else x, lambda v: F.coalesce(v, zero))
+    fits = F.forall(cells, lambda v: (v < F.lit(HALF)) & (v > F.lit(-HALF)))
+    if not truncate:
+        fits = fits & (F.size(x) == width)
+    if model is not None:
+        sizes = F.array(*[F.lit(float(abs(int(w)))) for w in model.weights[:width]])
+        reach = F.aggregate(F.zip_with(cells, sizes, lambda v, w: F.coalesce(F.abs(v) * w, F.lit(0.0))),
+                            F.lit(float(abs(model.bias))), lambda a, v: a + v)
+        fits = fits & (reach < F.lit(HALF * (1.0 - 1e-9)))
+    return F.when(fits, cells).otherwise(F.raise_error(F.lit(
+        f"row cannot be sealed: it needs {width} features, each and the score they can reach below 2^47")))
 
 
 def _commitment(id_col: Column, score: Column) -> Column:
@@ -106,9 +126,14 @@ def _commitment(id_col: Column, score: Column) -> Column:
 
 def seal(df: DataFrame, keyring: DataFrame, id_col: str, x_col: str = "x", width: int | None = None,
          key_col: Column | str | None = None, keep: Sequence[str] = (),
-         commit_to: LinearModel | None = None) -> DataFrame:
-    """``(id, key_id, c array<bigint>)`` with ``c_i = (x_i + r_i) mod 2^48``
-    for the first ``width`` features of each row (default 64).
+         commit_to: LinearModel | None = None, model: LinearModel | None = None,
+         truncate: bool = False) -> DataFrame:
+    """``(id, key_id, salt, c array<bigint>)`` with ``c_i = (x_i + r_i) mod 2^48``.
+
+    ``width`` is the number of features of every row (default: the model's); a
+    row of another width is an error, unless ``truncate=True`` asks for the first
+    ``width`` features of each row.  ``model`` is the model that will score the
+    rows: with it, a row whose score could leave (−2^47, 2^47) is an error too.
 
     ``commit_to=model`` adds ``commit``: a keyed commitment to the plain score
     the model should produce for this row.  The scorer carries it along without
@@ -116,17 +141,22 @@ def seal(df: DataFrame, keyring: DataFrame, id_col: str, x_col: str = "x", width
     (:func:`open_and_verify`) — verification without joining back to the
     plain table."""
     from ..functions.arrays import dot
-    w = int(width or 64)
-    j = _with_keys(df, keyring, id_col, key_col)
-    x = F.slice(F.col(x_col), 1, w)
-    sealed = F.zip_with(x, _masks(F.col(id_col), w), lambda v, r: F.pmod(
-        F.coalesce(v, F.lit(0).cast("long")) + r, F.lit(MODULUS)))
+    model = model or commit_to
+    if width is None and model is None:
+        raise ValueError("seal needs a width or a model")
+    w = int(width if width is not None else model.feature_count)
+    salted = df.withColumn("salt", F.expr("uuid()"))
+    j = _with_keys(salted, keyring, id_col, key_col)
+    x = _checked(F.col(x_col), w, truncate, model)
+    sealed = F.zip_with(x, _masks(F.col(id_col), w), lambda v, r: F.pmod(v + r, F.lit(MODULUS)))
+    size = F.least(F.size(F.col(x_col)), F.lit(w))
     extra = []
     if commit_to is not None:
-        expected = dot(F.col(x_col), commit_to.weights, commit_to.bias)
+        expected = dot(F.slice(F.col(x_col), 1, w) if truncate else F.col(x_col),
+                       commit_to.weights, commit_to.bias)
         extra.append(_commitment(F.col(id_col), expected).alias("commit"))
     # zip_with pads x (shorter than the mask array) with nulls: cut back to size(x).
-    return j.select(id_col, "key_id", *keep, F.slice(sealed, 1, F.size(x)).alias("c"), *extra)
+    return j.select(id_col, "key_id", "salt", *keep, F.slice(sealed, 1, size).alias("c"), *extra)
 
 
 def check_model(model: LinearModel) -> None:
@@ -138,15 +168,16 @@ def check_model(model: LinearModel) -> None:
 
 
 def score_sealed(sealed: DataFrame, model: LinearModel, id_col: str, c_col: str = "c",
-                 keep: Sequence[str] = ()) -> DataFrame:
+                 keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """(Σ w_i·c_i + bias) mod M on sealed rows — no key material involved.
-    A row shorter than the model uses its first size(c) features."""
+    A row of another width than the model is an error; with ``strict=False`` the
+    shorter side wins."""
     check_model(model)
     w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
-    terms = F.zip_with(F.col(c_col), w, lambda c, b: F.coalesce(c * b, F.lit(0).cast("long")))
+    terms = F.zip_with(width_guard(c_col, model.feature_count, strict), w, lambda c, b: F.coalesce(c * b, F.lit(0).cast("long")))
     start = F.pmod(F.lit(int(model.bias)).cast("long"), F.lit(MODULUS))
     s = F.aggregate(terms, start, lambda acc, t: F.pmod(acc + t, F.lit(MODULUS)))
-    return sealed.select(id_col, "key_id", *keep, s.alias("sealed_score"))
+    return sealed.select(id_col, "key_id", "salt", *keep, s.alias("sealed_score"))
 
 
 def _centre(v: Column) -> Column:
@@ -168,7 +199,7 @@ def open_and_verify(scored: DataFrame, keyring: DataFrame, model: LinearModel, i
 
 def _open(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str,
           keep: Sequence[str], out: str, verify: bool) -> DataFrame:
-    j = scored.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), KEYRING_LIMIT), "key_id")
+    j = scored.join(keyring.select(*KEY_COLUMNS), "key_id")
     w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
     masked = F.zip_with(_masks(F.col(id_col), model.feature_count), w,
                         lambda r, b: F.coalesce(F.pmod(r * b, F.lit(MODULUS)), F.lit(0).cast("long")))
@@ -185,7 +216,7 @@ def _open(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str
 def unseal_features(sealed: DataFrame, keyring: DataFrame, id_col: str, width: int,
                     c_col: str = "c", out: str = "x") -> DataFrame:
     """E5 helper: element-wise opening ``x_i = centre((c_i − r_i) mod M)``."""
-    j = sealed.join(broadcast_if_small(keyring.select(*KEY_COLUMNS), KEYRING_LIMIT), "key_id")
+    j = sealed.join(keyring.select(*KEY_COLUMNS), "key_id")
     c = F.col(c_col)
     x = F.zip_with(c, _masks(F.col(id_col), width),
                    lambda ci, r: _centre(F.pmod(ci - r, F.lit(MODULUS))))
@@ -199,25 +230,19 @@ def sealed_batches(df: DataFrame, keyring: DataFrame, id_col: str, batch_size: i
     return seal(b, keyring, id_col, x_col, width, keep=["batch_id"])
 
 
-MAX_BATCH_DIRECTORIES = 10_000
+#: Batches per directory of the sealed layout.
+BATCHES_PER_GROUP = 1024
 
 
-def write_sealed_batches(sealed: DataFrame, path: str,
-                         max_directories: int = MAX_BATCH_DIRECTORIES) -> int:
+def write_sealed_batches(sealed: DataFrame, path: str) -> int:
     """Sealed batches as Parquet (overwrite); returns the number of batches.
 
-    Up to ``max_directories`` batches: one directory holding one file per batch
-    (``batch_id=i``) — rows are first hash-partitioned by batch id, so each
-    batch (bounded by the batch size) is written by exactly one task.  Beyond
-    that, one directory per batch would flood the file system, so batches are
-    range-clustered instead: contiguous batch ranges per file, sorted, and a
-    reader's ``batch_id = i`` filter is answered from Parquet row-group
-    statistics."""
-    n_batches = int(sealed.agg(F.max("batch_id")).first()[0] or 0)
-    if n_batches <= max_directories:
-        sealed.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id").parquet(path)
-    else:
-        files = max(1, n_batches // 1000)
-        sealed.repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id") \
-            .write.mode("overwrite").parquet(path)
-    return n_batches
+    One layout at every size: a directory ``batch_group=g`` per 1,024 batches
+    (``g = batch_id div 1024``), rows range-clustered and sorted by ``batch_id``,
+    which stays a data column; a reader's ``batch_id = i`` filter is answered from
+    Parquet row-group statistics."""
+    grouped = sealed.withColumn("batch_group", F.expr(f"batch_id div {BATCHES_PER_GROUP}"))
+    grouped.repartitionByRange("batch_group", "batch_id").sortWithinPartitions("batch_group", "batch_id") \
+        .write.mode("overwrite").partitionBy("batch_group").parquet(path)
+    written = sealed.sparkSession.read.parquet(path)
+    return int(written.agg(F.max("batch_id")).first()[0] or 0)

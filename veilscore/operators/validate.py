@@ -42,19 +42,18 @@ def cost_columns(df: DataFrame, seconds: str = "seconds", rows: str = "rows") ->
         .withColumn(seconds, F.round(s, 2))
 
 
-def runnable_stages(stages: DataFrame, max_features: int) -> DataFrame:
-    """Stages that ask for more features than the model has are skipped."""
-    return stages.where(F.col("features") <= F.lit(int(max_features)))
-
-
 def model_contract(spark: SparkSession, path: str) -> DataFrame:
     """V1: ``(check, ok, detail)`` rows for a model file: exists, parses, has
     integer ``bias`` and a list of integer ``weights``, ``feature_count`` (if
     present) equals the number of weights."""
+    from pyspark.errors import AnalysisException
+
     try:
         text = spark.read.text(path, wholetext=True)
         rows = text.take(1)
-    except Exception:  # noqa: BLE001 - missing path
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
         rows = []
     if not rows:
         return spark.createDataFrame([("exists", False, f"file not found: {path}")],
@@ -78,7 +77,7 @@ def model_contract(spark: SparkSession, path: str) -> DataFrame:
             ("has_weights", "key 'weights'"), ("bias_int", "bias is an integer"),
             ("weights_int", "weights is a list of integers")]],
         F.struct(F.lit("feature_count").alias("check"),
-                 (F.col("feature_count").isNull()
-                  | (F.col("feature_count").cast("long") == F.col("n_weights"))).alias("ok"),
+                 (F.col("parses") & (F.col("feature_count").isNull() | F.coalesce(
+                     F.col("feature_count").try_cast("long") == F.col("n_weights"), F.lit(False)))).alias("ok"),
                  F.concat(F.lit("weights: "), F.col("n_weights").cast("string")).alias("detail"))
     )).alias("c")).select("c.*")

@@ -70,7 +70,7 @@ def sealed_decisions(df: DataFrame, model: LinearModel, id_col: str, label_col:
     x = df.select(id_col, label_col,
                   F.array(*[quantize(c, model.feature_scale) for c in names]).alias("x"))
     ring = keyring if keyring is not None else E.new_keyring(spark)
-    sealed = E.seal(x, ring, id_col, width=model.feature_count, keep=[label_col], commit_to=model)
+    sealed = E.seal(x, ring, id_col, keep=[label_col], commit_to=model)
     scored = E.score_sealed(sealed, model, id_col, keep=[label_col, "commit"])
     checked = E.open_and_verify(scored, ring, model, id_col, keep=[label_col], out="score")
     # V2 without a join: input row count vs rows whose opened score matches the

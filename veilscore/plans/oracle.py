@@ -235,8 +235,9 @@ SQL = {
     # scans, sinks
     "scan_parquet": "SELECT * FROM customer",
     "parquet_roundtrip": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
-    "csv_roundtrip": f"""WITH {DL} SELECT doc_id, lang, source, n_chars,
-        CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM dl""",
+    "csv_roundtrip": """SELECT d.doc_id, lang, source, n_chars, '"' || text || '" said' AS text,
+        CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic
+        FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "table_shape": "SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_columns FROM lineitem",
     "column_roles": f"""WITH {DL}
         SELECT 0 AS position, 'lang' AS "column", 'categorical' AS role, count(lang) AS n_non_null FROM dl
@@ -334,7 +335,8 @@ SQL = {
           AS flag FROM emb_score""",
     # sealed
     "sealed_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
-    "paillier_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
+    "sealed_differs_from_plain": "SELECT vec_id, 0 AS n_equal FROM embeddings",
+    "sealed_score": "SELECT vec_id, true AS is_residue, true AS differs FROM embeddings",
     "seal_roundtrip": f"WITH {EMB_Q} SELECT vec_id, CAST(i - 1 AS INTEGER) AS feature_idx, x FROM emb_q",
     "quantized_lr_verify": "SELECT count(*) AS n_rows, count(*) AS n_match, 'PASS' AS status FROM orders",
     "model_contract": """SELECT * FROM (VALUES ('exists', true), ('parses', true), ('has_bias', true),

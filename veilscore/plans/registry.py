@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import prefix
 from ..functions.intcols import int_or_zero, narrow, quantize_array, uint64_reinterpret
 from ..operators import metrics as M
 from ..operators import score as S
@@ -46,11 +47,15 @@ def parquet_roundtrip(spark, sf):
 
 
 def csv_roundtrip(spark, sf):
-    """Write documents ⟕ labels as CSV (nulls → empty cells), read it back with
-    NA-token handling and numeric type inference."""
+    """Write documents (whole quoted, multi-line texts) ⟕ labels as CSV (nulls
+    → empty cells), read it back with NA-token handling and numeric type inference."""
     from ..sources.csv import read_csv_na
+    from ..sources.sinks import write_csv
     path = scratch_path(spark, "docs_csv")
-    I.documents_labels(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    d = read_table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars", "text")
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('" said'))
+    lab = read_table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    write_csv(left_join(d.withColumn("text", quoted), lab, "doc_id"), path)
     return read_csv_na(spark, path)
 
 
@@ -119,14 +124,14 @@ def quantize_model_q(spark, sf):
 def prefix_features(spark, sf):
     """SANITY-style score over the first 5 features and weights."""
     m = I.embedding_model().truncated(5)
-    x = I.embedding_features(spark, sf).select("vec_id", F.slice("x", 1, 5).alias("x"))
+    x = I.embedding_features(spark, sf).select("vec_id", prefix("x", 5).alias("x"))
     return S.score_array(x, m, keep=["vec_id"])
 
 
 def zip_truncate(spark, sf):
     """Rows cut to 40 features meet the 64-weight model; shorter side wins."""
     x = I.embedding_features(spark, sf).select("vec_id", F.slice("x", 1, 40).alias("x"))
-    return S.score_array(x, I.embedding_model(), keep=["vec_id"])
+    return S.score_array(x, I.embedding_model(), keep=["vec_id"], strict=False)
 
 
 def first_n_rows(spark, sf):
@@ -266,7 +271,7 @@ def _sealed_embeddings(spark, sf):
     m = I.embedding_model()
     ring = E.new_keyring(spark)
     x = I.embedding_features(spark, sf)
-    return m, ring, x, E.seal(x, ring, "vec_id", width=m.feature_count)
+    return m, ring, x, E.seal(x, ring, "vec_id", model=m)
 
 
 def sealed_differs_from_plain(spark, sf):
@@ -274,16 +279,21 @@ def sealed_differs_from_plain(spark, sf):
     array is carried along in this diagnostic, so no join is needed."""
     m = I.embedding_model()
     sealed = E.seal(I.embedding_features(spark, sf), E.new_keyring(spark), "vec_id",
-                    width=m.feature_count, keep=["x"])
+                    model=m, keep=["x"])
     same = F.aggregate(F.zip_with("c", "x", lambda a, b: (a == b).cast("int")), F.lit(0),
                        lambda acc, v: acc + v)
     return sealed.select("vec_id", same.alias("n_equal"))
 
 
 def sealed_score(spark, sf):
-    """Scores computed on sealed rows (values are residues mod 2^48)."""
-    m, _, _, sealed = _sealed_embeddings(spark, sf)
-    return E.score_sealed(sealed, m, "vec_id").drop("key_id")
+    """Scores computed on sealed rows: residues mod 2^48 that differ from the
+    plain score (equal by chance once in 2^48)."""
+    m = I.embedding_model()
+    plain = S.score_array(I.embedding_features(spark, sf), m, keep=["vec_id", "x"], out="plain")
+    sealed = E.seal(plain, E.new_keyring(spark), "vec_id", model=m, keep=["plain"])
+    scored = E.score_sealed(sealed, m, "vec_id", keep=["plain"])
+    return scored.select("vec_id", F.col("sealed_score").between(0, E.MODULUS - 1).alias("is_residue"),
+                         (F.col("sealed_score") != F.pmod("plain", F.lit(E.MODULUS))).alias("differs"))
 
 
 def sealed_score_opened(spark, sf):
@@ -298,16 +308,6 @@ def seal_roundtrip(spark, sf):
     return S.to_tall(E.unseal_features(sealed, ring, "vec_id", m.feature_count), "vec_id")
 
 
-def paillier_score_opened(spark, sf):
-    """E1–E3 with the Paillier scheme (test-size 512-bit key): seal with the
-    public key, score without any secret, open with the private key."""
-    from ..operators import paillier as P
-    m = I.embedding_model()
-    sk = P.keygen(512)
-    sealed = P.seal(I.embedding_features(spark, sf), sk.public, "vec_id", owner=sk)
-    return P.open_scores(P.score(sealed, m, sk.public, "vec_id"), sk, "vec_id")
-
-
 def quantized_lr_verify(spark, sf):
     """Q2 chain: fit L2 logistic regression on the prepared orders, quantize it
     (s_w = 1000, s_x = 1000), score every order sealed, open and verify."""
@@ -345,14 +345,13 @@ def model_contract_q(spark, sf):
 
 
 def encrypted_batches(spark, sf):
-    """E6 + S9: seal orders in batches of 256, one directory per batch; rows per
-    batch read back from storage."""
+    """E6 + S9: seal orders in batches of 256, written in the grouped layout; rows
+    per batch read back from storage."""
     ring = E.new_keyring(spark)
     sealed = E.sealed_batches(I.orders_features(spark, sf), ring, "o_orderkey", 256, 3)
     path = scratch_path(spark, "sealed_batches")
     E.write_sealed_batches(sealed, path)
-    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows")) \
-        .select(F.col("batch_id").cast("long").alias("batch_id"), "n_rows")
+    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def verify_scores(spark, sf):
@@ -483,8 +482,12 @@ def class_weights(spark, sf):
 # ---------------------------------------------------------------------- models
 def _embedding_table(spark, sf):
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    size = F.size("embedding")
+    low, high = e.agg(F.min(size), F.max(size)).first()
+    if low != high:
+        raise ValueError(f"embeddings of {low} to {high} dimensions")
     return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i:02d}")
-                                for i in range(64)],
+                                for i in range(high or 0)],
                     (F.col("label") == 0).cast("int").alias("is_zero"))
 
 
@@ -587,7 +590,6 @@ QUERIES = {
     "sealed_score": sealed_score,
     "sealed_score_opened": sealed_score_opened,
     "seal_roundtrip": seal_roundtrip,
-    "paillier_score_opened": paillier_score_opened,
     "quantized_lr_verify": quantized_lr_verify,
     "model_contract": model_contract_q,
     "model_roundtrip": model_roundtrip,

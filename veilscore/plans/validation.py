@@ -31,7 +31,7 @@ def sealed_check(x: DataFrame, model: LinearModel, id_col: str, keyring: DataFra
 
     No join back to the plain table: every row carries its own check, and
     ``n_rows`` counts the input rows, so a row lost on the way is a mismatch."""
-    sealed = E.seal(x, keyring, id_col, width=model.feature_count, commit_to=model)
+    sealed = E.seal(x, keyring, id_col, commit_to=model)
     scored = E.score_sealed(sealed, model, id_col, keep=["commit"])
     return verify_counts(x, E.open_and_verify(scored, keyring, model, id_col))
 

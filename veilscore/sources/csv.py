@@ -23,8 +23,13 @@ def _na_to_null(col: str):
     return F.when(c.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All cells as strings; a quote inside a quoted cell is doubled, and quoted
+    cells may hold line breaks.  Such files cannot be split, so one file is one
+    task; ``multi_line=False`` reads files without line breaks in cells in blocks."""
+    raw = spark.read.option("header", True).option("inferSchema", False) \
+        .option("quote", '"').option("escape", '"').option("multiLine", multi_line) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return raw.select(*[_na_to_null(c).alias(c) for c in raw.columns])
 
 
@@ -46,8 +51,9 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return types
 
 
-def read_csv_na(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
-    strings = read_csv_strings(spark, path)
+def read_csv_na(spark: SparkSession, path: str, types: dict[str, str] | None = None,
+                multi_line: bool = True) -> DataFrame:
+    strings = read_csv_strings(spark, path, multi_line)
     types = types or infer_types(strings)
     return strings.select(*[(F.col(f"`{c}`").try_cast(t) if t != "string" else F.col(f"`{c}`")).alias(c)
                             for c, t in types.items()])

@@ -15,8 +15,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV (e.g. the search results table, one row per candidate)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Header CSV (e.g. the search results table, one row per candidate); quotes
+    in cells are doubled, outer blanks kept."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
