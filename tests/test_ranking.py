@@ -61,8 +61,7 @@ def test_hot_order_key_is_split_and_exact(spark):
     assert parts >= 2
 
 
-def test_bracketed_median_any_accuracy(spark):
-    """Coarse sketches may miss the middle ranks; the fallback keeps it exact."""
+def test_median_with_any_number_of_bins(spark):
     rng = np.random.default_rng(11)
     parts = []
     for g, (n, kind) in enumerate([(1001, "normal"), (1000, "ties"), (7, "small"), (2, "two"), (600, "skew")]):
@@ -78,20 +77,27 @@ def test_bracketed_median_any_accuracy(spark):
     pdf = pd.concat(parts)
     df = spark.createDataFrame(pdf)
     expected = {k: float(np.median(v)) for k, v in pdf.groupby("feature")["value"]}
-    for acc in (4, 8, 16, 100, 10_000):
-        got = {r["feature"]: r["median"] for r in exact_medians(df, accuracy=acc).collect()}
-        assert got.keys() == expected.keys()
-        assert all(got[k] == expected[k] for k in expected), (acc, got, expected)
+    for bins in (2, 16, 4096):
+        got = {r["feature"]: r["median"] for r in exact_medians(df, bins=bins).collect()}
+        assert got == expected, bins
 
 
-def test_bracket_miss_falls_back_to_exact(spark, monkeypatch):
-    import veilscore.operators.ranking as R
-    # A deliberately wrong sketch: bracket [min, min] misses the middle ranks.
-    monkeypatch.setattr(R.F, "percentile_approx",
-                        lambda col, pcts, acc: F.array(F.min(col), F.min(col)))
-    pdf = pd.DataFrame({"feature": "f", "value": np.arange(101, dtype=float)[::-1]})
-    got = R.exact_medians(spark.createDataFrame(pdf)).first()["median"]
-    assert got == 50.0
+def test_median_of_extreme_values(spark):
+    inf = float("inf")
+    rows = [("wide", v) for v in (-1.7e308, 1.7e308, 5.0, 1e-300, 7.0)] + \
+           [("inf", v) for v in (-inf, inf, 1.0, 2.0, 3.0)] + [("zero", v) for v in (-0.0, 0.0, 0.0)] + \
+           [("two", v) for v in (4.0, 4.0)]
+    got = {r["feature"]: r["median"] for r in exact_medians(
+        spark.createDataFrame(rows, "feature string, value double"), bins=8).collect()}
+    assert got == {"wide": 5.0, "inf": 2.0, "zero": 0.0, "two": 4.0}
+
+
+def test_median_of_many_columns(spark):
+    from veilscore.operators.impute import fit_median_imputer
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(400, 433)), columns=[f"c{i}" for i in range(433)])
+    got = fit_median_imputer(spark.createDataFrame(pdf), list(pdf.columns)).medians
+    assert got == {c: float(np.median(pdf[c])) for c in pdf.columns}
 
 
 def _keys_reference(pdf, ranks):
@@ -111,41 +117,36 @@ def test_keys_at_ranks_exact(spark):
     sizes = pdf.groupby("g").size().to_dict()
     ranks = {g: [1, max(1, s // 3), s // 2, s] for g, s in sizes.items()}
     df = spark.createDataFrame(pdf)
-    got = keys_at_ranks(df, "g", F.col("h"), [F.col("h"), F.col("id")], ranks, sizes).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["g"], {})[r["j"]] = r["key"]["id"]
     exp = _keys_reference(pdf, ranks)
-    assert {g: [by[g][j] for j in range(len(ranks[g]))] for g in by} == exp
-
+    for prefix in (None, F.floor(F.col("h") / 50), F.lit(0)):
+        by = {}
+        for r in keys_at_ranks(df, "g", [F.col("h"), F.col("id")], ranks, prefix).collect():
+            by.setdefault(r["g"], {})[r["j"]] = r["key"]["id"]
+        assert {g: [by[g][j] for j in range(len(ranks[g]))] for g in by} == exp
 
-def test_keys_at_ranks_bracket_miss(spark, monkeypatch):
-    import veilscore.operators.ranking as R
-    monkeypatch.setattr(R.F, "percentile_approx",
-                        lambda col, pcts, acc: F.array_repeat(F.max(col), len(pcts)))
-    pdf = pd.DataFrame({"id": np.arange(100), "g": "x", "h": np.arange(100, dtype=float)[::-1]})
-    got = R.keys_at_ranks(spark.createDataFrame(pdf), "g", F.col("h"), [F.col("h"), F.col("id")],
-                          {"x": [10, 50]}, {"x": 100}).orderBy("j").collect()
-    assert [r["key"]["id"] for r in got] == [90, 50]
 
-
-def test_keys_at_ranks_with_null_keys(spark):
+def test_keys_at_ranks_with_null_keys_and_groups(spark):
     from veilscore.operators.ranking import keys_at_ranks
-    rows = [("a", None if i < 5 else float(i), i) for i in range(40)]
-    df = spark.createDataFrame(rows, "g string, h double, id long")
-    got = keys_at_ranks(df, "g", F.col("h"), [F.col("h"), F.col("id")], {"a": [3, 6, 40]}, {"a": 40})
-    by = {r["j"]: (r["key"]["h"], r["key"]["id"]) for r in got.collect()}
-    # Spark order: the five null-h rows first (by id), then h = 5..39
-    assert by == {0: (None, 2), 1: (5.0, 5), 2: (39.0, 39)}
-
-
-def test_median_distributed_path_matches(spark, monkeypatch):
-    import veilscore.operators.ranking as R
-    rng = np.random.default_rng(9)
-    pdf = pd.DataFrame({"feature": rng.choice(["a", "b"], 3001), "value": rng.normal(size=3001)})
-    df = spark.createDataFrame(pdf)
-    local = {r["feature"]: r["median"] for r in R.exact_medians(df).collect()}
-    monkeypatch.setattr(R, "LOCAL_BRACKET_LIMIT", 1)
-    dist = {r["feature"]: r["median"] for r in R.exact_medians(df, accuracy=4).collect()}
-    exp = {k: float(np.median(v)) for k, v in pdf.groupby("feature")["value"]}
-    assert local == exp and dist == exp
+    rows = [(None, None if i < 5 else float(i), f"id{i:02d}") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, h double, id string")
+    for prefix in (None, F.col("h")):
+        got = keys_at_ranks(df, "g", [F.col("h"), F.col("id")], {None: [3, 6, 40]}, prefix)
+        by = {r["j"]: (r["key"]["h"], r["key"]["id"]) for r in got.collect()}
+        # Spark order: the five null-h rows first (by id), then h = 5..39
+        assert by == {0: (None, "id02"), 1: (5.0, "id05"), 2: (39.0, "id39")}
+
+
+def test_split_with_null_labels_and_string_ids(spark):
+    from veilscore.operators.split import class_weight_column, stratified_folds, stratified_split
+    df = spark.createDataFrame([(f"x{i:03d}", None if i % 4 == 0 else i % 2) for i in range(100)],
+                               "id string, y int")
+    split = stratified_split(df, "y", "id", 0.2).groupBy("y", "is_test").count().collect()
+    assert {(r["y"], r["is_test"]): r["count"] for r in split} == {
+        (None, True): 5, (None, False): 20, (0, True): 5, (0, False): 20, (1, True): 10, (1, False): 40}
+    for shuffle in (True, False):
+        folds = stratified_folds(df, "y", "id", 5, shuffle).groupBy("y", "fold").count().collect()
+        assert {r["count"] for r in folds if r["y"] is None} == {5} and len(folds) == 15
+    in_order = [r["fold"] for r in stratified_folds(df, "y", "id", 5, False).where("y is null").orderBy("id").collect()]
+    assert in_order == sorted(in_order)
+    w = df.select(class_weight_column(df, "y").alias("w")).where("w = 1.0").count()
+    assert w == 0

@@ -36,8 +36,8 @@ keyed = st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6)), min_
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(data=keyed, acc=st.sampled_from([2, 4, 16, 10_000]), picks=st.lists(st.floats(0, 1), min_size=1, max_size=4))
-def test_keys_at_ranks_property(spark, data, acc, picks):
+@given(data=keyed, counted=st.booleans(), picks=st.lists(st.floats(0, 1), min_size=1, max_size=4))
+def test_keys_at_ranks_property(spark, data, counted, picks):
     from pyspark.sql import functions as F
     from veilscore.operators.ranking import keys_at_ranks
     records = [(g, h, uid) for uid, (g, h) in enumerate(data)]
@@ -47,8 +47,8 @@ def test_keys_at_ranks_property(spark, data, acc, picks):
     ranks = {g: sorted({max(1, min(n, int(round(p * n)) or 1)) for p in picks}) for g, n in sizes.items()}
     df = spark.createDataFrame(records, "g string, h long, uid long")
     got = {(r["g"], r["rank"]): r["key"]["uid"] for r in
-           keys_at_ranks(df, "g", F.col("h"), [F.col("h"), F.col("uid")], ranks, sizes,
-                         accuracy=acc).collect()}
+           keys_at_ranks(df, "g", [F.col("h"), F.col("uid")], ranks,
+                         F.col("h") if counted else None).collect()}
     expected = {}
     for g, rs in ranks.items():
         ordered = sorted((r for r in records if r[0] == g), key=lambda r: (r[1], r[2]))
@@ -64,12 +64,12 @@ values = st.lists(st.tuples(st.sampled_from(["f", "g"]),
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(data=values, acc=st.sampled_from([2, 4, 16, 10_000]))
-def test_exact_median_property(spark, data, acc):
+@given(data=values, bins=st.sampled_from([2, 16, 4096]))
+def test_exact_median_property(spark, data, bins):
     import statistics
     from veilscore.operators.ranking import exact_medians
     df = spark.createDataFrame(data, "feature string, value double")
-    got = {r["feature"]: r["median"] for r in exact_medians(df, accuracy=acc).collect()}
+    got = {r["feature"]: r["median"] for r in exact_medians(df, bins=bins).collect()}
     groups = {}
     for f, v in data:
         if v is not None:

@@ -2,8 +2,8 @@
 
 Fit: distinct ``(feature, category)`` pairs, then an exact distributed row index
 within each feature in binary string order (= code-point order).  Apply: one
-left join per feature against that feature's code table (broadcast after its
-row count is checked), ``coalesce(code, -1.0)``.
+left join per feature against that feature's code table (Spark broadcasts it by
+its size in bytes), ``coalesce(code, -1.0)``.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import BROADCAST_ROW_LIMIT, row_index
-
-LOCAL_CODES_LIMIT = 200_000
+from .ranking import row_index, written
 
 
 @dataclass
@@ -25,17 +23,11 @@ class OrdinalEncoder:
     features: list[str]
 
     def transform(self, df: DataFrame, unknown_value: float = -1.0) -> DataFrame:
-        # One small job sizes every code table; each table is broadcast only
-        # when its row count is within the limit, else joined by shuffle.
-        sizes = {r["feature"]: r["n"] for r in
-                 self.codes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
         out = df
         for i, f in enumerate(self.features):
             key, code = f"__cat_{i}", f"__code_{i}"
             table = self.codes.where(F.col("feature") == f).select(
                 F.col("category").alias(key), F.col("code").alias(code))
-            if sizes.get(f, 0) <= BROADCAST_ROW_LIMIT:
-                table = F.broadcast(table)
             out = out.join(table, out[f] == table[key], "left") \
                 .withColumn(f, F.coalesce(F.col(code), F.lit(float(unknown_value)))) \
                 .drop(key, code)
@@ -50,20 +42,7 @@ def fit_ordinal_encoder(df: DataFrame, cols: Sequence[str]) -> OrdinalEncoder:
     stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     pairs = df.selectExpr(f"stack({len(cols)}, {stack}) AS (feature, category)") \
         .where(F.col("category").isNotNull()).distinct()
-    # Category sets are usually small: a bounded fetch (at most LOCAL_CODES_LIMIT
-    # pairs, checked by the fetch itself) is sorted on the driver — Python's
-    # code-point order equals Spark's binary string order.  Larger sets are
-    # ranked with the distributed primitive.
-    head = pairs.limit(LOCAL_CODES_LIMIT + 1).collect()
-    if len(head) <= LOCAL_CODES_LIMIT:
-        by_feature: dict[str, list[str]] = {}
-        for r in head:
-            by_feature.setdefault(r["feature"], []).append(r["category"])
-        rows = [(f, c, float(i)) for f, cats in by_feature.items() for i, c in enumerate(sorted(cats))]
-        codes = spark.createDataFrame(rows, "feature string, category string, code double")
-        return OrdinalEncoder(codes, cols)
     ranked = row_index(pairs, ["category"], ["feature"], out="_rn")
-    # `ranked` already reads the ranking checkpoint (joined to a small offsets
-    # relation), so the code table is fixed and cheap to scan again.
-    codes = ranked.select("feature", "category", (F.col("_rn") - 1).cast("double").alias("code"))
+    codes = written(ranked.select("feature", "category", (F.col("_rn") - 1).cast("double").alias("code")),
+                    "codes")
     return OrdinalEncoder(codes, cols)

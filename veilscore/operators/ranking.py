@@ -2,45 +2,36 @@
 
 A global window (``Window.orderBy``) or a window per feature / per class sends a
 whole group to one task.  At 100 TB one class or one feature can hold a third of
-all rows, so every "rank", "cumulative sum" and "k-th value" in this library is
-computed in three distributed steps:
-
-1. ``repartitionByRange(P, group…, order…)`` — sampled bounds split large
-   groups over many tasks; each task holds one contiguous key range;
-2. a window *within* ``(range partition, group)`` gives local running sums; the
-   windowed frame is checkpointed (reliable, to the cluster's checkpoint folder)
-   so both uses below see the same range bounds and lineage is cut;
-3. per ``(partition, group)`` totals — at most ``P + #groups`` rows — are turned
-   into offsets with a window over that small table and joined back
-   (broadcast only after its row count has been checked).
+all rows, so ranks, cumulative sums and k-th values are computed like this:
+
+* :func:`running_totals` — one range exchange of the rows (sampled bounds split
+  large groups over many tasks), local running sums over each sorted range in
+  Arrow batches, the result written once to the checkpoint folder; totals per
+  (range, group) — at most ranges + groups rows — become offsets that Spark joins
+  back by their size;
+* :func:`exact_medians` — counts per (feature, bin) with map-side combine, the bin
+  that holds the middle rank is refined until one value is left;
+* :func:`keys_at_ranks` — counts per (group, key prefix) find the prefixes that
+  hold the wanted ranks, only their rows are ordered.
+
+Every step has one plan at every size, and no rows are fetched to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
-# Largest helper table this library broadcasts (rows).  Above it the join is a
-# regular shuffle join chosen by Catalyst/AQE.
-BROADCAST_ROW_LIMIT = 500_000
-# Offsets tables up to this many rows are computed once and held as a local
-# relation, so later actions on a ranked frame do not re-aggregate them.
-LOCAL_OFFSETS_LIMIT = 100_000
-# Bracketed rows (exactly counted first) up to this many are ordered on the
-# driver instead of by a distributed ranking job.
-LOCAL_BRACKET_LIMIT = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be ≤ ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+#: Bins per refinement round of :func:`exact_medians`.
+BINS = 4096
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -49,14 +40,57 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str],
-                 right_prefix: str = "") -> Column | None:
-    conds = [left[c].eqNullSafe(right[right_prefix + c]) for c in cols]
-    return reduce(lambda a, b: a & b, conds) if conds else None
+def _equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs], F.lit(True))
+
+
+def _local_totals(names: list[str]):
+    """mapInArrow function: running count, sums and non-null counts within each
+    run of equal group hash of a sorted partition, carried over batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, count = None, 0
+        carry: dict[str, tuple] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            g = batch.column(at["_grp_hash"]).to_numpy(zero_copy_only=False)
+            cuts = [0, *((g[1:] != g[:-1]).nonzero()[0] + 1).tolist(), len(g)]
+            counts, sums, seen = [], {n: [] for n in names}, {n: [] for n in names}
+            for lo, hi in zip(cuts, cuts[1:]):
+                if g[lo] != group:
+                    group, count, carry = g[lo], 0, {}
+                counts.append(pa.array(range(count + 1, count + hi - lo + 1), pa.int64()))
+                count += hi - lo
+                for n in names:
+                    part = batch.column(at[n]).slice(lo, hi - lo)
+                    zero = pa.scalar(0, pa.int64()).cast(part.type)
+                    total, known = carry.get(n, (zero, 0))
+                    running = pc.cumulative_sum(pc.fill_null(part, zero), start=total)
+                    valid = pc.add(pc.cumulative_sum(pc.cast(pc.is_valid(part), pa.int64())), known)
+                    sums[n].append(running)
+                    seen[n].append(valid)
+                    carry[n] = (running[-1], valid[-1].as_py())
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_grp_hash"]
+            fields = [f for f in batch.schema if f.name != "_grp_hash"]
+            extra = [("_lc", pa.concat_arrays(counts))]
+            for n in names:
+                extra += [(f"_l{n}", pa.concat_arrays(sums[n])), (f"_ln{n}", pa.concat_arrays(seen[n]))]
+            yield pa.RecordBatch.from_arrays(columns + [a for _, a in extra], schema=pa.schema(
+                fields + [pa.field(k, a.type) for k, a in extra]))
+    return run
 
 
 def running_totals(df: DataFrame, order_by: Sequence[Column | str],
@@ -67,87 +101,48 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str],
     """Add inclusive running count (``count_col``) and running sums (``sums``:
     output name → expression) within ``partition_by`` in ``order_by`` order.
 
-    Ties in ``order_by`` are broken arbitrarily (like ``row_number``); callers
-    that need "all rows ≥ t" semantics aggregate to distinct keys first.  A
-    hash of the whole row is appended to the sort key, so even one order-key
-    value that covers a third of the table is split over many range partitions
-    (only fully identical rows stay together).  The hash is deterministic, so a
-    re-run map task after an executor loss sends every row to the same range.
+    Ties in ``order_by`` are broken by a hash of the whole row, so even one
+    order-key value that covers a third of the table is split over many ranges
+    (only fully identical rows stay together).  A running sum is null only while
+    every value so far is null.
     """
-    spark = df.sparkSession
     sums = dict(sums or {})
     parts = list(partition_by)
-    orders = [_as_col(c) for c in order_by]
-
-    val_cols = {f"_v_{name}": _as_col(expr) for name, expr in sums.items()}
-    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields
-                if not isinstance(f.dataType, T.MapType)]
-    tiebreak = F.xxhash64(*hashable) if hashable else F.lit(0).cast("long")
-    base = df.select("*", *[e.alias(n) for n, e in val_cols.items()], tiebreak.alias("_tb"))
-    orders = orders + [F.col("_tb")]
-    keys = [F.col(p) for p in parts] + orders
-    # Without an explicit count AQE may coalesce adjacent range partitions to the
-    # advisory size; coalescing keeps range order, so the partition id stays a
-    # valid order key for the offsets below.
+    values = {f"_v_{name}": _as_col(expr) for name, expr in sums.items()}
+    # A sum of integers is a long, as in Spark's own sum.
+    kinds = df.select(*[F.sum(e).alias(n) for n, e in values.items()]).schema if values else None
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    base = df.select("*", *[e.cast(kinds[n].dataType).alias(n) for n, e in values.items()],
+                     (F.xxhash64(*hashable) if hashable else F.lit(0).cast("long")).alias("_tb"),
+                     (F.xxhash64(*parts) if parts else F.lit(0).cast("long")).alias("_grp_hash"))
+    keys = [F.col(p) for p in parts] + [_as_col(c) for c in order_by] + [F.col("_tb")]
     ranged = (base.repartitionByRange(int(num_partitions), *keys) if num_partitions
-              else base.repartitionByRange(*keys)).withColumn("_pid", F.spark_partition_id())
-
-    if val_cols:
-        w_local = Window.partitionBy("_pid", *parts).orderBy(*orders) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = ranged.withColumn("_lc", F.count(F.lit(1)).over(w_local))
-        for n in val_cols:
-            local = local.withColumn(f"_l{n}", F.sum(n).over(w_local)) \
-                .withColumn(f"_ln{n}", F.count(n).over(w_local))        # non-null values
-    else:
-        # Counts only: after sorting inside each range partition the generated
-        # id is (partition << 33) + position, so the position is the local rank —
-        # no window, hence no second exchange of the rows.
-        local = ranged.sortWithinPartitions(*[F.col(p) for p in parts], *orders) \
-            .withColumn("_mid", F.monotonically_increasing_id())
-    local = checkpointed(local)
-    if not val_cols:
-        first = local.groupBy("_pid", *parts).agg(F.min("_mid").alias("_m0"))
-        first = F.broadcast(first) if first.limit(LOCAL_OFFSETS_LIMIT + 1).count() <= LOCAL_OFFSETS_LIMIT \
-            else first
-        cond0 = local["_pid"] == first["_pid"]
-        for p in parts:
-            cond0 = cond0 & local[p].eqNullSafe(first[p])
-        local = local.join(first, cond0).select(
-            local["*"], (local["_mid"] - first["_m0"] + 1).alias("_lc")).drop("_mid")
+              else base.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
+    fields = [f for f in ranged.schema.fields if f.name != "_grp_hash"] + [T.StructField("_lc", T.LongType())]
+    for n in values:
+        fields += [T.StructField(f"_l{n}", kinds[n].dataType), T.StructField(f"_ln{n}", T.LongType())]
+    local = written(ranged.mapInArrow(_local_totals(list(values)), T.StructType(fields)), "running")
 
     totals = local.groupBy("_pid", *parts).agg(
-        F.count(F.lit(1)).alias("_tc"), *[F.sum(n).alias(f"_t{n}") for n in val_cols],
-        *[F.count(n).alias(f"_tn{n}") for n in val_cols])
-    w_off = Window.partitionBy(*parts).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+        F.max("_lc").alias("_tc"), *[F.sum(n).alias(f"_t{n}") for n in values],
+        *[F.count(n).alias(f"_tn{n}") for n in values])
+    before = Window.partitionBy(*parts).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     offsets = totals.select(
         F.col("_pid").alias("_o_pid"), *[F.col(p).alias(f"_o_{p}") for p in parts],
-        F.coalesce(F.sum("_tc").over(w_off), F.lit(0)).alias("_oc"),
-        *[F.coalesce(F.sum(f"_t{n}").over(w_off), F.lit(0)).alias(f"_o{n}") for n in val_cols],
-        *[F.coalesce(F.sum(f"_tn{n}").over(w_off), F.lit(0)).alias(f"_on{n}") for n in val_cols])
-    # One bounded fetch both sizes and reads the offsets table.
-    head = offsets.limit(LOCAL_OFFSETS_LIMIT + 1).collect()
-    if len(head) <= LOCAL_OFFSETS_LIMIT:
-        offsets = F.broadcast(spark.createDataFrame(head, offsets.schema))
-    else:
-        offsets = broadcast_if_small(offsets)
-
-    cond = local["_pid"] == offsets["_o_pid"]
-    for p in parts:
-        cond = cond & local[p].eqNullSafe(offsets[f"_o_{p}"])
-    joined = local.join(offsets, cond, "inner")
-
-    out_cols = [F.col(c) for c in df.columns]
+        earlier("_tc").alias("_oc"), *[earlier(f"_t{n}").alias(f"_o{n}") for n in values],
+        *[earlier(f"_tn{n}").alias(f"_on{n}") for n in values])
+    offsets = written(offsets, "offsets")
+    joined = local.join(offsets, (F.col("_pid") == F.col("_o_pid"))
+                        & _equal([(local[p], offsets[f"_o_{p}"]) for p in parts]))
+    out = [F.col(f"`{c}`") for c in df.columns]
     if count_col:
-        out_cols.append((F.col("_lc") + F.col("_oc")).alias(count_col))
+        out.append((F.col("_lc") + F.col("_oc")).alias(count_col))
     for name in sums:
-        # Like a window sum: null only while every value so far (in this and
-        # all earlier range partitions) is null.
-        seen = F.col(f"_ln_v_{name}") + F.col(f"_on_v_{name}") > 0
-        total = F.coalesce(F.col(f"_l_v_{name}"), F.lit(0)) + F.col(f"_o_v_{name}")
-        out_cols.append(F.when(seen, total).alias(name))
-    return joined.select(*out_cols)
+        known = F.col(f"_ln_v_{name}") + F.col(f"_on_v_{name}") > 0
+        out.append(F.when(known, F.col(f"_l_v_{name}") + F.col(f"_o_v_{name}")).alias(name))
+    return joined.select(*out)
 
 
 def row_index(df: DataFrame, order_by: Sequence[Column | str],
@@ -156,184 +151,72 @@ def row_index(df: DataFrame, order_by: Sequence[Column | str],
     return running_totals(df, order_by, partition_by, None, count_col=out)
 
 
-def exact_medians(long_df: DataFrame, group_col: str = "feature",
-                  value_col: str = "value", accuracy: int = 10_000) -> DataFrame:
+def exact_medians(long_df: DataFrame, group_col: str = "feature", value_col: str = "value",
+                  bins: int = BINS) -> DataFrame:
     """Exact median per group (mean of the two middle values), NaN and null skipped.
 
-    1. one aggregation: ``n`` and a ``percentile_approx`` bracket [lo, hi] at
-       0.5 ± 2/accuracy (its rank error is at most 1/accuracy, and the sketch
-       is bounded per group and task);
-    2. one aggregation: the exact number of values below ``lo`` and inside the
-       bracket; a group whose bracket misses a middle rank falls back to the
-       whole value range, so the result is exact in every case;
-    3. only values inside the bracket (≈ 4/accuracy of the rows) are counted
-       per distinct value and ranked with :func:`running_totals`.
+    Per group and middle rank: count the values in equal bins between the smallest
+    and largest value left, keep the bin that holds the rank with its own smallest
+    and largest value, and repeat until these are equal.  Each round is one
+    aggregation with map-side combine; at least one distinct value is ruled out
+    every time, usually all but 1/``bins`` of them.
 
     Returns ``(group, median, n)``; groups with no valid value are absent.
     """
-    spark = long_df.sparkSession
-    v = F.col(value_col).cast("double")
-    clean = long_df.select(F.col(group_col), v.alias("_x")) \
+    clean = long_df.select(F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_x")) \
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    delta = min(0.5, 2.0 / accuracy)
-    stats = clean.groupBy(group_col).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_x", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], accuracy)
-        .alias("_br"))
-    stats = stats.select(group_col, "n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"),
-                         F.floor((F.col("n") + 1) / 2).alias("_klo"),
-                         (F.floor(F.col("n") / 2) + 1).alias("_khi"))
-    stats = broadcast_if_small(stats)
-    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-    counts = clean.join(stats, group_col).groupBy(group_col).agg(
-        F.sum(F.when(x < lo, 1).otherwise(0)).alias("_below"),
-        F.sum(F.when((x >= lo) & (x <= hi), 1).otherwise(0)).alias("_inside"))
-    checked = stats.join(counts, group_col)
-    ok = (F.col("_below") < F.col("_klo")) & (F.col("_below") + F.col("_inside") >= F.col("_khi"))
-    # Bracket per group; a miss widens to the whole range (offset 0).
-    brackets = checked.select(
-        group_col, "n", "_klo", "_khi",
-        F.when(ok, F.col("_lo")).alias("_lo"), F.when(ok, F.col("_hi")).alias("_hi"),
-        F.when(ok, F.col("_below")).otherwise(F.lit(0)).alias("_below"))
-    bracket_rows = brackets.collect()                      # one row per group
-    brackets = spark.createDataFrame(bracket_rows, brackets.schema)
-    inside = clean.join(F.broadcast(brackets), group_col).where(
-        (F.col("_lo").isNull() | (x >= lo)) & (F.col("_hi").isNull() | (x <= hi)))
-    d = inside.groupBy(group_col, "_x").agg(F.count(F.lit(1)).alias("_cnt"))
-    head = d.limit(LOCAL_BRACKET_LIMIT + 1).collect()
-    if len(head) <= LOCAL_BRACKET_LIMIT:
-        # Bounded fetch of the distinct bracketed values: walk the cumulative
-        # counts on the driver to the two middle ranks.
-        meta = {r[group_col]: r for r in bracket_rows}
-        values: dict = {}
-        for r in head:
-            values.setdefault(r[group_col], []).append((r["_x"], int(r["_cnt"])))
-        out = []
-        for g, vs in values.items():
-            m = meta[g]
-            cum, vlo, vhi = int(m["_below"]), None, None
-            for val, cnt in sorted(vs):
-                if vlo is None and cum + cnt >= m["_klo"]:
-                    vlo = val
-                if vhi is None and cum + cnt >= m["_khi"]:
-                    vhi = val
-                    break
-                cum += cnt
-            out.append((g, (vlo + vhi) / 2.0, int(m["n"])))
-        gtype = long_df.schema[group_col].dataType.simpleString()
-        return spark.createDataFrame(out, f"{group_col} {gtype}, median double, n bigint")
-    rt = running_totals(d, ["_x"], [group_col], {"_cum": "_cnt"}, count_col=None)
-    joined = rt.join(brackets.select(group_col, "n", "_klo", "_khi", "_below"), group_col)
-    cum = F.col("_cum") + F.col("_below")
-    prev = cum - F.col("_cnt")
-    lo_hit = (prev < F.col("_klo")) & (cum >= F.col("_klo"))
-    hi_hit = (prev < F.col("_khi")) & (cum >= F.col("_khi"))
-    picked = joined.where(lo_hit | hi_hit).groupBy(group_col).agg(
-        F.max(F.when(lo_hit, F.col("_x"))).alias("_vlo"),
-        F.max(F.when(hi_hit, F.col("_x"))).alias("_vhi"),
-        F.first("n").alias("n"))
-    return picked.select(group_col, ((F.col("_vlo") + F.col("_vhi")) / 2.0).alias("median"), "n")
-
-
-def keys_at_ranks(df: DataFrame, group_col: str, coarse: Column, order: Sequence[Column],
-                  targets: Mapping[object, Sequence[int]], sizes: Mapping[object, int],
-                  accuracy: int = 10_000) -> DataFrame:
+    start = clean.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    ranks = F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    goals = written(start.select("_g", "n", "lo", "hi", F.lit(0).cast("long").alias("below"),
+                                 F.posexplode(ranks).alias("side", "rank")), "median")
+    while goals.where("lo < hi").limit(1).count():
+        open_ = goals.where("lo < hi")
+        # Halves first: the difference of two doubles may not be one.
+        share = (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bin_ = F.when(F.col("_x") == F.col("lo"), 0).when(F.col("_x") == F.col("hi"), bins - 1).otherwise(
+            F.least(F.greatest(F.floor(F.nanvl(share, F.lit(0.5)) * bins), F.lit(0)), F.lit(bins - 1)))
+        counted = (clean.join(open_, "_g").where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+                   .groupBy("_g", "side", "n", "rank", "below", bin_.alias("bin"))
+                   .agg(F.count(F.lit(1)).alias("k"), F.min("_x").alias("lo"), F.max("_x").alias("hi")))
+        upto = F.sum("k").over(Window.partitionBy("_g", "side").orderBy("bin"))
+        found = (counted.withColumn("upto", F.col("below") + upto)
+                 .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))
+                 .select("_g", "n", "lo", "hi", (F.col("upto") - F.col("k")).alias("below"), "side", "rank"))
+        goals = written(goals.where("lo = hi").unionByName(found), "median")
+    return goals.groupBy(F.col("_g").alias(group_col)).agg(
+        ((F.min("lo") + F.max("lo")) / 2.0).alias("median"), F.first("n").alias("n"))
+
+
+def keys_at_ranks(df: DataFrame, group_col: str, order: Sequence[Column],
+                  targets: Mapping[object, Sequence[int]], prefix: Column | None = None) -> DataFrame:
     """Exact order statistics: for each group and each requested 1-based rank,
     the row key ``struct(order…)`` at that rank (rows ordered by ``order``).
 
-    ``coarse`` is a numeric column whose order agrees with ``order`` (equal
-    ``coarse`` values may be ordered further by ``order``).  The work is three
-    passes, none of which ranks the whole table:
-
-    1. one aggregation: ``percentile_approx(coarse)`` at rank/n ± 2/accuracy for
-       every target (the percentage list is the union over groups);
-    2. one aggregation: exact counts of rows below / inside each bracket; a
-       bracket that misses its rank falls back to the group's whole range;
-    3. rows inside a bracket (≈ 4/accuracy of the group per target) are ranked
-       with :func:`running_totals` and the row at the target rank is kept.
+    ``prefix`` is a column with few values whose order agrees with ``order`` and
+    which spreads the rows evenly (leading digits of a hash): rows are counted per
+    (group, prefix), and only the prefixes that hold a wanted rank are ordered.
+    Without it the keys are ranked with :func:`row_index`.
 
-    ``targets``/``sizes`` map group → ranks / row count (one entry per group:
-    both are bounded by the number of groups and ranks).  Returns
-    ``(group, j, rank, key)`` with ``j`` the 0-based target index.
+    ``targets`` maps group → ranks (bounded by groups and ranks; null is a group
+    like any other).  Returns ``(group, j, rank, key)``, ``j`` the 0-based index.
     """
     spark = df.sparkSession
-    delta = min(0.5, 2.0 / accuracy)
-    plan = {g: [int(r) for r in rs if 0 < int(r) <= int(sizes.get(g, 0))] for g, rs in targets.items()}
-    plan = {g: rs for g, rs in plan.items() if rs}
-    gtype = df.schema[group_col].dataType.simpleString()
-    key_schema = df.select(F.struct(*order).alias("k")).schema["k"].dataType.simpleString()
-    if not plan:
-        return spark.createDataFrame([], f"{group_col} {gtype}, j int, rank long, key {key_schema}")
-    pcts = sorted({min(1.0, max(0.0, r / sizes[g] + s * delta)) for g, rs in plan.items()
-                   for r in rs for s in (-1.0, 1.0)})
-    base = df.select(F.col(group_col), coarse.cast("double").alias("_h"),
-                     F.struct(*order).alias("_key"))
-    approx = {r[group_col]: r["_p"] for r in base.groupBy(group_col).agg(
-        F.percentile_approx("_h", pcts, accuracy).alias("_p")).collect()}
-    m = max(len(rs) for rs in plan.values())
-    rows = []
-    for g, rs in plan.items():
-        vals = dict(zip(pcts, approx.get(g) or [None] * len(pcts)))
-        lo = [vals.get(min(1.0, max(0.0, r / sizes[g] - delta))) for r in rs]
-        hi = [vals.get(min(1.0, max(0.0, r / sizes[g] + delta))) for r in rs]
-        pad = m - len(rs)
-        rows.append((g, rs + [0] * pad, lo + [None] * pad, hi + [None] * pad))
-    br = spark.createDataFrame(rows, f"{group_col} {gtype}, _r array<bigint>, "
-                                     f"_lo array<double>, _hi array<double>")
-    h = F.col("_h")
-    with_br = base.join(F.broadcast(br), group_col)            # one row per group: bounded
-    aggs = []
-    for j in range(m):
-        lo_j, hi_j = F.element_at("_lo", j + 1), F.element_at("_hi", j + 1)
-        # Null keys sort first (ascending), so they count as "below" every bracket.
-        aggs += [F.sum(F.when(h.isNull() | (h < lo_j), 1).otherwise(0)).alias(f"b{j}"),
-                 F.sum(F.when((h >= lo_j) & (h <= hi_j), 1).otherwise(0)).alias(f"i{j}")]
-    counts = {r[group_col]: r for r in with_br.groupBy(group_col).agg(*aggs).collect()}
-    rows = []
-    n_inside = 0
-    belows_of = {}
-    for g, rs in plan.items():
-        c = counts[g]
-        los, his, belows = [], [], []
-        vals = dict(zip(pcts, approx.get(g) or [None] * len(pcts)))
-        for j, r in enumerate(rs):
-            lo = vals.get(min(1.0, max(0.0, r / sizes[g] - delta)))
-            hi = vals.get(min(1.0, max(0.0, r / sizes[g] + delta)))
-            b, i = int(c[f"b{j}"] or 0), int(c[f"i{j}"] or 0)
-            if lo is not None and hi is not None and b < r <= b + i:
-                los.append(lo), his.append(hi), belows.append(b)
-                n_inside += i
-            else:                                   # bracket missed: whole group
-                los.append(None), his.append(None), belows.append(0)
-                n_inside += int(sizes[g])
-        pad = m - len(rs)
-        belows_of[g] = belows
-        rows.append((g, rs + [0] * pad, los + [None] * pad, his + [None] * pad, belows + [0] * pad))
-    fixed = spark.createDataFrame(rows, f"{group_col} {gtype}, _r array<bigint>, _lo array<double>, "
-                                        f"_hi array<double>, _below array<bigint>")
-    inside = base.join(F.broadcast(fixed), group_col).select(
-        group_col, "_key", "_r", "_below",
-        F.explode(F.filter(F.sequence(F.lit(1), F.lit(m)), lambda j: (F.element_at("_r", j) > 0) & (
-            (F.element_at("_lo", j).isNull() | (h >= F.element_at("_lo", j)))
-            & (F.element_at("_hi", j).isNull() | (h <= F.element_at("_hi", j)))))).alias("_j"))
-    if n_inside <= LOCAL_BRACKET_LIMIT:
-        # The bracketed rows were counted exactly above: a bounded fetch, then
-        # the target rank is picked from the sorted keys of each bracket.
-        picked = {}
-        for r in inside.select(group_col, "_j", "_key").collect():
-            picked.setdefault((r[group_col], r["_j"]), []).append(r["_key"])
-        out = []
-        def spark_order(k):           # ascending, nulls first, field by field
-            return tuple((v is not None, v) for v in k)
-
-        for (g, jj), keys in picked.items():
-            keys.sort(key=spark_order)
-            rank = plan[g][jj - 1]
-            below = belows_of[g][jj - 1]
-            out.append((g, jj - 1, rank, keys[rank - below - 1]))
-        return spark.createDataFrame(out, f"{group_col} {gtype}, j int, rank long, key {key_schema}")
-    ranked = running_totals(inside, [F.col("_key")], [group_col, "_j"], None, count_col="_rin")
-    hit = F.col("_rin") + F.element_at("_below", F.col("_j")) == F.element_at("_r", F.col("_j"))
-    return ranked.where(hit).select(group_col, (F.col("_j") - 1).cast("int").alias("j"),
-                                    F.element_at("_r", F.col("_j")).alias("rank"),
-                                    F.col("_key").alias("key"))
+    kind = df.schema[group_col].dataType.simpleString()
+    rows = [(g, j, int(r)) for g, ranks in targets.items() for j, r in enumerate(ranks)]
+    wanted = spark.createDataFrame(rows, f"_t {kind}, j int, rank long")
+    keys = df.select(F.col(group_col).alias("_g"), F.struct(*order).alias("key"),
+                     *([prefix.alias("_p")] if prefix is not None else []))
+    same = F.col("_g").eqNullSafe(F.col("_t"))
+    if prefix is None:
+        ranked = row_index(keys, ["key"], ["_g"], out="_rn")
+        hit = ranked.join(wanted, same & (F.col("_rn") == F.col("rank")))
+    else:
+        upto = F.sum("k").over(Window.partitionBy("_g").orderBy("_p"))
+        counts = keys.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", upto)
+        held = (counts.join(wanted, same).where(
+            (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))
+            .select("_t", F.col("_p").alias("_tp"), "j", "rank", (F.col("upto") - F.col("k")).alias("below")))
+        inside = keys.join(written(held, "ranks"), same & F.col("_p").eqNullSafe(F.col("_tp")))
+        place = F.row_number().over(Window.partitionBy("_t", "j").orderBy("key"))
+        hit = inside.withColumn("_rn", place).where(F.col("_rn") + F.col("below") == F.col("rank"))
+    return hit.select(F.col("_g").alias(group_col), "j", "rank", "key")

@@ -12,7 +12,9 @@ per-class quotas follow the allocation rules of the reference's splitter:
 
 Which rows fill the quotas is decided by the seeded order ``(md5(seed:id), id)``
 (or by id for the unshuffled variant): the keys at the quota ranks are exact
-order statistics found with sketch brackets (:func:`keys_at_ranks`), and every
+order statistics (:func:`keys_at_ranks`: the md5 key is uniform, so its leading
+digits are counted per class and only the digits that hold a quota rank are
+ordered; ids are ranked by their own order, whatever their type), and every
 row is then assigned by comparing its key with them — one pass, no ranking of
 whole classes and no copy of the table.
 """
@@ -25,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import keys_at_ranks
+from .ranking import keys_at_ranks, written
 
 SEED = 42
 
@@ -35,10 +37,17 @@ def shuffle_key(id_col: str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+#: Most classes a label may have (class counts are held on the driver).
+MAX_CLASSES = 10_000
+
+
 def class_counts(df: DataFrame, label_col: str) -> list[tuple]:
-    """(class, n) sorted by class — a one-row-per-class aggregate."""
-    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted(((r[label_col], int(r["n"])) for r in rows), key=lambda t: (t[0] is None, t[0]))
+    """(class, n) sorted by class, null first — a one-row-per-class aggregate; a
+    missing label is a class like any other."""
+    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label_col} has more than {MAX_CLASSES} classes")
+    return sorted(((r[label_col], int(r["n"])) for r in rows), key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0))
 
 
 def holdout_quotas(counts: list[tuple], test_size: float = 0.2) -> dict:
@@ -68,14 +77,6 @@ def fold_allocation(counts: list[tuple], k: int) -> dict:
     return out
 
 
-def _coarse_key(id_col: str, seed: int | None) -> Column:
-    """Numeric key whose order agrees with the shuffle order (the first 13 hex
-    digits of the md5 key = 52 bits, exact in a double), or the id itself."""
-    if seed is None:
-        return F.col(id_col).cast("double")
-    return F.conv(F.substr(shuffle_key(id_col, seed), F.lit(1), F.lit(13)), 16, 10).cast("double")
-
-
 def _order(id_col: str, seed: int | None) -> list[Column]:
     if seed is None:
         return [F.col(id_col)]
@@ -83,11 +84,12 @@ def _order(id_col: str, seed: int | None) -> list[Column]:
 
 
 def _boundaries(df: DataFrame, label_col: str, id_col: str, seed: int | None,
-                ranks: dict, sizes: dict) -> DataFrame:
-    """Per class: array of the row keys at the requested ranks (exact, bracketed
-    order statistics; no ranking of the whole class)."""
-    th = keys_at_ranks(df, label_col, _coarse_key(id_col, seed), _order(id_col, seed), ranks, sizes)
-    return th.groupBy(label_col).agg(F.collect_list("key").alias("_bounds"))   # ≤ k keys per class
+                ranks: dict) -> DataFrame:
+    """Per class: array of the row keys at the requested ranks (≤ k per class)."""
+    prefix = None if seed is None else F.substr(shuffle_key(id_col, seed), F.lit(1), F.lit(3))
+    th = keys_at_ranks(df, label_col, _order(id_col, seed), ranks, prefix)
+    bounds = th.groupBy(label_col).agg(F.collect_list("key").alias("_bounds"))
+    return written(bounds.withColumnRenamed(label_col, "_class"), "split-bounds")
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float = 0.2,
@@ -97,11 +99,10 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: floa
     A row is in the test part iff its key ``(md5(seed:id), id)`` is at most the
     key at rank ``n_test`` of its class — one exact order statistic per class."""
     counts = class_counts(df, label_col)
-    sizes = dict(counts)
     quotas = holdout_quotas(counts, test_size)
-    b = _boundaries(df, label_col, id_col, seed, {g: [q] for g, q in quotas.items()}, sizes)
+    b = _boundaries(df, label_col, id_col, seed, {g: [q] for g, q in quotas.items() if q > 0})
     key = F.struct(*_order(id_col, seed))
-    j = df.join(F.broadcast(b), df[label_col].eqNullSafe(b[label_col]), "left").drop(b[label_col])
+    j = df.join(b, df[label_col].eqNullSafe(b["_class"]), "left").drop("_class")
     is_test = F.coalesce(F.exists(F.col("_bounds"), lambda t: key <= t), F.lit(False))
     return j.withColumn(out, is_test).drop("_bounds")
 
@@ -113,7 +114,6 @@ def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int, shuffle
     The class-wise fold sizes fix k−1 boundary ranks per class; a row's fold is
     the number of boundary keys below its key."""
     counts = class_counts(df, label_col)
-    sizes = dict(counts)
     alloc = fold_allocation(counts, k)
     ranks, zero = {}, {}
     for lab, per_fold in alloc.items():
@@ -124,13 +124,13 @@ def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int, shuffle
         ranks[lab] = [r for r in cum if r > 0]
         zero[lab] = sum(1 for r in cum if r == 0)        # empty leading folds
     use_seed = seed if shuffle else None
-    b = _boundaries(df, label_col, id_col, use_seed, ranks, sizes)
+    b = _boundaries(df, label_col, id_col, use_seed, ranks)
     key = F.struct(*_order(id_col, use_seed))
-    j = df.join(F.broadcast(b), df[label_col].eqNullSafe(b[label_col]), "left").drop(b[label_col])
+    j = df.join(b, df[label_col].eqNullSafe(b["_class"]), "left").drop("_class")
     offset = F.lit(0)
     for lab, z in zero.items():
         if z:
-            offset = F.when(F.col(label_col) == F.lit(lab), F.lit(z)).otherwise(offset)
+            offset = F.when(F.col(label_col).eqNullSafe(F.lit(lab)), F.lit(z)).otherwise(offset)
     below = F.coalesce(F.size(F.filter(F.col("_bounds"), lambda t: t < key)), F.lit(0))
     return j.withColumn(out, (below + offset).cast("int")).drop("_bounds")
 
@@ -149,5 +149,5 @@ def class_weight_column(df: DataFrame, label_col: str,
         weights = {lab: float(w) for lab, w in dict(class_weight).items()}
     expr = F.lit(1.0)
     for lab, w in weights.items():
-        expr = F.when(F.col(label_col) == F.lit(lab), F.lit(float(w))).otherwise(expr)
+        expr = F.when(F.col(label_col).eqNullSafe(F.lit(lab)), F.lit(float(w))).otherwise(expr)
     return expr
