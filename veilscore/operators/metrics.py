@@ -49,6 +49,18 @@ def curve_points(scored: DataFrame, label_col: str = "label", score_col: str = "
         .withColumn("n_neg", F.lit(int(t["n"] or 0)).cast("long"))
 
 
+def average_precision_by(scored: DataFrame, by: str, label_col: str = "label",
+                         score_col: str = "score") -> DataFrame:
+    """M3 per value of ``by`` (folds, models): ``(by, average_precision)``, null
+    without positives; one running-totals pass for all of them."""
+    y = F.col(label_col).cast("long")
+    d = scored.groupBy(by, F.col(score_col).alias("score")).agg(
+        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    rt = running_totals(d, [F.col("score").desc()], [by], {"tp": "pos", "fp": "neg"}, count_col=None)
+    steps = F.sum(F.col("pos") * _prec(F.col("tp"), F.col("fp")))
+    return rt.groupBy(by).agg(F.try_divide(steps, F.sum("pos")).alias("average_precision"))
+
+
 def _prec(tp: Column, fp: Column) -> Column:
     return F.when(tp + fp > 0, F.try_divide(tp, tp + fp))
 

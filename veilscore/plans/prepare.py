@@ -37,14 +37,17 @@ class FittedPrep:
         return list(self.imputer.dropped)
 
     def transform(self, joined: DataFrame) -> DataFrame:
-        """Apply to a joined frame: id, scaled numerics, codes, label (R10 order)."""
+        """Apply to a joined frame: id, scaled numerics, codes and, if the frame has
+        it, the label (R10 order)."""
+        labelled = self.label_col in joined.columns
         nums = [c for c in self.numeric if c not in self.imputer.dropped]
         imputed = joined.select(
             F.col(self.id_col), *self.imputer.columns(joined, nums),
             *impute_constant(self.categorical, self.fill),
-            label_int(self.label_col, joined).alias(self.label_col))
+            *([label_int(self.label_col, joined).alias(self.label_col)] if labelled else []))
         scaled = imputed.select(F.col(self.id_col), *self.scaler.columns(nums),
-                                *[F.col(c) for c in self.categorical], F.col(self.label_col))
+                                *[F.col(c) for c in self.categorical],
+                                *([F.col(self.label_col)] if labelled else []))
         return self.encoder.transform(scaled)
 
     def metadata(self, spark: SparkSession, prepared: DataFrame) -> DataFrame:

@@ -371,8 +371,9 @@ def validation_report(spark, sf):
 def validation_pyramid(spark, sf):
     """SANITY 5×5, CRYPTO all×1, SATURATION all×16 on the embeddings
     (time columns left out of the comparison)."""
-    from .validation import run_pyramid
-    report = run_pyramid(spark, I.embedding_features(spark, sf), I.embedding_model(), "vec_id")
+    from .validation import STAGES, run_pyramid
+    stages = (*STAGES, ("TOO WIDE", "skipped: wider than the model", 10_000, 1))
+    report = run_pyramid(spark, I.embedding_features(spark, sf), I.embedding_model(), "vec_id", stages)
     return report.drop("seconds", "rows_per_sec", "cost_usd")
 
 
@@ -503,23 +504,130 @@ def _fit_predict(spark, sf, model, params):
     return ML.positive_probability(fitted.transform(test)).select("vec_id", _r("prob").alias("prob"))
 
 
-def lr_fit_predict(spark, sf):
+def lr_embeddings(spark, sf):
     """T5: L2 logistic regression (C=0.1, balanced) on the embeddings, hold-out probabilities."""
     return _fit_predict(spark, sf, "lr", {"C": 0.1, "class_weight": "balanced", "max_iter": 1000})
 
 
-def rf_fit_predict(spark, sf):
+def rf_embeddings(spark, sf):
     """Random forest (20 trees, depth 4, sqrt features, weights {0:1, 1:10})."""
     return _fit_predict(spark, sf, "rf", {"n_estimators": 20, "max_depth": 4, "max_features": "sqrt",
                                           "min_samples_leaf": 1, "class_weight": {0: 1, 1: 10}})
 
 
-def gbt_fit_predict(spark, sf):
+def gbt_embeddings(spark, sf):
     """Gradient-boosted trees (20 rounds, depth 3, learning rate 0.1)."""
     return _fit_predict(spark, sf, "xgb", {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1,
                                            "subsample": 1.0, "colsample_bytree": 1.0})
 
 
+def _fit_on_urgency(spark, sf, model, params, digits):
+    """A model of one yes/no feature (urgent order) on all orders; label: status F."""
+    from ..operators import models as ML
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").select(
+        "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("is_f"))
+    data = ML.with_weight_columns(o, "is_f", [params])
+    ws = ML._weight_sum(data, params) if model == "lr" else None
+    fitted = ML.make_pipeline(model, params, ["urgent"], "is_f", None, ws).fit(data)
+    return ML.positive_probability(fitted.transform(o)).select("o_orderkey", _r("prob", digits).alias("prob"))
+
+
+def lr_fit_predict(spark, sf):
+    """T5: balanced logistic regression on one yes/no feature with hardly any
+    penalty: the weighted rate of each group."""
+    return _fit_on_urgency(spark, sf, "lr", {"C": 1e9, "class_weight": "balanced", "max_iter": 1000}, 3)
+
+
+def rf_fit_predict(spark, sf):
+    """One tree of depth 1 on all rows, weights {0:1, 1:10}: the weighted leaf rates."""
+    return _fit_on_urgency(spark, sf, "rf", {"n_estimators": 1, "max_depth": 1, "max_features": "all",
+                                             "bootstrap": False, "class_weight": {0: 1, 1: 10}}, 6)
+
+
+def gbt_fit_predict(spark, sf):
+    """One boosting round of depth 1: 1 / (1 + exp(-2 (2 rate - 1))) per leaf."""
+    return _fit_on_urgency(spark, sf, "xgb", {"n_estimators": 1, "max_depth": 1}, 6)
+
+
+def search_rank(spark, sf):
+    """Three integer models scored on three folds of the embeddings: average
+    precision per fold, mean, population deviation and rank."""
+    from ..operators import models as ML
+    from ..sources.model import LinearModel
+    m = I.embedding_model()
+    half = tuple(w if i < 32 else 0 for i, w in enumerate(m.weights))
+    models = [m, LinearModel(half, m.bias), LinearModel(tuple(-w for w in m.weights), m.bias)]
+    x = I.embedding_features(spark, sf).select(
+        "x", (F.col("label") == 0).cast("int").alias("label"), (F.col("vec_id") % 3).cast("int").alias("fold"))
+    parts = [S.score_array(x, one, keep=["label", "fold"]).withColumn("fold", F.col("fold") + 3 * i)
+             for i, one in enumerate(models)]
+    got = {r["fold"]: r["average_precision"] for r in M.average_precision_by(
+        parts[0].unionByName(parts[1]).unionByName(parts[2]), "fold").collect()}
+    scores = {i: [got[3 * i + f] for f in range(3)] for i in range(3)}
+    return M.round_all(ML.results_table(spark, [{"model": i} for i in range(3)], scores, 3)).drop("params")
+
+
+def search_best(spark, sf):
+    """The candidate of :func:`search_rank` with the highest mean."""
+    from ..operators import models as ML
+    return spark.createDataFrame([(ML.best_candidate(search_rank(spark, sf)),)], "candidate int")
+
+
+def train_all_models(spark, sf):
+    """T13 for every model kind on the prepared orders: rows of the parts, candidates
+    and folds run, and whether the summary equals metrics recomputed from the scores."""
+    from .train import train
+    prepared, _ = _prepared_orders(spark, sf)
+    kinds = {"lr": [{"C": 0.1, "class_weight": "balanced", "max_iter": 50}, {"C": 1.0, "class_weight": None, "max_iter": 50}],
+             "rf": [{"n_estimators": 3, "max_depth": 3, "class_weight": "balanced"},
+                    {"n_estimators": 3, "max_depth": 2, "class_weight": {0: 1, 1: 10}}],
+             "xgb": [{"n_estimators": 2, "max_depth": 2}, {"n_estimators": 2, "max_depth": 3}]}
+    n, rows = prepared.count(), []
+    for kind, candidates in kinds.items():
+        res = train(prepared, kind, "coarse", "o_orderkey", "is_f", scale_col="o_totalprice",
+                    candidates=candidates, n_folds=2, parallelism=4)
+        again = M.metric_summary(M.curve_points(res.scored, "is_f", "prob")).first()
+        told = res.summary.first()
+        n_test = res.scored.count()
+        same = all(abs(told[a] - again[b]) < 1e-9 for a, b in (
+            ("pr_auc", "average_precision"), ("roc_auc", "roc_auc"), ("thr", "thr"), ("rec_at_thr", "rec_at_thr")))
+        table = res.results.collect()
+        best = max(table, key=lambda r: (r["mean_score"], -r["candidate"]))
+        rows.append((kind, n - n_test, n_test, len(table), len([c for c in res.results.columns if c.startswith("split")]),
+                     same, told["best_params"] == str(candidates[best["candidate"]])))
+    return spark.createDataFrame(rows, "model string, n_train long, n_test long, n_candidates long, n_folds long, "
+                                       "metrics_match boolean, best_is_used boolean")
+
+
+def artifact_roundtrip(spark, sf):
+    """Fitted preparation saved, loaded and applied to the joined table again."""
+    from .prepare import FittedPrep
+    _, fit = _prepared_orders(spark, sf)
+    path = scratch_path(spark, "prep")
+    fit.save(spark, path)
+    joined = I.orders_customer(spark, sf).withColumn("is_f", (F.col("o_orderstatus") == "F").cast("int"))
+    return M.round_all(FittedPrep.load(spark, path).transform(joined))
+
+
+def metadata_json(spark, sf):
+    """The metadata row written as JSON and read back."""
+    from ..sources.sinks import write_json
+    frame = dataset_metadata(spark, sf)
+    path = scratch_path(spark, "metadata")
+    write_json(frame, path)
+    return spark.read.schema(frame.schema).json(path)
+
+
+def cost_report(spark, sf):
+    """V4/V6: rate and machine cost of every event, its value taken as seconds (and
+    3 ms, which keeps costs off the halves where rounding rules differ)."""
+    from ..operators.validate import cost_columns
+    e = read_table(spark, sf, "events", "event_id", "value").select(
+        "event_id", (F.col("value") + 0.003).alias("seconds"), F.lit(3600).alias("rows"))
+    return cost_columns(e).drop("rows")
+
+
 def search_results(spark, sf):
     """The smoke grid (6 forest candidates × 2 unshuffled folds), scored
     by average precision; results table with rank."""
@@ -615,6 +723,15 @@ QUERIES = {
     "lr_fit_predict": lr_fit_predict,
     "rf_fit_predict": rf_fit_predict,
     "gbt_fit_predict": gbt_fit_predict,
+    "lr_embeddings": lr_embeddings,
+    "rf_embeddings": rf_embeddings,
+    "gbt_embeddings": gbt_embeddings,
+    "search_rank": search_rank,
+    "search_best": search_best,
+    "train_all_models": train_all_models,
+    "artifact_roundtrip": artifact_roundtrip,
+    "metadata_json": metadata_json,
+    "cost_report": cost_report,
     "search_results": search_results,
     "randomized_search": randomized_search,
     "train_run": train_run,

@@ -61,12 +61,11 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
                                 parallelism)
     best_i = ML.best_candidate(results)
     best = cands[best_i]
-    tr = ML.with_weight_columns(train_part, label_col, [best])
+    tr = ML.with_weight_columns(train_part, label_col, [best])    # weights of the training rows
     ws = ML._weight_sum(tr, best) if model == "lr" else None
     fitted = ML.make_pipeline(model, best, features, label_col, scale_col, ws).fit(tr)
     training_seconds = time.perf_counter() - t_search
-    te = ML.with_weight_columns(test_part, label_col, [best])
-    scored = ML.positive_probability(fitted.transform(te)).select(id_col, label_col, "prob")
+    scored = ML.positive_probability(fitted.transform(test_part)).select(id_col, label_col, "prob")
     pts = M.curve_points(scored, label_col, "prob")
     summary = M.metric_summary(pts, target_precision)
     rid = sinks.run_id(spark)
