@@ -11,9 +11,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from veilscore.session import local_session
+    from veilscore.session import clear_scratch, local_session
     s = local_session("*", shuffle_partitions=8, app_name="veilscore-tests")
     yield s
+    clear_scratch(s)
 
 
 @pytest.fixture()

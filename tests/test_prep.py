@@ -100,13 +100,29 @@ def test_median_imputer_exact(spark):
     assert [r[0] for r in imp.transform(df).collect()][-1] == 6.0
 
 
-def test_ordinal_codes_distributed_path_matches_local(spark, monkeypatch):
+def test_ordinal_codes_are_positions_in_code_point_order(spark):
     import veilscore.operators.encode as ENC
-    df = spark.createDataFrame([(f"c{i % 37}", f"d{i % 5}") for i in range(300)], "a string, b string")
-    local = {(r["feature"], r["category"]): r["code"] for r in ENC.fit_ordinal_encoder(df, ["a", "b"]).codes.collect()}
-    monkeypatch.setattr(ENC, "LOCAL_CODES_LIMIT", 1)
-    dist = {(r["feature"], r["category"]): r["code"] for r in ENC.fit_ordinal_encoder(df, ["a", "b"]).codes.collect()}
-    assert local == dist and len(local) == 42
+    df = spark.createDataFrame([(f"c{i % 37}é", f"d{i % 5}") for i in range(300)], "a string, b string")
+    got = {(r["feature"], r["category"]): r["code"] for r in ENC.fit_ordinal_encoder(df, ["a", "b"]).codes.collect()}
+    want = {("a", c): float(i) for i, c in enumerate(sorted(f"c{i}é" for i in range(37)))}
+    want |= {("b", c): float(i) for i, c in enumerate(sorted(f"d{i}" for i in range(5)))}
+    assert got == want
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_out):
+    from veilscore.sources.csv import read_csv_na
+    from veilscore.sources.sinks import write_csv
+    rows = [(1, 'a "q" b'), (2, "line\nbreak, comma"), (3, " outer blanks "), (4, None), (5, '"')]
+    write_csv(spark.createDataFrame(rows, "id long, t string"), f"{tmp_out}/q")
+    got = read_csv_na(spark, f"{tmp_out}/q")
+    assert dict(got.dtypes) == {"id": "bigint", "t": "string"}
+    assert sorted(tuple(r) for r in got.collect()) == rows
+
+
+def test_transform_without_label(spark):
+    tx = spark.createDataFrame([(1, 10.0, "a", 0), (2, None, "b", 1)], "id long, v double, c string, y int")
+    _, fit = prepare(tx, None, "id", "y")
+    assert fit.transform(tx.drop("y")).columns == ["id", "v", "c"]
 
 
 def test_fitted_prep_save_load_roundtrip(spark, tmp_out):

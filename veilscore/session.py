@@ -7,10 +7,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+# Paths handed out by scratch_path, by application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "veilscore", extra_conf: dict | None = None) -> SparkSession:
     """Session for tests and local benchmarks (UI off, AQE on)."""
@@ -69,11 +74,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path below the checkpoint folder for written intermediate tables."""
-    import uuid
+    """A unique path below the checkpoint folder for written intermediate tables.
 
+    Lazy results read from such tables; once they are written or collected,
+    :func:`clear_scratch` deletes the tables of this application."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table through the file system its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path)
 
 
 def _conf(spark: SparkSession, key: str) -> str | None:
