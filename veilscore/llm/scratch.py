@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..session import scratch_path
+from ..session import clear_scratch, delete_path, scratch_path
 
-_PATHS: dict[str, list[str]] = {}
+__all__ = ["clear_scratch", "released", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the session's shared checkpoint folder and
     read back: lineage is cut, later reads are columnar, a lost executor only
-    costs a re-read."""
+    costs a re-read.  ``clear_scratch`` deletes all such tables of an application
+    once results that read from them are written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -27,16 +27,4 @@ def released(*frames: DataFrame) -> None:
     for frame in frames:
         path = getattr(frame, "_scratch", None)
         if path:
-            _delete(frame.sparkSession, path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every intermediate table this application wrote.  Results that were
-    not yet written read from them, so call it after writing."""
-    for path in _PATHS.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(frame.sparkSession, path)

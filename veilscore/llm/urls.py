@@ -20,8 +20,8 @@ from .scratch import released, stored
 
 DAMPING = 0.85
 MAX_DISTRUST = 0.5
-MAX_ITERATIONS = 50
-TOLERANCE = 1e-9
+MAX_ITERATIONS = 100
+TOLERANCE = 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute and scheme-relative targets of anchors.
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
