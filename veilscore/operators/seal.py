@@ -16,7 +16,7 @@ ids (or the same id sealed twice) never share a mask.  All of it is native colum
 expressions — no Python in the data path.
 
 Key material lives in a *keyring* table ``(key_id, k_ipad, k_opad, nonce)``,
-joined to the rows by ``key_id``; Spark picks the join by the table's size.  The
+joined to the rows by ``key_id`` (broadcast; its size is checked).  The
 secret is never a literal in a query plan; the scoring job needs only the
 sealed table and the weights.  Checked, with an error instead of a wrong score:
 ``max|w|·M < 2^62`` (no int64 overflow while accumulating); the width of every
@@ -44,6 +44,8 @@ MASKS_PER_DIGEST = 5
 _HEX_PER_MASK = MASK_BITS // 4
 KEY_COLUMNS = ("key_id", "k_ipad", "k_opad", "nonce")
 HALF = MODULUS // 2
+#: Most keys in a keyring (about 200 bytes each, so at most 20 MB are broadcast).
+KEYRING_LIMIT = 100_000
 
 
 def new_keyring(spark: SparkSession, key_ids: Sequence[str] = ("k0",),
@@ -88,20 +90,25 @@ def _masks(id_col: Column, width: int) -> Column:
 
 def _with_keys(df: DataFrame, keyring: DataFrame, id_col: str,
                key_col: Column | str | None) -> DataFrame:
-    """Attach key material by an equi-join with the keyring: on ``key_col`` if
-    given, else on the key slot ``pmod(xxhash64(id), #keys)`` — keys spread over
-    rows, one key per row."""
-    ring = keyring.select("key_slot", *KEY_COLUMNS)
+    """Attach key material by an equi-join with the broadcast keyring: on
+    ``key_col`` if given, else on the key slot ``pmod(xxhash64(id), #keys)`` —
+    keys spread over rows, one key per row."""
+    ring, n_keys = _sized(keyring.select("key_slot", *KEY_COLUMNS))
     if key_col is not None:
         kc = F.col(key_col) if isinstance(key_col, str) else key_col
         return df.withColumn("key_id", kc).join(ring, "key_id").drop("key_slot")
-    n_keys = ring.count()
-    if n_keys == 0:
-        raise ValueError("the keyring is empty")
     slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_keys)).cast("int")
     return df.withColumn("key_slot", slot).join(ring, "key_slot").drop("key_slot")
 
 
+def _sized(ring: DataFrame) -> tuple[DataFrame, int]:
+    """The keyring for a broadcast join, and its number of keys (checked)."""
+    n_keys = ring.count()
+    if not 0 < n_keys <= KEYRING_LIMIT:
+        raise ValueError(f"a keyring holds 1 to {KEYRING_LIMIT} keys, not {n_keys}")
+    return F.broadcast(ring), n_keys
+
+
 def _checked(x: Column, width: int, truncate: bool, model: LinearModel | None) -> Column:
     """``x`` with nulls as 0, or an error for rows that cannot be sealed safely."""
     zero = F.lit(0).cast("long")
@@ -199,7 +206,7 @@ def open_and_verify(scored: DataFrame, keyring: DataFrame, model: LinearModel, i
 
 def _open(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str,
           keep: Sequence[str], out: str, verify: bool) -> DataFrame:
-    j = scored.join(keyring.select(*KEY_COLUMNS), "key_id")
+    j = scored.join(_sized(keyring.select(*KEY_COLUMNS))[0], "key_id")
     w = F.array(*[F.lit(int(v)).cast("long") for v in model.weights])
     masked = F.zip_with(_masks(F.col(id_col), model.feature_count), w,
                         lambda r, b: F.coalesce(F.pmod(r * b, F.lit(MODULUS)), F.lit(0).cast("long")))
@@ -216,7 +223,7 @@ def _open(scored: DataFrame, keyring: DataFrame, model: LinearModel, id_col: str
 def unseal_features(sealed: DataFrame, keyring: DataFrame, id_col: str, width: int,
                     c_col: str = "c", out: str = "x") -> DataFrame:
     """E5 helper: element-wise opening ``x_i = centre((c_i − r_i) mod M)``."""
-    j = sealed.join(keyring.select(*KEY_COLUMNS), "key_id")
+    j = sealed.join(_sized(keyring.select(*KEY_COLUMNS))[0], "key_id")
     c = F.col(c_col)
     x = F.zip_with(c, _masks(F.col(id_col), width),
                    lambda ci, r: _centre(F.pmod(ci - r, F.lit(MODULUS))))
