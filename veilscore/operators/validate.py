@@ -42,10 +42,11 @@ def cost_columns(df: DataFrame, seconds: str = "seconds", rows: str = "rows") ->
         .withColumn(seconds, F.round(s, 2))
 
 
-def model_contract(spark: SparkSession, path: str) -> DataFrame:
+def model_contract(spark: SparkSession, path: str, max_abs_feature: int = 2 ** 20) -> DataFrame:
     """V1: ``(check, ok, detail)`` rows for a model file: exists, parses, has
     integer ``bias`` and a list of integer ``weights``, ``feature_count`` (if
-    present) equals the number of weights."""
+    present) equals the number of weights, and scores of features up to
+    ``max_abs_feature`` stay below 2^47 (what sealed scoring can open)."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -69,6 +70,9 @@ def model_contract(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(raw["bias"].rlike(_INT), F.lit(False)).alias("bias_int"),
         F.coalesce(F.forall(weights, lambda x: x.rlike(_INT)), F.lit(False)).alias("weights_int"),
         F.size(weights).alias("n_weights"),
+        F.aggregate(F.transform(weights, lambda x: F.abs(x.try_cast("double"))),
+                    F.abs(raw["bias"].try_cast("double")),
+                    lambda a, w: a + w * F.lit(float(max_abs_feature))).alias("reach"),
         raw["feature_count"].alias("feature_count"))
     return checks.select(F.explode(F.array(
         *[F.struct(F.lit(n).alias("check"), F.col(n).alias("ok"),
@@ -79,5 +83,8 @@ def model_contract(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.lit("feature_count").alias("check"),
                  (F.col("parses") & (F.col("feature_count").isNull() | F.coalesce(
                      F.col("feature_count").try_cast("long") == F.col("n_weights"), F.lit(False)))).alias("ok"),
-                 F.concat(F.lit("weights: "), F.col("n_weights").cast("string")).alias("detail"))
+                 F.concat(F.lit("weights: "), F.col("n_weights").cast("string")).alias("detail")),
+        F.struct(F.lit("headroom").alias("check"),
+                 F.coalesce(F.col("reach") < F.lit(2.0 ** 47), F.lit(False)).alias("ok"),
+                 F.concat(F.lit("largest score: "), F.col("reach").cast("string")).alias("detail"))
     )).alias("c")).select("c.*")

@@ -356,8 +356,17 @@ SQL = {
     "seal_roundtrip": f"WITH {EMB_Q} SELECT vec_id, CAST(i - 1 AS INTEGER) AS feature_idx, x FROM emb_q",
     "quantized_lr_verify": "SELECT count(*) AS n_rows, count(*) AS n_match, 'PASS' AS status FROM orders",
     "model_contract": """SELECT * FROM (VALUES ('exists', true), ('parses', true), ('has_bias', true),
-        ('has_weights', true), ('bias_int', true), ('weights_int', true), ('feature_count', true))
-        AS t("check", ok)""",
+        ('has_weights', true), ('bias_int', true), ('weights_int', true), ('feature_count', true),
+        ('headroom', true)) AS t("check", ok)""",
+    "model_contract_broken": """SELECT * FROM (VALUES ('float weight', 'weights_int'), ('float weight', 'feature_count'),
+        ('no bias', 'has_bias'), ('no bias', 'bias_int'), ('no bias', 'headroom'), ('text bias', 'bias_int'),
+        ('text bias', 'headroom'), ('broken JSON', 'parses'), ('broken JSON', 'has_bias'),
+        ('broken JSON', 'has_weights'), ('broken JSON', 'bias_int'), ('broken JSON', 'weights_int'),
+        ('broken JSON', 'feature_count'), ('broken JSON', 'headroom'), ('too large', 'headroom')) AS t(model, "check")
+        WHERE EXISTS (SELECT 1 FROM embeddings)""",
+    "run_log": f"""WITH {LI_SCORED}, {AREAS}
+        SELECT 'lr' AS model, 'coarse' AS mode, 'r1' AS run_id, round(average_precision, 4) AS prauc FROM areas
+        UNION ALL SELECT 'rf', 'final', 'r2', NULL""",
     "encrypted_batches": """SELECT batch_id, count(*) AS n_rows FROM (
         SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 256) AS BIGINT) + 1 AS batch_id
         FROM orders) GROUP BY batch_id""",

@@ -344,6 +344,36 @@ def model_contract_q(spark, sf):
     return model_contract(spark, _write_derived_model(spark, sf)).select("check", "ok")
 
 
+def model_contract_broken(spark, sf):
+    """V1 on broken copies of the derived model file: which checks fail."""
+    from ..operators.validate import model_contract
+    text = spark.read.text(_write_derived_model(spark, sf))
+    v = F.col("value")
+    copies = {"float weight": F.regexp_replace(v, r'"weights":\[', '"weights":[1.5,'),
+              "no bias": F.regexp_replace(v, '"bias":0,', ""),
+              "text bias": F.regexp_replace(v, '"bias":0,', '"bias":"x",'),
+              "broken JSON": F.substring(v, 1, 60),
+              "too large": F.regexp_replace(v, r'"weights":\[-?[0-9]+,', '"weights":[999999999999,')}
+    out = None
+    for name, value in copies.items():
+        path = scratch_path(spark, "broken_model")
+        text.select(value.alias("value")).coalesce(1).write.text(path)
+        failed = model_contract(spark, path).where(~F.col("ok")).select(F.lit(name).alias("model"), "check")
+        out = failed if out is None else out.unionByName(failed)
+    return out
+
+
+def run_log(spark, sf):
+    """Two runs appended to a run log (average precision of the `lineitem` model)
+    and read back."""
+    from ..sources.sinks import append_run_log
+    path = scratch_path(spark, "run_log")
+    ap = average_precision(spark, sf).first()[0]
+    append_run_log(spark, path, "lr", "coarse", "r1", ap)
+    append_run_log(spark, path, "rf", "final", "r2", None)
+    return spark.read.parquet(path).select("model", "mode", "run_id", F.col("PRAUC").alias("prauc"))
+
+
 def encrypted_batches(spark, sf):
     """E6 + S9: seal orders in batches of 256, written in the grouped layout; rows
     per batch read back from storage."""
@@ -700,7 +730,9 @@ QUERIES = {
     "seal_roundtrip": seal_roundtrip,
     "quantized_lr_verify": quantized_lr_verify,
     "model_contract": model_contract_q,
+    "model_contract_broken": model_contract_broken,
     "model_roundtrip": model_roundtrip,
+    "run_log": run_log,
     "encrypted_batches": encrypted_batches,
     "verify_scores": verify_scores,
     "validation_pyramid": validation_pyramid,
