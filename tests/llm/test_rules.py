@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SF_ORACLE, SF_SMALL
+from tests.conftest import SF_ORACLE
 from veilscore.llm import rules as R
 from veilscore.llm import stats as S
 from veilscore.llm.queries import QUERIES
@@ -84,6 +84,7 @@ def test_estimate_is_near_the_in_memory_one(spark):
     x[:300] += 9.0                                     # 15 % far away
     frame = spark.createDataFrame([("g", *map(float, r)) for r in x],
                                   "grp string, " + ", ".join(f"{n} double" for n in R.NAMES))
+    frame = frame.withColumn("salt", (F.monotonically_increasing_id() % R.SALTS).cast("int"))
     fit = R.fitted(frame).first()
     det, mean, cov = slow_steps(x)
     assert fit.logdet == pytest.approx(det, abs=0.15)

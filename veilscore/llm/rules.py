@@ -57,6 +57,9 @@ TAIL = 1e-5
 MIN_GROUP = 100
 MAX_STEPS = 12
 BINS_PER_DOUBLING = 64
+#: Pieces that each group's rows are dealt over where Spark must shuffle them to
+#: join their group's estimate (it does once there are too many groups to broadcast).
+SALTS = 32
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
@@ -101,7 +104,10 @@ def _grouped(rows: DataFrame) -> DataFrame:
         F.col("rest") >= MIN_GROUP, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise("")
     names = stored(sizes.withColumn("rest", rest).select(
         F.col("lang").alias("l"), F.col("source").alias("s"), label.alias("grp")), "mcd-groups")
-    return rows.join(names, rows.lang.eqNullSafe(names.l) & rows.source.eqNullSafe(names.s)).drop("l", "s")
+    salted = rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    names = _salted(names).withColumnRenamed("salt", "n")
+    return salted.join(names, salted.lang.eqNullSafe(names.l) & salted.source.eqNullSafe(names.s)
+                       & (salted.salt == names.n)).drop("l", "s", "n")
 
 
 # --------------------------------------------------------------------- MCD
@@ -147,7 +153,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     median = lambda x: F.percentile_approx(x, 0.5, F.lit(200))
     middle = stored(rows.groupBy("grp").agg(*[median(x).alias(f"c{i}") for i, x in enumerate(NAMES)]),
                     "mcd-middle")
-    near = rows.join(middle, "grp").groupBy("grp").agg(
+    near = rows.join(_salted(middle), ["grp", "salt"]).groupBy("grp").agg(
         *[F.first(f"c{i}").alias(f"c{i}") for i in range(P)],
         *[median(F.abs(F.col(x) - F.col(f"c{i}"))).alias(f"d{i}") for i, x in enumerate(NAMES)])
     spread = lambda i: F.pow(1.4826 * F.col(f"d{i}"), 2)
@@ -160,6 +166,11 @@ def _starts(rows: DataFrame) -> DataFrame:
     return robust.unionByName(plain).withColumn("scale", F.lit(1.0)).mapInArrow(_fits, _FIT)
 
 
+def _salted(table: DataFrame) -> DataFrame:
+    """One copy of a per-group table for every piece of the group's rows."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance under a joined fit."""
     diff = [F.col(NAMES[i]) - F.col(f"m{i}") for i in range(P)]
@@ -178,14 +189,14 @@ def _step(rows: DataFrame, fits: DataFrame, scale: float) -> DataFrame:
     tiny = 1e-9
     # NaN cannot occur (floors keep the scatter regular); distance 0 has the lowest bin.
     bin_ = F.floor(F.log2(F.col("d2") + tiny) * BINS_PER_DOUBLING).cast("int")
-    placed = rows.join(fits, "grp").withColumn("d2", _distance()).withColumn("bin", bin_)
+    placed = rows.join(_salted(fits), ["grp", "salt"]).withColumn("d2", _distance()).withColumn("bin", bin_)
     counts = placed.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("k"))
     upto = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("grp", "start")
     cut = stored(counts.withColumn("upto", F.sum("k").over(upto)).withColumn("all", F.sum("k").over(whole))
                  .filter(F.col("upto") >= F.ceil(F.col("all") * KEPT_SHARE))
                  .groupBy("grp", "start").agg(F.min("bin").alias("last")), "mcd-cut")
-    sums = (placed.join(cut, ["grp", "start"]).filter("bin <= last").groupBy("grp", "start").agg(*_moments())
+    sums = (placed.join(_salted(cut), ["grp", "start", "salt"]).filter("bin <= last").groupBy("grp", "start").agg(*_moments())
             .withColumn("scale", F.lit(scale)))
     out = stored(sums.mapInArrow(_fits, _FIT), "mcd-fit")
     released(cut)
@@ -193,7 +204,8 @@ def _step(rows: DataFrame, fits: DataFrame, scale: float) -> DataFrame:
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """``grp`` with centre, whitening matrix and log determinant of its MCD."""
+    """``grp`` with centre, whitening matrix and log determinant of its MCD, from
+    ``rows(grp, salt, <statistics>)``."""
     # Consistency at the normal law: the kept share's covariance is too small.
     scale = KEPT_SHARE / chi2_cdf(chi2_quantile(KEPT_SHARE, P), P + 2)
     fits = stored(_starts(rows), "mcd-fit")
@@ -227,12 +239,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         {name: F.expr(how).cast("double") for name, how, _ in FEATURES})
     rows = stored(rows.select("doc_id.doc_id", "doc_id.lang", "doc_id.source",
                               *[c for c in rows.columns if c != "doc_id"]), "mcd-rows")
-    passed = stored(_grouped(rows.filter(~F.col("base_failed"))).select("grp", *NAMES), "mcd-passed")
+    passed = stored(_grouped(rows.filter(~F.col("base_failed"))).select("grp", "salt", *NAMES), "mcd-passed")
     sizes = passed.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     fits = stored(fitted(passed).join(sizes, "grp").filter(F.col("size") >= MIN_GROUP).drop("size", "logdet"),
                   "mcd-final")
     # Rows that failed belong to no group that is judged.
-    good = _grouped(rows.filter(~F.col("base_failed"))).join(fits, "grp", "left").withColumn(
+    good = _grouped(rows.filter(~F.col("base_failed"))).join(_salted(fits), ["grp", "salt"], "left").withColumn(
         "distance", _distance())
     bad = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     limit = chi2_quantile(1 - tail, P)
