@@ -188,7 +188,8 @@ def confident(edges: DataFrame) -> DataFrame:
     edges = edges.distinct()
     useful = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"),
                                           F.max(~F.col("seed")).alias("open")).filter("n >= 2 and open")
-    edges = stored(edges.join(useful.select("pattern"), "pattern"), "pii-edges")
+    useful = stored(useful.select("pattern"), "pii-useful")
+    edges = stored(edges.join(useful, "pattern"), "pii-edges")
     belief = stored(edges.filter("not seed").select("kind", "instance").distinct()
                     .withColumn("conf", F.lit(0.0)), "pii-belief")
     # Seeds of other kinds speak against a pattern: all seeds less those of the kind.

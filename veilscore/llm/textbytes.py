@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20
 
@@ -140,7 +139,3 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The two columns an operator reads; any other column is left out, so names
     of extra columns cannot clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def long_type(docs: DataFrame, id_col: str = "doc_id") -> T.DataType:
-    return docs.schema[id_col].dataType
