@@ -1,5 +1,4 @@
 import json
-import time
 
 from veilscore.operators import seal as E
 from veilscore.operators.validate import cost_columns, model_contract
