@@ -36,7 +36,7 @@ HASH_SEED = 42
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
 _LOW = (1 << BLOCK_BITS) - 1
-_STEP_ROWS = 1 << 19
+_STEP_ROWS = 1 << 18
 
 
 # ------------------------------------------------------------- fingerprints

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 # ASCII white space: space, tab, line feed, vertical tab, form feed, return.
 IS_SPACE = np.zeros(256, bool)
