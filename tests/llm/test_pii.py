@@ -88,6 +88,26 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[11] == [("", "")] == got[13] == got[14] == got[15]
 
 
+def test_overlapping_candidates_are_all_scored(spark):
+    rows = [(i, f"please call me at +1 (20{i}) 555-01{i}0. Thanks a lot") for i in range(5)]
+    rows += [(20 + i, f"write to {c}1@x.org now") for i, c in enumerate("abc")]
+    rows += [(10, "please call me at 555-123-4567. Thanks a lot"),
+             (11, "An anecdote: please call me at 555-123-4567. Thanks a lot"),
+             (12, "An anecdote: write to john.doe at 5551234567 dot com now"),
+             (13, "An anecdote: write to look at john.doe at example.com now")]
+    got = found(spark, rows)
+    assert got[10] == [("", "phone:18:30")] and got[11] == [("", "phone:31:43")]
+    assert got[12] == [("", "email:22:52")]
+    assert (0, 30, 53) in P.candidates(rows[-1][1], []) and len(P.candidates(rows[-1][1], [])) == 2
+
+
+def test_overlaps_go_to_the_most_confident():
+    assert P.apart([(0.9, 0, 5, 20), (0.95, 3, 8, 12), (0.85, 3, 12, 15), (0.9, 1, 30, 40), (0.9, 3, 30, 35)]) == [
+        (3, 8, 12), (3, 12, 15), (1, 30, 40)]
+    assert P.apart([(0.8, k, i, i + 2) for k in (0, 3) for i in range(6)]) == [(0, 0, 2), (0, 2, 4), (0, 4, 6)]
+    assert P.apart([]) == []
+
+
 def test_copies_are_no_evidence_and_mixed_contexts_discover_nothing(spark):
     rows = [(i, "please call me at +1 (200) 555-0100 thanks") for i in range(30)]         # one instance
     rows += [(40, "please call me at 555-123-4567 thanks")]

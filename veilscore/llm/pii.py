@@ -4,7 +4,9 @@ Strict forms of four kinds - e-mail address, IP address, card number, telephone
 number - are the seeds; they are always reported.  The words around seeds are
 lexical patterns.  Looser forms (a number without its country code, an address
 spelled with "at" and "dot", an IPv6 address, a card number with a typing error)
-are candidates and are reported only on the word of their contexts:
+are candidates and are reported only on the word of their contexts.  Candidates may
+overlap: all are scored, and of overlapping ones that are confident enough the most
+confident is reported:
 
 * a pattern's score for a kind is its confident instances of that kind over
   those plus the seeds of other kinds it also surrounds (plus one half);
@@ -21,6 +23,7 @@ and short patterns only.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,9 +50,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _LOOSE_NUMBER = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9](?:[ ().-]{0,3}[0-9]){6,18}(?![0-9A-Za-z])")
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
+# Looks ahead, so that an address is also found inside another's match.
 _LOOSE_MAIL = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?"
-    r"[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}")
+    r"(?<![A-Za-z0-9._%+-])(?=([A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?"
+    r"[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}))")
 _EDGE = " \t\r\n\v\f.,;:!?\"'()[]{}<>=-"
 
 
@@ -113,10 +117,11 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Loose forms that touch no seed and no earlier candidate."""
+    """Loose forms that touch no seed, by start; they may overlap each other (an address
+    also starts inside another), which only their confidence can decide."""
     found: list[tuple[int, int, int]] = []
     if "dot" in text or "at)" in text or "at]" in text:
-        found += [(0, *m.span()) for m in _LOOSE_MAIL.finditer(text)]
+        found += [(0, *m.span(1)) for m in _LOOSE_MAIL.finditer(text)]
     if any(d in text for d in "0123456789"):
         if ":" in text:
             found += [(1, *m.span()) for m in _LOOSE_IP.finditer(text)]
@@ -124,13 +129,23 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             n = len(_digits(m.group()))
             found.append((2 if n >= 13 else 3, *m.span()))
     spans = sorted((s, e) for _, s, e in taken)
-    out, at, end = [], 0, 0
+    out, at = [], 0
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
         while at < len(spans) and spans[at][1] <= s:
             at += 1
-        if s >= end and not (at < len(spans) and spans[at][0] < e):
+        if not (at < len(spans) and spans[at][0] < e):
             out.append((kind, s, e))
-            end = e
+    return out
+
+
+def apart(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
+    """The (conf, kind, start, end) that overlap none of higher confidence that is
+    itself kept; equal confidence goes to the earlier start, then the longer one."""
+    out: list[tuple[int, int, int]] = []
+    for _, kind, s, e in sorted(spans, key=lambda x: (-round(x[0], 9), x[2], -x[3], x[1])):
+        i = bisect(out, s, key=lambda x: x[1])
+        if not (i and out[i - 1][2] > s) and not (i < len(out) and out[i][1] < e):
+            out.insert(i, (kind, s, e))
     return out
 
 
@@ -182,8 +197,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "base", "nodes"])
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        more = [[{"kind": k, "lo": s, "hi": e} for k, s, e in
+                 apart([(x["conf"], x["kind"], x["lo"], x["hi"]) for x in value.as_py()])]
+                for value in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more, pa.list_(_SPAN))], ["row", "more"])
+
+
 def confident(edges: DataFrame) -> DataFrame:
-    """Candidates worth reporting: ``(kind, instance)`` with confidence of at least
+    """Candidates worth reporting: ``(kind, instance, conf)`` with confidence of at least
     MIN_SCORE, from ``edges(pattern, kind, instance, seed)``."""
     edges = edges.distinct()
     useful = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"),
@@ -216,7 +239,7 @@ def confident(edges: DataFrame) -> DataFrame:
         belief = after
         if (moved or 0.0) < 1e-3:
             break
-    return belief.filter(F.col("conf") >= MIN_SCORE).select("kind", "instance")
+    return belief.filter(F.col("conf") >= MIN_SCORE).select("kind", "instance", "conf")
 
 
 def listed(spans: str) -> Column:
@@ -242,6 +265,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = nodes.select(F.explode("patterns").alias("pattern"), "kind", "instance", "seed")
     sure = stored(confident(edges), "pii-sure")
     found = (nodes.filter("not seed").join(sure, ["kind", "instance"])
-             .groupBy("row").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("more")))
+             .groupBy("row").agg(F.collect_list(F.struct("conf", "kind", "lo", "hi")).alias("more"))
+             .mapInArrow(_resolved, f"row long, more {_SPAN_SQL}"))
     return rows.join(found, "row", "left").select(
         "doc_id", "base", F.concat("base", F.coalesce("more", F.array().cast(_SPAN_SQL))).alias("spans"))
