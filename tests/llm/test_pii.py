@@ -101,6 +101,23 @@ def test_overlapping_candidates_are_all_scored(spark):
     assert (0, 30, 53) in P.candidates(rows[-1][1], []) and len(P.candidates(rows[-1][1], [])) == 2
 
 
+@pytest.mark.parametrize("form, kind", [("write to john.doe at example.com now", 0), ("mail a(at)b dot org please", 0),
+                                        ("ask x [at] y.net today", 0), ("host dead:beef:cafe:feed is up", 1)])
+def test_other_words_of_a_text_decide_nothing(form, kind):
+    alone = P.candidates(form, [])
+    assert [c[0] for c in alone] == [kind]
+    for other in ("An anecdote: ", "(look at) ", "Flat] ", "In 7 days: "):
+        assert P.candidates(other + form, []) == [(k, s + len(other), e + len(other)) for k, s, e in alone]
+
+
+def test_spelled_addresses_need_contexts_only(spark):
+    rows = [(20 + i, f"write to {c}1@x.org now") for i, c in enumerate("abc")]
+    rows += [(10, "write to john.doe at example.com now"), (11, "An anecdote: write to john.doe at example.com now"),
+             (12, "we looked at it. Then we left")]
+    got = found(spark, rows)
+    assert got[10] == [("", "email:9:32")] and got[11] == [("", "email:22:45")] and got[12] == [("", "")]
+
+
 def test_overlaps_go_to_the_most_confident():
     assert P.apart([(0.9, 0, 5, 20), (0.95, 3, 8, 12), (0.85, 3, 12, 15), (0.9, 1, 30, 40), (0.9, 3, 30, 35)]) == [
         (3, 8, 12), (3, 12, 15), (1, 30, 40)]

@@ -120,11 +120,12 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     """Loose forms that touch no seed, by start; they may overlap each other (an address
     also starts inside another), which only their confidence can decide."""
     found: list[tuple[int, int, int]] = []
-    if "dot" in text or "at)" in text or "at]" in text:
+    # Only what a form needs itself is asked of the text: its other words decide nothing.
+    if "at" in text:
         found += [(0, *m.span(1)) for m in _LOOSE_MAIL.finditer(text)]
+    if ":" in text:
+        found += [(1, *m.span()) for m in _LOOSE_IP.finditer(text)]
     if any(d in text for d in "0123456789"):
-        if ":" in text:
-            found += [(1, *m.span()) for m in _LOOSE_IP.finditer(text)]
         for m in _LOOSE_NUMBER.finditer(text):
             n = len(_digits(m.group()))
             found.append((2 if n >= 13 else 3, *m.span()))
