@@ -125,6 +125,24 @@ def test_overlaps_go_to_the_most_confident():
     assert P.apart([]) == []
 
 
+def chain(spark, n):
+    """Patterns that share four instances with the next; only the first has seeds."""
+    rows = [("p0", 3, i, True) for i in range(4)]
+    rows += [(f"p{p}", 3, 100 + 4 * k + i, False) for k in range(n) for p in (k, k + 1) if p < n for i in range(4)]
+    return spark.createDataFrame(rows, "pattern string, kind int, instance long, seed boolean")
+
+
+def test_turns_go_on_until_the_far_end_is_reached(spark):
+    got = {(r.kind, r.instance) for r in P.confident(chain(spark, 14)).collect()}
+    assert got == {(3, 100 + i) for i in range(56)}
+
+
+def test_unfinished_turns_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_ROUNDS", 5)
+    with pytest.raises(RuntimeError):
+        P.confident(chain(spark, 14))
+
+
 def test_copies_are_no_evidence_and_mixed_contexts_discover_nothing(spark):
     rows = [(i, "please call me at +1 (200) 555-0100 thanks") for i in range(30)]         # one instance
     rows += [(40, "please call me at 555-123-4567 thanks")]

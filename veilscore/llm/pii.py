@@ -38,7 +38,12 @@ KINDS = ("email", "ip", "card", "phone")
 #: Least summed confidence of distinct instances under a pattern that may discover.
 MIN_SUPPORT = 3.0
 MIN_SCORE = 0.8
-MAX_ROUNDS = 8
+#: Turns carry confidence one hop each, so the graph's depth sets their number;
+#: beyond this many the query fails rather than report an unfinished state.
+MAX_ROUNDS = 1000
+#: A confidence moves if it changes by more than rounding.  It never falls, and a late
+#: small rise can still lift a pattern over its thresholds, so this is not looser.
+TOLERANCE = 1e-9
 CONTEXT_CHARS = 160
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -238,8 +243,10 @@ def confident(edges: DataFrame) -> DataFrame:
             F.max(F.abs(F.col("now") - F.col("conf")))).first()[0]
         released(belief, scores)
         belief = after
-        if (moved or 0.0) < 1e-3:
+        if (moved or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError("confidences did not settle")
     return belief.filter(F.col("conf") >= MIN_SCORE).select("kind", "instance", "conf")
 
 
