@@ -77,6 +77,22 @@ def test_scores_match_dense_power_iteration(spark):
         assert got[h] == pytest.approx((trust[i], distrust[i]), abs=2e-3)
 
 
+def test_small_scores_flow_on(spark):
+    edges = spark.range(200_000).selectExpr("concat('l', id) source", "'bad' target", "1d weight").union(
+        spark.createDataFrame([("far", "l0", 1.0), ("farther", "far", 1.0)], "source string, target string, weight double"))
+    seeds = spark.createDataFrame([("bad", 0.0, 1.0)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in U.link_scores(seeds, edges).filter("host in ('l0', 'far', 'farther')").collect()}
+    want = 0.15 * 0.85 / 200_000
+    assert got == pytest.approx({"l0": want, "far": want * 0.85, "farther": want * 0.85 ** 2}, rel=1e-9)
+
+
+def test_unsettled_scores_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_ITERATIONS", 3)
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "source string, target string, weight double")
+    with pytest.raises(RuntimeError):
+        U.link_scores(spark.createDataFrame([("a", 1.0, 0.0)], "host string, good double, bad double"), edges)
+
+
 def test_links_decide_and_edge_cases(spark):
     rows = [(1, "http://a.net/x", '<a href="http://bad.example.org/es/">'), (2, "http://bad.example.org/es/q", None),
             (3, "HTTPS://C.Net", '<A class=x HREF=//good.org/z> <a href="/rel">'), (4, None, '<a href="http://bad.example.org">'),

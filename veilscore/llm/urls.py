@@ -20,7 +20,10 @@ from .scratch import released, stored
 
 DAMPING = 0.85
 MAX_DISTRUST = 0.5
-MAX_ITERATIONS = 100
+#: Turns after which unsettled scores are an error.
+MAX_ITERATIONS = 1000
+#: Greatest move of a score, relative to the score itself: verdicts compare scores of
+#: any size.  A host that a turn reaches first moves by its whole score.
 TOLERANCE = 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute and scheme-relative targets of anchors.
@@ -86,12 +89,14 @@ def link_scores(seeds: DataFrame, edges: DataFrame) -> DataFrame:
             flow.kind, F.col("target").alias("host"), (F.lit(DAMPING) * F.col("share") * F.col("rank")).alias("rank"))
         kept = start.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
         after = stored(passed.union(kept).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "urls-rank")
-        moved = after.withColumnRenamed("rank", "now").join(rank, ["kind", "host"], "left").agg(
-            F.max(F.abs(F.col("now") - F.coalesce("rank", F.lit(0.0))))).first()[0]
+        moved = after.withColumnRenamed("rank", "now").filter("now > 0").join(rank, ["kind", "host"], "left").agg(
+            F.max(F.abs(F.col("now") - F.coalesce("rank", F.lit(0.0))) / F.col("now"))).first()[0]
         released(rank)
         rank = after
         if (moved or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError("link scores did not settle")
     return rank.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"))
