@@ -116,3 +116,25 @@ def test_edge_cases(spark):
     failed = {r.doc_id for r in got if r.base_failed}
     assert all(kept[500 + i] == [500 + i not in failed] for i in range(120)) and kept[None] == [True]
     assert R.judged(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("others", [0, 150])
+def test_small_last_pool_is_judged(spark, others):
+    rng = np.random.default_rng(7)
+    vocab = [a + b for a in ("lo", "ip", "do", "si", "am", "con", "el") for b in ("rem", "sum", "lor", "met", "tur", "sed")]
+    plain = lambda: " ".join(rng.choice(vocab, 30, replace=False)).capitalize() + "."
+    rows = [(i, plain(), "en", "a") for i in range(others)] + [(500 + i, plain(), None, "q") for i in range(60)]
+    rows += [(800, " ".join(f"#$%&*{a}" for a in vocab[:30]), None, "q")]
+    got = {r.doc_id: r for r in R.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and not got[800].base_failed and not got[800].kept
+    assert all(r.kept and r.distance is not None for i, r in got.items() if i != 800)
+
+
+def test_unsettled_determinants_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_STEPS", 1)
+    x = np.random.default_rng(4).normal(size=(500, R.P)) * 3
+    x[:100] += 30.0
+    frame = spark.createDataFrame([("g", i % R.SALTS, *map(float, r)) for i, r in enumerate(x)],
+                                  "grp string, salt int, " + ", ".join(f"{n} double" for n in R.NAMES))
+    with pytest.raises(RuntimeError):
+        R.fitted(frame)

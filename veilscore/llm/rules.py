@@ -14,8 +14,8 @@ median with a robust spread and the plain mean and covariance; the smaller
 determinant wins.  No group is ever gathered in one task.
 
 Groups below ``MIN_GROUP`` rows are pooled within their language, small languages
-with each other; if even that pool is small its rows are judged by the base rules
-alone.  A floor is added to the scatter's diagonal: where most rows have, say, no
+with each other; if even that pool is small its rows are judged by an estimate over
+all rows.  A floor is added to the scatter's diagonal: where most rows have, say, no
 symbol at all the scatter would be singular and any symbol an outlier.
 """
 
@@ -55,7 +55,10 @@ KEPT_SHARE = 0.75
 #: Rejection probability of an ordinary (normal) document.
 TAIL = 1e-5
 MIN_GROUP = 100
-MAX_STEPS = 12
+#: Steps after which determinants that still fall are an error.
+MAX_STEPS = 1000
+#: Least fall of a log determinant that asks for another step.
+TOLERANCE = 1e-6
 BINS_PER_DOUBLING = 64
 #: Pieces that each group's rows are dealt over where Spark must shuffle them to
 #: join their group's estimate (it does once there are too many groups to broadcast).
@@ -208,16 +211,22 @@ def fitted(rows: DataFrame) -> DataFrame:
     ``rows(grp, salt, <statistics>)``."""
     # Consistency at the normal law: the kept share's covariance is too small.
     scale = KEPT_SHARE / chi2_cdf(chi2_quantile(KEPT_SHARE, P), P + 2)
-    fits = stored(_starts(rows), "mcd-fit")
-    last = None
+    starts = stored(_starts(rows), "mcd-fit")
+    fits = moving = _step(rows, starts, scale)
+    released(starts)
     for _ in range(MAX_STEPS):
-        after = _step(rows, fits, scale)
-        released(fits)
-        fits = after
-        total = fits.agg(F.sum(F.round("logdet", 6)).alias("t")).first()["t"]
-        if last is not None and total is not None and abs(total - last) <= 1e-6 * max(1.0, abs(total)):
+        # Cuts are whole bins, so a step can also raise a determinant: it is not taken.
+        after = _step(rows, moving, scale)
+        last = fits.select("grp", "start", F.col("logdet").alias("last"))
+        fell = stored(after.join(last, ["grp", "start"]).filter(F.col("last") - F.col("logdet") > TOLERANCE)
+                      .select(*fits.columns), "mcd-fell")
+        if fell.isEmpty():
             break
-        last = total
+        kept = stored(fits.join(fell, ["grp", "start"], "left_anti").unionByName(fell), "mcd-fit")
+        released(after, fits, moving)
+        fits, moving = kept, fell
+    else:
+        raise RuntimeError("determinants did not settle")
     win = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
     return fits.withColumn("win", win).filter("win = 1").drop("win", "start")
 
@@ -240,9 +249,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = stored(rows.select("doc_id.doc_id", "doc_id.lang", "doc_id.source",
                               *[c for c in rows.columns if c != "doc_id"]), "mcd-rows")
     passed = stored(_grouped(rows.filter(~F.col("base_failed"))).select("grp", "salt", *NAMES), "mcd-passed")
-    sizes = passed.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    fits = stored(fitted(passed).join(sizes, "grp").filter(F.col("size") >= MIN_GROUP).drop("size", "logdet"),
-                  "mcd-final")
+    last_pool = passed.filter("grp = ''")
+    basis = passed
+    if 0 < last_pool.limit(MIN_GROUP).count() < MIN_GROUP:
+        basis = stored(passed.filter("grp <> ''").unionByName(passed.withColumn("grp", F.lit(""))), "mcd-basis")
+    fits = stored(fitted(basis).drop("logdet"), "mcd-final")
     # Rows that failed belong to no group that is judged.
     good = _grouped(rows.filter(~F.col("base_failed"))).join(_salted(fits), ["grp", "salt"], "left").withColumn(
         "distance", _distance())
