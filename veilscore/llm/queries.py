@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, mix, pii, quality, quotes, rules, shard, simhash, urls, winnow
+from . import language, mix, pii, quality, quotes, rules, shard, simhash, term_queries, urls, winnow
 from .scratch import stored
 
 
@@ -128,6 +128,7 @@ QUERIES = {
     "op10_link_graph_url_filter": op10_link_graph_url_filter,
     "op8_quotation_threads": op8_quotation_threads,
     "op9_simhash_neardup": op9_simhash_neardup,
+    **term_queries.QUERIES,
 }
 
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''),
@@ -246,4 +247,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    **term_queries.SQL,
 }
