@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import licenses
+from . import licenses, search
 from .license_rules import rules
 
 
+def op12_ranked_search(spark, sf):
+    """The 20 best documents for every benchmark item."""
+    return search.ranked(read_table(spark, sf, "documents", "doc_id", "text"),
+                         read_table(spark, sf, "benchmark", "item_id", "text"))
+
+
 def op13_license_scan(spark, sf):
     """Licenses named in every document, by ordered signature rules."""
     found = licenses.licenses(read_table(spark, sf, "documents", "doc_id", "text"))
@@ -55,10 +61,29 @@ SELECT doc_id, CAST({words('t')} AS BIGINT) AS n_words, CAST(coalesce(n_base, 0)
 FROM d LEFT JOIN g USING (r)"""
 
 
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS w FROM documents),
+total AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * CAST(len(w) AS BIGINT) * docs) // terms AS m FROM d, total WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+           FROM tf, total GROUP BY term),
+q AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS_SQL}) AS term
+      FROM benchmark) GROUP BY ALL),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 QUERIES = {
+    "op12_ranked_search": op12_ranked_search,
     "op13_license_scan": op13_license_scan,
 }
 
 SQL: dict[str, str] = {
+    "op12_ranked_search": _SEARCH_SQL,
     "op13_license_scan": _license_sql(),
 }
