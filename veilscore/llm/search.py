@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import running_totals
 from .scratch import released, stored
-from .textbytes import LOWER, id_and_text, runs, text_chunks, word_hashes
+from .textbytes import LOWER, common_beginnings, id_and_text, runs, text_chunks, word_hashes
 
 #: Results per item.
 TOP = 20
@@ -195,7 +195,7 @@ class Tree:
         doc = np.repeat(np.arange(len(m)), np.diff(first))
         self.gain = _gain(tf, m[doc])
         self.low, self.high, self.children = [], [], []
-        self._grow(self._shared())
+        self._grow(common_beginnings(term, first))
         tf_max = np.zeros((len(self.low), n_terms), np.int32)
         self.bound = np.zeros((len(self.low), n_terms), np.int32)
         m_min = np.zeros(len(self.low), np.int64)
@@ -210,19 +210,6 @@ class Tree:
                 m_min[node] = m[lo:hi].min()
             self.bound[node] = _gain(tf_max[node].astype(np.int64), m_min[node])
 
-    def _shared(self) -> np.ndarray:
-        """Terms that document i and i + 1 have in common at their beginning."""
-        size = np.diff(self.first)
-        both = np.minimum(size[:-1], size[1:])
-        where = np.repeat(self.first[:-2], both) + (np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both))
-        step = np.repeat(size[:-1], both)
-        differs = self.term[where] != self.term[where + step]
-        at = np.flatnonzero(differs)
-        start = np.cumsum(both) - both
-        nearest = np.searchsorted(at, start)
-        found = np.where(nearest < len(at), at[np.minimum(nearest, max(len(at) - 1, 0))] if len(at) else 0, 1 << 60)
-        return np.minimum(found - start, both)
-
     @staticmethod
     def _split(shared: np.ndarray, lo: int, hi: int) -> list[int]:
         """Borders of the subtrees below ``lo:hi``.  A subtree with more than half of

@@ -93,6 +93,18 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def common_beginnings(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many leading values row i and row i + 1 have in common; row i is
+    ``values[first[i]:first[i + 1]]``."""
+    size = np.diff(first)
+    both = np.minimum(size[:-1], size[1:])
+    start = np.cumsum(both) - both
+    where = np.repeat(first[:-2] - start, both) + np.arange(both.sum())
+    differs = np.flatnonzero(values[where] != values[where + np.repeat(size[:-1], both)])
+    differs = np.append(differs, 1 << 60)
+    return np.minimum(differs[np.searchsorted(differs, start)] - start, both)
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """True at the first byte of every code point."""
     return (data & 0xC0) != 0x80
