@@ -27,7 +27,9 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import threading
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -38,7 +40,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
 from . import metrics as M
+from . import shared_lr
 from .scale import ScalePassthrough
 from .split import class_weight_column
 
@@ -221,55 +225,130 @@ def _weight_sum(df: DataFrame, params: Mapping) -> float:
     return float(df.agg(F.sum(wcol)).collect()[0][0] or 0.0)
 
 
-def _effective(model: str, params: Mapping) -> str:
+#: Settings that do not change a fitted model: Spark's forests have no
+#: ``min_samples_split``, and shared-pass regressions run until they settle.
+_WITHOUT_EFFECT = {"rf": {"min_samples_split"}, "lr": {"max_iter", "solver", "penalty"}}
+
+
+def effective(model: str, params: Mapping) -> str:
     """Candidates with equal keys fit the same model."""
-    ignored = {"min_samples_split"} if model == "rf" else set()
+    ignored = _WITHOUT_EFFECT.get(model, set())
     return json.dumps({k: v for k, v in params.items() if k not in ignored}, sort_keys=True, default=str)
 
 
+class SearchState:
+    """Scores of a search that outlive the driver: a Parquet table
+    ``(run, candidate, fold, score)`` that is appended to after every fit.
+
+    ``run`` names the search (model kind, table, folds); ``candidate`` is the key of
+    :func:`effective`.  A search that finds scores of its run here does not fit those
+    again, so a killed run goes on where it ended."""
+
+    _SCHEMA = "run string, candidate string, fold int, score double"
+
+    def __init__(self, spark: SparkSession, path: str, run: str):
+        self.spark, self.path, self.run = spark, path, run
+        self._one = threading.Lock()                # appends of one driver take turns
+
+    def table(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self._SCHEMA)
+        return self.spark.read.schema(self._SCHEMA).parquet(self.path)
+
+    def done(self) -> dict[tuple[str, int], float | None]:
+        """Scores of this run so far (as many as the search has fits)."""
+        rows = self.table().where(F.col("run") == self.run).groupBy("candidate", "fold").agg(F.max("score").alias("score"))
+        return {(r["candidate"], r["fold"]): r["score"] for r in rows.collect()}
+
+    def add(self, scores: Mapping[tuple[str, int], float | None]) -> None:
+        rows = [(self.run, c, int(f), s) for (c, f), s in scores.items()]
+        with self._one:
+            self.spark.createDataFrame(rows, self._SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def fold_counts(df: DataFrame, fold_col: str, label_col: str) -> dict[int, dict[int, int]]:
+    """Rows per fold and label: one small aggregate for all fits of a search."""
+    out: dict[int, dict[int, int]] = {}
+    for r in df.groupBy(F.col(fold_col).alias("f"), F.col(label_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect():
+        out.setdefault(int(r["f"]), {})[int(r["y"])] = int(r["n"])
+    return out
+
+
+def training_weights(counts: Mapping, fold: int, class_weight) -> dict[int, float]:
+    """T4 weights per label from the rows outside a fold."""
+    n: dict[int, int] = {}
+    for f, by in counts.items():
+        for y, k in by.items():
+            n[y] = n.get(y, 0) + (k if f != fold else 0)
+    n = {y: k for y, k in n.items() if k}
+    if class_weight == "balanced":
+        return {y: sum(n.values()) / (len(n) * k) for y, k in n.items()}
+    given = dict(class_weight or {})
+    return {y: float(given.get(y, 1.0)) for y in n}
+
+
 def cross_validate(df: DataFrame, model: str, candidates: Sequence[Mapping],
                    feature_cols: Sequence[str], label_col: str, fold_col: str = "fold",
-                   scale_col: str | None = None, parallelism: int = 1) -> DataFrame:
+                   scale_col: str | None = None, parallelism: int = 1,
+                   state: SearchState | None = None) -> DataFrame:
     """Every candidate on every fold; the results table has
     ``candidate, params, split<i>_score…, mean_score, std_score (population), rank``.
-    Class weights come from each training part; all folds of a candidate share one
-    precision-recall curve job.
+    Class weights come from each training part.
 
-    Each fit is a distributed job; ``parallelism`` > 1 submits that many
-    (fold, candidate) fits at once from driver threads (as
-    ``CrossValidator.parallelism`` does), which keeps a large cluster busy when
-    single models are small."""
-    from concurrent.futures import ThreadPoolExecutor
+    Logistic regressions of all candidates and folds are fitted in shared passes
+    (:mod:`.shared_lr`) and scored in one.  Of other models every fit is a distributed
+    job; ``parallelism`` > 1 submits that many from driver threads (as
+    ``CrossValidator.parallelism`` does).  A model is scored as soon as it is fitted
+    and then dropped, so at most ``parallelism`` are held.
 
-    spark = df.sparkSession
+    With ``state`` scores are kept as they come and known ones are not fitted again."""
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    first: dict[str, int] = {}
-    same = [first.setdefault(_effective(model, c), i) for i, c in enumerate(candidates)]
-
-    def fit(task):
-        f, i = task
-        train = with_weight_columns(df.where(F.col(fold_col) != f), label_col, [candidates[i]])
-        ws = _weight_sum(train, candidates[i]) if model == "lr" else None
-        return make_pipeline(model, candidates[i], feature_cols, label_col, scale_col, ws).fit(train)
-
-    def evaluate(i):
-        parts = []
-        for f in folds:
-            scored = positive_probability(fitted[f, i].transform(df.where(F.col(fold_col) == f)))
-            parts.append(scored.select(F.lit(f).alias("fold"), label_col, "prob"))
-        both = parts[0]
-        for part in parts[1:]:
-            both = both.unionByName(part)
-        got = {r["fold"]: r["average_precision"] for r in
-               M.average_precision_by(both, "fold", label_col, "prob").collect()}
-        return [float("nan") if got.get(f) is None else float(got[f]) for f in folds]
-
-    tasks = [(f, i) for i in sorted(first.values()) for f in folds]
+    keys = [effective(model, c) for c in candidates]
+    first = {key: dict(c) for key, c in reversed(list(zip(keys, candidates)))}
+    known = state.done() if state else {}
+    todo = [(key, f) for key in dict.fromkeys(keys) for f in folds if (key, f) not in known]
+    counts = fold_counts(df, fold_col, label_col) if todo else {}
+    args = (df, first, todo, counts, feature_cols, label_col, fold_col, scale_col)
+    if todo:
+        known |= _search_lr(*args, state) if model == "lr" else _search_fits(model, *args, parallelism, state)
+    value = lambda s: float("nan") if s is None else float(s)
+    scores = {i: [value(known[key, f]) for f in folds] for i, key in enumerate(keys)}
+    return results_table(df.sparkSession, candidates, scores, len(folds))
+
+
+def _search_lr(df, first, todo, counts, feature_cols, label_col, fold_col, scale_col, state) -> dict:
+    tasks = []
+    for key, f in todo:
+        if first[key].get("penalty", "l2") != "l2":
+            raise ValueError("logistic regression has an l2 penalty only")
+        by = training_weights(counts, f, first[key].get("class_weight"))
+        tasks.append(shared_lr.Task(f, float(first[key].get("C", 1.0)), (by.get(0, 1.0), by.get(1, 1.0))))
+    shared_lr.fit(df, tasks, feature_cols, label_col, fold_col, scale_col, counts)
+    scored = shared_lr.scores(df, tasks, feature_cols, label_col, fold_col, scale_col)
+    got = {r["model"]: r["average_precision"] for r in M.average_precision_by(scored, "model", "label", "prob").collect()}
+    scores = {task: got.get(i) for i, task in enumerate(todo)}
+    if state:
+        state.add(scores)
+    return scores
+
+
+def _search_fits(model, df, first, todo, counts, feature_cols, label_col, fold_col, scale_col, parallelism, state) -> dict:
+    def fit_and_score(task):
+        key, f = task
+        params = first[key]
+        weights = training_weights(counts, f, params.get("class_weight"))
+        train = df.where(F.col(fold_col) != f).withColumn(
+            f"_w_{_cw_key(params.get('class_weight'))}", class_weight_column(df, label_col, weights))
+        fitted = make_pipeline(model, params, feature_cols, label_col, scale_col).fit(train)
+        held_out = positive_probability(fitted.transform(df.where(F.col(fold_col) == f)))
+        score = M.average_precision_by(held_out.select(F.lit(f).alias("fold"), label_col, "prob"), "fold", label_col, "prob").first()
+        score = score["average_precision"] if score else None
+        if state:
+            state.add({task: score})
+        return task, score
+
     with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
-        fitted = dict(zip(tasks, pool.map(fit, tasks)))
-        own = dict(zip(sorted(first.values()), pool.map(evaluate, sorted(first.values()))))
-    scores = {i: own[same[i]] for i in range(len(candidates))}
-    return results_table(spark, candidates, scores, len(folds))
+        return dict(pool.map(fit_and_score, todo))
 
 
 def results_table(spark: SparkSession, candidates: Sequence[Mapping], scores: Mapping[int, list],

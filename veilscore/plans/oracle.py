@@ -165,29 +165,29 @@ split AS (
 )"""
 
 
-def _folds_sql(k: int, shuffle: bool) -> str:
-    order = "md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id" if shuffle else "doc_id"
+def _folds_sql(k: int, shuffle: bool, table: str = "labels", key: str = "doc_id", label: str = "toxic") -> str:
+    order = f"md5(concat('42:', CAST({key} AS VARCHAR))), {key}" if shuffle else key
     return f"""
-cls AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic),
-st AS (SELECT toxic, n, coalesce(sum(n) OVER (ORDER BY toxic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM cls),
+cls AS (SELECT {label}, count(*) AS n FROM {table} GROUP BY {label}),
+st AS (SELECT {label}, n, coalesce(sum(n) OVER (ORDER BY {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM cls),
 fa AS (
-  SELECT toxic, f AS fold,
+  SELECT {label}, f AS fold,
          (CASE WHEN s0 + n > f THEN (s0 + n - f + {k} - 1) // {k} ELSE 0 END)
        - (CASE WHEN s0 > f THEN (s0 - f + {k} - 1) // {k} ELSE 0 END) AS cnt
   FROM st, range({k}) t(f)
 ),
 fb AS (
-  SELECT toxic, fold,
-         sum(cnt) OVER (PARTITION BY toxic ORDER BY fold ROWS UNBOUNDED PRECEDING) AS hi,
-         sum(cnt) OVER (PARTITION BY toxic ORDER BY fold ROWS UNBOUNDED PRECEDING) - cnt AS lo
+  SELECT {label}, fold,
+         sum(cnt) OVER (PARTITION BY {label} ORDER BY fold ROWS UNBOUNDED PRECEDING) AS hi,
+         sum(cnt) OVER (PARTITION BY {label} ORDER BY fold ROWS UNBOUNDED PRECEDING) - cnt AS lo
   FROM fa
 ),
 ranked AS (
-  SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {order}) AS r FROM labels
+  SELECT {key}, {label}, row_number() OVER (PARTITION BY {label} ORDER BY {order}) AS r FROM {table}
 ),
 folded AS (
-  SELECT r.doc_id, r.toxic, CAST(b.fold AS INTEGER) AS fold
-  FROM ranked r JOIN fb b ON r.toxic = b.toxic AND r.r > b.lo AND r.r <= b.hi
+  SELECT r.{key}, r.{label}, CAST(b.fold AS INTEGER) AS fold
+  FROM ranked r JOIN fb b ON r.{label} = b.{label} AND r.r > b.lo AND r.r <= b.hi
 )"""
 
 
@@ -247,6 +247,13 @@ ap AS (SELECT c, f, sum(pos / np * tp / (tp + fp)) AS a FROM cu GROUP BY c, f),
 t AS (SELECT CAST(c AS INTEGER) AS candidate, max(a) FILTER (f = 0) AS split0_score, max(a) FILTER (f = 1) AS split1_score,
       max(a) FILTER (f = 2) AS split2_score, avg(a) AS mean_score, stddev_pop(a) AS std_score FROM ap GROUP BY c)"""
 
+_URGENT_FOLDS = f"""
+WITH base AS (SELECT o_orderkey, o_orderpriority = '1-URGENT' AS urgent, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+{_folds_sql(3, True, "base", "o_orderkey", "y")},
+g AS (SELECT fold, urgent, sum(f.y) AS p, sum(1 - f.y) AS n FROM folded f JOIN base USING (o_orderkey) GROUP BY ALL),
+tr AS (SELECT a.fold, b.urgent, sum(b.p) AS p, sum(b.n) AS n
+       FROM (SELECT DISTINCT fold FROM g) a JOIN g b ON a.fold <> b.fold GROUP BY ALL)"""
+
 SQL = {
     # scans, sinks
     "scan_parquet": "SELECT * FROM customer",
@@ -408,6 +415,22 @@ SQL = {
     "rf_fit_predict": f"{_URGENT} SELECT o_orderkey, round(10 * p / (10 * p + n), 6) AS prob FROM o JOIN g USING (urgent)",
     "gbt_fit_predict": f"""{_URGENT} SELECT o_orderkey,
         round(1.0 / (1.0 + exp(-2.0 * (2.0 * p / (p + n) - 1.0))), 6) AS prob FROM o JOIN g USING (urgent)""",
+    "search_closed_form": f"""{_URGENT_FOLDS},
+        cu AS (SELECT g.fold, g.p, sum(g.p) OVER w AS tp, sum(g.n) OVER w AS fp, sum(g.p) OVER (PARTITION BY g.fold) AS np
+               FROM g JOIN tr USING (fold, urgent) WINDOW w AS (PARTITION BY g.fold ORDER BY tr.p / (tr.p + tr.n) DESC)),
+        ap AS (SELECT fold, sum(p / np * tp / (tp + fp)) AS a FROM cu GROUP BY fold)
+        SELECT CAST(c AS INTEGER) AS candidate, round(max(a) FILTER (fold = 0), 6) AS split0_score,
+            round(max(a) FILTER (fold = 1), 6) AS split1_score, round(max(a) FILTER (fold = 2), 6) AS split2_score,
+            round(avg(a), 6) AS mean_score, round(stddev_pop(a), 6) AS std_score, CAST(1 AS INTEGER) AS rank,
+            CAST(12 AS BIGINT) AS fits
+        FROM ap, range(4) t(c) GROUP BY c""",
+    "search_coefficients": f"""{_URGENT_FOLDS},
+        odds AS (SELECT fold, weights, urgent, ln(p / n * CASE WHEN weights = 'balanced' THEN n_all / p_all ELSE 1 END) AS o
+            FROM (SELECT *, sum(p) OVER (PARTITION BY fold) AS p_all, sum(n) OVER (PARTITION BY fold) AS n_all FROM tr),
+                 (VALUES ('balanced'), ('none')) v(weights))
+        SELECT fold, weights, round(max(o) FILTER (NOT urgent), 5) AS intercept,
+            round(max(o) FILTER (urgent) - max(o) FILTER (NOT urgent), 5) AS slope
+        FROM odds GROUP BY fold, weights""",
     "search_rank": f"""{_SEARCH} SELECT candidate, round(split0_score, 6) AS split0_score,
         round(split1_score, 6) AS split1_score, round(split2_score, 6) AS split2_score,
         round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score,

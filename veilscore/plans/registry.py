@@ -604,6 +604,41 @@ def search_best(spark, sf):
     return spark.createDataFrame([(ML.best_candidate(search_rank(spark, sf)),)], "candidate int")
 
 
+def _urgent_folds(spark, sf):
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").select(
+        "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("is_f"))
+    return T.stratified_folds(o, "is_f", "o_orderkey", 3)
+
+
+def search_closed_form(spark, sf):
+    """Regressions on one yes/no feature, four candidates on three folds in
+    shared passes: the held-out order is that of the training rates.  The search is
+    begun with one candidate and goes on from its kept scores."""
+    from ..operators import models as ML
+    folded = _urgent_folds(spark, sf)
+    candidates = ML.expand_grid({"C": [0.1, 1e6], "class_weight": ["balanced", None]})
+    state = ML.SearchState(spark, scratch_path(spark, "search-state"), "urgent")
+    ML.cross_validate(folded, "lr", candidates[:1], ["urgent"], "is_f", state=state)
+    table = ML.cross_validate(folded, "lr", candidates, ["urgent"], "is_f", state=state)
+    return M.round_all(table).drop("params").withColumn("fits", F.lit(state.table().count()).cast("long"))
+
+
+def search_coefficients(spark, sf):
+    """The shared-pass regressions of every fold, hardly penalised: log odds of
+    the training rates, weighted or not."""
+    from ..operators import models as ML
+    from ..operators import shared_lr as LR
+    folded = _urgent_folds(spark, sf)
+    counts = ML.fold_counts(folded, "fold", "is_f")
+    kinds = [(f, w) for f in sorted(counts) for w in ("balanced", None)]
+    by = [ML.training_weights(counts, f, w) for f, w in kinds]
+    tasks = LR.fit(folded, [LR.Task(f, 1e12, (w[0], w[1])) for (f, _), w in zip(kinds, by)], ["urgent"], "is_f", "fold",
+                   None, counts)
+    rows = [(f, w or "none", round(float(t.beta[1]), 5), round(float(t.beta[0]), 5)) for (f, w), t in zip(kinds, tasks)]
+    return spark.createDataFrame(rows, "fold int, weights string, intercept double, slope double")
+
+
 def train_all_models(spark, sf):
     """T13 for every model kind on the prepared orders: rows of the parts, candidates
     and folds run, and whether the summary equals metrics recomputed from the scores."""
@@ -760,6 +795,8 @@ QUERIES = {
     "gbt_embeddings": gbt_embeddings,
     "search_rank": search_rank,
     "search_best": search_best,
+    "search_closed_form": search_closed_form,
+    "search_coefficients": search_coefficients,
     "train_all_models": train_all_models,
     "artifact_roundtrip": artifact_roundtrip,
     "metadata_json": metadata_json,

@@ -6,6 +6,7 @@ threshold at precision, average precision, ROC-AUC → summary (+ optional sinks
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -35,10 +36,15 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
           candidates: Sequence[dict] | None = None, n_folds: int | None = None,
           shuffle_folds: bool = True, target_precision: float = M.TARGET_PRECISION,
           out_dir: str | None = None, seed: int = ML.SEED,
-          id_as_feature: bool = False, parallelism: int = 1) -> TrainResult:
+          id_as_feature: bool = False, parallelism: int = 1, state_path: str | None = None) -> TrainResult:
     """``id_as_feature=True`` reproduces the reference's training input, which
     keeps the transaction id among the features (R1 compat); by default the id
-    is only a key."""
+    is only a key.
+
+    ``state_path`` names a table that keeps every score of the search
+    (:class:`veilscore.operators.models.SearchState`); a run that was killed goes on
+    with it.  Splits and folds depend on ids and ``seed`` alone, so they come out the
+    same; a table of other rows needs a state of its own."""
     spark = df.sparkSession
     n_iter, folds_default, grid = ML.SEARCH_SPACES[model][mode] if model in ML.SEARCH_SPACES else (1, 2, {})
     cands = list(candidates) if candidates is not None else ML.sample_candidates(grid, n_iter, seed)
@@ -57,8 +63,10 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
     test_part = split.where(F.col("is_test")).drop("is_test")
     folded = checkpointed(stratified_folds(train_part, label_col, id_col, k, shuffle_folds, seed))
     t_search = time.perf_counter()
+    run = json.dumps([model, k, shuffle_folds, seed, scale_col, label_col, features])
+    state = ML.SearchState(spark, state_path, run) if state_path else None
     results = ML.cross_validate(folded, model, cands, features, label_col, "fold", scale_col,
-                                parallelism)
+                                parallelism, state)
     best_i = ML.best_candidate(results)
     best = cands[best_i]
     tr = ML.with_weight_columns(train_part, label_col, [best])    # weights of the training rows

@@ -84,6 +84,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at a path, asked of the file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a table through the file system its path names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
