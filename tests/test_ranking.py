@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from veilscore.operators.ranking import exact_medians, row_index, running_totals
@@ -150,3 +151,21 @@ def test_split_with_null_labels_and_string_ids(spark):
     assert in_order == sorted(in_order)
     w = df.select(class_weight_column(df, "y").alias("w")).where("w = 1.0").count()
     assert w == 0
+
+
+@pytest.mark.parametrize("limit", [1, 5, 60])
+def test_keys_at_ranks_narrows_digit_by_digit(spark, monkeypatch, limit):
+    """Rounds go on until few rows share the digits; copies of one key, however many,
+    and a class with all rows give the same keys as sorting everything."""
+    import hashlib
+    from veilscore.operators import ranking as R
+    monkeypatch.setattr(R, "BUCKET_ROWS", limit)
+    rows = [(0, i % 150 if i < 700 else 7, None) for i in range(900)]
+    rows = [(g, i, hashlib.md5(str(i).encode()).hexdigest()) for g, i, _ in rows] + [(None, 1, None), (None, 2, "00")]
+    df = spark.createDataFrame(rows, "g int, id long, h string")
+    ranks = {0: [1, 2, 450, 451, 600, 899, 900], None: [1, 2]}
+    got = {(r["g"], r["rank"]): (r["key"]["h"], r["key"]["id"]) for r in R.keys_at_ranks(
+        df, "g", [F.col("h"), F.col("id")], ranks, F.col("h")).collect()}
+    for g, wanted in ranks.items():
+        own = sorted(((h, i) for x, i, h in rows if x == g), key=lambda k: (k[0] is not None, k[0] or "", k[1]))
+        assert [got[g, r] for r in wanted] == [own[r - 1] for r in wanted]

@@ -11,8 +11,8 @@ all rows, so ranks, cumulative sums and k-th values are computed like this:
   back by their size;
 * :func:`exact_medians` — counts per (feature, bin) with map-side combine, the bin
   that holds the middle rank is refined until one value is left;
-* :func:`keys_at_ranks` — counts per (group, key prefix) find the prefixes that
-  hold the wanted ranks, only their rows are ordered.
+* :func:`keys_at_ranks` — counts per (group, leading digits) narrow the digits that
+  hold the wanted ranks, round by round, until few rows are left to order.
 
 Every step has one plan at every size, and no rows are fetched to the driver.
 """
@@ -32,6 +32,10 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 #: Bins per refinement round of :func:`exact_medians`.
 BINS = 4096
+#: :func:`keys_at_ranks`: digits read per round, most digits, most rows ordered by a task.
+DIGITS = 2
+MAX_DIGITS = 32
+BUCKET_ROWS = 1 << 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -192,10 +196,12 @@ def keys_at_ranks(df: DataFrame, group_col: str, order: Sequence[Column],
     """Exact order statistics: for each group and each requested 1-based rank,
     the row key ``struct(order…)`` at that rank (rows ordered by ``order``).
 
-    ``prefix`` is a column with few values whose order agrees with ``order`` and
-    which spreads the rows evenly (leading digits of a hash): rows are counted per
-    (group, prefix), and only the prefixes that hold a wanted rank are ordered.
-    Without it the keys are ranked with :func:`row_index`.
+    ``prefix`` is a column whose order agrees with ``order`` and which spreads the rows
+    evenly.  A string (a hash) is read ``DIGITS`` characters at a time: rows are counted per (group, digits so far, next digits), and the
+    digits that hold a wanted rank are kept, until at most ``BUCKET_ROWS`` rows share
+    them; only those are ordered.  Rows that more share than that to the last digit
+    (copies of one key) go through :func:`row_index`.  Without ``prefix`` all keys are
+    ranked with :func:`row_index`.
 
     ``targets`` maps group → ranks (bounded by groups and ranks; null is a group
     like any other).  Returns ``(group, j, rank, key)``, ``j`` the 0-based index.
@@ -206,17 +212,42 @@ def keys_at_ranks(df: DataFrame, group_col: str, order: Sequence[Column],
     wanted = spark.createDataFrame(rows, f"_t {kind}, j int, rank long")
     keys = df.select(F.col(group_col).alias("_g"), F.struct(*order).alias("key"),
                      *([prefix.alias("_p")] if prefix is not None else []))
-    same = F.col("_g").eqNullSafe(F.col("_t"))
     if prefix is None:
         ranked = row_index(keys, ["key"], ["_g"], out="_rn")
-        hit = ranked.join(wanted, same & (F.col("_rn") == F.col("rank")))
+        hit = ranked.join(wanted, F.col("_g").eqNullSafe(F.col("_t")) & (F.col("_rn") == F.col("rank")))
+        return hit.select(F.col("_g").alias(group_col), "j", "rank", "key")
+    text = isinstance(keys.schema["_p"].dataType, T.StringType)
+    digits = MAX_DIGITS if text else DIGITS           # other values are read whole
+
+    def read(depth: int) -> Column:
+        return F.substring("_p", 1, depth) if text else F.col("_p")
+
+    def inside(goals: DataFrame, depth: int) -> DataFrame:
+        spots = goals.select("_t", "at").distinct()
+        same = F.col("_g").eqNullSafe(F.col("_t"))
+        return keys.join(spots, same & read(depth).eqNullSafe(F.col("at")) if depth else same)
+
+    def met(frame: DataFrame, goals: DataFrame) -> DataFrame:
+        goals = goals.select(F.col("_t").alias("_goal"), F.col("at").alias("_goal_at"), "j", "rank", "below")
+        return frame.join(goals, F.col("_t").eqNullSafe(F.col("_goal")) & F.col("at").eqNullSafe(F.col("_goal_at")))
+
+    none = F.lit(None).cast(keys.schema["_p"].dataType)
+    goals = wanted.select("*", none.alias("at"), F.lit(0).cast("long").alias("below"))
+    depth, largest = 0, None
+    while largest is None or (largest > BUCKET_ROWS and depth < digits):
+        upto = F.sum("size").over(Window.partitionBy("_t", "at").orderBy("next"))
+        counts = inside(goals, depth).groupBy("_t", "at", read(depth + DIGITS).alias("next")) \
+            .agg(F.count(F.lit(1)).alias("size")).withColumn("upto", upto)
+        last = F.col("below") + F.col("upto")
+        held = met(counts, goals).where((last >= F.col("rank")) & (last - F.col("size") < F.col("rank")))
+        goals = written(held.select("_t", "j", "rank", F.col("next").alias("at"),
+                                    (last - F.col("size")).alias("below"), "size"), "ranks")
+        depth += DIGITS
+        largest = goals.agg(F.max("size")).first()[0] or 0
+    left = inside(goals, depth)
+    if largest > BUCKET_ROWS:
+        placed = row_index(left, ["key"], ["_t", "at"], out="_rn")
     else:
-        upto = F.sum("k").over(Window.partitionBy("_g").orderBy("_p"))
-        counts = keys.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", upto)
-        held = (counts.join(wanted, same).where(
-            (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))
-            .select("_t", F.col("_p").alias("_tp"), "j", "rank", (F.col("upto") - F.col("k")).alias("below")))
-        inside = keys.join(written(held, "ranks"), same & F.col("_p").eqNullSafe(F.col("_tp")))
-        place = F.row_number().over(Window.partitionBy("_t", "j").orderBy("key"))
-        hit = inside.withColumn("_rn", place).where(F.col("_rn") + F.col("below") == F.col("rank"))
+        placed = left.withColumn("_rn", F.row_number().over(Window.partitionBy("_t", "at").orderBy("key")))
+    hit = met(placed, goals).where(F.col("_rn") + F.col("below") == F.col("rank"))
     return hit.select(F.col("_g").alias(group_col), "j", "rank", "key")

@@ -12,9 +12,9 @@ per-class quotas follow the allocation rules of the reference's splitter:
 
 Which rows fill the quotas is decided by the seeded order ``(md5(seed:id), id)``
 (or by id for the unshuffled variant): the keys at the quota ranks are exact
-order statistics (:func:`keys_at_ranks`: the md5 key is uniform, so its leading
-digits are counted per class and only the digits that hold a quota rank are
-ordered; ids are ranked by their own order, whatever their type), and every
+order statistics (:func:`keys_at_ranks`: the md5 key is uniform, so its digits are
+counted per class, a few at a time, until few rows share the digits of a quota rank;
+ids are ranked by their own order, whatever their type), and every
 row is then assigned by comparing its key with them — one pass, no ranking of
 whole classes and no copy of the table.
 """
@@ -86,7 +86,7 @@ def _order(id_col: str, seed: int | None) -> list[Column]:
 def _boundaries(df: DataFrame, label_col: str, id_col: str, seed: int | None,
                 ranks: dict) -> DataFrame:
     """Per class: array of the row keys at the requested ranks (≤ k per class)."""
-    prefix = None if seed is None else F.substr(shuffle_key(id_col, seed), F.lit(1), F.lit(3))
+    prefix = None if seed is None else shuffle_key(id_col, seed)
     th = keys_at_ranks(df, label_col, _order(id_col, seed), ranks, prefix)
     bounds = th.groupBy(label_col).agg(F.collect_list("key").alias("_bounds"))
     return written(bounds.withColumnRenamed(label_col, "_class"), "split-bounds")
