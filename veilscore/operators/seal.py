@@ -69,15 +69,16 @@ def _hmac_hex(k_ipad: Column, k_opad: Column, message: Column) -> Column:
     return F.sha2(F.concat(k_opad, F.unhex(inner)), 256)
 
 
-def _masks(id_col: Column, width: int) -> Column:
-    """array<bigint> of ``ceil(width/5)·5`` 48-bit masks for one row.
+def _masks(id_col: Column, width: int, label: str = "row") -> Column:
+    """array<bigint> of ``ceil(width/5)·5`` 48-bit masks for one row; every ``label``
+    gives masks of its own.
 
     The row key and the digests are higher-order-function *arguments*, so each
     is computed once per row; every digest is split into five 12-hex-digit
     numbers."""
     n_blocks = max(1, -(-width // MASKS_PER_DIGEST))
     row_key = F.unhex(_hmac_hex(F.col("k_ipad"), F.col("k_opad"),
-                                F.concat_ws("|", F.lit("row"), F.col("nonce"), id_col.cast("string"),
+                                F.concat_ws("|", F.lit(label), F.col("nonce"), id_col.cast("string"),
                                             F.col("salt"))))
     digests = F.zip_with(
         F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.array_repeat(row_key, n_blocks),

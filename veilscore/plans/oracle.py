@@ -358,6 +358,9 @@ SQL = {
           AS flag FROM emb_score""",
     # sealed
     "sealed_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
+    "shared_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
+    "tampered_rows": f"""{EMB} SELECT vec_id, CASE WHEN vec_id % 7 IN (1, 2, 3, 4) THEN NULL ELSE score END AS score,
+        CASE WHEN vec_id % 7 IN (1, 2, 3, 4) THEN 'FAIL' ELSE 'PASS' END AS status FROM emb_score""",
     "sealed_differs_from_plain": "SELECT vec_id, 0 AS n_equal FROM embeddings",
     "sealed_score": "SELECT vec_id, true AS is_residue, true AS differs FROM embeddings",
     "seal_roundtrip": f"WITH {EMB_Q} SELECT vec_id, CAST(i - 1 AS INTEGER) AS feature_idx, x FROM emb_q",

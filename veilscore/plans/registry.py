@@ -302,6 +302,39 @@ def sealed_score_opened(spark, sf):
     return E.open_scores(E.score_sealed(sealed, m, "vec_id"), ring, m, "vec_id")
 
 
+def shared_score_opened(spark, sf):
+    """E1→E2→E3 by secret sharing: two share tables, each scored by a job of its own,
+    added up without weights or key; equals the plain score."""
+    from ..operators import shares
+    m = I.embedding_model()
+    tables = shares.split_shares(I.embedding_features(spark, sf).select("vec_id", "x"), E.new_keyring(spark), "vec_id", model=m)
+    scored = []
+    for i, table in enumerate(tables):
+        path = scratch_path(spark, f"share{i}")
+        table.write.parquet(path)
+        scored.append(shares.score_share(spark.read.parquet(path), m, "vec_id", with_bias=i == 0))
+    return shares.open_shares(*scored, "vec_id").select("vec_id", "score")
+
+
+def tampered_rows(spark, sf):
+    """Tagged rows, some changed by the scorer: score, ciphertext, weights or
+    tag.  The opener names them from the tags alone."""
+    from ..operators import tags
+    m, ring, _, sealed = _sealed_embeddings(spark, sf)
+    kind = F.pmod(F.col("vec_id"), F.lit(7))
+    path = scratch_path(spark, "tagged")
+    tags.tag(sealed, ring, "vec_id", m.feature_count).write.parquet(path)
+    table = spark.read.parquet(path)
+    at = next(i for i, w in enumerate(m.weights) if w)
+    changed = F.when(kind == 2, F.transform("c", lambda v, i: F.when(i == at, v + 1).otherwise(v))).otherwise(F.col("c"))
+    honest = tags.score_tagged(table.withColumn("c", changed).where(kind != 3), m, "vec_id")
+    other = m.__class__((m.weights[0] + 1, *m.weights[1:]), m.bias)
+    scored = honest.unionByName(tags.score_tagged(table.where(kind == 3), other, "vec_id"))
+    scored = scored.withColumn("sealed_sum", F.col("sealed_sum") + F.when(kind == 1, 5).otherwise(0)) \
+        .withColumn("tag2", F.when(kind == 4, F.pmod(F.col("tag2") + 1, F.lit(tags.PRIMES[1]))).otherwise(F.col("tag2")))
+    return tags.open_tagged(scored, ring, m, "vec_id")
+
+
 def seal_roundtrip(spark, sf):
     """E5: open(seal(x)) element-wise = x (whole table)."""
     m, ring, _, sealed = _sealed_embeddings(spark, sf)
@@ -762,6 +795,8 @@ QUERIES = {
     "sealed_differs_from_plain": sealed_differs_from_plain,
     "sealed_score": sealed_score,
     "sealed_score_opened": sealed_score_opened,
+    "shared_score_opened": shared_score_opened,
+    "tampered_rows": tampered_rows,
     "seal_roundtrip": seal_roundtrip,
     "quantized_lr_verify": quantized_lr_verify,
     "model_contract": model_contract_q,
