@@ -114,3 +114,37 @@ def test_results_do_not_depend_on_partitions(spark):
     a = L.predict(df.coalesce(1), model).orderBy("doc_id").collect()
     b = L.predict(df.repartition(7), model).orderBy("doc_id").collect()
     assert a == b
+
+
+def test_one_short_text_per_language(spark):
+    df = docs(spark, [(1, "ab", "en"), (2, "xy", "de"), (3, "a", None), (4, "x", None), (5, "q", None)])
+    model = L.train(df)
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, model).collect()}
+    assert got[1] == got[3] == "en" and got[2] == got[4] == "de" and got[5] in ("de", "en")
+    assert L.identified(df, model).count() == 5
+
+
+def test_many_languages_fit_in_the_model(spark):
+    """40 languages of 60 syllables each: bounded bytes, every language with contexts
+    of its own, also one with a hundredth of the text."""
+    r = np.random.default_rng(4)
+    letters = [chr(c) for c in range(97, 123)] + list("äöüéñçßøåœ")
+    rows, fresh = [], []
+    for k in range(40):
+        syllables = ["".join(r.choice(letters, 3)) for _ in range(60)]
+        text = lambda n: " ".join("".join(r.choice(syllables, 2)) for _ in range(n))
+        rows += [(1000 * k + i, text(30), f"l{k:02d}") for i in range(1 if k == 7 else 20)]
+        fresh.append((k, text(30), f"l{k:02d}"))
+    model = L.train(docs(spark, rows))
+    assert model.lengths.nbytes <= L.MODEL_BYTES and model.lengths.nbytes + model.state.nbytes < 300 << 20
+    got = {r.doc_id: r.lang_pred for r in L.predict(docs(spark, fresh), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in fresh) >= 39 and got[7] == "l07"
+    with pytest.raises(ValueError):
+        L.build_model(pd.DataFrame({"lang": ["a", "b"], "code": [97, 98], "n": [1, 1]}), model_bytes=10)
+
+
+def test_dotted_and_repeated_names(spark):
+    df = docs(spark, [(i, "the cat sat on the mat", "en") for i in range(5)] + [(9, "the mat", None)])
+    more = df.withColumn("a.b", F.lit(1)).select("*", F.lit(2).alias("score"))
+    kept = L.identified(more, L.train(df))
+    assert kept.columns == more.columns and kept.count() == 6

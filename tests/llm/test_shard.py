@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_ORACLE
@@ -58,3 +59,49 @@ def test_nulls_ties_repeats_and_clashing_names(spark):
     assert S.sharded(df.limit(0), 16).count() == 0
     one = S.sharded(df.limit(1), 16).collect()
     assert one[0].slot == 0
+
+
+def feistel(x, n, seed):
+    """The permutation in plain Python."""
+    a, b = S._domain(n)
+
+    def code(key, value):
+        h = 42
+        for v in (key, value):
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
+        return h - (1 << 64) if h >> 63 else h
+    while True:
+        left, right = divmod(x, b)
+        for j in range(S.ROUNDS):
+            key = seed * 64 + j
+            if j % 2:
+                right = (right + code(key, left) % b) % b
+            else:
+                left = (left + code(key, right) % a) % a
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 3001])
+def test_every_place_as_in_plain_python(spark, n):
+    shard, slot = S.place(F.col("id"), n, 16, 2024)
+    for r in spark.range(n).select("id", shard.alias("shard"), slot.alias("slot")).collect():
+        p = feistel(r.id, n, 2024)
+        assert (r.shard, r.slot) == (p % 16, p // 16)
+
+
+def test_dotted_names_maps_and_long_texts(spark):
+    df = spark.range(300).selectExpr("id % 7 AS `a.b`", "map('k', id % 3, 'l', id) AS m", "array(map(1, id)) AS n",
+                                     "if(id = 5, repeat('x', 3000000), cast(id AS string)) AS text")
+    got = S.sharded(df, 4)
+    assert got.columns == ["a.b", "m", "n", "text", "shard", "slot"]
+    check_law(got.select("shard", "slot").collect(), 4)
+    assert got.selectExpr("max(length(text)) AS n").first().n == 3_000_000
+
+
+def test_every_row_hot(spark):
+    """Many hot hashes: rows of ten kinds only."""
+    got = S.sharded(spark.range(60_000).selectExpr("id % 10 AS kind"), 16)
+    check_law(got.collect(), 16)
+    assert {r["count"] for r in got.groupBy("kind").count().collect()} == {6000}

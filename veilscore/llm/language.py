@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbytes import LOWER, id_and_text, text_chunks
 
@@ -32,8 +33,11 @@ UNDETERMINED = "und"
 #: Expected bytes of sampled text per language (whole documents, chosen by a hash
 #: of their id); the bound of the training sample.
 TRAIN_BYTES = 4 << 20
-#: Most contexts of the highest order that are kept (the commonest ones).
+#: Most contexts of an order that a language keeps: the commonest in its own texts.
 MAX_CONTEXTS = 1 << 14
+#: Bytes of the code lengths (contexts x symbols x languages x 4).  Many languages
+#: keep fewer contexts each, so that the model stays within it.
+MODEL_BYTES = 96 << 20
 MIN_COUNT = 3
 #: Most languages that can be learned.
 MAX_LANGUAGES = 1000
@@ -132,9 +136,10 @@ class LanguageModel:
         return out
 
 
-def build_model(counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS,
-                min_count: int = MIN_COUNT) -> LanguageModel | None:
-    """Model from ``(lang, code, n)``; None without any counted byte."""
+def build_model(counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS, min_count: int = MIN_COUNT,
+                model_bytes: int = MODEL_BYTES) -> LanguageModel | None:
+    """Model from ``(lang, code, n)``; None without any counted byte.  An order without
+    a context that is common enough is left out: shorter ones code its bytes."""
     if not len(counts):
         return None
     languages = sorted(counts["lang"].unique())
@@ -151,16 +156,22 @@ def build_model(counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS,
     number = [np.zeros(len(code), np.int64)]
     for k in range(ORDER):
         number.append(back[k] * size ** k + number[-1])
+    quota = (model_bytes // (4 * size * len(languages)) - size - 1) // (2 * len(languages))
+    if quota < 1:
+        raise ValueError(f"{len(languages)} languages of {size} symbols do not fit in {model_bytes} bytes")
+    quota = min(quota, max_contexts)
     kept = [np.zeros(1, np.int64)]
     for k in range(1, ORDER + 1):
         values, where = np.unique(number[k], return_inverse=True)
-        total = np.bincount(where, weights=n).astype(np.int64)
-        fit = (total >= (min_count if k > 1 else 1)) & np.isin(values % size ** (k - 1), kept[-1])
-        values, total = values[fit], total[fit]
-        if len(values) > max_contexts:                       # commonest, ties by number
-            top = np.lexsort((values, -total))[:max_contexts]
-            values = np.sort(values[top])
-        kept.append(values)
+        known = np.isin(values % size ** (k - 1), kept[-1])
+        mine: list[np.ndarray] = []
+        for which in range(len(languages)):                 # every language chooses its own
+            total = np.bincount(where, weights=np.where(lang == which, n, 0)).astype(np.int64)
+            fit = np.flatnonzero(known & (total >= (min_count if k > 1 else 1)))
+            if k > 1 and len(fit) > quota:                  # commonest, ties by number
+                fit = fit[np.lexsort((values[fit], -total[fit]))[:quota]]
+            mine.append(values[fit])
+        kept.append(np.unique(np.concatenate(mine)))
 
     first = np.cumsum([0] + [len(v) for v in kept])
     lengths = np.zeros((int(first[-1]), size, len(languages)), np.int32)
@@ -169,9 +180,9 @@ def build_model(counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS,
         tables = []
         for k in range(ORDER + 1):
             table = np.zeros((len(kept[k]), size), np.int64)
-            row = np.searchsorted(kept[k], number[k][mine])
-            ok = (row < len(kept[k])) & (kept[k][np.minimum(row, len(kept[k]) - 1)] == number[k][mine])
-            np.add.at(table, (row[ok], last[mine][ok]), n[mine][ok])
+            ok = np.isin(number[k][mine], kept[k])           # an order may have no context
+            row = np.searchsorted(kept[k], number[k][mine][ok])
+            np.add.at(table, (row, last[mine][ok]), n[mine][ok])
             tables.append(table)
         for k in range(ORDER + 1):
             lengths[first[k]:first[k + 1], :, which] = _code_lengths(kept, tables, k, size)
@@ -208,7 +219,7 @@ def _code_lengths(kept: list[np.ndarray], tables: list[np.ndarray], order: int,
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
           allowed: Column | None = None, train_bytes: int = TRAIN_BYTES) -> LanguageModel | None:
     """Count the sample in Spark, freeze the trees on the driver (their size is
-    bounded by ``train_bytes`` per language and ``MAX_CONTEXTS``)."""
+    bounded by ``train_bytes`` per language and ``MODEL_BYTES``)."""
     sample = training_sample(docs, lang_col, id_col, text_col, allowed, train_bytes)
     counts = (sample.mapInArrow(_grams, "lang string, code long, n long")
               .groupBy("lang", "code").agg(F.sum("n").alias("n")))
@@ -251,7 +262,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     ``score`` is the winner's share of the posterior under equal priors (1 over
     the sum of 2^-(bits - fewest bits)); ties go to the first language by name.
     Null texts, texts without a letter and all texts of an empty model are
-    ``und`` with score 0.  Repeated rows are kept; no rows give no rows.
+    ``und`` with score 0.  Repeated rows and null ids are kept; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -289,4 +300,6 @@ def identified(docs: DataFrame, model: LanguageModel | None, min_score: float =
             columns[lang_at] = pc.coalesce(columns[lang_at], pa.array(names, columns[lang_at].type))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    # By position: names with dots or repeated names are no column references.
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 ROUNDS = 6
 #: Rows per range bucket aimed at, and the least number of buckets.
 BUCKET_ROWS = 1 << 15
@@ -67,40 +69,53 @@ def numbered(df: DataFrame, by: list[str], n: int, name: str = "row_number") ->
     """``df`` (n rows) with a gapless number from 0 in column ``name``.
 
     Order: the leading bits of a hash over the columns ``by``, then hot hashes
-    last, then the hash; rows equal in all of ``by`` are interchangeable.  ``df``
+    last, then the hash; rows equal in all of ``by`` are interchangeable (whether a
+    hash is hot depends on the data, so the numbers do too; the law holds anyway).  ``df``
     is read twice and must give the same rows in the same places (a table or a
     checkpoint does).
     """
     bits = max(MIN_BUCKETS, -(-n // BUCKET_ROWS))
     bits = (bits - 1).bit_length()
-    keyed = df.withColumn("__feistel_hash", F.xxhash64(*by)).withColumn(
-        "__feistel_bucket", F.shiftrightunsigned("__feistel_hash", 64 - bits))
-    counts = keyed.groupBy("__feistel_bucket").agg(F.count(F.lit(1)).alias("rows"))
+    values = [_comparable(df, c) for c in by]
+    # The turn is taken where rows are read, so that it is the same in every pass.
+    keyed = df.withColumn("__feistel_hash", F.xxhash64(*values)).withColumn(
+        "__feistel_bucket", F.shiftrightunsigned("__feistel_hash", 64 - bits)).withColumn(
+        "__feistel_turn", F.monotonically_increasing_id() % SALTS)
     limit = 8 * max(BUCKET_ROWS // 64, -(-n // (1 << bits)))
-    crowded = [r[0] for r in counts.filter(F.col("rows") > limit).select("__feistel_bucket").collect()]
-    hot: list[int] = []
-    if crowded:                                # at most 2^bits / 8 of them
-        hot = [r[0] for r in keyed.filter(F.col("__feistel_bucket").isin(crowded)).groupBy("__feistel_hash").count()
-               .filter(F.col("count") > limit).select("__feistel_hash").collect()]
-    is_hot = F.col("__feistel_hash").isin(hot) if hot else F.lit(False)
-    keyed = (keyed.withColumn("__feistel_hot", F.when(is_hot, F.col("__feistel_hash")))
-             .withColumn("__feistel_salt", F.when(is_hot, F.monotonically_increasing_id() % SALTS)
+    # Hot hashes, looked for in crowded buckets only; a table, however many there are.
+    crowded = keyed.groupBy("__feistel_bucket").count().where(F.col("count") > limit).select("__feistel_bucket")
+    hot = stored(keyed.select("__feistel_bucket", "__feistel_hash").join(crowded, "__feistel_bucket", "left_semi")
+                 .groupBy("__feistel_hash").count().where(F.col("count") > limit)
+                 .select(F.col("__feistel_hash").alias("__feistel_hot")), "shard-hot")
+    keyed = (keyed.join(hot, F.col("__feistel_hash") == F.col("__feistel_hot"), "left")
+             .withColumn("__feistel_salt", F.when(F.col("__feistel_hot").isNotNull(), F.col("__feistel_turn"))
                          .otherwise(F.lit(0))))
     piece = ["__feistel_bucket", "__feistel_hot", "__feistel_salt"]
-    sizes = keyed.groupBy(*piece).agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.orderBy(*[F.col(c).asc_nulls_first() for c in piece]).rowsBetween(
-        Window.unboundedPreceding, -1)
-    # One row per bucket and salted piece: bounded by 2^bits + SALTS * 2^bits / 8.
-    offsets = sizes.select(*[F.col(c).alias(f"{c}_of") for c in piece],
-                           F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__feistel_offset"))
+    sizes = stored(keyed.groupBy(*piece).agg(F.count(F.lit(1)).alias("rows"))
+                   .withColumn("part", F.shiftright("__feistel_bucket", bits // 2)), "shard-sizes")
+    # Offsets in two levels: of the leading bits (at most 2 to half the bits rows), then within them.
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("rows").alias("rows")).select(
+        "part", F.coalesce(F.sum("rows").over(upto.orderBy("part")), F.lit(0)).alias("start"))
+    before = upto.partitionBy("part").orderBy(*[F.col(c).asc_nulls_first() for c in piece])
+    offsets = sizes.join(parts, "part").select(
+        *[F.col(c).alias(f"{c}_of") for c in piece],
+        (F.col("start") + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("__feistel_offset"))
+    offsets = stored(offsets, "shard-offsets")
     match = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in piece]
-    within = F.row_number().over(Window.partitionBy(*piece).orderBy("__feistel_hash", *by))
+    within = F.row_number().over(Window.partitionBy(*piece).orderBy("__feistel_hash", *values))
     return (keyed.withColumn("__feistel_within", within)
-            .join(F.broadcast(offsets), match[0] & match[1] & match[2])
+            .join(offsets, match[0] & match[1] & match[2])
             .select(*[F.col(f"`{c}`") for c in df.columns if c != name],
                     (F.col("__feistel_offset") + F.col("__feistel_within") - 1).cast("long").alias(name)))
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column that can be hashed and ordered; one that holds maps by its JSON text."""
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column)) if "map<" in df.schema[name].dataType.simpleString() else column
+
+
 def sharded(df: DataFrame, shards: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
     """``df`` with ``shard`` (int, 0 to shards - 1) and ``slot`` (long, gapless from
     0 in each shard); columns of these names are replaced.
