@@ -102,3 +102,8 @@ def test_one_row_of_each_group_stays(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
     kept = sorted((r.doc_id, r.text, r.digest) for r in S.one_per_group(df).collect())
     assert kept == sorted([(1, "a b c d e", "x"), (3, "other words entirely here now", "x"), (4, None, "x")])
+
+
+def test_callers_digest_column_stays(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5), (2, "a b c d", 6)], "doc_id long, text string, __digest int")
+    assert [tuple(r) for r in S.one_per_group(df).select("doc_id", "__digest").collect()] == [(1, 5)]

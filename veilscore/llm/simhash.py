@@ -259,6 +259,9 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = stored(least.join(_groups(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
                    .select(F.col("first.doc_id").alias("__head_id"),
                            F.col("first.digest").alias("__head_digest")), "simhash-heads")
-    rows = docs.withColumn("__digest", F.xxhash64(id_col, text_col))
-    here = F.col(id_col).eqNullSafe(F.col("__head_id")) & (F.col("__digest") == F.col("__head_digest"))
-    return rows.join(heads, here, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    mark = "__digest"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.xxhash64(id_col, text_col))
+    here = F.col(id_col).eqNullSafe(F.col("__head_id")) & (F.col(mark) == F.col("__head_digest"))
+    return rows.join(heads, here, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
