@@ -9,9 +9,9 @@ score grows with tf and falls with m, these bound the score of every document
 below.  Per item the tree is searched depth first, the child with the highest bound
 first; a subtree whose bound cannot reach the item's current last place is left out.
 
-Spark sorts the vectors by range exchange on (term sequence, id), so a tree never
-needs more than its own run of documents: a task cuts its sorted rows into trees of
-bounded size and keeps the best documents of every item from tree to tree.  The
+Spark sorts the vectors by range exchange on the first terms, the hash of the whole
+sequence and the id (so no sequence is too hot for a range), and by sequence within a
+range: a task cuts its sorted rows into trees of bounded size and keeps the best documents of every item from tree to tree.  The
 best of all tasks are merged by a ranked window with a limit before the exchange.
 All weights and scores are integers, so bounds and results are exact.
 
@@ -47,6 +47,8 @@ BLOCK_BYTES = 4 << 20
 LEAF = 64
 TREE_CELLS = 1 << 21
 TREE_DOCS = 1 << 15
+#: Leading terms that decide a document's range.
+RANGE_TERMS = 8
 
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[0x30:0x3A] = _IS_TERM[0x41:0x5B] = _IS_TERM[0x61:0x7B] = True
@@ -389,7 +391,9 @@ def _block(texts: DataFrame, items: DataFrame, top: int) -> DataFrame:
     paths = stored(vectors.where(F.length("terms") > 0).mapInArrow(
         _paths(rank, total, max(length, 1)), f"doc_id {id_type}, path binary, tfs binary, m long"), "search-paths")
     searched = spark.sparkContext.broadcast((vocab.n, wanted))
-    best = stored(paths.repartitionByRange("path", "doc_id").sortWithinPartitions("path", "doc_id")
+    # Ranges by the first terms only: sampled bounds stay small, however long the vectors.
+    begin = F.substring("path", 1, 4 * RANGE_TERMS)
+    best = stored(paths.repartitionByRange(begin, F.xxhash64("path"), "doc_id").sortWithinPartitions("path", "doc_id")
                   .mapInArrow(_search(searched, top), f"item int, doc_id {id_type}, score long"), "search-best")
     released(vectors, paths)
     place = Window.partitionBy("at").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
