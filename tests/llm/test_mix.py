@@ -83,3 +83,18 @@ def test_documents_keep_their_columns(spark):
 @pytest.mark.parametrize("make", [M.mixed, M.mixed_documents])
 def test_empty_table(spark, make):
     assert make(spark.createDataFrame([], SCHEMA), mix_levels(), MIX_WEIGHTS).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_ends_are_found_digit_by_digit(spark, monkeypatch, most):
+    """One leaf with all rows, few of which may be sorted: rounds go on, also to the
+    last digit where many rows share one id."""
+    monkeypatch.setattr(M, "SORTED_ROWS", most)
+    many = [(i if i < 200 else 7, "w w w", "en", "src1", "e") for i in range(300)]
+    df = spark.createDataFrame(many, SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([dict(zip(df.columns, r)) for r in many]))
+    same_as_sql(spark, df, con)
+    levels = {"lang": F.col("lang")}
+    got = M.mixed(df, levels, [{}], total=301, max_epochs=2, seed=3).agg(F.sum("taken")).first()[0]
+    assert got == 301

@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 NONE = "(none)"
-#: Hexadecimal digits of the order key that are counted before sorting.
-PREFIX_DIGITS = 3
+#: Hexadecimal digits of the order key that are counted per round, all of them, and
+#: the most rows of a leaf that are sorted.
+ROUND_DIGITS = 2
+KEY_DIGITS = 32
+SORTED_ROWS = 1 << 16
 WORDS = r"[^ \t-\r]+"
 
 
@@ -111,15 +114,21 @@ def prefix_ends(rows: DataFrame, levels: Sequence[str], weights: Sequence[Mappin
         "mix-plan")
     cut = planned.filter("left > 0").select(*levels, "epochs", "left")
     keyed = (rows.join(cut, levels)
-             .withColumn("key", order_key(id_col, F.col("epochs"), seed))
-             .withColumn("digits", F.substring("key", 1, PREFIX_DIGITS)))
+             .withColumn("key", order_key(id_col, F.col("epochs"), seed)))
     earlier = Window.partitionBy(*levels).orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (keyed.groupBy(*levels, "left", "digits").agg(F.sum("tokens").alias("sum"))
-               .withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
-               .filter("sum > 0 and before < left and before + sum >= left")
-               .select(*levels, "digits", "before"))
-    groups = (keyed.join(stored(buckets, "mix-buckets"), [*levels, "digits"])
-              .groupBy(*levels, "left", "before", "key").agg(F.sum("tokens").alias("size")))
+    near, depth, largest = keyed.withColumn("before", F.lit(0).cast("long")), 0, None
+    while largest is None or (largest > SORTED_ROWS and depth < KEY_DIGITS):
+        depth += ROUND_DIGITS
+        buckets = (near.withColumn("digits", F.substring("key", 1, depth)).groupBy(*levels, "left", "before", "digits")
+                   .agg(F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("rows"))
+                   .withColumn("before", F.col("before") + F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+                   .filter("sum > 0 and before < left and before + sum >= left")
+                   .select(*levels, "digits", "before", "rows"))
+        buckets = stored(buckets, "mix-buckets")
+        largest = buckets.agg(F.max("rows")).first()[0] or 0
+        near = (keyed.withColumn("digits", F.substring("key", 1, depth))
+                .join(buckets.drop("rows"), [*levels, "digits"]).drop("digits"))
+    groups = near.groupBy(*levels, "left", "before", "key").agg(F.sum("tokens").alias("size"))
     inner = Window.partitionBy(*levels).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     ends = (groups.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
             .filter("size > 0 and start < left and start + size >= left")
