@@ -174,18 +174,23 @@ def exact_medians(long_df: DataFrame, group_col: str = "feature", value_col: str
     goals = written(start.select("_g", "n", "lo", "hi", F.lit(0).cast("long").alias("below"),
                                  F.posexplode(ranks).alias("side", "rank")), "median")
     while goals.where("lo < hi").limit(1).count():
-        open_ = goals.where("lo < hi")
+        # A bracket that both ranks share is read and counted once.
+        open_ = goals.where("lo < hi").select("_g", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
         # Halves first: the difference of two doubles may not be one.
-        share = (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        bin_ = F.when(F.col("_x") == F.col("lo"), 0).when(F.col("_x") == F.col("hi"), bins - 1).otherwise(
+        share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_ = F.when(F.col("_x") == F.col("_lo"), 0).when(F.col("_x") == F.col("_hi"), bins - 1).otherwise(
             F.least(F.greatest(F.floor(F.nanvl(share, F.lit(0.5)) * bins), F.lit(0)), F.lit(bins - 1)))
-        counted = (clean.join(open_, "_g").where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
-                   .groupBy("_g", "side", "n", "rank", "below", bin_.alias("bin"))
-                   .agg(F.count(F.lit(1)).alias("k"), F.min("_x").alias("lo"), F.max("_x").alias("hi")))
-        upto = F.sum("k").over(Window.partitionBy("_g", "side").orderBy("bin"))
-        found = (counted.withColumn("upto", F.col("below") + upto)
-                 .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))
-                 .select("_g", "n", "lo", "hi", (F.col("upto") - F.col("k")).alias("below"), "side", "rank"))
+        upto = F.sum("k").over(Window.partitionBy("_g", "_lo", "_hi").orderBy("bin"))
+        counted = (clean.join(open_, "_g").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+                   .groupBy("_g", "_lo", "_hi", bin_.alias("bin"))
+                   .agg(F.count(F.lit(1)).alias("k"), F.min("_x").alias("least"), F.max("_x").alias("most"))
+                   .withColumn("upto", upto).withColumnRenamed("_g", "_b"))
+        held = goals.where("lo < hi").join(counted, F.col("_g").eqNullSafe(F.col("_b")) & (F.col("lo") == F.col("_lo"))
+                                           & (F.col("hi") == F.col("_hi")))
+        last = F.col("below") + F.col("upto")
+        found = (held.where((last >= F.col("rank")) & (last - F.col("k") < F.col("rank")))
+                 .select("_g", "n", F.col("least").alias("lo"), F.col("most").alias("hi"),
+                         (last - F.col("k")).alias("below"), "side", "rank"))
         goals = written(goals.where("lo = hi").unionByName(found), "median")
     return goals.groupBy(F.col("_g").alias(group_col)).agg(
         ((F.min("lo") + F.max("lo")) / 2.0).alias("median"), F.first("n").alias("n"))
