@@ -3,7 +3,8 @@
 Integer scoring (P1) and the server step of sealed scoring (E2) are per-row
 column expressions with no state, so the same plans run unchanged on
 ``readStream``; progress and exactly-once file output come from the query's
-checkpoint location (in the cluster's shared checkpoint folder).
+checkpoint location, which the caller names on shared storage and keeps: a restart
+goes on from it.
 """
 
 from __future__ import annotations
@@ -16,21 +17,19 @@ from pyspark.sql.types import StructType
 
 from ..operators import score as S
 from ..operators import seal as E
-from ..session import scratch_path
 from ..sources.model import LinearModel
 
 
-def _sink(df: DataFrame, sink_path: str, checkpoint: str | None, available_now: bool) -> StreamingQuery:
-    spark = df.sparkSession
+def _sink(df: DataFrame, sink_path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
     w = df.writeStream.format("parquet").outputMode("append") \
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
+        .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start(sink_path)
 
 
 def score_stream(spark: SparkSession, source_path: str, schema: StructType, model: LinearModel,
                  to_features: Callable[[DataFrame], DataFrame], id_col: str, sink_path: str,
-                 checkpoint: str | None = None, available_now: bool = True,
+                 checkpoint: str, available_now: bool = True,
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Parquet files arriving in ``source_path`` → ``(id, score)`` Parquet files."""
     reader = spark.readStream.schema(schema)
@@ -43,7 +42,7 @@ def score_stream(spark: SparkSession, source_path: str, schema: StructType, mode
 
 def sealed_score_stream(spark: SparkSession, source_path: str, schema: StructType,
                         model: LinearModel, id_col: str, sink_path: str,
-                        checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                        checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Sealed rows ``(id, key_id, c)`` → sealed scores; no key material is read."""
     sealed = spark.readStream.schema(schema).parquet(source_path)
     return _sink(E.score_sealed(sealed, model, id_col), sink_path, checkpoint, available_now)
@@ -51,7 +50,7 @@ def sealed_score_stream(spark: SparkSession, source_path: str, schema: StructTyp
 
 def seal_stream(spark: SparkSession, source_path: str, schema: StructType, keyring: DataFrame,
                 to_features: Callable[[DataFrame], DataFrame], id_col: str, width: int,
-                sink_path: str, checkpoint: str | None = None,
+                sink_path: str, checkpoint: str,
                 available_now: bool = True) -> StreamingQuery:
     """E1/E6 on a stream: rows arriving as Parquet files are sealed (stream–static
     join with the broadcast keyring) and written as sealed Parquet files."""
