@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veilscore.operators import metrics as M
 
@@ -83,3 +84,19 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "label int, score double")
     a = M.areas(M.curve_points(df)).first()
     assert a["average_precision"] is None and a["n_pos"] == 0
+
+
+def test_merged_states_equal_the_union(spark, tmp_out):
+    """Parts with shared scores, an empty part, a part put twice and one replaced."""
+    from veilscore.operators import metric_state
+    rows = [(i, i % 13 / 13, int(i * 7 % 5 == 0), i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, score double, label int, part int")
+    path = f"{tmp_out}/state"
+    metric_state.put(df.limit(50), path, "p0")
+    for part in (0, 1, 2, 1):
+        metric_state.put(df.where(F.col("part") == part), path, f"p{part}")
+    metric_state.put(df.limit(0), path, "none")
+    got = M.metric_summary(metric_state.curve_points(spark, path)).first()
+    assert got == M.metric_summary(M.curve_points(df)).first()
+    with pytest.raises(ValueError):
+        metric_state.put(df, path, "../x")

@@ -38,11 +38,21 @@ def curve_points(scored: DataFrame, label_col: str = "label", score_col: str = "
     reported threshold (``threshold_col`` evaluated on the score's rows, default
     the score itself) and ``n_pos``/``n_neg`` are the class totals.
     """
+    return cumulated(score_counts(scored, label_col, score_col, threshold_col))
+
+
+def score_counts(scored: DataFrame, label_col: str = "label", score_col: str = "score",
+                 threshold_col: Column | str | None = None) -> DataFrame:
+    """``(score, pos, neg, thr)`` per distinct score."""
     thr = _col(threshold_col) if threshold_col is not None else F.col(score_col)
     y = F.col(label_col).cast("long")
-    d = scored.groupBy(F.col(score_col).alias("score")).agg(
+    return scored.groupBy(F.col(score_col).alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"), F.max(thr).alias("thr"))
-    rt = running_totals(d, [F.col("score").desc()], [], {"tp": "pos", "fp": "neg"}, count_col=None)
+
+
+def cumulated(counts: DataFrame) -> DataFrame:
+    """Curve points from :func:`score_counts`."""
+    rt = running_totals(counts, [F.col("score").desc()], [], {"tp": "pos", "fp": "neg"}, count_col=None)
     # Class totals: a one-row aggregate over the checkpointed points (two numbers).
     t = rt.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     return rt.withColumn("n_pos", F.lit(int(t["p"] or 0)).cast("long")) \

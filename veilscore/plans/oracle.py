@@ -459,3 +459,5 @@ SQL = {
 }
 SQL["artifact_roundtrip"] = SQL["prepare_e2e"]
 SQL["metadata_json"] = SQL["dataset_metadata"]
+
+SQL["merged_metrics"] = SQL["metric_summary"]

@@ -483,6 +483,19 @@ def metric_summary(spark, sf):
     return M.round_all(M.metric_summary(_lineitem_points(spark, sf)))
 
 
+def merged_metrics(spark, sf):
+    """M6 from states: `lineitem` scored and stored part by part (line numbers), one
+    part put twice; the metrics of the merged states are those of the whole table."""
+    from ..operators import metric_state
+    m = I.lineitem_model()
+    s = S.with_probability(S.score_array(I.lineitem_features(spark, sf), m, keep=["label", "l_linenumber"]), m)
+    path = scratch_path(spark, "metric-state")
+    parts = sorted(r[0] for r in s.select("l_linenumber").distinct().collect())
+    for part in [*parts, parts[0]]:
+        metric_state.put(s.where(F.col("l_linenumber") == part), path, f"line{part}", threshold_col="prob")
+    return M.round_all(M.metric_summary(metric_state.curve_points(spark, path, "long")))
+
+
 def _direction_points(spark, sf):
     """Curve points of the class-mean-direction model (Q2 weights, fitted on the
     embeddings) scored on the same rows; label = (label = 0)."""
@@ -814,6 +827,7 @@ QUERIES = {
     "threshold_at_precision": threshold_at_precision,
     "threshold_smoke": threshold_smoke,
     "metric_summary": metric_summary,
+    "merged_metrics": merged_metrics,
     "threshold_qualifying": threshold_qualifying,
     "average_precision_direction": average_precision_direction,
     "stratified_split": stratified_split,
