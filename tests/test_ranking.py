@@ -169,3 +169,32 @@ def test_keys_at_ranks_narrows_digit_by_digit(spark, monkeypatch, limit):
     for g, wanted in ranks.items():
         own = sorted(((h, i) for x, i, h in rows if x == g), key=lambda k: (k[0] is not None, k[0] or "", k[1]))
         assert [got[g, r] for r in wanted] == [own[r - 1] for r in wanted]
+
+
+def test_column_medians_match_numpy(spark):
+    from veilscore.operators.impute import fit_median_imputer
+    from veilscore.operators.ranking import column_medians
+    rng = np.random.default_rng(5)
+    n = 20_000
+    cols = {"u": rng.random(n), "ties": rng.integers(0, 3, n).astype(float), "one": np.full(n, 7.0),
+            "heavy": np.where(rng.random(n) < 0.4, 1.0, rng.normal(size=n)), "tail": np.exp(rng.normal(size=n) * 20)}
+    pdf = pd.DataFrame(cols)
+    pdf["inf"] = np.where(np.arange(n) % 2 == 0, np.inf, 1.0)
+    pdf.loc[::3, "u"] = np.nan
+    pdf["none"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(8)
+    names = list(pdf.columns)
+    want = {c: float(np.median(pdf[c].dropna())) for c in names if c != "none"}
+    assert column_medians(df, names) == (want, [])
+    # A bracket that misses (here to one side) is found out and counted bin by bin.
+    got, missed = column_medians(df, names, margin=-200)
+    assert "u" in missed and all(got[c] == want[c] for c in got)
+    fit = fit_median_imputer(df, names)
+    assert fit.medians == want and fit.dropped == ["none"]
+
+
+def test_column_medians_small_and_empty(spark):
+    from veilscore.operators.ranking import column_medians
+    df = spark.createDataFrame([(1.0, None), (2.0, 5.0), (float("nan"), None)], "`a.b` double, c double")
+    assert column_medians(df, ["a.b", "c"]) == ({"a.b": 1.5, "c": 5.0}, [])
+    assert column_medians(df.where("false"), ["a.b", "c"]) == ({}, [])

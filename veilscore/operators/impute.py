@@ -2,7 +2,7 @@
 
 Fit = aggregation (one value per column), apply = projection.  The median is
 exact (mean of the two middle values) and distributed — see
-:func:`veilscore.operators.ranking.exact_medians`; ``pyspark.ml.Imputer`` and
+:func:`veilscore.operators.ranking.column_medians`; ``pyspark.ml.Imputer`` and
 ``F.median`` are not used (the first returns an existing element, the second
 counts NaN as the largest value and keeps a whole column in one buffer).
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import exact_medians
+from .ranking import column_medians, exact_medians
 
 
 def _nan_to_null(df: DataFrame, c: str) -> Column:
@@ -56,13 +56,15 @@ class MedianImputer:
 
 
 def fit_median_imputer(df: DataFrame, cols: Sequence[str]) -> MedianImputer:
-    """F1 fit: one distributed job for all columns; the result (one double per
-    column) is the only thing that reaches the driver."""
+    """F1 fit: two scans for all columns; a few numbers per column are all that
+    reaches the driver.  A column whose bracket missed is counted bin by bin."""
     cols = list(cols)
     if not cols:
         return MedianImputer({}, [])
-    med = exact_medians(to_long_form(df, cols)).select("feature", "median").collect()
-    got = {r["feature"]: float(r["median"]) for r in med}
+    got, missed = column_medians(df, cols)
+    if missed:
+        med = exact_medians(to_long_form(df, missed)).select("feature", "median").collect()
+        got.update({r["feature"]: float(r["median"]) for r in med})
     return MedianImputer({c: got[c] for c in cols if c in got}, [c for c in cols if c not in got])
 
 

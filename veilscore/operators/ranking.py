@@ -11,6 +11,9 @@ all rows, so ranks, cumulative sums and k-th values are computed like this:
   back by their size;
 * :func:`exact_medians` — counts per (feature, bin) with map-side combine, the bin
   that holds the middle rank is refined until one value is left;
+* :func:`column_medians` — the same for the columns of a wide table in two scans: a
+  mergeable sketch per column brackets both middle ranks, an exact count checks the
+  bracket, and only values inside it are shuffled;
 * :func:`keys_at_ranks` — counts per (group, leading digits) narrow the digits that
   hold the wanted ranks, round by round, until few rows are left to order.
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +36,10 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 #: Bins per refinement round of :func:`exact_medians`.
 BINS = 4096
+#: :func:`column_medians`: sketches err by at most 1/ACCURACY of the ranks; the bracket
+#: reaches MARGIN times that to either side of the middle.
+ACCURACY = 1000
+MARGIN = 2
 #: :func:`keys_at_ranks`: digits read per round, most digits, most rows ordered by a task.
 DIGITS = 2
 MAX_DIGITS = 32
@@ -196,6 +204,72 @@ def exact_medians(long_df: DataFrame, group_col: str = "feature", value_col: str
         ((F.min("lo") + F.max("lo")) / 2.0).alias("median"), F.first("n").alias("n"))
 
 
+def _bracket_counts(brackets: Sequence[tuple[float, float]]):
+    """mapInArrow function: columns of doubles -> ``(feature, value, k)``: how often each
+    value inside the column's bracket occurs, and (null value) how many lie below."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feature, value, k = [], [], []
+            for i, (low, high) in enumerate(brackets):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                inside, times = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                below = int((x < low).sum())
+                feature.append(np.full(len(inside) + 1, i, np.int32))
+                value += [pa.array(inside, pa.float64()), pa.nulls(1, pa.float64())]
+                k += [times, [below]]
+            if feature:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(feature)), pa.concat_arrays(value),
+                     pa.array(np.concatenate(k).astype(np.int64))], ["feature", "value", "k"])
+    return run
+
+
+def column_medians(df: DataFrame, cols: Sequence[str],
+                   margin: float | None = None) -> tuple[dict[str, float], list[str]]:
+    """Exact medians (mean of the two middle values; NaN and null skipped) of many columns
+    in two scans of ``df``.
+
+    Scan 1 merges one quantile sketch per column; its values at the middle, less and plus
+    ``margin`` sketch errors, bracket both middle ranks.  Scan 2 counts the values below
+    each bracket and the distinct values inside it; the latter, a few thousandths of the
+    table unless they repeat, are the only ones shuffled and ranked.
+
+    Returns the medians and the columns whose bracket the exact counts refute (none, as
+    long as sketches keep their error bound); columns without a valid value are in neither.
+    """
+    reach = (MARGIN if margin is None else margin) / ACCURACY
+    spark = df.sparkSession
+    raw = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    x = raw.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in raw.columns])
+    ends = F.array(F.lit(0.5 - reach), F.lit(0.5 + reach))
+    sketch = x.agg(*[F.count(c).alias(f"n{c}") for c in x.columns],
+                   *[F.percentile_approx(c, ends, ACCURACY).alias(f"b{c}") for c in x.columns]).first()
+    used = [c for c in x.columns if sketch[f"n{c}"]]
+    if not used:
+        return {}, []
+    counted = written(x.select(*used).mapInArrow(_bracket_counts([tuple(sketch[f"b{c}"]) for c in used]),
+                                                 "feature int, value double, k long")
+                      .groupBy("feature", "value").agg(F.sum("k").alias("k")), "brackets")
+    around = counted.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("k"))), F.lit(0)).alias("inside")).collect()
+    goals, missed = [], []
+    for r in around:
+        n = sketch[f"n{used[r['feature']]}"]
+        first, second = (n + 1) // 2 - r["below"], n // 2 + 1 - r["below"]
+        if first >= 1 and second <= r["inside"]:
+            goals.append((r["feature"], first, second))
+        else:
+            missed.append(cols[int(used[r["feature"]][1:])])
+    wanted = spark.createDataFrame(goals, "goal int, first long, second long")
+    ranked = running_totals(counted.where("value is not null"), ["value"], ["feature"], {"upto": "k"}, None)
+    middles = ranked.join(wanted, F.col("feature") == F.col("goal")).groupBy("feature").agg(
+        F.min(F.when(F.col("upto") >= F.col("first"), F.col("value"))).alias("a"),
+        F.min(F.when(F.col("upto") >= F.col("second"), F.col("value"))).alias("b"))
+    found = middles.select("feature", ((F.col("a") + F.col("b")) / 2.0).alias("median")).collect()
+    return {cols[int(used[r["feature"]][1:])]: float(r["median"]) for r in found}, missed
+
+
 def keys_at_ranks(df: DataFrame, group_col: str, order: Sequence[Column],
                   targets: Mapping[object, Sequence[int]], prefix: Column | None = None) -> DataFrame:
     """Exact order statistics: for each group and each requested 1-based rank,
