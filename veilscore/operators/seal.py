@@ -35,7 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import width_guard
+from ..session import path_exists
 from ..sources.model import LinearModel
+from ..sources.publish import begin, commit, manifest
 from .project import batch_slices
 
 MASK_BITS = 48
@@ -238,6 +240,41 @@ def sealed_batches(df: DataFrame, keyring: DataFrame, id_col: str, batch_size: i
     return seal(b, keyring, id_col, x_col, width, keep=["batch_id"])
 
 
+def rekey(sealed: DataFrame, old: DataFrame, new: DataFrame, id_col: str, width: int,
+          keep: Sequence[str] = (), c_col: str = "c", key_col: Column | str | None = None) -> DataFrame:
+    """Sealed rows moved to another keyring in one pass, without opening them:
+    ``c' = (c + (r_new - r_old)) mod 2^48`` under a new salt.  The difference of the two
+    masks is taken first, so no plain value is ever formed.  Neither keyring alone opens
+    both versions.  A commitment or tag is bound to its key: seal or tag again for those.
+    Rows whose key is not in ``old`` are an error."""
+    ring = old.select(*KEY_COLUMNS)
+    j = sealed.select(id_col, "key_id", "salt", *keep, F.col(c_col).alias("c")).join(_sized(ring)[0], "key_id", "left")
+    known = F.when(F.col("k_ipad").isNotNull(), _masks(F.col(id_col), width)).otherwise(
+        F.raise_error(F.lit("a sealed row has a key that is not in the old keyring")))
+    marked = j.select(id_col, *keep, "c", known.alias("_gone")).withColumn("salt", F.expr("uuid()"))
+    k = _with_keys(marked, new, id_col, key_col)
+    move = F.zip_with(_masks(F.col(id_col), width), "_gone", lambda a, b: a - b)
+    moved = F.zip_with("c", move, lambda c, m: F.pmod(c + m, F.lit(MODULUS)))
+    return k.select(id_col, "key_id", "salt", *keep, F.slice(moved, 1, F.size("c")).alias("c"))
+
+
+def register_keys(keyring: DataFrame, path: str) -> None:
+    """Enter every (key, nonce) of a keyring into the register at ``path`` (hashes only);
+    a pair that is there already, or twice in the keyring, is an error and enters nothing.
+    Call it before sealing, one writer at a time."""
+    spark = keyring.sparkSession
+    mark = F.sha2(F.concat(F.col("k_ipad"), F.encode(F.concat(F.lit("|"), F.col("nonce")), "UTF-8")), 256)
+    marks = _sized(keyring.select("key_id", mark.alias("mark")))[0]
+    known = marks.select("key_id", "mark")
+    again = known.groupBy("mark").agg(F.min("key_id").alias("key_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    if path_exists(spark, path):
+        again = again.select("key_id").unionByName(known.join(spark.read.parquet(path).select("mark"), "mark", "left_semi").select("key_id"))
+    bad = again.select("key_id").first()
+    if bad is not None:
+        raise ValueError(f"key {bad[0]} has been used with this nonce before")
+    marks.select("mark").write.mode("append").parquet(path)
+
+
 #: Batches per directory of the sealed layout.
 BATCHES_PER_GROUP = 1024
 
@@ -252,5 +289,38 @@ def write_sealed_batches(sealed: DataFrame, path: str) -> int:
     grouped = sealed.withColumn("batch_group", F.expr(f"batch_id div {BATCHES_PER_GROUP}"))
     grouped.repartitionByRange("batch_group", "batch_id").sortWithinPartitions("batch_group", "batch_id") \
         .write.mode("overwrite").partitionBy("batch_group").parquet(path)
-    written = sealed.sparkSession.read.parquet(path)
+    written = sealed.sparkSession.read.schema(grouped.schema).parquet(path)
     return int(written.agg(F.max("batch_id")).first()[0] or 0)
+
+
+def append_sealed_batches(df: DataFrame, keyring: DataFrame, id_col: str, batch_size: int, width: int,
+                          path: str, epoch: int | str, x_col: str = "x") -> int:
+    """Seal new rows and append them to the sealed set at ``path``; their batch
+    ids go on where the last epoch ended (its last batch stays as it is, even if short).
+    Returns the number of batches added.
+
+    The epoch's rows are written first; they count once a manifest row with the epoch,
+    its first batch and its number of batches is written.  An epoch that counts already
+    adds nothing, and one that stopped half-way is written anew, so a replay is harmless.
+    One writer at a time."""
+    spark, key = df.sparkSession, str(epoch)
+    rows = manifest(spark, path)
+    if rows.where(F.col("key") == key).limit(1).count():
+        return 0
+    done = int(rows.agg(F.max(F.col("first") + F.col("size"))).first()[0] or 1)
+    sealed = sealed_batches(df, keyring, id_col, batch_size, width, x_col)
+    version, folder = begin(spark, path)
+    shifted = sealed.withColumn("batch_id", F.col("batch_id") + (done - 1))
+    last = write_sealed_batches(shifted, f"{path.rstrip('/')}/{folder}/batches")
+    added = max(last - (done - 1), 0)
+    commit(spark, path, version, folder, ["batches"], key, done, added)
+    return added
+
+
+def read_appended_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The sealed rows of every epoch that counts, with their ``batch_id``."""
+    folders = [r[0] for r in manifest(spark, path).where("size > 0").select("folder").collect()]
+    if not folders:
+        raise FileNotFoundError(f"no sealed batches below {path}")
+    parts = [f"{path.rstrip('/')}/{f}/batches" for f in folders]
+    return spark.read.parquet(*[f"{part}/batch_group=*" for part in parts])

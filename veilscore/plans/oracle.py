@@ -380,6 +380,13 @@ SQL = {
     "encrypted_batches": """SELECT batch_id, count(*) AS n_rows FROM (
         SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 256) AS BIGINT) + 1 AS batch_id
         FROM orders) GROUP BY batch_id""",
+    "appended_batches": """WITH placed AS (
+          SELECT o_orderkey % 3 AS part, CAST(floor((row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1) / 256)
+                 AS BIGINT) + 1 AS batch FROM orders),
+        runs AS (SELECT part, max(batch) AS n FROM placed GROUP BY part)
+        SELECT batch + coalesce((SELECT CAST(sum(n) AS BIGINT) FROM runs r WHERE r.part < p.part), 0) AS batch_id, count(*) AS n_rows
+        FROM placed p GROUP BY 1""",
+    "rekeyed_score_opened": f"{EMB} SELECT vec_id, score FROM emb_score",
     "verify_scores": "SELECT count(*) AS n_rows, count(*) AS n_match, 'PASS' AS status FROM embeddings",
     "validation_pyramid": """WITH n AS (SELECT count(*) AS n FROM embeddings)
         SELECT 'SANITY' AS category, 'I/O Pipeline Check' AS description, CAST(5 AS BIGINT) AS features,

@@ -19,6 +19,7 @@ from ..operators.impute import MedianImputer, fit_median_imputer, impute_constan
 from ..operators.join import left_join
 from ..operators.project import column_roles, label_int
 from ..operators.scale import StandardScalerFit, fit_standard_scaler
+from ..sources.publish import latest, publish
 
 
 @dataclass
@@ -65,28 +66,26 @@ class FittedPrep:
                 "encoder": self.encoder.codes}
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Parameter tables + a one-row spec, as Parquet under ``path``."""
-        base = path.rstrip("/")
-        for name, df in self.parameter_frames(spark).items():
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        """Parameter tables and a one-row spec, published as one version below
+        ``path``: a save that stops half-way leaves the earlier version in place."""
         spec = spark.createDataFrame(
             [(self.id_col, self.label_col, self.numeric, self.categorical, self.fill)],
             "id_col string, label_col string, numeric array<string>, "
             "categorical array<string>, fill string")
-        spec.write.mode("overwrite").parquet(f"{base}/spec")
+        publish({**self.parameter_frames(spark), "spec": spec}, path, spark)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FittedPrep":
-        """Read what :meth:`save` wrote; parameters are one row per feature or
-        category (the code table stays a DataFrame)."""
-        base = path.rstrip("/")
-        spec = spark.read.parquet(f"{base}/spec").first()
-        imp_rows = spark.read.parquet(f"{base}/imputer").collect()
+        """Read the newest version that :meth:`save` finished; parameters are one row per
+        feature or category (the code table stays a DataFrame)."""
+        at = latest(spark, path)
+        spec = spark.read.parquet(at["spec"]).first()
+        imp_rows = spark.read.parquet(at["imputer"]).collect()
         imputer = MedianImputer({r["feature"]: r["value"] for r in imp_rows if r["kind"] == "median"},
                                 [r["feature"] for r in imp_rows if r["kind"] == "dropped"])
         scaler = StandardScalerFit({r["feature"]: (r["mean"], r["std"])
-                                    for r in spark.read.parquet(f"{base}/scaler").collect()})
-        encoder = OrdinalEncoder(spark.read.parquet(f"{base}/encoder"), list(spec["categorical"]))
+                                    for r in spark.read.parquet(at["scaler"]).collect()})
+        encoder = OrdinalEncoder(spark.read.parquet(at["encoder"]), list(spec["categorical"]))
         return cls(spec["id_col"], spec["label_col"], list(spec["numeric"]), list(spec["categorical"]),
                    imputer, scaler, encoder, spec["fill"])
 

@@ -417,6 +417,30 @@ def encrypted_batches(spark, sf):
     return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def appended_batches(spark, sf):
+    """Orders sealed in three runs by key, the second one twice (a replay); batch
+    ids go on from run to run; rows per batch read back from storage."""
+    ring = E.new_keyring(spark)
+    rows = I.orders_features(spark, sf)
+    path = scratch_path(spark, "appended")
+    for part in (0, 1, 1, 2):
+        mine = rows.where(F.pmod(F.col("o_orderkey"), F.lit(3)) == part)
+        E.append_sealed_batches(mine, ring, "o_orderkey", 256, 3, path, part)
+    return E.read_appended_batches(spark, path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def rekeyed_score_opened(spark, sf):
+    """Embeddings sealed, moved to a fresh keyring without opening, scored and opened
+    with the new keys; equals the plain score.  Both keyrings go through the register."""
+    m, ring, _, sealed = _sealed_embeddings(spark, sf)
+    fresh = E.new_keyring(spark, ("n0", "n1", "n2"))
+    register = scratch_path(spark, "key-register")
+    for keys in (ring, fresh):
+        E.register_keys(keys, register)
+    moved = E.rekey(sealed, ring, fresh, "vec_id", m.feature_count)
+    return E.open_scores(E.score_sealed(moved, m, "vec_id"), fresh, m, "vec_id")
+
+
 def verify_scores(spark, sf):
     """V2/V3: every opened sealed score vs the plain formula (via the keyed
     commitment made at sealing time); PASS iff all rows match."""
@@ -817,6 +841,8 @@ QUERIES = {
     "model_roundtrip": model_roundtrip,
     "run_log": run_log,
     "encrypted_batches": encrypted_batches,
+    "appended_batches": appended_batches,
+    "rekeyed_score_opened": rekeyed_score_opened,
     "verify_scores": verify_scores,
     "validation_pyramid": validation_pyramid,
     "validation_report": validation_report,

@@ -56,3 +56,23 @@ def seal_stream(spark: SparkSession, source_path: str, schema: StructType, keyri
     join with the broadcast keyring) and written as sealed Parquet files."""
     rows = to_features(spark.readStream.schema(schema).parquet(source_path))
     return _sink(E.seal(rows, keyring, id_col, width=width), sink_path, checkpoint, available_now)
+
+
+def append_sealed_stream(spark: SparkSession, source_path: str, schema: StructType, keyring: DataFrame,
+                         to_features: Callable[[DataFrame], DataFrame], id_col: str, width: int,
+                         batch_size: int, path: str, checkpoint: str, available_now: bool = True,
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """E6/S9 on a stream: every micro-batch is sealed and appended to the sealed set at
+    ``path``; batch ids go on from one to the next, and a micro-batch that is run again
+    after a failure (same epoch id) adds nothing.  One stream per ``path``."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+
+    def add(rows: DataFrame, epoch: int) -> None:
+        E.append_sealed_batches(rows, keyring, id_col, batch_size, width, path, epoch)
+
+    w = to_features(reader.parquet(source_path)).writeStream.foreachBatch(add) \
+        .option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
