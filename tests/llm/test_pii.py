@@ -155,3 +155,27 @@ def test_copies_are_no_evidence_and_mixed_contexts_discover_nothing(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == {}
+
+
+def test_pattern_keys_are_one_to_one():
+    def keys(before, after):
+        return set(P.patterns(f"{before} X {after}", len(before) + 1, len(before) + 2))
+    sides = ["a|b", "a", "|", "_", "a b", "b", "||", "a | b", "b|c", "c", "two a", "around"]
+    seen = {}
+    for before in sides:
+        for after in ["c", "b|c", "|", "_", "||"]:
+            for key in keys(before, after):
+                kind, *words = key.split(" ")
+                left = [w for w in before.split()]
+                want = {"around": [*left[-1:], after], "two": left[-2:], "three": left[-3:]}[kind]
+                assert words == want
+                assert seen.setdefault(key, (kind, words)) == (kind, words)
+
+
+def test_contexts_behind_many_blanks():
+    near = P.patterns("please call me at 5551234 now", 18, 25)
+    far = "please call" + " " * 500 + "me at" + "\n" * 300 + "5551234" + " " * 400 + "now"
+    at = far.index("5551234")
+    assert near and P.patterns(far, at, at + 7) == near
+    assert P.patterns("x" * 1000 + " 5", 1001, 1002) == [] or len(P.patterns("x" * 1000 + " 5", 1001, 1002)[0]) < 200
+    assert P.patterns("", 0, 0) == [] and P.patterns("   5", 3, 4) == []

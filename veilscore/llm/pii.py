@@ -159,23 +159,46 @@ def _word(token: str) -> str:
     return re.sub("[0-9]+", "0", token.strip(_EDGE).lower())
 
 
+def _words_before(text: str, at: int, n: int) -> list[str]:
+    """The last ``n`` words before a place, in text order: blanks are walked over,
+    however many; of the words at most CONTEXT_CHARS characters are read."""
+    out: list[str] = []
+    left = CONTEXT_CHARS
+    while len(out) < n and left:
+        while at and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at and left and not text[at - 1].isspace():
+            at, left = at - 1, left - 1
+        if at == end:
+            break
+        out.append(text[at:end])
+    return out[::-1]
+
+
+def _word_after(text: str, at: int) -> str:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    right = text[at:at + CONTEXT_CHARS].split(None, 1)
+    return right[0] if right else ""
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical contexts of a span: one word on either side, two and three before,
-    and a label with a colon or equals sign right before."""
-    before = text[max(0, start - CONTEXT_CHARS):start]
-    left = before.split()
-    right = text[end:end + CONTEXT_CHARS].split()
-    words = [w for w in (_word(t) for t in left[-4:]) if w]
-    after = _word(right[0]) if right else ""
+    and a label with a colon or equals sign right before.  A key is the kind of
+    context and its words; words hold no blanks, so no two contexts share a key."""
+    left = _words_before(text, start, 4)
+    words = [w for w in (_word(t) for t in left) if w]
+    after = _word(_word_after(text, end))
     out = []
     if words and after:
-        out.append(f"{words[-1]}|{after}")
+        out.append(f"around {words[-1]} {after}")
     if len(words) >= 2:
-        out.append(" ".join(words[-2:]) + "|")
+        out.append("two " + " ".join(words[-2:]))
     if len(words) >= 3:
-        out.append(" ".join(words[-3:]) + "|")
-    if words and left and left[-1].rstrip("\"'([").endswith((":", "=")):
-        out.append(f"{words[-1]}:|")
+        out.append("three " + " ".join(words[-3:]))
+    if words and left[-1].rstrip("\"'([").endswith((":", "=")):
+        out.append(f"label {words[-1]}")
     return out
 
 
