@@ -85,3 +85,28 @@ def test_query_matches_sql(spark):
         [c[0] for c in cur.description], cur.fetchall())
     assert got.filter("contaminated").count() > 0
     assert got.filter("n_items = 0").first().items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_shared_passage_of_many_items_and_documents(spark):
+    n = 400
+    passage = "the terms of use apply to every page shown here"
+    items = [(i, f"item{i} before{i} {passage} after{i} end{i}") for i in range(n)]
+    docs = [(i, f"doc{i} " + passage + f" tail{i}") for i in range(n)] + [(n, f"x before7 {passage} after7 y")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows, hits, classes = W._found(d, b, "doc_id", "text", "item_id", "text")
+    assert hits.count() <= 8 * n and classes.count() <= n + 1
+    everyone = sorted(str(i) for i in range(n))
+    got = {r.doc_id: r for r in W.contamination(d, b).collect()}
+    assert all(list(r["items"]) == everyone for r in got.values())
+    assert [got[0].n_hit, got[n].n_hit] == [10, 12]
+
+
+def test_clashing_names(spark):
+    names = ["row", "window", "met", "class", "items", "digest", "hits", "a.b"]
+    d = spark.createDataFrame([(1, "the secret answer", *names), (2, "clean", *names)],
+                              "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    b = spark.createDataFrame([(7, "the secret answer", "x")], "item_id long, text string, window string")
+    assert sorted((r.doc_id, r.n_hit) for r in W.contamination(d, b).collect()) == [(1, 3), (2, 0)]
+    left = W.decontaminated(d, b)
+    assert left.columns == d.columns and [tuple(r) for r in left.collect()] == [(2, "clean", *names)]

@@ -4,8 +4,9 @@ Of every run of ``w`` consecutive k-gram hashes the smallest one (the rightmost
 of equal ones) is a fingerprint.  Two texts that share ``k + w - 1`` words share
 a whole run, hence the same fingerprint at the same place in it: with k = 5 and
 spans of 10 words no shared span is missed.  Training and test fingerprints are
-joined on their hash, and each hit is extended word by word around its k-gram;
-it counts when the shared run around it reaches the span length.
+joined on their hash, each extended by the words around its k-gram to every span
+that holds it; a hit counts when a whole span is equal word by word, and equal
+spans that overlap or follow each other merge into the shared run.
 
 Items shorter than a span are one span each, so every item length below 10 that
 occurs gets a fingerprint class of its own, with ``k = min(5, length)``.
@@ -160,20 +161,37 @@ def _filter(prints: DataFrame) -> tuple[list[int], np.ndarray]:
     return sorted({int(s) for s in parts["span"]}), bits
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest, n_words, n_hit, items array<string>)``, one row per input row.
+def _windows(hits: DataFrame, outside: int) -> DataFrame:
+    """Every window of ``span`` words that holds a kept k-gram, inside one text:
+    ``window`` (its words) and ``lo`` (its first place) instead of ``at`` and ``words``."""
+    reach = F.col("span") - F.least(F.col("span"), F.lit(GRAM))
+    each = hits.withColumn("o", F.explode(F.sequence(F.lit(0), reach)))
+    lo = F.col("at") - reach + F.col("o")
+    keep = [c for c in hits.columns if c not in ("at", "words")]
+    return (each.select(*keep, lo.alias("lo"), F.slice("words", F.col("o") + 1, F.col("span")).alias("window"))
+            .where(~F.array_contains("window", F.lit(outside).cast("long"))))
 
-    A document word is hit when it lies in an occurrence of ten consecutive words
-    of an item, or of a whole shorter item.  ``items`` are the ids of the items
-    with such occurrences, as sorted distinct strings; an item without an id hits
-    words but is not listed.  ``digest`` is a hash of id and text by which rows of
-    one id can be told apart.  Null and blank texts and items have no words;
-    repeated rows and items change nothing; empty tables give no hits or no rows.
-    """
+
+def _owners(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(span, gram, window, class)``: distinct windows of the items, each with the class
+    of the items that hold it, and ``(class, items)``."""
+    held = stored(_windows(tests, 1).groupBy("span", "window").agg(
+        F.collect_set("gram").alias("grams"), F.sort_array(F.collect_set("item")).alias("items")), "winnow-held")
+    classes = stored(held.select("items").distinct().withColumn("class", F.monotonically_increasing_id()),
+                     "winnow-classes")
+    windows = held.join(classes, "items").select("span", F.explode("grams").alias("gram"), "window", "class")
+    return stored(windows, "winnow-windows"), classes
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
+           item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(row, doc_id, digest, n_words)``, its hits ``(row, lo, hi, class)`` and the classes.
+
+    Windows that several items share are one row on the test side, so documents and
+    items with a common passage meet in that row and not in pairs."""
     tests = stored(benchmark_fingerprints(benchmark, item_col, item_text_col), "winnow-tests")
     spans, bits = _filter(tests)
+    windows, classes = _owners(tests)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def known(span, gram, n_words):
@@ -186,12 +204,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = found.mapInArrow(_fingerprint_rows(spans, known, 0),
                              f"doc_id struct<doc_id:{kind},digest:long>, n_words long, hits array<{_HIT}>")
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "winnow-docs")
-    near = rows.select("row", F.inline("hits"))
-    runs_ = _extended(near.join(tests.select("item", "span", "gram", F.col("words").alias("test")),
-                                ["span", "gram"]))
-    per_row = _hit_words(runs_).join(
-        runs_.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items")), "row")
-    return rows.select("row", "doc_id.doc_id", "doc_id.digest", "n_words").join(per_row, "row", "left").select(
+    near = _windows(rows.select("row", F.inline("hits")), 0)
+    hits = near.join(windows, ["span", "gram", "window"]).select(
+        "row", "lo", (F.col("lo") + F.col("span")).alias("hi"), "class")
+    return (rows.select("row", "doc_id.doc_id", "doc_id.digest", "n_words"),
+            stored(hits, "winnow-hits"), classes)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
+                  text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text") -> DataFrame:
+    """``(doc_id, digest, n_words, n_hit, items array<string>)``, one row per input row.
+
+    A document word is hit when it lies in an occurrence of ten consecutive words
+    of an item, or of a whole shorter item.  ``items`` are the ids of the items
+    with such occurrences, as sorted distinct strings; an item without an id hits
+    words but is not listed.  ``digest`` is a hash of id and text by which rows of
+    one id can be told apart.  Null and blank texts and items have no words;
+    repeated rows and items change nothing; empty tables give no hits or no rows.
+    """
+    rows, hits, classes = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    # Rows that hit the same classes share one list of items.
+    per_row = stored(_hit_words(hits).join(
+        hits.groupBy("row").agg(F.sort_array(F.collect_set("class")).alias("met")), "row"), "winnow-rows")
+    sets = per_row.select("met").distinct()
+    listed = sets.select("met", F.explode("met").alias("class")).join(classes, "class").groupBy("met").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per_row = per_row.join(listed, "met").select("row", "n_hit", "items")
+    return rows.join(per_row, "row", "left").select(
         "doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -204,35 +244,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     The hit rows are written out first, so Spark knows their size and only
     shuffles the documents when they are too many to broadcast.
     """
-    found = contamination(docs, benchmark, id_col, text_col, item_col, item_text_col)
-    hit = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit_id"),
-                                                  F.col("digest").alias("__hit_digest")).distinct(),
-                 "winnow-hit")
+    rows, hits, _ = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    hit = stored(rows.join(hits.select("row").distinct(), "row").select(
+        F.col("doc_id").alias("__hit_id"), F.col("digest").alias("__hit_digest")).distinct(), "winnow-hit")
     here = (F.col(id_col).eqNullSafe(F.col("__hit_id"))
             & (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__hit_digest")))
     return docs.join(hit, here, "left_anti")
 
 
-def _leading(equal: Column) -> Column:
-    """How many true values an array starts with."""
-    stop = F.array_position(equal, False)
-    return F.when(stop == 0, F.size(equal).cast("long")).otherwise(stop - 1)
-
-
-def _extended(pairs: DataFrame) -> DataFrame:
-    """Shared runs ``[lo, hi)`` of at least a span around a joined k-gram."""
-    gram = F.least(F.col("span"), F.lit(GRAM))
-    equal = F.zip_with("words", "test", lambda a, b: a == b)
-    before = F.reverse(F.slice("equal", F.lit(1), F.col("span") - gram))
-    after = F.slice("equal", F.col("span") - gram + 1, F.col("span"))
-    return (pairs.withColumn("equal", equal)
-            .select("row", "item", "span", "at", _leading(before).alias("left"),
-                    _leading(after).alias("right"))
-            .filter(F.col("left") + F.col("right") >= F.col("span"))
-            .select("row", "item", (F.col("at") - F.col("left")).alias("lo"),
-                    (F.col("at") + F.col("right")).alias("hi")))
-
-
 def _hit_words(runs_: DataFrame) -> DataFrame:
     """``(row, n_hit)``: words covered by the union of a row's runs."""
     before = Window.partitionBy("row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
