@@ -13,10 +13,12 @@ until no determinant falls any more.  Two starts are followed, the coordinatewis
 median with a robust spread and the plain mean and covariance; the smaller
 determinant wins.  No group is ever gathered in one task.
 
-Groups below ``MIN_GROUP`` rows are pooled within their language, small languages
-with each other; if even that pool is small its rows are judged by an estimate over
-all rows.  A floor is added to the scatter's diagonal: where most rows have, say, no
-symbol at all the scatter would be singular and any symbol an outlier.
+Estimates are made at three levels: (language, source), language, all rows.  A
+group's own estimate has the weight n / (n + ``PRIOR_ROWS``), its parent's (itself
+mixed with the one above it) the rest, so small groups lean on larger ones and no
+size decides by itself which estimate judges a document.  A floor is added to the
+scatter's diagonal: where most rows have, say, no symbol at all the scatter would be
+singular and any symbol an outlier.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ P = len(FEATURES)
 KEPT_SHARE = 0.75
 #: Rejection probability of an ordinary (normal) document.
 TAIL = 1e-5
-MIN_GROUP = 100
+#: Rows that the parent's estimate counts as beside a group's own.
+PRIOR_ROWS = 100.0
 #: Steps after which determinants that still fall are an error.
 MAX_STEPS = 1000
 #: Least fall of a log determinant that asks for another step.
@@ -98,24 +101,15 @@ def chi2_quantile(p: float, k: float) -> float:
 
 
 # ------------------------------------------------------------------ groups
-def _grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``grp``: language and source, or the pool they fall into."""
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
-    own = F.col("size") >= MIN_GROUP
-    rest = F.coalesce(F.sum(F.when(~own, F.col("size"))).over(Window.partitionBy("lang")), F.lit(0))
-    label = F.when(own, F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})).when(
-        F.col("rest") >= MIN_GROUP, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise("")
-    names = stored(sizes.withColumn("rest", rest).select(
-        F.col("lang").alias("l"), F.col("source").alias("s"), label.alias("grp")), "mcd-groups")
-    salted = rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    names = _salted(names).withColumnRenamed("salt", "n")
-    return salted.join(names, salted.lang.eqNullSafe(names.l) & salted.source.eqNullSafe(names.s)
-                       & (salted.salt == names.n)).drop("l", "s", "n")
+def _levels() -> list[Column]:
+    """Names of a row's groups, from its own to the one of all rows."""
+    named = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    return [named("lang", "source"), named("lang"), F.lit("")]
 
 
 # --------------------------------------------------------------------- MCD
-_FIT = "grp string, start int, logdet double, " + ", ".join(
-    [f"m{i} double" for i in range(P)] + [f"w{i}_{j} double" for i, j in _PAIRS])
+_ESTIMATE = [f"m{i}" for i in range(P)] + [f"w{i}_{j}" for i, j in _PAIRS]
+_FIT = "grp string, start int, logdet double, " + ", ".join(f"{c} double" for c in _ESTIMATE)
 
 
 def _whitener(mean: np.ndarray, cov: np.ndarray) -> tuple[float, list[float]]:
@@ -174,6 +168,45 @@ def _salted(table: DataFrame) -> DataFrame:
     return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _unpacked(fit: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter (with floors) of a fit."""
+    inverse = np.zeros((P, P))
+    for i, j in _PAIRS:
+        inverse[i, j] = fit[f"w{i}_{j}"]
+    factor = np.linalg.inv(inverse)
+    return np.array([fit[f"m{i}"] for i in range(P)]), factor @ factor.T
+
+
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, n, above, own, parent, root) -> the group's fit mixed with those above it."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            mean, cov = _unpacked(r["root"])
+            for fit, n in ((r["parent"], r["above"]), (r["own"], r["n"])):
+                weight = n / (n + PRIOR_ROWS)
+                centre, scatter = _unpacked(fit)
+                mean, cov = (1 - weight) * mean + weight * centre, (1 - weight) * cov + weight * scatter
+            inverse = np.linalg.inv(np.linalg.cholesky(cov))
+            rows.append({"grp": r["grp"], **{f"m{i}": float(mean[i]) for i in range(P)},
+                         **{f"w{i}_{j}": float(inverse[i, j]) for i, j in _PAIRS}})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
+            [("grp", pa.string()), *[(c, pa.float64()) for c in _ESTIMATE]]))
+
+
+def shrunk(fits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``grp``, centre and whitening matrix of every group of ``sizes(lang, source, n)``,
+    from the fits of all levels."""
+    own, parent, root = _levels()
+    above = sizes.groupBy("lang").agg(F.sum("n").alias("above")).withColumnRenamed("lang", "of")
+    groups = sizes.join(above, F.col("lang").eqNullSafe(F.col("of"))).select(
+        own.alias("grp"), parent.alias("up"), root.alias("top"), "n", "above")
+    packed = lambda key, name: fits.select(F.col("grp").alias(key), F.struct(*_ESTIMATE).alias(name))
+    return (groups.join(packed("grp", "own"), "grp").join(packed("up", "parent"), "up")
+            .join(packed("top", "root"), "top").select("grp", "n", "above", "own", "parent", "root")
+            .mapInArrow(_shrink, "grp string, " + ", ".join(f"{c} double" for c in _ESTIMATE)))
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance under a joined fit."""
     diff = [F.col(NAMES[i]) - F.col(f"m{i}") for i in range(P)]
@@ -247,18 +280,17 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = counted(keyed).withColumn("base_failed", base_failed()).withColumns(
         {name: F.expr(how).cast("double") for name, how, _ in FEATURES})
     rows = stored(rows.select("doc_id.doc_id", "doc_id.lang", "doc_id.source",
-                              *[c for c in rows.columns if c != "doc_id"]), "mcd-rows")
-    passed = stored(_grouped(rows.filter(~F.col("base_failed"))).select("grp", "salt", *NAMES), "mcd-passed")
-    last_pool = passed.filter("grp = ''")
-    basis = passed
-    if 0 < last_pool.limit(MIN_GROUP).count() < MIN_GROUP:
-        basis = stored(passed.filter("grp <> ''").unionByName(passed.withColumn("grp", F.lit(""))), "mcd-basis")
-    fits = stored(fitted(basis).drop("logdet"), "mcd-final")
-    # Rows that failed belong to no group that is judged.
-    good = _grouped(rows.filter(~F.col("base_failed"))).join(_salted(fits), ["grp", "salt"], "left").withColumn(
+                              *[c for c in rows.columns if c != "doc_id"],
+                              (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt")), "mcd-rows")
+    passed = rows.filter(~F.col("base_failed"))
+    basis = stored(passed.select(F.explode(F.array(*_levels())).alias("grp"), "salt", *NAMES), "mcd-basis")
+    sizes = stored(passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "mcd-sizes")
+    fits = stored(shrunk(stored(fitted(basis), "mcd-levels"), sizes), "mcd-final")
+    # Rows that failed are judged by no group.
+    good = passed.withColumn("grp", _levels()[0]).join(_salted(fits), ["grp", "salt"]).withColumn(
         "distance", _distance())
     bad = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     limit = chi2_quantile(1 - tail, P)
-    columns = [c for c in rows.columns if c not in NAMES]
+    columns = [c for c in rows.columns if c not in NAMES and c != "salt"]
     return good.select(*columns, "distance").unionByName(bad.select(*columns, "distance")).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit))
