@@ -1,7 +1,14 @@
+import re
+import struct
+import zlib
+from math import log
+
 import numpy as np
 import pandas as pd
+import xxhash
 
 from tests.conftest import SF_ORACLE
+from tests.llm.test_rules import WORD, brute
 from veilscore.llm import quality as Q
 from veilscore.llm.queries import QUERIES
 
@@ -23,6 +30,59 @@ def test_held_out_accuracy(spark):
     assert (held.predicted == held.quality).mean() > 0.95
 
 
+def brute_statistics(text):
+    c, text = brute(text), text or ""
+    words = WORD.findall(text)
+    letters = re.findall(r"[A-Za-z\u0080-\U0010ffff]", text)
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    many = lambda chars: sum(text.count(x) for x in chars)
+    n, chars = c["n_words"], c["word_chars"]
+    per = lambda k, of: k / max(of, 1)
+    return [log(1 + n), per(chars, n), per(c["n_symbols"], chars) ** 0.5, per(c["n_dup_lines"], lines) ** 0.5,
+            per(c["n_repeat_words"], n) ** 0.5, per(len(set(words)), n),
+            per(sum("A" <= x <= "Z" for x in letters), len(letters)) ** 0.5, per(many("0123456789"), chars) ** 0.5,
+            per(many(".,;:!?\"'()-"), chars) ** 0.5, per(sum(x > "\x7f" for x in letters), len(letters)),
+            log(1 + per(n, lines))]
+
+
+def isotonic(raw, label):
+    """Distinct raw scores and the non-decreasing fit by pooling adjacent violators."""
+    knots, at = np.unique(raw, return_inverse=True)
+    blocks = []
+    for total, n in zip(np.bincount(at, label), np.bincount(at)):
+        blocks.append([total, n, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    return knots, np.concatenate([[t / n] * k for t, n, k in blocks])
+
+
+def test_scores_match_brute_force(spark):
+    """Every score recomputed on one machine: statistics, features, ridge, calibration."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_ORACLE}/documents.parquet").collect()}
+    labels = [(r.doc_id, float(r.quality)) for r in spark.read.parquet(f"{SF_ORACLE}/labels.parquet").collect()
+              if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in docs]
+    x = {i: brute_statistics(t) for i, t in docs.items()}
+    fold = np.array([xxhash.xxh64_intdigest(b"fold", xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) % 2
+                     for i, _ in labels])
+    train, label = np.array([x[i] for i, _ in labels]), np.array([v for _, v in labels])
+    mean, spread = train.mean(0), np.maximum(train.std(0), 1e-3)
+    rng = np.random.default_rng(Q.SEED)
+    weights = rng.normal(size=(train.shape[1], Q.FEATURES)) / Q.WIDTH
+    phase = rng.uniform(0.0, 2.0 * np.pi, Q.FEATURES)
+    lift = lambda m: np.sqrt(2 / Q.FEATURES) * np.cos(np.clip((m - mean) / spread, -8, 8) @ weights + phase)
+    z, base, n = lift(train), label.mean(), len(label)
+    fit = lambda rows, of: np.linalg.solve(z[rows].T @ z[rows] + Q.RIDGE * of * np.eye(Q.FEATURES),
+                                           z[rows].T @ (label[rows] - base))
+    outside = base + np.where(fold == 0, z @ fit(fold == 1, n / 2), z @ fit(fold == 0, n / 2))
+    knots, heights = isotonic(outside, label)
+    ids = list(docs)
+    raw = base + lift(np.array([x[i] for i in ids])) @ fit(fold >= 0, n)
+    want = (1 - Q.SLOPE) * np.interp(raw, knots, heights) + Q.SLOPE / (1 + np.exp(-np.clip(8 * (raw - 0.5), -50, 50)))
+    got = QUERIES["op3_quality_classifier"](spark, SF_ORACLE).toPandas().set_index("doc_id").score
+    assert np.abs(got[ids].to_numpy() - want).max() < 1e-6
+
+
 def test_features_approximate_the_gaussian_kernel():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, len(Q.NAMES)))
