@@ -248,20 +248,24 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The row with the smallest id stays (a null id only where the group has no
     other); of several rows with that id the one with the smallest hash of id and
     text, of rows equal in both any one.
+
+    Rows are known by two hashes of id and text, 128 bits together.  Neither is ever
+    null, so the join with the groups' first rows and the removal of repeated ones
+    share one exchange of the whole rows.
     """
-    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"),
-                                 F.xxhash64(id_col, text_col).alias("digest")).alias("row"),
+    parts = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
+    digests = [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
+    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.struct(*digests).alias("digest")).alias("row"),
                         F.col(text_col).alias("text"))
     prints = stored(fingerprints(keyed, "row", "text", words)
                     .select(F.col("doc_id.doc_id").alias("doc_id"), "doc_id.digest", "fp"), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     least = stored(prints.groupBy("fp").agg(first.alias("first")), "simhash-least")
+    marks = ["__digest", "__digest2"]
+    while set(marks) & set(docs.columns):
+        marks = [m + "_" for m in marks]
     heads = stored(least.join(_groups(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
-                   .select(F.col("first.doc_id").alias("__head_id"),
-                           F.col("first.digest").alias("__head_digest")), "simhash-heads")
-    mark = "__digest"
-    while mark in docs.columns:
-        mark += "_"
-    rows = docs.withColumn(mark, F.xxhash64(id_col, text_col))
-    here = F.col(id_col).eqNullSafe(F.col("__head_id")) & (F.col(mark) == F.col("__head_digest"))
-    return rows.join(heads, here, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
+                   .select(*[F.col("first.digest")[f"col{k + 1}"].alias(m) for k, m in enumerate(marks)]),
+                   "simhash-heads")
+    rows = docs.withColumns(dict(zip(marks, digests)))
+    return rows.join(heads, marks, "left_semi").dropDuplicates(marks).select(*[f"`{c}`" for c in docs.columns])
