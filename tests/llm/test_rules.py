@@ -59,89 +59,6 @@ def test_chi_square(k, p, want):
     assert R.chi2_quantile(p, k) == pytest.approx(want, rel=1e-5)
 
 
-def brute_vector(text):
-    """The transformed statistics of one text, counted in plain Python."""
-    c = brute(text)
-    letters = re.findall(r"[A-Za-z\u0080-\U0010ffff]", text)
-    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
-    many = lambda chars: sum(text.count(x) for x in chars)
-    prior, chars = R.PRIOR, c["word_chars"]
-    share = lambda k, n, more: ((k / (n + more)) ** 0.5)
-    return [np.log((chars + 5.5 * prior) / (c["n_words"] + prior)), share(c["n_symbols"], chars, 6 * prior),
-            share(c["n_dup_lines"], lines, 8.0), share(c["n_repeat_words"], c["n_words"], prior),
-            share(sum("A" <= x <= "Z" for x in letters), len(letters), 6 * prior),
-            share(many("0123456789"), chars, 6 * prior), share(many(".,;:!?\"'()-"), chars, 6 * prior)]
-
-
-def in_memory_mcd(x):
-    """Centre and scatter (with floors) by the same steps and bins, on one array."""
-    scale = R.KEPT_SHARE / R.chi2_cdf(R.chi2_quantile(R.KEPT_SHARE, R.P), R.P + 2)
-    floors = np.diag([f[2] ** 2 for f in R.FEATURES])
-    lower = lambda a: np.sort(a, axis=0)[(len(a) + 1) // 2 - 1]
-    middle = lower(x)
-    found = []
-    for mean, cov in ((middle, np.diag((1.4826 * lower(np.abs(x - middle))) ** 2)), (x.mean(0), np.cov(x.T, bias=True).reshape(R.P, R.P))):
-        kept = None
-        while True:
-            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floors), x - mean)
-            bins = np.floor(np.log2(d + 1e-9) * R.BINS_PER_DOUBLING)
-            near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * R.KEPT_SHARE)) - 1]]
-            mean, cov = near.mean(0), np.cov(near.T, bias=True).reshape(R.P, R.P) * scale
-            det = np.linalg.slogdet(cov + floors)[1]
-            if kept is not None and not kept[0] - det > R.TOLERANCE:
-                break
-            kept = det, mean, cov + floors
-        found.append(kept)
-    return min(found, key=lambda f: f[0])[1:]
-
-
-def test_verdicts_match_brute_force(spark):
-    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").collect()
-    good = {}
-    for r in docs:
-        c = brute(r.text)
-        if c["n_words"] >= 10 and 100 * c["n_repeat_words"] <= 20 * c["n_words"]:
-            good[r.doc_id] = (r.lang, r.source, brute_vector(r.text))
-    levels = {}
-    for lang, source, x in good.values():
-        for key in ((lang, source), (lang,), ()):
-            levels.setdefault(key, []).append(x)
-    fits = {key: in_memory_mcd(np.array(x)) for key, x in levels.items()}
-    want = {}
-    for i, (lang, source, x) in good.items():
-        mean, cov = fits[()]
-        for key in ((lang,), (lang, source)):
-            w = len(levels[key]) / (len(levels[key]) + R.PRIOR_ROWS)
-            mean, cov = (1 - w) * mean + w * fits[key][0], (1 - w) * cov + w * fits[key][1]
-        want[i] = (np.array(x) - mean) @ np.linalg.solve(cov, np.array(x) - mean)
-    got = {r.doc_id: r for r in QUERIES["op7_mcd_quality_rules"](spark, SF_ORACLE).collect()}
-    assert {i for i, r in got.items() if not r.base_failed} == set(want)
-    limit = R.chi2_quantile(1 - R.TAIL, R.P)
-    apart = np.array([abs(got[i].distance / d - 1) for i, d in want.items()])
-    assert np.median(apart) < 0.01 and apart.max() < 0.1, (np.median(apart), apart.max())
-    for i, d in want.items():
-        if abs(d / limit - 1) > 0.1:
-            assert got[i].kept == (d <= limit)
-    assert 0 < sum(d > limit for d in want.values()) < 0.2 * len(want)
-
-
-def test_groups_of_any_size_are_judged_alike(spark):
-    """One more row in a group moves its documents' distances little (no least size)."""
-    rng = np.random.default_rng(9)
-    vocab = [a + b for a in ("lo", "ip", "do", "si", "am", "con", "el") for b in ("rem", "sum", "lor", "met", "tur", "sed")]
-    plain = lambda: " ".join(rng.choice(vocab, 30, replace=False)).capitalize() + "."
-    # The odd source stays far from a quarter of its language, where the estimate there may turn.
-    rows = [(i, plain(), "en", f"s{i % 3}") for i in range(600)]
-    kind = "doc_id long, text string, lang string, source string"
-    far = {}
-    for n in (99, 100, 101):
-        own = [(1000 + i, rows[i][1].upper(), "en", "q") for i in range(n)]
-        got = R.judged(spark.createDataFrame(rows + own, kind)).filter("source = 'q'").collect()
-        far[n] = {r.doc_id: r.distance for r in got}
-    for i in far[99]:
-        assert far[100][i] == pytest.approx(far[99][i], rel=0.2) and far[101][i] == pytest.approx(far[100][i], rel=0.2)
-
-
 def slow_steps(x, steps=60):
     """Concentration steps of one group from both starts, on all rows in memory."""
     scale = R.KEPT_SHARE / R.chi2_cdf(R.chi2_quantile(R.KEPT_SHARE, R.P), R.P + 2)
