@@ -37,32 +37,51 @@ def _domain(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once however often the body names it: written out
+    again at every use, six rounds and the walk grow to hundreds of hashes a row and to
+    code that takes the compiler much memory."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _rounds(x: Column, n: int, seed: int) -> Column:
     a, b = _domain(n)
-    right = x % F.lit(b)
-    left = ((x - right) / F.lit(b)).cast("long")          # exact below 2^53 rows
-    for j in range(ROUNDS):
-        key = F.lit(seed * 64 + j).cast("long")
-        if j % 2:
-            right = F.pmod(right + F.pmod(F.xxhash64(key, left), F.lit(b)), F.lit(b))
-        else:
-            left = F.pmod(left + F.pmod(F.xxhash64(key, right), F.lit(a)), F.lit(a))
-    return left * F.lit(b) + right
+
+    def halves(x: Column) -> Column:                      # exact below 2^53 rows
+        return F.struct(((x - x % F.lit(b)) / F.lit(b)).cast("long").alias("left"), (x % F.lit(b)).cast("long").alias("right"))
+
+    def two(state: Column, key: Column) -> Column:
+        left = F.pmod(state["left"] + F.pmod(F.xxhash64(key, state["right"]), F.lit(a)), F.lit(a))
+        return _bound(left.cast("long"), lambda new: F.struct(new.alias("left"), F.pmod(
+            state["right"] + F.pmod(F.xxhash64(key + F.lit(1).cast("long"), new), F.lit(b)), F.lit(b)).cast("long").alias("right")))
+
+    keys = F.array(*[F.lit(seed * 64 + j).cast("long") for j in range(0, ROUNDS, 2)])
+    return F.aggregate(keys, halves(x), two, lambda state: state["left"] * F.lit(b).cast("long") + state["right"])
 
 
 def permuted(number: Column, n: int, seed: int = 0) -> Column:
     """Place of row ``number`` (0 to n - 1) under the seeded permutation."""
-    first = _rounds(number.cast("long"), n, seed)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first,
-                         lambda p, _: F.when(p < n, p).otherwise(_rounds(p, n, seed)))
-    return (F.when(first < n, first).when(walked < n, walked)
-            .otherwise(F.raise_error(F.lit("cycle walking did not end; use another seed")).cast("long")))
+    def walked(first: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first,
+                           lambda p, _: F.when(p < n, p).otherwise(_rounds(p, n, seed)))
+
+    def ended(p: Column) -> Column:
+        return F.when(p < n, p).otherwise(
+            F.raise_error(F.lit("cycle walking did not end; use another seed")).cast("long"))
+
+    return _bound(_rounds(number.cast("long"), n, seed),
+                  lambda first: F.when(first < n, first).otherwise(_bound(walked(first), ended)))
+
+
+def _dealt(p: Column, shards: int) -> tuple[Column, Column]:
+    """(shard, slot) of a place."""
+    return (p % shards).cast("int"), F.floor((p - p % shards) / shards).cast("long")
 
 
 def place(number: Column, n: int, shards: int, seed: int = 0) -> tuple[Column, Column]:
     """(shard, slot) of a row number."""
     p = permuted(number, n, seed)
-    return (p % shards).cast("int"), F.floor((p - p % shards) / shards).cast("long")
+    return _dealt(p, shards)[0], _bound(p, lambda one: _dealt(one, shards)[1])
 
 
 def numbered(df: DataFrame, by: list[str], n: int, name: str = "row_number") -> DataFrame:
@@ -126,5 +145,6 @@ def sharded(df: DataFrame, shards: int, by: list[str] | None = None, seed: int =
     df = df.drop("shard", "slot")
     n = df.count()
     rows = numbered(df, by or df.columns, n, "__feistel_number")
-    shard, slot = place(F.col("__feistel_number"), max(n, 1), shards, seed)
-    return (rows.withColumn("shard", shard).withColumn("slot", slot).drop("__feistel_number"))
+    rows = rows.withColumn("__feistel_place", permuted(F.col("__feistel_number"), max(n, 1), seed))
+    shard, slot = _dealt(F.col("__feistel_place"), shards)
+    return rows.withColumn("shard", shard).withColumn("slot", slot).drop("__feistel_number", "__feistel_place")
