@@ -274,8 +274,8 @@ def fold_counts(df: DataFrame, fold_col: str, label_col: str) -> dict[int, dict[
     return out
 
 
-def training_weights(counts: Mapping, fold: int, class_weight) -> dict[int, float]:
-    """T4 weights per label from the rows outside a fold."""
+def training_weights(counts: Mapping, fold: int | None, class_weight) -> dict[int, float]:
+    """T4 weights per label from the rows outside a fold (None: all rows)."""
     n: dict[int, int] = {}
     for f, by in counts.items():
         for y, k in by.items():
@@ -287,10 +287,18 @@ def training_weights(counts: Mapping, fold: int, class_weight) -> dict[int, floa
     return {y: float(given.get(y, 1.0)) for y in n}
 
 
+def weighted(df: DataFrame, label_col: str, params: Mapping, counts: Mapping) -> tuple[DataFrame, float]:
+    """``df`` with the weight column of one candidate (T4) and the sum of its weights, both
+    from the rows per fold and label that are known already."""
+    weights = training_weights(counts, None, params.get("class_weight"))
+    out = df.withColumn(f"_w_{_cw_key(params.get('class_weight'))}", class_weight_column(df, label_col, weights))
+    return out, sum(n * weights[y] for by in counts.values() for y, n in by.items() if n)
+
+
 def cross_validate(df: DataFrame, model: str, candidates: Sequence[Mapping],
                    feature_cols: Sequence[str], label_col: str, fold_col: str = "fold",
                    scale_col: str | None = None, parallelism: int = 1,
-                   state: SearchState | None = None) -> DataFrame:
+                   state: SearchState | None = None, counts: Mapping | None = None) -> DataFrame:
     """Every candidate on every fold; the results table has
     ``candidate, params, split<i>_score…, mean_score, std_score (population), rank``.
     Class weights come from each training part.
@@ -301,13 +309,15 @@ def cross_validate(df: DataFrame, model: str, candidates: Sequence[Mapping],
     ``CrossValidator.parallelism`` does).  A model is scored as soon as it is fitted
     and then dropped, so at most ``parallelism`` are held.
 
-    With ``state`` scores are kept as they come and known ones are not fitted again."""
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    With ``state`` scores are kept as they come and known ones are not fitted again.
+    ``counts`` are those of :func:`fold_counts`, if known."""
+    if counts is None:
+        counts = fold_counts(df, fold_col, label_col)
+    folds = sorted(counts)
     keys = [effective(model, c) for c in candidates]
     first = {key: dict(c) for key, c in reversed(list(zip(keys, candidates)))}
     known = state.done() if state else {}
     todo = [(key, f) for key in dict.fromkeys(keys) for f in folds if (key, f) not in known]
-    counts = fold_counts(df, fold_col, label_col) if todo else {}
     args = (df, first, todo, counts, feature_cols, label_col, fold_col, scale_col)
     if todo:
         known |= _search_lr(*args, state) if model == "lr" else _search_fits(model, *args, parallelism, state)

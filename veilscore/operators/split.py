@@ -131,7 +131,9 @@ def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int, shuffle
     for lab, z in zero.items():
         if z:
             offset = F.when(F.col(label_col).eqNullSafe(F.lit(lab)), F.lit(z)).otherwise(offset)
-    below = F.coalesce(F.size(F.filter(F.col("_bounds"), lambda t: t < key)), F.lit(0))
+    # The key is bound to a variable: named inside the filter it would be hashed once per bound.
+    below = F.coalesce(F.transform(F.array(key), lambda own: F.size(F.filter(F.col("_bounds"), lambda t: t < own)))[0],
+                       F.lit(0))
     return j.withColumn(out, (below + offset).cast("int")).drop("_bounds")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.intcols import narrow
 from ..operators import metrics as M
 from ..operators import models as ML
-from ..operators.ranking import checkpointed
+from ..operators.ranking import written
 from ..operators.split import stratified_folds, stratified_split
 from ..sources import sinks
 
@@ -31,12 +31,41 @@ class TrainResult:
     scored: DataFrame        # hold-out (id, label, prob)
 
 
+@dataclass
+class Parts:
+    """Both parts of a training table, written once for every fit and score on them."""
+    folded: DataFrame                       # training part with its fold
+    test: DataFrame                         # hold-out
+    features: list[str]
+    n_folds: int
+    counts: dict[int, dict[int, int]]       # rows by fold and label
+    made_of: tuple                          # the settings they depend on
+
+
+def split_parts(df: DataFrame, id_col: str, label_col: str, n_folds: int, drop: Sequence[str] = (),
+                shuffle_folds: bool = True, seed: int = ML.SEED, id_as_feature: bool = False) -> Parts:
+    """Narrowed table, hold-out and folds of :func:`train`.  Each is written before the
+    next step reads it several times (class counts, boundary keys, folds, fits), so that
+    no pass repeats the joins before it; searches of several model kinds can share them."""
+    keep_wide = () if id_as_feature else (id_col,)
+    base = written(narrow(df.drop(*drop), exclude=keep_wide)
+                   .withColumn(label_col, F.col(label_col).cast("int")), "train-base")
+    features = [c for c in base.columns if c != label_col and (id_as_feature or c != id_col)]
+    split = written(stratified_split(base, label_col, id_col, 0.2, seed), "train-split")
+    train_part = split.where(~F.col("is_test")).drop("is_test")
+    folded = written(stratified_folds(train_part, label_col, id_col, n_folds, shuffle_folds, seed), "train-folds")
+    return Parts(folded, split.where(F.col("is_test")).drop("is_test"), features, n_folds,
+                 ML.fold_counts(folded, "fold", label_col),
+                 (id_col, label_col, n_folds, tuple(drop), shuffle_folds, seed, id_as_feature))
+
+
 def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
           drop: Sequence[str] = (), scale_col: str | None = None,
           candidates: Sequence[dict] | None = None, n_folds: int | None = None,
           shuffle_folds: bool = True, target_precision: float = M.TARGET_PRECISION,
           out_dir: str | None = None, seed: int = ML.SEED,
-          id_as_feature: bool = False, parallelism: int = 1, state_path: str | None = None) -> TrainResult:
+          id_as_feature: bool = False, parallelism: int = 1, state_path: str | None = None,
+          parts: Parts | None = None) -> TrainResult:
     """``id_as_feature=True`` reproduces the reference's training input, which
     keeps the transaction id among the features (R1 compat); by default the id
     is only a key.
@@ -44,36 +73,32 @@ def train(df: DataFrame, model: str, mode: str, id_col: str, label_col: str,
     ``state_path`` names a table that keeps every score of the search
     (:class:`veilscore.operators.models.SearchState`); a run that was killed goes on
     with it.  Splits and folds depend on ids and ``seed`` alone, so they come out the
-    same; a table of other rows needs a state of its own."""
+    same; a table of other rows needs a state of its own.
+
+    ``parts`` are those of :func:`split_parts` for ``df`` and the same settings, if an
+    earlier run has made them."""
     spark = df.sparkSession
     n_iter, folds_default, grid = ML.SEARCH_SPACES[model][mode] if model in ML.SEARCH_SPACES else (1, 2, {})
     cands = list(candidates) if candidates is not None else ML.sample_candidates(grid, n_iter, seed)
     k = int(n_folds or folds_default)
-    keep_wide = () if id_as_feature else (id_col,)
-    # The training table is read by several passes (class counts, split
-    # boundaries, folds, fits): materialize it once.
-    base = checkpointed(narrow(df.drop(*drop), exclude=keep_wide)
-                        .withColumn(label_col, F.col(label_col).cast("int")))
-    features = [c for c in base.columns if c != label_col and (id_as_feature or c != id_col)]
-    # The split is one pass over the materialized table (exact boundary keys per
-    # class); the search runs dozens of actions on the folds, so those are
-    # materialized as well and each action is a plain scan.
-    split = stratified_split(base, label_col, id_col, 0.2, seed)
-    train_part = split.where(~F.col("is_test")).drop("is_test")
-    test_part = split.where(F.col("is_test")).drop("is_test")
-    folded = checkpointed(stratified_folds(train_part, label_col, id_col, k, shuffle_folds, seed))
+    made_of = (id_col, label_col, k, tuple(drop), shuffle_folds, seed, id_as_feature)
+    if parts is None:
+        parts = split_parts(df, *made_of)
+    elif parts.made_of != made_of:
+        raise ValueError(f"parts were made with {parts.made_of}, not {made_of}")
+    folded, test_part, features = parts.folded, parts.test, parts.features
     t_search = time.perf_counter()
     run = json.dumps([model, k, shuffle_folds, seed, scale_col, label_col, features])
     state = ML.SearchState(spark, state_path, run) if state_path else None
     results = ML.cross_validate(folded, model, cands, features, label_col, "fold", scale_col,
-                                parallelism, state)
+                                parallelism, state, parts.counts)
     best_i = ML.best_candidate(results)
     best = cands[best_i]
-    tr = ML.with_weight_columns(train_part, label_col, [best])    # weights of the training rows
-    ws = ML._weight_sum(tr, best) if model == "lr" else None
-    fitted = ML.make_pipeline(model, best, features, label_col, scale_col, ws).fit(tr)
+    tr, ws = ML.weighted(folded.drop("fold"), label_col, best, parts.counts)    # weights of the training rows
+    fitted = ML.make_pipeline(model, best, features, label_col, scale_col,
+                              ws if model == "lr" else None).fit(tr)
     training_seconds = time.perf_counter() - t_search
-    scored = ML.positive_probability(fitted.transform(test_part)).select(id_col, label_col, "prob")
+    scored = written(ML.positive_probability(fitted.transform(test_part)).select(id_col, label_col, "prob"), "scored")
     pts = M.curve_points(scored, label_col, "prob")
     summary = M.metric_summary(pts, target_precision)
     rid = sinks.run_id(spark)
