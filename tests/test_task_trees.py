@@ -27,7 +27,7 @@ def arrays(n=300, seed=1):
     r = np.random.default_rng(seed)
     x = r.integers(0, 32, (4, n)).astype(np.uint8)
     y = (r.random(n) < x[0] / 40).astype(np.uint8)
-    return x, y, np.arange(n) % 2 == 0
+    return x, y, np.ones(n, np.int64), np.arange(n) % 2 == 0
 
 
 def folded(spark, n=400, k=2):
@@ -53,37 +53,37 @@ def test_equal_to_spark_without_chance(spark, model):
 
 
 def test_candidates_share_fits_without_changing_scores():
-    x, y, held = arrays()
+    x, y, size, held = arrays()
     forest = TT.Fit(False, 20, 7, 0.8, 2, 1, True, (1.0, 10.0))
     fits = [dataclasses.replace(forest, trees=t, depth=d) for t in (8, 20) for d in (3, 7)]
-    alone = [TT.scored(x, y, held, [f])[0] for f in fits]
-    assert TT.scored(x, y, held, fits) == alone and len(set(alone)) == 4
+    alone = [TT.scored(x, y, size, held, [f])[0] for f in fits]
+    assert TT.scored(x, y, size, held, fits) == alone and len(set(alone)) == 4
     boosts = [TT.Fit(True, t, 4, 0.8, 3) for t in (5, 15)]
-    alone = [TT.scored(x, y, held, [f])[0] for f in boosts]
-    assert TT.scored(x, y, held, boosts) == alone and alone[0] != alone[1]
+    alone = [TT.scored(x, y, size, held, [f])[0] for f in boosts]
+    assert TT.scored(x, y, size, held, boosts) == alone and alone[0] != alone[1]
     assert fits[0].group() == fits[3].group() != dataclasses.replace(forest, rate=1.0).group()
     assert boosts[0].group() != dataclasses.replace(boosts[0], depth=5).group()
 
 
 def test_batches_do_not_change_a_forest(monkeypatch):
-    x, y, held = arrays()
+    x, y, size, held = arrays()
     fit = TT.Fit(False, 9, 6, 1.0, 2)
-    want = TT.scored(x, y, held, [fit])
+    want = TT.scored(x, y, size, held, [fit])
     monkeypatch.setattr(TT, "BATCH_ROWS", 1)
-    assert TT.scored(x, y, held, [fit]) == want
+    assert TT.scored(x, y, size, held, [fit]) == want
 
 
 def test_leaves_draws_and_subsets():
-    x, y, _ = arrays(2000)
+    x, y, size, _ = arrays(2000)
     fit = TT.Fit(False, 30, 5, 0.8, 2, 9)
-    nodes = [n for n in TT.forest(x, y.astype(float), fit)]
+    nodes = [n for n in TT.forest(x, y.astype(float), size, fit)]
     leaf = np.concatenate([n.count[n.feature < 0] for n in nodes])
     assert leaf.min() >= 9
     roots = np.concatenate([n.count[:len(np.unique(n.tree))] for n in nodes])
     assert roots.mean() == pytest.approx(0.8 * 2000, rel=0.02) and roots.std() == pytest.approx(40, rel=0.4)
     first = {int(f) for n in nodes for f in n.feature[:len(np.unique(n.tree))]}
     assert len(first) > 1                                     # the best feature is not always looked at
-    rows = [n.count[0] for n, _ in TT.boosted(x, y.astype(float), 2000, TT.Fit(True, 10, 2, 0.5, 4))]
+    rows = [n.count[0] for n, _ in TT.boosted(x, y.astype(float), size, 2000, TT.Fit(True, 10, 2, 0.5, 4))]
     assert np.mean(rows) == pytest.approx(1000, rel=0.05) and max(rows) <= 2000
 
 
@@ -98,11 +98,11 @@ def test_saved_forest_is_the_one_scored(spark, tmp_out):
     fit = ML.tree_settings("rf", params, 3, ML.training_weights(counts, None, "balanced"))
     b = TT.binned(df, cols, "y", "fold", "a", None)
     total = np.zeros(len(b.y))
-    for nodes in TT.forest(b.x, b.y.astype(float), fit):
+    for nodes in TT.forest(b.x, b.y.astype(float), b.size, fit):
         *_, at = TT._levels(b.x, nodes, 7, 5)
         total += nodes.value()[at].sum(axis=0)
     got = model.transform(df).toPandas()["prediction"].to_numpy()
-    assert np.sort(got) == pytest.approx(np.sort(total / 7))
+    assert np.sort(got) == pytest.approx(np.sort(np.repeat(total / 7, b.size)))
     model.write().save(f"{tmp_out}/m")
     again = PipelineModel.load(f"{tmp_out}/m").transform(df).toPandas()["prediction"].to_numpy()
     assert np.sort(again) == pytest.approx(np.sort(got))
@@ -113,8 +113,10 @@ def test_average_precision_of_rows_in_memory(spark):
     y, p = r.integers(0, 2, 200), r.integers(0, 30, 200) / 30.0
     df = spark.createDataFrame([(0, int(a), float(b)) for a, b in zip(y, p)], "fold int, label int, prob double")
     want = M.average_precision_by(df, "fold", "label", "prob").first()["average_precision"]
-    assert TT.average_precision(y, p) == pytest.approx(want, abs=1e-12)
-    assert TT.average_precision(np.zeros(5), np.ones(5)) is None
+    assert TT.average_precision(y, p, np.ones(200)) == pytest.approx(want, abs=1e-12)
+    pairs, size = np.unique(np.c_[y, p], axis=0, return_counts=True)
+    assert TT.average_precision(pairs[:, 0], pairs[:, 1], size) == pytest.approx(want, abs=1e-12)
+    assert TT.average_precision(np.zeros(5), np.ones(5), np.ones(5)) is None
 
 
 def test_thresholds_of_many_values(spark):
@@ -123,6 +125,29 @@ def test_thresholds_of_many_values(spark):
     assert len(a) == 31 and np.abs(np.diff(a) - 200).max() <= 20 and len(b) == 0 and c.tolist() == [0.5, 1.5]
 
 
+def test_equal_rows_are_one_cell(spark, monkeypatch):
+    """Cells change no fit that draws nothing; draws of a cell are those of its rows together."""
+    df = folded(spark).select("y", "fold", *[F.expr(f"{c} % 30").alias(c) for c in ("a", "b")])
+    b = TT.binned(df, ["a", "b"], "y", "fold", None, 0)
+    assert len(b.y) < 150 and b.size.sum() == 400 and len({(*c, y, f) for c, y, f in zip(b.x.T.tolist(), b.y, b.fold)}) == len(b.y)
+    rows = [np.repeat(a, b.size, axis=-1) for a in (b.x, b.y, np.ones(len(b.y), np.int64), b.fold == 0)]
+    for fit in (TT.Fit(True, 8, 3, 1.0, 2), TT.Fit(False, 1, 4, 1.0, 2, 3, False, (1.0, 10.0))):
+        assert TT.scored(b.x, b.y, b.size, b.fold == 0, [fit]) == pytest.approx(TT.scored(*rows, [fit]), abs=1e-9)
+    size, n = np.array([1, 5, 400]), 3000
+    for bootstrap, spread in ((True, 0.8), (False, 0.16)):
+        drawn = np.array([TT._drawn(size, TT.Fit(False, n, 3, 0.8, 2), t, bootstrap) for t in range(n)])
+        assert drawn.mean(axis=0) == pytest.approx(0.8 * size, rel=0.05)
+        assert drawn.var(axis=0) == pytest.approx(spread * size, rel=0.15)
+
+
+def test_sums_in_one_double():
+    """Counts of both labels added at once or apart give the same forest."""
+    x, y, size, _ = arrays()
+    fit = TT.Fit(False, 2, 6, 1.0, 2, 1, False, (0.7, 3.0))
+    packed, apart = ([n.gain for n in TT.forest(x, y.astype(float), size * k, fit)] for k in (1, 2 ** 20))
+    assert all(np.allclose(a, b) for a, b in zip(packed, apart, strict=True)) and len(packed[0]) > 20
+
+
 @pytest.mark.parametrize("value", [None, float("nan"), float("inf")])
 def test_missing_values_are_an_error(spark, value):
     df = folded(spark, 60).withColumn("b", F.when(F.col("id") != 3, F.col("b")).otherwise(F.lit(value).cast("double")))
