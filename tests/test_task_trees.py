@@ -43,8 +43,10 @@ PLAIN = {"xgb": {"n_estimators": 12, "max_depth": 3, "learning_rate": 0.2},
 def test_equal_to_spark_without_chance(spark, model):
     df, cols, params = folded(spark), ["a", "b", "c"], PLAIN[model]
     counts = ML.fold_counts(df, "fold", "y")
-    got, want = (ML.positive_probability(ML.fit_best(df, model, params, cols, "y", "fold", "a", counts, mode).transform(df))
-                 .select("id", "prob").orderBy("id").toPandas()["prob"].to_numpy() for mode in (True, False))
+    fits = [ML.fit_best(df, model, params, cols, "y", "fold", "a", counts, mode) for mode in (True, False)]
+    got, want, told = (x.select("id", "prob").orderBy("id").toPandas()["prob"].to_numpy() for x in (
+        *(ML.positive_probability(m.transform(df)) for m in (fits[0].pipeline(), fits[1])), fits[0].scored(df, "id", "y")))
+    assert told == pytest.approx(got, abs=1e-12)
     assert len(set(got.round(6))) > 4
     assert got == pytest.approx(want, abs=1e-9)
     tables = [ML.cross_validate(df, model, [params], cols, "y", scale_col="a", in_tasks=mode).first() for mode in (True, False)]
@@ -93,7 +95,11 @@ def test_saved_forest_is_the_one_scored(spark, tmp_out):
     df, cols = folded(spark), ["a", "b", "c"]
     params = {"n_estimators": 7, "max_depth": 5, "max_features": 0.5, "max_samples": 0.8, "class_weight": "balanced"}
     counts = ML.fold_counts(df, "fold", "y")
-    model = ML.fit_best(df, "rf", params, cols, "y", "fold", "a", counts, True)
+    fitted = ML.fit_best(df, "rf", params, cols, "y", "fold", "a", counts, True)
+    told = {r["id"]: r["prob"] for r in fitted.scored(df, "id", "y").collect()}
+    assert fitted.model is None                               # nothing is loaded for the scores
+    model = fitted.pipeline()
+    assert told == pytest.approx({r["id"]: r["prediction"] for r in model.transform(df).collect()}, abs=1e-12)
     assert model.stages[-1].getNumTrees == 7 and model.stages[-1].getOrDefault("maxDepth") == 5
     fit = ML.tree_settings("rf", params, 3, ML.training_weights(counts, None, "balanced"))
     b = TT.binned(df, cols, "y", "fold", "a", None)
@@ -188,6 +194,17 @@ def test_refolded_parts_equal_new_ones(spark):
     assert sorted(map(tuple, a.folded.select("id", "fold").collect())) == sorted(map(tuple, b.folded.select("id", "fold").collect()))
 
 
+def test_run_in_tasks_saves_its_model(spark, tmp_out):
+    import glob
+    from pyspark.ml import PipelineModel
+    cands = [{"n_estimators": n, "max_depth": 2} for n in (2, 3)]
+    res = P.train(table(spark, 150), "xgb", "coarse", "id", "y", scale_col="a", candidates=cands, out_dir=tmp_out, in_tasks=True)
+    saved = PipelineModel.load(glob.glob(f"{tmp_out}/XGB/coarse/*/best_model")[0])
+    test = table(spark, 150).join(res.scored.select("id", "prob"), "id")
+    got = ML.positive_probability(saved.transform(test), "again").select("prob", "again").collect()
+    assert len(got) == 30 and all(abs(r["prob"] - r["again"]) < 1e-6 for r in got)
+
+
 def test_every_kind_runs_its_whole_search(spark, tmp_out, monkeypatch):
     """`train_all_models` fits every candidate of the coarse spaces with all its trees."""
     spark.range(300).selectExpr(
